@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The analyses this library reproduces read finite yearly files and annual series; none
+of them has an event-time window, a watermark or per-key state. Every operator here is a
+batch DataFrame transformation, so it can be applied to a micro-batch inside
+``foreachBatch`` without change, but no streaming-specific operator is provided.
+"""
