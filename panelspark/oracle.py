@@ -166,3 +166,67 @@ SELECT CAST(p.start_y AS VARCHAR) || '-' || CAST(p.end_y AS VARCHAR) AS period,
     r6("-((e.log_DMI - s.log_DMI) * 100)", "DMI"),
 ]) + """
 FROM periods p LEFT JOIN reporter s ON s.year = p.start_y LEFT JOIN reporter e ON e.year = p.end_y"""
+
+
+# ------------------------------------------------------------------ corpus statistics
+
+from panelspark.functions.text import TOKEN_PATTERN  # noqa: E402
+from panelspark.sources.stopwords import CUSTOM_STOPWORDS, SPARK_ENGLISH_STOPWORDS  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _word_values(words) -> str:
+    return "(VALUES " + ", ".join(f"({_sql_str(w)})" for w in sorted({w.lower() for w in words})) + ") v(word)"
+
+
+TOK_SQL = _sql_str(TOKEN_PATTERN)
+
+TEXT = f"""
+docs AS (SELECT doc_id, lang AS author, source, text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+tok AS (SELECT doc_id, author, unnest(regexp_extract_all(lower(text), {TOK_SQL}, 0)) AS word FROM docs),
+counts AS (SELECT author, word, count(*) AS n FROM tok GROUP BY author, word),
+totals AS (SELECT author, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY author),
+wt AS (SELECT c.author, c.word, c.n, t.total FROM counts c LEFT JOIN totals t ON c.author = t.author),
+zipf AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY author ORDER BY n DESC, word) AS INTEGER) AS rank,
+         n / total AS term_frequency FROM wt),
+dfreq AS (SELECT word, count(*) AS df FROM counts GROUP BY word),
+ndocs AS (SELECT count(DISTINCT author) AS nd FROM counts),
+tfidf AS (
+  SELECT c.author, c.word, c.n, c.n / t.total AS tf, ln(nd / df) AS idf, (c.n / t.total) * ln(nd / df) AS tf_idf
+  FROM counts c JOIN totals t ON c.author = t.author JOIN dfreq f ON c.word = f.word, ndocs),
+cleaned AS (SELECT * FROM tfidf WHERE word NOT IN (SELECT word FROM {_word_values(CUSTOM_STOPWORDS)})),
+top15 AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY author ORDER BY tf_idf DESC) AS rk FROM cleaned) WHERE rk <= 15),
+kept AS (SELECT * FROM tok WHERE word NOT IN (SELECT word FROM {_word_values(SPARK_ENGLISH_STOPWORDS)})),
+kcounts AS (SELECT author, word, count(*) AS n FROM kept GROUP BY author, word)"""
+
+ORACLE["corpus_scan"] = f"WITH {TEXT} SELECT doc_id, author, source, CAST(length(text) AS BIGINT) AS text_chars FROM docs"
+ORACLE["tokenize_words"] = f"""WITH {TEXT},
+arr AS (SELECT doc_id, author, regexp_extract_all(lower(text), {TOK_SQL}, 0) AS t FROM docs)
+SELECT doc_id, author, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_types,
+       CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS token_chars FROM arr"""
+ORACLE["word_counts"] = f"WITH {TEXT} SELECT author, word, n FROM counts"
+ORACLE["word_totals"] = f"WITH {TEXT} SELECT author, word, n, total FROM wt"
+ORACLE["zipf_rank"] = f"WITH {TEXT} SELECT author, word, n, total, rank, {r6('term_frequency')} FROM zipf"
+ORACLE["zipf_loglog"] = f"""WITH {TEXT} SELECT author, word, rank, {r6('log10(rank)', 'log_rank')},
+  {r6('log10(term_frequency)', 'log_tf')} FROM zipf"""
+ORACLE["tf_idf"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf')}, {r6('idf')}, {r6('tf_idf')} FROM tfidf"
+ORACLE["stopword_antijoin_custom"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf')}, {r6('idf')}, {r6('tf_idf')} FROM cleaned"
+ORACLE["tfidf_top_terms"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf_idf')} FROM top15"
+ORACLE["topk_ties"] = f"""WITH {TEXT} SELECT author, word, n FROM
+  (SELECT *, rank() OVER (PARTITION BY author ORDER BY n DESC) AS rk FROM counts) WHERE rk <= 3"""
+ORACLE["label_reorder"] = f"""WITH {TEXT},
+means AS (SELECT word, avg(tf_idf) AS word_level_mean FROM top15 GROUP BY word),
+lv AS (SELECT word, word_level_mean, CAST(row_number() OVER (ORDER BY word_level_mean, word) AS INTEGER) AS word_level FROM means)
+SELECT t.author, t.word, {r6('t.tf_idf', 'tf_idf')}, {r6('lv.word_level_mean', 'word_level_mean')}, lv.word_level,
+       t.word || '___' || t.author AS word_in_author
+FROM top15 t LEFT JOIN lv ON t.word = lv.word"""
+ORACLE["stopword_antijoin_builtin"] = f"WITH {TEXT} SELECT doc_id, author, count(*) AS n_kept FROM kept GROUP BY doc_id, author"
+ORACLE["topic_word_counts"] = f"WITH {TEXT} SELECT author, word, n FROM kcounts"
+ORACLE["dtm_stats"] = f"""WITH {TEXT}
+SELECT author, count(*) AS nnz, CAST(sum(n) AS DOUBLE) AS row_sum,
+       (SELECT count(DISTINCT word) FROM kcounts) AS n_terms
+FROM kcounts GROUP BY author"""

@@ -80,3 +80,156 @@ def q_decomp_periods(spark, d):
 
 DECOMP_COLS = ["FA_components", "FA", "DA_index", "TR", "RA", "FMI", "DMI", "RMI", "R",
                "log_RA", "log_TR", "log_R", "log_RMI", "log_DMI", "log_FMI", "log_DA", "log_FA"]
+
+
+# ------------------------------------------------------------------ corpus statistics
+
+from panelspark.operators import text as tx  # noqa: E402
+from panelspark.operators import topics as tp  # noqa: E402
+from panelspark.sources.corpus import corpus_scan  # noqa: E402
+from panelspark.sources.stopwords import builtin_stopwords, custom_stopwords  # noqa: E402
+
+AUTHORS = ["en", "fr", "de", "es"]
+
+
+def _corpus(spark, d):
+    return corpus_scan(spark, d, "lang", AUTHORS)
+
+
+def _counts(spark, d):
+    return tx.word_counts(tx.tokenize(_corpus(spark, d)))
+
+
+def _tfidf(spark, d):
+    return tx.tf_idf(_counts(spark, d))
+
+
+def _cleaned(spark, d):
+    return tx.remove_words(_tfidf(spark, d), custom_stopwords(spark))
+
+
+@register("corpus_scan")
+def q_corpus_scan(spark, d):
+    """Corpus with document metadata, IN-list on the grouping column."""
+    return _corpus(spark, d).select("doc_id", "author", "source",
+                                    F.length("text").cast("bigint").alias("text_chars"))
+
+
+@register("tokenize_words")
+def q_tokenize_words(spark, d):
+    """Tokens per document (count, distinct words, token characters) over whole texts."""
+    return tx.token_stats(_corpus(spark, d))
+
+
+@register("word_counts")
+def q_word_counts(spark, d):
+    """count(author, word, sort=TRUE)."""
+    return tx.word_counts(tx.tokenize(_corpus(spark, d)), sort=True)
+
+
+@register("word_totals")
+def q_word_totals(spark, d):
+    """Counts with the per-document total joined back."""
+    return tx.with_totals(_counts(spark, d))
+
+
+@register("zipf_rank")
+def q_zipf_rank(spark, d):
+    """Rank within document and term frequency."""
+    return tx.zipf_table(tx.with_totals(_counts(spark, d)))
+
+
+@register("zipf_loglog")
+def q_zipf_loglog(spark, d):
+    """log10 rank against log10 term frequency."""
+    return tx.zipf_loglog(tx.zipf_table(tx.with_totals(_counts(spark, d))))
+
+
+@register("tf_idf")
+def q_tf_idf(spark, d):
+    """Tf, idf = ln(N / df), tf-idf."""
+    return _tfidf(spark, d)
+
+
+@register("stopword_antijoin_custom")
+def q_stopword_antijoin_custom(spark, d):
+    """Custom stopwords removed after tf-idf."""
+    return _cleaned(spark, d)
+
+
+@register("tfidf_top_terms")
+def q_tfidf_top_terms(spark, d):
+    """Top 15 words per document by tf-idf, ties kept."""
+    return tx.top_terms(_cleaned(spark, d), 15).select("author", "word", "n", "tf_idf")
+
+
+@register("topk_ties")
+def q_topk_ties(spark, d):
+    """Top 3 per document by raw count, ties at the 3rd place kept."""
+    return tx.top_terms(_counts(spark, d), 3, order="n")
+
+
+@register("label_reorder")
+def q_label_reorder(spark, d):
+    """Words of the top-terms table ordered by mean tf-idf; facet labels."""
+    top = tx.top_terms(_cleaned(spark, d), 15).select("author", "word", "tf_idf")
+    out = tx.reorder_levels(top, "word", "tf_idf", "word_level")
+    return out.withColumn("word_in_author", tx.reorder_within("word", "author"))
+
+
+def _kept_tokens(spark, d):
+    return tx.remove_words(tx.tokenize(_corpus(spark, d)), builtin_stopwords(spark, "english"))
+
+
+@register("stopword_antijoin_builtin")
+def q_stopword_antijoin_builtin(spark, d):
+    """Built-in stopwords removed from the tokens (kept tokens per document)."""
+    return _kept_tokens(spark, d).groupBy("doc_id", "author").agg(
+        F.count(F.lit(1)).alias("n_kept"))
+
+
+@register("topic_word_counts")
+def q_topic_word_counts(spark, d):
+    """Counts after built-in stopword removal."""
+    return tx.word_counts(_kept_tokens(spark, d))
+
+
+def _dtm(spark, d):
+    counts = tx.word_counts(_kept_tokens(spark, d))
+    vocab = tp.vocabulary(counts)
+    return counts, vocab, tp.dtm_entries(counts, vocab)
+
+
+@register("dtm_stats")
+def q_dtm_stats(spark, d):
+    """Document-term matrix entries per document and its width."""
+    _, _, entries = _dtm(spark, d)
+    return tp.dtm_stats(entries)
+
+
+def _lda(spark, d):
+    counts, vocab, entries = _dtm(spark, d)
+    vocab = vocab.checkpoint(eager=True)
+    size = vocab.count()
+    model = tp.fit_lda(tp.dtm_vectors(entries, size), k=4, seed=1234)
+    return tp.topic_beta(model, vocab, size)
+
+
+@register("topic_model")
+def q_topic_model(spark, d):
+    """LDA with k = 4; per topic the number of terms and the total of beta."""
+    beta = _lda(spark, d)
+    return beta.groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"),
+                                     F.sum("beta").alias("beta_sum"))
+
+
+@register("topic_beta")
+def q_topic_beta(spark, d):
+    """Topic-term probabilities in long form."""
+    return _lda(spark, d)
+
+
+@register("topic_top_terms")
+def q_topic_top_terms(spark, d):
+    """Top 5 terms per topic, ties kept, ordered by topic and beta."""
+    return tp.top_topic_terms(_lda(spark, d), 5)
