@@ -230,3 +230,187 @@ ORACLE["dtm_stats"] = f"""WITH {TEXT}
 SELECT author, count(*) AS nnz, CAST(sum(n) AS DOUBLE) AS row_sum,
        (SELECT count(DISTINCT word) FROM kcounts) AS n_terms
 FROM kcounts GROUP BY author"""
+
+
+# ------------------------------------------------------------------ crime / police panel
+
+CUTOFF = 1998
+REF_YEAR = 1998
+FIRST_YEAR = 1995
+SEG_INDEX = ("CASE {c} WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 "
+             "WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 END")
+CRIME_VARS = ["actual_murder", "actual_rape_total", "actual_robbery_total", "actual_assault_total",
+              "actual_burg_total", "actual_theft_total", "actual_mtr_veh_theft_total",
+              "actual_index_property", "actual_index_violent", "cw_violent", "cw_property", "cw_all",
+              "total_employees_officers", "population"]
+FINAL_NAMES = {
+    "actual_murder": "Y1", "actual_rape_total": "Y2", "actual_robbery_total": "Y3",
+    "actual_assault_total": "Y4", "actual_burg_total": "Y5", "actual_theft_total": "Y6",
+    "actual_mtr_veh_theft_total": "Y7", "actual_index_violent": "Y8",
+    "actual_index_property": "Y9", "cw_violent": "Y10", "cw_property": "Y11", "cw_all": "Y12",
+    "total_employees_officers": "S", "population": "C1",
+}
+
+
+def _cnt(cond: str) -> str:
+    return f"CAST(count(CASE WHEN {cond} THEN 1 END) AS DOUBLE)"
+
+
+CRIME = ORD + f""",
+cells0 AS (
+  SELECT m, c_mktsegment, year,
+    {_cnt("o_orderpriority = '1-URGENT'")} AS actual_murder,
+    {_cnt("o_orderpriority = '2-HIGH'")} AS actual_rape_total,
+    {_cnt("o_orderpriority = '3-MEDIUM'")} AS actual_robbery_total,
+    {_cnt("o_orderpriority = '4-NOT SPECIFIED'")} AS actual_assault_total,
+    {_cnt("o_orderpriority = '5-LOW'")} AS actual_burg_total,
+    {_cnt("o_orderstatus = 'F'")} AS actual_theft_total,
+    {_cnt("o_orderstatus = 'P'")} AS actual_mtr_veh_theft_total,
+    CAST(sum(price) AS DOUBLE) AS population, count(*) AS n_orders
+  FROM ord GROUP BY m, c_mktsegment, year),
+cells AS (
+  SELECT *, CAST(m AS VARCHAR) || '-' || c_mktsegment AS ORI7, CAST(m AS VARCHAR) AS STATE,
+    CAST(100000000 + CAST(m AS BIGINT) * 10 + {SEG_INDEX.format(c='c_mktsegment')} AS BIGINT) AS GOVID,
+    0.0::DOUBLE + actual_murder + actual_rape_total + actual_robbery_total + actual_assault_total AS actual_index_violent,
+    0.0::DOUBLE + actual_burg_total + actual_theft_total + actual_mtr_veh_theft_total AS actual_index_property
+  FROM cells0),
+ucr AS (
+  SELECT ORI7, STATE, year, actual_murder, actual_rape_total, actual_robbery_total, actual_assault_total,
+         actual_burg_total, actual_theft_total, actual_mtr_veh_theft_total, actual_index_property,
+         actual_index_violent, population FROM cells),
+leoka AS (
+  SELECT CAST(o.m AS VARCHAR) || '-' || o.c_mktsegment AS ORI7, CAST(o.m AS VARCHAR) AS STATE, o.year,
+         CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total_employees_officers
+  FROM lineitem l JOIN ord o ON l.l_orderkey = o.o_orderkey GROUP BY o.m, o.c_mktsegment, o.year),
+base AS (
+  SELECT ORI7, year,
+    CASE WHEN year <= {CUTOFF} THEN CAST(n_orders AS DOUBLE) / 1000.0::DOUBLE END AS Z,
+    CASE WHEN year <= {CUTOFF} THEN actual_burg_total / 1000.0::DOUBLE END AS C2
+  FROM cells WHERE m < 20),
+xwalk AS (
+  SELECT DISTINCT CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment AS ORI7,
+    CAST(100000000 + CAST(c_nationkey AS BIGINT) * 10 + {SEG_INDEX.format(c='c_mktsegment')} AS BIGINT) AS GOVID
+  FROM customer),
+emp_raw AS (
+  SELECT CAST(GOVID * 100000 AS VARCHAR) AS govid, t.type_emp, CAST(n_orders AS DOUBLE) * t.f AS full_time,
+    'R' AS full_time_flag, CAST(n_orders AS DOUBLE) * t.f * 1000 AS full_time_payroll, 'R' AS full_time_payroll_flag,
+    actual_burg_total AS part_time, 'R' AS part_time_flag, actual_burg_total * 500 AS part_time_payroll,
+    'R' AS part_time_payroll_flag, actual_burg_total * 20 AS part_time_hrs, 'R' AS part_time_hrs_flag,
+    CAST(n_orders AS DOUBLE) * t.f + actual_burg_total / 2 AS full_time_equivalent, year
+  FROM cells, (VALUES (62, 1.0::DOUBLE), (5, 2.0::DOUBLE)) t(type_emp, f) WHERE year > {CUTOFF}),
+emp AS (SELECT GOVID, CAST(n_orders AS DOUBLE) AS full_time, year FROM cells WHERE year > {CUTOFF}),
+pop_raw AS (
+  SELECT CASE WHEN m = 24 AND c_mktsegment = 'MACHINERY' THEN 'UNKNOWN' ELSE CAST(GOVID * 100000 AS VARCHAR) END AS govid,
+    'CITY ' || ORI7 AS name, '1' AS region_code, 'COUNTY ' || STATE AS county_name,
+    lpad(CAST(m AS VARCHAR), 2, '0') AS fips_state, lpad(CAST({SEG_INDEX.format(c='c_mktsegment')} AS VARCHAR), 3, '0') AS fips_county,
+    CAST(CAST(floor(population / 1000) AS BIGINT) AS VARCHAR) AS pop_asg, substr(CAST(year AS VARCHAR), 3, 2) AS pop_year,
+    year, GOVID AS real_govid, m, c_mktsegment
+  FROM cells WHERE year > {CUTOFF}),
+pop0 AS (
+  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID,
+         CAST(pop_asg AS DOUBLE) AS pop_asg, year FROM pop_raw),
+pop AS (
+  SELECT GOVID, pop_asg, year, ln(pop_asg) - ln({lag_t('pop_asg', 'GOVID')}) AS g_pop
+  FROM pop0 WHERE GOVID IS NOT NULL),
+ucr_all AS (
+  SELECT u.*, l.total_employees_officers FROM ucr u
+  LEFT JOIN leoka l ON u.ORI7 = l.ORI7 AND u.STATE = l.STATE AND u.year = l.year),
+linked AS (
+  SELECT s.ORI7, a.STATE, a.year, a.actual_murder, a.actual_rape_total, a.actual_robbery_total,
+         a.actual_assault_total, a.actual_burg_total, a.actual_theft_total, a.actual_mtr_veh_theft_total,
+         a.actual_index_property, a.actual_index_violent, a.population, a.total_employees_officers,
+         x.GOVID, e.full_time, p.pop_asg, p.g_pop
+  FROM (SELECT DISTINCT ORI7 FROM base) s
+  LEFT JOIN ucr_all a ON s.ORI7 = a.ORI7
+  LEFT JOIN xwalk x ON s.ORI7 = x.ORI7
+  LEFT JOIN emp e ON x.GOVID = e.GOVID AND a.year = e.year
+  LEFT JOIN pop p ON x.GOVID = p.GOVID AND a.year = p.year),
+cw AS (
+  SELECT *,
+    7000000.0::DOUBLE * actual_murder + 142020.0::DOUBLE * actual_rape_total
+      + 12624.0::DOUBLE * actual_robbery_total + 38924.0::DOUBLE * actual_assault_total AS cw_violent,
+    2104.0::DOUBLE * actual_burg_total + 473.0::DOUBLE * actual_theft_total
+      + 5786.0::DOUBLE * actual_mtr_veh_theft_total AS cw_property
+  FROM linked),
+cw2 AS (SELECT *, cw_violent + cw_property AS cw_all FROM cw),
+prep0 AS (
+  SELECT c.*, b.Z AS Z_old, b.C2 FROM cw2 c LEFT JOIN base b ON c.ORI7 = b.ORI7 AND c.year = b.year),
+prep AS (
+  SELECT * EXCLUDE (Z_old),
+    CASE WHEN year > {CUTOFF} THEN ln(full_time) - ln({lag_t('full_time', 'ORI7')}) ELSE Z_old END AS Z,
+    CAST(dense_rank() OVER (ORDER BY STATE, year) AS INTEGER) AS stateyear,
+    CAST(dense_rank() OVER (ORDER BY ORI7) AS INTEGER) AS cityid
+  FROM prep0),
+g1 AS (
+  SELECT ORI7, GOVID, STATE, year, cityid, stateyear,
+    {", ".join(f"ln({v}) - ln({lag_t(v, 'ORI7')}) AS {v}" for v in CRIME_VARS)},
+    Z, CASE WHEN year > {CUTOFF} THEN g_pop ELSE C2 END AS C2,
+    max(CASE WHEN year = {REF_YEAR} THEN population END) OVER (PARTITION BY ORI7) AS W
+  FROM prep),
+g2 AS (
+  SELECT * FROM g1 WHERE year <> {FIRST_YEAR}
+    AND ORI7 IS NOT NULL AND GOVID IS NOT NULL AND STATE IS NOT NULL AND cityid IS NOT NULL AND stateyear IS NOT NULL
+    AND {" AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in CRIME_VARS + ["Z", "C2", "W"])}),
+crime_final AS (
+  SELECT ORI7, GOVID, STATE, year, cityid, stateyear,
+    {", ".join(f"CASE WHEN isinf({v}) THEN 0.0 ELSE {v} END AS {FINAL_NAMES.get(v, v)}" for v in CRIME_VARS + ["Z", "C2", "W"])}
+  FROM g2)"""
+
+
+def _sel(cols, src):
+    return "SELECT " + ", ".join(cols) + f" FROM {src}"
+
+
+_UCR_D = ["actual_murder", "actual_rape_total", "actual_robbery_total", "actual_assault_total",
+          "actual_burg_total", "actual_theft_total", "actual_mtr_veh_theft_total",
+          "actual_index_property", "actual_index_violent", "population"]
+
+ORACLE["scan_csv_multi"] = f"WITH {CRIME} SELECT * FROM emp_raw"
+ORACLE["scan_fixed_width"] = (f"WITH {CRIME} SELECT govid, name, region_code, county_name, fips_state, fips_county, "
+                              "pop_asg, pop_year, year FROM pop_raw")
+ORACLE["ingest_year_from_file"] = f"WITH {CRIME} SELECT year, count(*) AS n_rows, {r6('sum(full_time)', 'full_time')} FROM emp_raw GROUP BY year"
+ORACLE["asg_employment"] = f"WITH {CRIME} SELECT GOVID, {r6('full_time')}, year FROM emp"
+ORACLE["asg_population"] = f"WITH {CRIME} SELECT GOVID, {r6('pop_asg')}, year, {r6('g_pop')} FROM pop"
+ORACLE["id_scale"] = f"WITH {CRIME} SELECT govid, year, CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS scaled_id FROM pop_raw"
+ORACLE["crime_panel_linked"] = (f"WITH {CRIME} SELECT ORI7, STATE, year, GOVID, "
+                                + ", ".join(r6(c) for c in _UCR_D + ["total_employees_officers", "full_time", "pop_asg", "g_pop"])
+                                + " FROM linked")
+ORACLE["cost_weighted_sum"] = f"""WITH {CRIME}, c AS (
+  SELECT ORI7, year,
+    7000000.0::DOUBLE * actual_murder + 142020.0::DOUBLE * actual_rape_total
+      + 12624.0::DOUBLE * actual_robbery_total + 38924.0::DOUBLE * actual_assault_total AS cw_violent,
+    2104.0::DOUBLE * actual_burg_total + 473.0::DOUBLE * actual_theft_total
+      + 5786.0::DOUBLE * actual_mtr_veh_theft_total AS cw_property FROM ucr)
+SELECT ORI7, year, {r6('cw_violent')}, {r6('cw_property')}, {r6('cw_violent + cw_property', 'cw_all')} FROM c"""
+ORACLE["series_splice"] = f"WITH {CRIME} SELECT ORI7, year, {r6('Z')} FROM prep"
+ORACLE["group_id"] = f"WITH {CRIME} SELECT ORI7, year, STATE, stateyear FROM prep"
+ORACLE["unit_id"] = f"WITH {CRIME} SELECT ORI7, year, cityid FROM prep"
+ORACLE["base_period_weight"] = (f"WITH {CRIME} SELECT ORI7, year, "
+                                f"{r6(f'max(CASE WHEN year = {REF_YEAR} THEN population END) OVER (PARTITION BY ORI7)', 'W')} FROM linked")
+ORACLE["crime_panel_final"] = (f"WITH {CRIME} SELECT ORI7, GOVID, STATE, year, cityid, stateyear, "
+                               + ", ".join(r6(FINAL_NAMES.get(v, v)) for v in CRIME_VARS + ["Z", "C2", "W"])
+                               + " FROM crime_final")
+ORACLE["sample_restrict"] = (f"WITH {CRIME} SELECT s.ORI7, a.STATE, a.year, "
+                             + ", ".join(r6(f"a.{c}", c) for c in _UCR_D + ["total_employees_officers"])
+                             + " FROM (SELECT DISTINCT ORI7 FROM base) s LEFT JOIN ucr_all a ON s.ORI7 = a.ORI7")
+ORACLE["distinct_keys"] = f"WITH {CRIME} SELECT DISTINCT ORI7 FROM base"
+ORACLE["crosswalk_bridge"] = f"""WITH {CRIME}
+SELECT u.ORI7, u.year, x.GOVID, {r6('e.full_time', 'full_time')}
+FROM ucr u LEFT JOIN xwalk x ON u.ORI7 = x.ORI7 LEFT JOIN emp e ON x.GOVID = e.GOVID AND u.year = e.year"""
+ORACLE["join_left_3key"] = (f"WITH {CRIME} SELECT ORI7, STATE, year, "
+                            + ", ".join(r6(c) for c in _UCR_D + ["total_employees_officers"]) + " FROM ucr_all")
+ORACLE["join_left_2key"] = f"""WITH {CRIME}
+SELECT u.ORI7, u.year, {r6('u.population', 'population')}, {r6('b.Z', 'Z')}, {r6('b.C2', 'C2')}
+FROM ucr u LEFT JOIN base b ON u.ORI7 = b.ORI7 AND u.year = b.year"""
+ORACLE["join_left"] = f"WITH {CRIME} SELECT u.ORI7, u.year, x.GOVID FROM ucr u LEFT JOIN xwalk x ON u.ORI7 = x.ORI7"
+ORACLE["join_right"] = f"""WITH {CRIME}
+SELECT u.ORI7, u.year, {r6('b.Z', 'Z')}, {r6('b.C2', 'C2')}, {r6('u.population', 'population')}
+FROM base b RIGHT JOIN ucr u ON b.ORI7 = u.ORI7 AND b.year = u.year"""
+ORACLE["join_suffix"] = f"""WITH {CRIME}
+SELECT u.ORI7, u.year, u.STATE AS STATE_x, {r6('u.population', 'population')}, l.STATE AS STATE_y,
+       {r6('l.total_employees_officers', 'total_employees_officers')}
+FROM ucr u LEFT JOIN leoka l ON u.ORI7 = l.ORI7 AND u.year = l.year"""
+ORACLE["join_nullsafe"] = f"""WITH {CRIME}, ids AS (
+  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw)
+SELECT a.GOVID, a.year, a.pop_asg AS pop_x, b.pop_asg AS pop_y
+FROM ids a JOIN ids b ON a.GOVID IS NOT DISTINCT FROM b.GOVID AND a.year = b.year"""

@@ -110,3 +110,144 @@ def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams
         "nom_exports_dom", "nom_imports_dom", "real_exports", "real_imports",
         "exports_by_reporter", "total_exports",
     )
+
+
+# ---------------------------------------------------------------- crime / police panel
+
+# Fixed values of the stand-in: market segments in their id order, the priority and
+# status categories that play the seven crime counts, and the cutoff / reference years.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+VIOLENT_CATEGORIES = {
+    "actual_murder": "1-URGENT",
+    "actual_rape_total": "2-HIGH",
+    "actual_robbery_total": "3-MEDIUM",
+    "actual_assault_total": "4-NOT SPECIFIED",
+}
+PROPERTY_CATEGORIES = {
+    "actual_burg_total": ("priority", "5-LOW"),
+    "actual_theft_total": ("status", "F"),
+    "actual_mtr_veh_theft_total": ("status", "P"),
+}
+
+
+@dataclass(frozen=True)
+class CrimeParams:
+    cutoff: int = 1998          # last year of the old series; files cover the years after it
+    reference_year: int = 1998  # year whose population becomes the weight W
+    first_year: int = 1995      # first panel year (no growth there)
+    sample_nations: int = 20    # units of nations below this form the sample
+    id_scale: int = 100000      # the files carry GOVID * id_scale
+
+
+def _ori7(m: str = "m", seg: str = "c_mktsegment"):
+    return F.concat_ws("-", F.col(m).cast("string"), F.col(seg))
+
+
+def _segment_index(seg: str = "c_mktsegment"):
+    return (F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col(seg)) - 1).cast("bigint")
+
+
+def crime_cells(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Order counts by category per (nation, segment, year) cell, plus cell totals."""
+    o = order_facts(spark, base_dir)
+    pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
+    cnt = lambda cond: F.count(F.when(cond, F.lit(1))).cast("double")
+    aggs = [cnt(pr == v).alias(k) for k, v in VIOLENT_CATEGORIES.items()]
+    aggs += [cnt((pr if kind == "priority" else st) == v).alias(k)
+             for k, (kind, v) in PROPERTY_CATEGORIES.items()]
+    aggs += [F.sum("price").cast("double").alias("population"),
+             F.count(F.lit(1)).alias("n_orders")]
+    g = o.groupBy("m", "c_mktsegment", "year").agg(*aggs)
+    return g.withColumns({
+        "ORI7": _ori7(),
+        "STATE": F.col("m").cast("string"),
+        "actual_index_violent": sum((F.col(c) for c in VIOLENT_CATEGORIES), F.lit(0.0)),
+        "actual_index_property": sum((F.col(c) for c in PROPERTY_CATEGORIES), F.lit(0.0)),
+    })
+
+
+UCR_COLUMNS = ["ORI7", "STATE", "year", *VIOLENT_CATEGORIES, *PROPERTY_CATEGORIES,
+               "actual_index_property", "actual_index_violent", "population"]
+
+
+def ucr(cells: DataFrame) -> DataFrame:
+    """Agency x year crime counts and population."""
+    return cells.select(*UCR_COLUMNS)
+
+
+def leoka(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Agency x year officer counts: line quantities of the cell's orders."""
+    li = scan_table(spark, base_dir, "lineitem", ["l_orderkey", "l_quantity"])
+    o = order_facts(spark, base_dir).select("o_orderkey", "m", "c_mktsegment", "year")
+    g = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("m", "c_mktsegment", "year").agg(
+        F.sum(money("l_quantity")).cast("double").alias("total_employees_officers"))
+    return g.select(_ori7().alias("ORI7"), F.col("m").cast("string").alias("STATE"), "year",
+                    "total_employees_officers")
+
+
+def sample_base(cells: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
+    """The sample: units of the first nations, one row per year (so keys repeat), with the
+    old growth series Z and C2 filled up to the cutoff."""
+    old = F.col("year") <= p.cutoff
+    return cells.where(F.col("m") < p.sample_nations).select(
+        "ORI7", "year",
+        F.when(old, F.col("n_orders") / F.lit(1000.0)).alias("Z"),
+        F.when(old, F.col("actual_burg_total") / F.lit(1000.0)).alias("C2"),
+    )
+
+
+def crosswalk(spark: SparkSession, base_dir: str) -> DataFrame:
+    """ORI7 -> GOVID for every (nation, segment) unit of the customer table."""
+    c = scan_table(spark, base_dir, "customer", ["c_nationkey", "c_mktsegment"]).distinct()
+    return c.select(
+        _ori7("c_nationkey").alias("ORI7"),
+        (F.lit(100000000) + F.col("c_nationkey").cast("bigint") * 10 + _segment_index()).alias("GOVID"),
+    )
+
+
+def _cells_with_govid(spark, base_dir, p):
+    cells = crime_cells(spark, base_dir).where(F.col("year") > p.cutoff)
+    govid = F.lit(100000000) + F.col("m").cast("bigint") * 10 + _segment_index()
+    return cells.withColumn("GOVID", govid)
+
+
+def employment_rows(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
+    """Rows of the yearly employment files: 13 columns, police rows (type 62) and decoys."""
+    c = _cells_with_govid(spark, base_dir, p)
+    gid = (F.col("GOVID") * p.id_scale).cast("string")
+
+    def rows(type_emp: int, factor: float):
+        ft = F.col("n_orders").cast("double") * F.lit(factor)
+        return c.select(
+            gid.alias("govid"), F.lit(type_emp).alias("type_emp"), ft.alias("full_time"),
+            F.lit("R").alias("full_time_flag"), (ft * 1000).alias("full_time_payroll"),
+            F.lit("R").alias("full_time_payroll_flag"), F.col("actual_burg_total").alias("part_time"),
+            F.lit("R").alias("part_time_flag"), (F.col("actual_burg_total") * 500).alias("part_time_payroll"),
+            F.lit("R").alias("part_time_payroll_flag"), (F.col("actual_burg_total") * 20).alias("part_time_hrs"),
+            F.lit("R").alias("part_time_hrs_flag"), (ft + F.col("actual_burg_total") / 2).alias("full_time_equivalent"),
+            "year",
+        )
+    return rows(62, 1.0).unionByName(rows(5, 2.0))
+
+
+def population_lines(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
+    """Lines of the yearly fixed-width population files (136 characters each).
+
+    One unit (the last nation's last segment) carries an unparsable id.
+    """
+    c = _cells_with_govid(spark, base_dir, p)
+    bad = (F.col("m") == 24) & (F.col("c_mktsegment") == SEGMENTS[-1])
+    gid = F.when(bad, F.lit("UNKNOWN")).otherwise((F.col("GOVID") * p.id_scale).cast("string"))
+    pop = F.floor(F.col("population") / 1000).cast("bigint").cast("string")
+    line = F.concat(
+        F.rpad(gid, 14, " "),
+        F.rpad(F.concat(F.lit("CITY "), F.col("ORI7")), 64, " "),
+        F.lit("1"),
+        F.rpad(F.concat(F.lit("COUNTY "), F.col("STATE")), 30, " "),
+        F.lpad(F.col("m").cast("string"), 2, "0"),
+        F.lpad(_segment_index().cast("string"), 3, "0"),
+        F.lit(" " * 11),
+        F.lpad(pop, 9, " "),
+        F.substring(F.col("year").cast("string"), 3, 2),
+    )
+    return c.select(line.alias("value"), "year")

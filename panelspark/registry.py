@@ -233,3 +233,200 @@ def q_topic_beta(spark, d):
 def q_topic_top_terms(spark, d):
     """Top 5 terms per topic, ties kept, ordered by topic and beta."""
     return tp.top_topic_terms(_lda(spark, d), 5)
+
+
+# ------------------------------------------------------------------ crime / police panel
+
+from panelspark.functions.semantics import inf_to_zero  # noqa: E402
+from panelspark.operators import relational as rel  # noqa: E402
+from panelspark.operators.panel import PanelSpec, base_value  # noqa: E402
+from panelspark.plans import crime  # noqa: E402
+from panelspark.plans import fixtures as fx  # noqa: E402
+from panelspark.session import shared_path  # noqa: E402
+from panelspark.sources.files import write_yearly  # noqa: E402
+
+CP = fx.CrimeParams()
+FILE_YEAR0 = CP.cutoff + 1
+_FILES: dict = {}
+
+
+def _crime_files(spark, d):
+    """Yearly employment CSVs and fixed-width population files, written once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FILES:
+        emp = write_yearly(fx.employment_rows(spark, d, CP), shared_path(spark, "employment"), "csv")
+        pop = write_yearly(fx.population_lines(spark, d, CP), shared_path(spark, "population"), "text")
+        _FILES[key] = (emp, pop)
+    return _FILES[key]
+
+
+def _emp(spark, d):
+    return crime.asg_employment(spark, _crime_files(spark, d)[0], FILE_YEAR0, CP)
+
+
+def _pop(spark, d):
+    return crime.asg_population(spark, _crime_files(spark, d)[1], FILE_YEAR0, CP)
+
+
+def _ucr(spark, d):
+    return fx.ucr(fx.crime_cells(spark, d))
+
+
+def _base(spark, d):
+    return fx.sample_base(fx.crime_cells(spark, d), CP)
+
+
+def _linked(spark, d):
+    return crime.link(_ucr(spark, d), fx.leoka(spark, d), _base(spark, d), fx.crosswalk(spark, d),
+                      _emp(spark, d), _pop(spark, d))
+
+
+def _prepared(spark, d):
+    return crime.prepare(_linked(spark, d), _base(spark, d), CP)
+
+
+@register("scan_csv_multi")
+def q_scan_csv_multi(spark, d):
+    """Every headerless yearly CSV in one scan, columns named by position."""
+    return crime.employment_raw(spark, _crime_files(spark, d)[0], FILE_YEAR0)
+
+
+@register("scan_fixed_width")
+def q_scan_fixed_width(spark, d):
+    """Fixed-width yearly files, 8 fields by 1-based positions."""
+    return crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+
+
+@register("ingest_year_from_file")
+def q_ingest_year_from_file(spark, d):
+    """Year attached from the file's position; rows and totals per year."""
+    raw = crime.employment_raw(spark, _crime_files(spark, d)[0], FILE_YEAR0)
+    return raw.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.sum("full_time").alias("full_time"))
+
+
+@register("asg_employment")
+def q_asg_employment(spark, d):
+    """Police employment from the yearly files (filter, year, id scaling, union)."""
+    return _emp(spark, d)
+
+
+@register("asg_population")
+def q_asg_population(spark, d):
+    """Population from fixed-width files, cast, scaled, complete cases, log growth."""
+    return _pop(spark, d)
+
+
+@register("id_scale")
+def q_id_scale(spark, d):
+    """File ids divided by 100000; ids that do not divide exactly become NULL."""
+    raw = crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+    return raw.select("govid", "year", _scaled_id().alias("scaled_id"))
+
+
+def _scaled_id():
+    from panelspark.functions.semantics import id_scale, try_number
+    return id_scale(try_number("govid", "bigint"), CP.id_scale)
+
+
+@register("crime_panel_linked")
+def q_crime_panel_linked(spark, d):
+    """Crime + officers, sample, crosswalk, file-based employment and population."""
+    return _linked(spark, d)
+
+
+@register("cost_weighted_sum")
+def q_cost_weighted_sum(spark, d):
+    """Cost-weighted violent, property and total crime."""
+    return crime.cost_weighted(_ucr(spark, d)).select("ORI7", "year", "cw_violent", "cw_property", "cw_all")
+
+
+@register("series_splice")
+def q_series_splice(spark, d):
+    """Z = log growth of the file series after the cutoff, the old series before."""
+    return _prepared(spark, d).select("ORI7", "year", "Z")
+
+
+@register("group_id")
+def q_group_id(spark, d):
+    """Dense id of (STATE, year) in key order."""
+    return _prepared(spark, d).select("ORI7", "year", "STATE", "stateyear")
+
+
+@register("unit_id")
+def q_unit_id(spark, d):
+    """Dense id of ORI7 (factor codes)."""
+    return _prepared(spark, d).select("ORI7", "year", "cityid")
+
+
+@register("base_period_weight")
+def q_base_period_weight(spark, d):
+    """Population of the reference year carried to all rows of the unit."""
+    return _linked(spark, d).select("ORI7", "year",
+                                    base_value("population", crime.UNIT, CP.reference_year).alias("W"))
+
+
+@register("crime_panel_final")
+def q_crime_panel_final(spark, d):
+    """The regression-ready growth panel with its final names."""
+    return crime.growth_panel(_prepared(spark, d), CP)
+
+
+@register("sample_restrict")
+def q_sample_restrict(spark, d):
+    """Distinct sample units left-joined to the unit facts."""
+    ucr_all = _ucr(spark, d).join(fx.leoka(spark, d), ["ORI7", "STATE", "year"], "left")
+    return rel.semi_restrict(_base(spark, d), ucr_all, ["ORI7"])
+
+
+@register("distinct_keys")
+def q_distinct_keys(spark, d):
+    """A5: distinct sample units."""
+    return _base(spark, d).select("ORI7").distinct()
+
+
+@register("crosswalk_bridge")
+def q_crosswalk_bridge(spark, d):
+    """ORI7 -> GOVID -> yearly employment."""
+    units = _ucr(spark, d).select("ORI7", "year")
+    return rel.bridge(units, fx.crosswalk(spark, d), "ORI7", "GOVID", _emp(spark, d), ["GOVID", "year"])
+
+
+@register("join_left_3key")
+def q_join_left_3key(spark, d):
+    """Crime left-joined to officers on (ORI7, STATE, year)."""
+    return _ucr(spark, d).join(fx.leoka(spark, d), ["ORI7", "STATE", "year"], "left")
+
+
+@register("join_left_2key")
+def q_join_left_2key(spark, d):
+    """Crime left-joined to the sample's old series on (ORI7, year)."""
+    return _ucr(spark, d).select("ORI7", "year", "population").join(_base(spark, d), ["ORI7", "year"], "left")
+
+
+@register("join_left")
+def q_join_left(spark, d):
+    """Crime left-joined to the crosswalk on ORI7."""
+    return _ucr(spark, d).select("ORI7", "year").join(fx.crosswalk(spark, d), "ORI7", "left")
+
+
+@register("join_right")
+def q_join_right(spark, d):
+    """Sample right-joined to the crime cells (every cell kept)."""
+    return _base(spark, d).join(_ucr(spark, d).select("ORI7", "year", "population"), ["ORI7", "year"], "right")
+
+
+@register("join_suffix")
+def q_join_suffix(spark, d):
+    """Shared non-key column gets _x / _y suffixes."""
+    return rel.join_suffix(_ucr(spark, d).select("ORI7", "year", "STATE", "population"),
+                           fx.leoka(spark, d), ["ORI7", "year"], "left")
+
+
+@register("join_nullsafe")
+def q_join_nullsafe(spark, d):
+    """Unparsable ids (NULL keys) match each other with the NULL-safe join."""
+    raw = crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+    ids = raw.select(_scaled_id().alias("GOVID"), "year", F.col("pop_asg").alias("pop_x"))
+    other = ids.withColumnRenamed("pop_x", "pop_y")
+    return rel.join_na_match(ids, other, ["GOVID", "year"], "inner", na_match=True)
