@@ -4,12 +4,14 @@ Each string runs in DuckDB against views named after the test tables. Fragments
 shared through Python string composition; the SQL is written from the query's meaning,
 not generated from the Spark plan. Conventions shared with the Spark side: money is
 summed as decimal and cast to double after the sum; derived doubles are rounded to 6
-decimals (``+ 0.0`` turns DuckDB's -0.0 into 0.0 as Spark does).
+decimals half-up through a decimal (which also turns -0.0 into 0.0, as Spark does).
 """
 
 from __future__ import annotations
 
-R6 = "(round({x}, 6) + 0.0)"
+# Spark rounds a double half-up on its decimal form; DuckDB's double round differs on exact
+# binary ties (x/32), so the oracle rounds through a decimal. +-Inf and NaN pass through.
+R6 = "(CASE WHEN isfinite({x}) THEN CAST(round(CAST({x} AS DECIMAL(38,12)), 6) AS DOUBLE) ELSE {x} END)"
 
 
 def r6(expr: str, alias: str | None = None) -> str:
@@ -414,3 +416,128 @@ ORACLE["join_nullsafe"] = f"""WITH {CRIME}, ids AS (
   SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw)
 SELECT a.GOVID, a.year, a.pop_asg AS pop_x, b.pop_asg AS pop_y
 FROM ids a JOIN ids b ON a.GOVID IS NOT DISTINCT FROM b.GOVID AND a.year = b.year"""
+
+
+# ------------------------------------------------------------------ sparse customer grid
+
+GRID = ORD + """,
+cg AS (
+  SELECT o_custkey, year,
+    CAST(count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS DOUBLE) AS n_urgent,
+    CAST(count(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS DOUBLE) AS n_low,
+    count(*) AS n_orders, CAST(sum(price) AS DOUBLE) AS revenue
+  FROM ord GROUP BY o_custkey, year)"""
+
+
+def _cl(x):
+    return lag_t(x, "o_custkey")
+
+
+def _dl(x):
+    return f"ln({x}) - ln({_cl(x)})"
+
+
+GRID_DLOG = GRID + f""",
+dm AS (
+  SELECT o_custkey, year, {_dl('n_urgent')} AS n_urgent, {_dl('n_low')} AS n_low,
+         {_dl('n_orders')} AS n_orders, {_dl('revenue')} AS revenue FROM cg),
+cc AS (SELECT * FROM dm WHERE {" AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in ["n_urgent", "n_low", "n_orders", "revenue"])})"""
+_GV = ["n_urgent", "n_low", "n_orders", "revenue"]
+
+ORACLE["panel_validate"] = f"""WITH {GRID}
+SELECT o_custkey, count(*) AS n_periods, min(year) AS first_period, max(year) AS last_period,
+  CAST((max(year) - min(year)) / 1 + 1 - count(*) AS BIGINT) AS n_gaps,
+  CAST(sum(r) - count(*) AS BIGINT) AS n_duplicates
+FROM (SELECT o_custkey, year, count(*) AS r FROM cg GROUP BY o_custkey, year) GROUP BY o_custkey"""
+ORACLE["panel_lag_time"] = f"WITH {GRID} SELECT o_custkey, year, {r6('revenue')}, {r6(_cl('revenue'), 'lag_revenue')} FROM cg"
+ORACLE["panel_lag_row"] = (f"WITH {GRID} SELECT o_custkey, year, {r6('revenue')}, "
+                           f"{r6('lag(revenue) OVER (PARTITION BY o_custkey ORDER BY year)', 'lag_revenue')} FROM cg")
+_GR = {v: f"({v} - {_cl(v)}) / {_cl(v)}" for v in ("revenue", "n_urgent")}
+ORACLE["panel_growth"] = (f"WITH {GRID} SELECT o_custkey, year, {r6(_GR['revenue'], 'g_revenue')}, "
+                          f"{r6(_GR['n_urgent'], 'g_urgent')} FROM cg")
+ORACLE["panel_dlog"] = f"WITH {GRID} SELECT o_custkey, year, {r6(_dl('n_urgent'), 'dlog_urgent')} FROM cg"
+ORACLE["panel_dlog_many"] = f"WITH {GRID_DLOG} SELECT o_custkey, year, {', '.join(r6(v) for v in _GV)} FROM dm"
+ORACLE["panel_drop_first"] = f"WITH {GRID_DLOG} SELECT o_custkey, year, {', '.join(r6(v) for v in _GV)} FROM dm WHERE year <> 1995"
+ORACLE["complete_cases"] = f"WITH {GRID_DLOG} SELECT o_custkey, year, {', '.join(r6(v) for v in _GV)} FROM cc"
+ORACLE["inf_to_zero"] = (f"WITH {GRID_DLOG} SELECT o_custkey, year, "
+                         + ", ".join(r6(f"CASE WHEN isinf({v}) THEN 0.0 ELSE {v} END", v) for v in _GV) + " FROM cc")
+ORACLE["lagged_share"] = f"""WITH {GRID}, s AS (
+  SELECT o_custkey, year, {_cl('n_urgent')} / ({_cl('n_urgent')} + {_cl('n_low')}) AS s_urgent FROM cg)
+SELECT o_custkey, year, {r6('s_urgent')}, {r6('1.0 - s_urgent', 's_low')} FROM s"""
+ORACLE["index_to_base"] = f"""WITH {GRID}, b AS (
+  SELECT *, max(CASE WHEN year = 1995 THEN revenue END) OVER (PARTITION BY o_custkey) AS base_revenue,
+         max(CASE WHEN year = 1995 THEN 1 END) OVER (PARTITION BY o_custkey) AS has_base FROM cg)
+SELECT o_custkey, year, {r6('revenue')}, {r6('base_revenue')}, {r6('100.0 * revenue / base_revenue', 'revenue_index')}
+FROM b WHERE has_base = 1"""
+ORACLE["log_rebase"] = (f"WITH {GRID} SELECT o_custkey, year, "
+                        f"{r6('ln(revenue / first_value(revenue) OVER (PARTITION BY o_custkey ORDER BY year))', 'rebased')} FROM cg")
+
+# ------------------------------------------------------------------ trade panel extras
+
+_W = "WITH " + TRADE_WORLD
+ORACLE["absorption_growth"] = ("WITH " + TRADE_PANEL + " SELECT year, country, "
+                               + ", ".join(r6(c) for c in ["C", "I", "s_C", "s_I", "DA_growth"]) + " FROM panel")
+ORACLE["trade_weight"] = "WITH " + TRADE_PANEL + f" SELECT year, country, {r6('w')} FROM panel"
+ORACLE["weighted_sum_by_time"] = "WITH " + TRADE_PANEL + f" SELECT year, {r6('FA_components')} FROM fa0"
+ORACLE["chain_index"] = ("WITH " + TRADE_PANEL + f""" SELECT y.year,
+  {r6(f'CASE WHEN y.year = {BASE_YEAR} THEN 100.0 ELSE fa.FA END', 'FA')}
+FROM (SELECT DISTINCT year FROM world) y LEFT JOIN fa ON y.year = fa.year""")
+ORACLE["join_inner_base"] = _W + f""", wl AS (SELECT *, cons_final + gfcf_final AS DA_level FROM world)
+SELECT a.year, a.country, {r6('a.DA_level', 'DA_level')}, {r6('b.DA_level', 'baseDA')}
+FROM wl a JOIN (SELECT country, DA_level FROM wl WHERE year = {BASE_YEAR}) b ON a.country = b.country"""
+ORACLE["broadcast_reporter"] = _W + f" SELECT year, country, {r6('total_exports')} FROM world"
+ORACLE["key_override"] = _W + f""" SELECT year, country,
+  CASE WHEN country = '{REPORTER}' THEN 'REP' ELSE 'N' || lpad(CAST(nation_key AS VARCHAR), 2, '0') END AS code FROM world"""
+ORACLE["proj_select"] = _W + f" SELECT year, country, {r6('cons_final')}, {r6('gfcf_final')} FROM world"
+ORACLE["proj_drop"] = _W + " SELECT year, country, " + ", ".join(r6(c) for c in [
+    "cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal", "nom_exports_dom",
+    "nom_imports_dom", "real_exports", "real_imports"]) + " FROM world"
+ORACLE["proj_reorder"] = _W + f" SELECT {r6('total_exports')}, year, country, {r6('real_exports')}, {r6('real_imports')} FROM world"
+ORACLE["proj_rename"] = _W + f" SELECT year, country, {r6('cons_final', 'consumption')}, {r6('gfcf_final', 'investment')} FROM world"
+ORACLE["proj_derive"] = _W + f""" SELECT year, country, {r6('cons_final + gfcf_final', 'DA_level')},
+  {r6('nom_exports_dom / nom_imports_dom', 'TR')}, {r6('-real_imports', 'neg_imports')} FROM world"""
+ORACLE["filter_eq"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world WHERE year = {BASE_YEAR}"
+ORACLE["filter_ne"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world WHERE year <> {BASE_YEAR}"
+ORACLE["filter_not_null"] = _W + f" SELECT year, country, {r6('exports_by_reporter')} FROM world WHERE exports_by_reporter IS NOT NULL"
+ORACLE["ifelse_na"] = _W + """ SELECT year, country,
+  CASE WHEN exports_by_reporter IS NULL THEN NULL WHEN exports_by_reporter > 1000000.0 THEN 'large' ELSE 'small' END AS size FROM world"""
+ORACLE["sort_multi"] = _W + f" SELECT country, year, {r6('cons_final')} FROM world ORDER BY country, year"
+ORACLE["union_by_name"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world"
+ORACLE["unpivot_components"] = _W + " SELECT year, country, name, " + r6("value") + " FROM (" + " UNION ALL ".join(
+    f"SELECT year, country, '{c}' AS name, {c} AS value FROM world" for c in
+    ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal"]) + ")"
+ORACLE["format_numeric_cols"] = "WITH " + TRADE_REPORTER + """,
+periods AS (SELECT * FROM (VALUES (1995, 1997), (1998, 2000)) v(start_y, end_y)),
+pt AS (
+  SELECT CAST(p.start_y AS VARCHAR) || '-' || CAST(p.end_y AS VARCHAR) AS period,
+    (e.log_R - s.log_R) * 100 AS R, (e.log_TR - s.log_TR) * 100 AS TR, (e.log_FA - s.log_FA) * 100 AS FA,
+    -((e.log_DA - s.log_DA) * 100) AS DA, (e.log_FMI - s.log_FMI) * 100 AS FMI, -((e.log_DMI - s.log_DMI) * 100) AS DMI
+  FROM periods p LEFT JOIN reporter s ON s.year = p.start_y LEFT JOIN reporter e ON e.year = p.end_y)
+SELECT period, """ + ", ".join(f"format('{{:,.2f}}', {c}) AS {c}" for c in ["R", "TR", "FA", "DA", "FMI", "DMI"]) + " FROM pt"
+
+# ------------------------------------------------------------------ scalar functions
+
+ORACLE["scalar_string"] = """SELECT c_custkey, upper(lower(c_mktsegment)) AS segment,
+  CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment AS label FROM customer"""
+ORACLE["scalar_math"] = f"""SELECT l_orderkey, l_linenumber, {r6('ln(l_quantity)', 'ln_qty')},
+  {r6('l_extendedprice * (1 - l_discount)', 'net')}, {r6('-l_tax', 'neg_tax')},
+  {r6('l_extendedprice / l_quantity', 'unit_price')}, {r6('l_discount / l_tax', 'disc_per_tax')} FROM lineitem"""
+ORACLE["scalar_try_cast"] = """SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio_num,
+  TRY_CAST(o_orderpriority AS DOUBLE) AS prio_bad,
+  TRY_CAST(' ' || CAST(o_orderkey AS VARCHAR) || ' ' AS DOUBLE) AS padded FROM orders"""
+ORACLE["ordered_levels"] = """SELECT doc_id, lang,
+  CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'es' THEN 4 END AS lang_level FROM documents"""
+
+# ------------------------------------------------------------------ scans, sinks, nested series
+
+ORACLE["scan_table"] = f"SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} FROM orders"
+ORACLE["scan_csv_header"] = "SELECT c_custkey, c_name, upper(lower(c_mktsegment)) AS partner_iso FROM customer"
+ORACLE["sink_csv_roundtrip"] = ORACLE["trade_decomposition"]
+ORACLE["sink_parquet_roundtrip"] = ORACLE["crime_panel_final"]
+NESTED = """
+daily AS (
+  SELECT event_type AS freq, user_id AS ref_area, CAST(ts AS DATE) AS day,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM events GROUP BY event_type, user_id, CAST(ts AS DATE))"""
+ORACLE["nested_series_scan"] = f"WITH {NESTED} SELECT freq, ref_area, CAST(count(*) AS INTEGER) AS n_obs FROM daily WHERE freq = 'click' GROUP BY freq, ref_area"
+ORACLE["unnest_obs"] = f"WITH {NESTED} SELECT freq, ref_area, day, {r6('value')} FROM daily WHERE freq = 'click'"

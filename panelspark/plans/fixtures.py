@@ -251,3 +251,38 @@ def population_lines(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeP
         F.substring(F.col("year").cast("string"), 3, 2),
     )
     return c.select(line.alias("value"), "year")
+
+
+# ---------------------------------------------------------------- sparse customer panel
+
+
+def customer_panel(spark: SparkSession, base_dir: str) -> DataFrame:
+    """customer x year: urgent / low-priority order counts, orders and revenue.
+
+    Sparse on purpose: customers skip years (gaps) and many counts are zero, so lags
+    across gaps and logs of zero are exercised.
+    """
+    o = order_facts(spark, base_dir)
+    pr = F.col("o_orderpriority")
+    return o.groupBy("o_custkey", "year").agg(
+        F.count(F.when(pr == "1-URGENT", F.lit(1))).cast("double").alias("n_urgent"),
+        F.count(F.when(pr == "5-LOW", F.lit(1))).cast("double").alias("n_low"),
+        F.count(F.lit(1)).alias("n_orders"),
+        F.sum("price").cast("double").alias("revenue"),
+    )
+
+
+# ---------------------------------------------------------------- nested series
+
+
+def nested_series_rows(spark: SparkSession, base_dir: str) -> DataFrame:
+    """One record per (event type, user) series with its daily observations nested.
+
+    Values are summed per day first, so each series holds at most one observation per day
+    (bounded by the time axis, like an annual series), then nested in day order.
+    """
+    ev = scan_table(spark, base_dir, "events", ["user_id", "event_type", "ts", "value"])
+    daily = ev.groupBy("event_type", "user_id", F.to_date("ts").alias("day")).agg(
+        F.sum(money("value")).cast("double").alias("value"))
+    return daily.groupBy(F.col("event_type").alias("freq"), F.col("user_id").alias("ref_area")).agg(
+        F.array_sort(F.collect_list(F.struct("day", "value"))).alias("obs"))

@@ -430,3 +430,362 @@ def q_join_nullsafe(spark, d):
     ids = raw.select(_scaled_id().alias("GOVID"), "year", F.col("pop_asg").alias("pop_x"))
     other = ids.withColumnRenamed("pop_x", "pop_y")
     return rel.join_na_match(ids, other, ["GOVID", "year"], "inner", na_match=True)
+
+
+# ------------------------------------------------------------------ panel operators (sparse customer grid)
+
+from panelspark.functions import semantics as sem  # noqa: E402
+from panelspark.operators import panel as pn  # noqa: E402
+
+CUST = PanelSpec(["o_custkey"], "year")
+GRID_VARS = ["n_urgent", "n_low", "n_orders", "revenue"]
+
+
+def _grid(spark, d):
+    return fx.customer_panel(spark, d)
+
+
+@register("panel_validate")
+def q_panel_validate(spark, d):
+    """Per unit periods, span, gaps and duplicate (unit, time) rows."""
+    return pn.panel_summary(_grid(spark, d), CUST)
+
+
+@register("panel_lag_time")
+def q_panel_lag_time(spark, d):
+    """Lag by time value within the unit (a gap gives NULL)."""
+    return _grid(spark, d).select("o_custkey", "year", "revenue",
+                                  pn.lag_time("revenue", CUST).alias("lag_revenue"))
+
+
+@register("panel_lag_row")
+def q_panel_lag_row(spark, d):
+    """Lag by row within the unit."""
+    return _grid(spark, d).select("o_custkey", "year", "revenue",
+                                  pn.lag_row("revenue", CUST).alias("lag_revenue"))
+
+
+@register("panel_growth")
+def q_panel_growth(spark, d):
+    """Growth rate with IEEE division (0 -> x gives Inf, 0 -> 0 gives NaN)."""
+    return _grid(spark, d).select("o_custkey", "year",
+                                  pn.growth("revenue", CUST).alias("g_revenue"),
+                                  pn.growth("n_urgent", CUST).alias("g_urgent"))
+
+
+@register("panel_dlog")
+def q_panel_dlog(spark, d):
+    """Log difference (ln 0 = -Inf)."""
+    return _grid(spark, d).select("o_custkey", "year", pn.dlog("n_urgent", CUST).alias("dlog_urgent"))
+
+
+def _dlog_many(spark, d):
+    return pn.dlog_many(_grid(spark, d), CUST, GRID_VARS)
+
+
+@register("panel_dlog_many")
+def q_panel_dlog_many(spark, d):
+    """Log difference of several columns in one window node."""
+    return _dlog_many(spark, d)
+
+
+@register("panel_drop_first")
+def q_panel_drop_first(spark, d):
+    """Drop the first period after differencing."""
+    return pn.drop_first_period(_dlog_many(spark, d), CUST, first=1995)
+
+
+@register("complete_cases")
+def q_complete_cases(spark, d):
+    """drop rows with NULL or NaN anywhere; +-Inf survive."""
+    return _dlog_many(spark, d).na.drop()
+
+
+@register("inf_to_zero")
+def q_inf_to_zero(spark, d):
+    """Complete cases, then +-Inf (and any NA left) to 0."""
+    return sem.inf_to_zero(_dlog_many(spark, d).na.drop(), GRID_VARS)
+
+
+@register("lagged_share")
+def q_lagged_share(spark, d):
+    """s_a = L(a) / (L(a) + L(b)), s_b = 1 - s_a."""
+    s_a, s_b = pn.lagged_share("n_urgent", "n_low", CUST)
+    return _grid(spark, d).select("o_custkey", "year", s_a.alias("s_urgent"), s_b.alias("s_low"))
+
+
+@register("index_to_base")
+def q_index_to_base(spark, d):
+    """Revenue index, base year 1995 = 100; units without a base row dropped."""
+    out = pn.index_to_base(_grid(spark, d), "revenue", CUST, 1995, "revenue_index", base_col="base_revenue")
+    return out.select("o_custkey", "year", "revenue", "base_revenue", "revenue_index")
+
+
+@register("log_rebase")
+def q_log_rebase(spark, d):
+    """ln(x / x at the unit's first period)."""
+    return _grid(spark, d).select("o_custkey", "year", pn.log_rebase("revenue", CUST).alias("rebased"))
+
+
+# ------------------------------------------------------------------ trade panel extras
+
+def _world(spark, d):
+    return trade_world(spark, d, TP)
+
+
+@register("absorption_growth")
+def q_absorption_growth(spark, d):
+    """Share-weighted growth C s_C + I s_I."""
+    return _panel(spark, d).select("year", "country", "C", "I", "s_C", "s_I", "DA_growth")
+
+
+@register("trade_weight")
+def q_trade_weight(spark, d):
+    """Lagged trade weight L(exports to partner) / L(total exports)."""
+    return _panel(spark, d).select("year", "country", "w")
+
+
+@register("weighted_sum_by_time")
+def q_weighted_sum_by_time(spark, d):
+    """A3 / A4: sum of w * growth per year, missing terms dropped first."""
+    p = _panel(spark, d).withColumn("FA_components", F.col("w") * F.col("DA_growth"))
+    return rel.sum_dropping_missing(p, "FA_components", ["year"])
+
+
+@register("chain_index")
+def q_chain_index(spark, d):
+    """Chained index, base year set to 100."""
+    years = _world(spark, d).select("year").distinct()
+    fa = trade.foreign_demand(_panel(spark, d), TP)
+    out = years.join(fa, "year", "left")
+    return out.select("year", sem.ifelse_na(F.col("year") == TP.base_year, F.lit(100.0), F.col("FA")).alias("FA"))
+
+
+@register("join_inner_base")
+def q_join_inner_base(spark, d):
+    """Inner merge with the base-year row of each country."""
+    w = _world(spark, d).withColumn("DA_level", F.col("cons_final") + F.col("gfcf_final"))
+    base = w.where(F.col("year") == TP.base_year).select("country", F.col("DA_level").alias("baseDA"))
+    return w.join(base, "country", "inner").select("year", "country", "DA_level", "baseDA")
+
+
+@register("broadcast_reporter")
+def q_broadcast_reporter(spark, d):
+    """The reporter's yearly series attached to every country by year."""
+    return _world(spark, d).select("year", "country", "total_exports")
+
+
+@register("key_override")
+def q_key_override(spark, d):
+    """P10: a code derived per country, forced to a constant for one key."""
+    w = _world(spark, d).withColumn(
+        "code", F.concat(F.lit("N"), F.lpad(F.col("nation_key").cast("string"), 2, "0")))
+    return w.select("year", "country", rel.key_override("code", "country", {TP.reporter: "REP"}).alias("code"))
+
+
+WORLD_MEASURES = ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal"]
+
+
+@register("proj_select")
+def q_proj_select(spark, d):
+    """Select columns by name (list given as a vector)."""
+    cols = ["year", "country", "cons_final", "gfcf_final"]
+    return _world(spark, d).select(*cols)
+
+
+@register("proj_drop")
+def q_proj_drop(spark, d):
+    """Drop columns by name."""
+    return _world(spark, d).drop("exports_by_reporter", "total_exports", "nation_key")
+
+
+@register("proj_reorder")
+def q_proj_reorder(spark, d):
+    """Keep / reorder columns through an explicit name list."""
+    return _world(spark, d).select("total_exports", "year", "country", "real_exports", "real_imports")
+
+
+@register("proj_rename")
+def q_proj_rename(spark, d):
+    """Rename columns."""
+    return _world(spark, d).select("year", "country", "cons_final", "gfcf_final").withColumnsRenamed(
+        {"cons_final": "consumption", "gfcf_final": "investment"})
+
+
+@register("proj_derive")
+def q_proj_derive(spark, d):
+    """Derived columns by vector arithmetic."""
+    return _world(spark, d).select(
+        "year", "country",
+        (F.col("cons_final") + F.col("gfcf_final")).alias("DA_level"),
+        sem.rdiv("nom_exports_dom", "nom_imports_dom").alias("TR"),
+        (-F.col("real_imports")).alias("neg_imports"),
+    )
+
+
+@register("filter_eq")
+def q_filter_eq(spark, d):
+    """equality filter."""
+    return _world(spark, d).where(F.col("year") == TP.base_year).select("year", "country", "cons_final")
+
+
+@register("filter_ne")
+def q_filter_ne(spark, d):
+    """inequality filter."""
+    return _world(spark, d).where(F.col("year") != TP.base_year).select("year", "country", "cons_final")
+
+
+@register("filter_not_null")
+def q_filter_not_null(spark, d):
+    """Keep rows where a column is present."""
+    return _world(spark, d).where(F.col("exports_by_reporter").isNotNull()).select(
+        "year", "country", "exports_by_reporter")
+
+
+@register("ifelse_na")
+def q_ifelse_na(spark, d):
+    """If-else where a missing condition gives a missing result."""
+    cond = F.col("exports_by_reporter") > F.lit(1000000.0)
+    return _world(spark, d).select("year", "country", sem.ifelse_na(cond, F.lit("large"), F.lit("small")).alias("size"))
+
+
+@register("sort_multi")
+def q_sort_multi(spark, d):
+    """O1: multi-key ascending sort."""
+    return _world(spark, d).select("country", "year", "cons_final").orderBy("country", "year")
+
+
+@register("union_by_name")
+def q_union_by_name(spark, d):
+    """N-ary union by column name (parts with different column order)."""
+    w = _world(spark, d).select("year", "country", "cons_final")
+    parts = [w.where(F.col("year") == y) for y in (1995, 1996)]
+    parts.append(w.where(F.col("year") > 1996).select("cons_final", "country", "year"))
+    return rel.union_by_name(parts)
+
+
+@register("unpivot_components")
+def q_unpivot_components(spark, d):
+    """Wide to long."""
+    return _world(spark, d).unpivot(["year", "country"], WORLD_MEASURES, "name", "value")
+
+
+@register("format_numeric_cols")
+def q_format_numeric_cols(spark, d):
+    """Every numeric column rendered with 2 decimals."""
+    periods = trade.decomp_periods(_reporter(spark, d), trade.period_table(spark, TP.periods))
+    return sem.format_numeric(periods, 2)
+
+
+# ------------------------------------------------------------------ scalar functions
+
+@register("scalar_string")
+def q_scalar_string(spark, d):
+    """Upper-case, concatenation with a separator."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return c.select("c_custkey", F.upper(F.lower("c_mktsegment")).alias("segment"),
+                    F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("c_mktsegment")).alias("label"))
+
+
+@register("scalar_math")
+def q_scalar_math(spark, d):
+    """IEEE log and division, arithmetic, unary minus."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        sem.rln("l_quantity").alias("ln_qty"),
+        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("net"),
+        (-F.col("l_tax")).alias("neg_tax"),
+        sem.rdiv("l_extendedprice", "l_quantity").alias("unit_price"),
+        sem.rdiv("l_discount", "l_tax").alias("disc_per_tax"),
+    )
+
+
+@register("scalar_try_cast")
+def q_scalar_try_cast(spark, d):
+    """Numeric coercion, failures give NULL, blanks are trimmed."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    return o.select(
+        "o_orderkey",
+        sem.try_number(F.substring("o_orderpriority", 1, 1)).alias("prio_num"),
+        sem.try_number("o_orderpriority").alias("prio_bad"),
+        sem.try_number(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" "))).alias("padded"),
+    )
+
+
+LANG_LEVELS = ["en", "fr", "de", "es"]
+
+
+@register("ordered_levels")
+def q_ordered_levels(spark, d):
+    """Explicit level order; a value outside the levels gives NULL."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    levels = F.create_map(*[x for i, lv in enumerate(LANG_LEVELS, 1) for x in (F.lit(lv), F.lit(i))])
+    return docs.select("doc_id", "lang", F.try_element_at(levels, F.col("lang")).alias("lang_level"))
+
+
+# ------------------------------------------------------------------ scans, sinks, nested series
+
+from panelspark.sources.files import read_csv_header, write_csv, write_parquet  # noqa: E402
+from panelspark.sources.nested import nested_series_scan, unnest_obs  # noqa: E402
+
+
+@register("scan_table")
+def q_scan_table(spark, d):
+    """Named table scan with a narrow read schema."""
+    from panelspark.sources.tables import scan_table
+    return scan_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+
+
+CODES_SCHEMA = "c_custkey bigint, c_name string, partner_iso string"
+
+
+@register("scan_csv_header")
+def q_scan_csv_header(spark, d):
+    """CSV with a header, read back with a declared schema; codes upper-cased."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(
+        "c_custkey", "c_name", F.lower("c_mktsegment").alias("partner_iso"))
+    path = write_csv(c, shared_path(spark, "codes"))
+    codes = read_csv_header(spark, path, CODES_SCHEMA)
+    return codes.withColumn("partner_iso", F.upper("partner_iso"))
+
+
+DECOMP_SCHEMA = "year int, country string, " + ", ".join(f"{c} double" for c in DECOMP_COLS)
+
+
+@register("sink_csv_roundtrip")
+def q_sink_csv_roundtrip(spark, d):
+    """K1 / K3: result written as CSV (no row numbers) and read back."""
+    rep = _reporter(spark, d).select("year", "country", *DECOMP_COLS)
+    path = write_csv(rep, shared_path(spark, "reporter_csv"))
+    return read_csv_header(spark, path, DECOMP_SCHEMA)
+
+
+@register("sink_parquet_roundtrip")
+def q_sink_parquet_roundtrip(spark, d):
+    """K2: result written as Parquet and read back."""
+    path = write_parquet(crime.growth_panel(_prepared(spark, d), CP), shared_path(spark, "crime_final"))
+    return spark.read.parquet(path)
+
+
+_NESTED: dict = {}
+
+
+def _nested_path(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _NESTED:
+        _NESTED[key] = write_parquet(fx.nested_series_rows(spark, d), shared_path(spark, "series"))
+    return _NESTED[key]
+
+
+@register("nested_series_scan")
+def q_nested_series_scan(spark, d):
+    """Nested series filtered by frequency at the scan."""
+    s = nested_series_scan(spark, _nested_path(spark, d), freq="click")
+    return s.select("freq", "ref_area", F.size("obs").alias("n_obs"))
+
+
+@register("unnest_obs")
+def q_unnest_obs(spark, d):
+    """U4: one row per nested observation."""
+    return unnest_obs(nested_series_scan(spark, _nested_path(spark, d), freq="click"))
