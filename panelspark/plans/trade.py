@@ -92,9 +92,18 @@ def decompose(panel: DataFrame, fa: DataFrame, p: TradeParams = TradeParams()) -
     return rep.withColumns(logs)
 
 
+def country_panel(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
+    """The country panel with DA growth, weights and the DA index, materialised once.
+
+    The panel has one row per (country, year), so it is small whatever the size of the
+    fact tables; checkpointing it (to the shared checkpoint folder) lets the partner
+    aggregate and the reporter rows read it without a second pass over the facts.
+    """
+    return absorption_index(trade_world(spark, base_dir, p), p).checkpoint(eager=True)
+
+
 def trade_decomposition(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
-    world = trade_world(spark, base_dir, p)
-    panel = absorption_index(world, p)
+    panel = country_panel(spark, base_dir, p)
     return decompose(panel, foreign_demand(panel, p), p)
 
 

@@ -34,7 +34,7 @@ def register(name: str):
 # ------------------------------------------------------------------ trade decomposition
 
 def _panel(spark, d):
-    return trade.absorption_index(trade_world(spark, d, TP), TP)
+    return trade.country_panel(spark, d, TP)
 
 
 def _reporter(spark, d):

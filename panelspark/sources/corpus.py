@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.sources.tables import scan_table
+from panelspark.sources.tables import scan_table, spread
 
 
 def corpus_scan(spark: SparkSession, base_dir: str, group_col: str = "lang",
@@ -19,4 +19,4 @@ def corpus_scan(spark: SparkSession, base_dir: str, group_col: str = "lang",
     docs = scan_table(spark, base_dir, "documents", ["doc_id", "text", group_col, *meta])
     if groups is not None:
         docs = docs.where(F.col(group_col).isin(list(groups)))
-    return docs.select("doc_id", F.col(group_col).alias("author"), "text", *meta)
+    return spread(docs.select("doc_id", F.col(group_col).alias("author"), "text", *meta))
