@@ -13,6 +13,6 @@ plans/      the end-to-end analyses (trade decomposition, crime panel, corpus st
 streaming/  intentionally empty: the analyses are batch jobs over finite inputs.
 """
 
-from panelspark.session import local_session, shared_path
+from panelspark.session import local_session, materialize, shared_path
 
-__all__ = ["local_session", "shared_path"]
+__all__ = ["local_session", "materialize", "shared_path"]

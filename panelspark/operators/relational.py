@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import col, is_missing
+from panelspark.session import materialize
 
 
 # ---------------------------------------------------------------- joins
@@ -86,15 +87,15 @@ def sequence_number(df: DataFrame, order: Sequence[Column | str], out: str,
     """1-based row number by ``order`` within ``group`` without a single-task window.
 
     The rows are range-partitioned and sorted on (group, order), numbered locally with
-    ``monotonically_increasing_id`` (partition id in the upper bits), materialised with
-    ``checkpoint()`` so the numbering is stable if a task is recomputed, and shifted by
-    the row counts of the earlier partitions of the same group. The offset table has one
-    row per (group, partition), so a large group is spread over many tasks.
+    ``monotonically_increasing_id`` (partition id in the upper bits), written once to the
+    shared checkpoint folder so the numbering is stable if a task is recomputed, and
+    shifted by the row counts of the earlier partitions of the same group. The offset
+    table has one row per (group, partition), so a large group is spread over many tasks.
     """
     group = list(group)
     keys = [F.col(g) for g in group] + [col(o) for o in order]
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = s.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    s = materialize(s.withColumn("_mid", F.monotonically_increasing_id()), "seq")
     s = s.withColumn("_pid", F.shiftright("_mid", 33))
     parts = s.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

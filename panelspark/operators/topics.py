@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.relational import sequence_number, top_k_ties
+from panelspark.session import materialize
 
 
 def vocabulary(counts: DataFrame, term: str = "word") -> DataFrame:
@@ -53,8 +54,12 @@ def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
 
 
 def fit_lda(vectors: DataFrame, k: int = 4, seed: int = 1234, max_iter: int = 10) -> LDAModel:
-    """Online variational LDA; every document takes part in every iteration."""
-    data = vectors.checkpoint(eager=True)
+    """Online variational LDA; every document takes part in every iteration.
+
+    The document vectors are written once to the shared checkpoint folder, so each
+    iteration re-reads them instead of re-running tokenisation and counting.
+    """
+    data = materialize(vectors, "dtm")
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0,
               featuresCol="features")
     return lda.fit(data)

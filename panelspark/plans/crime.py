@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from panelspark.functions.semantics import id_scale, inf_to_zero, try_number, weighted_sum
 from panelspark.operators.panel import PanelSpec, base_value, dlog, dlog_many, series_splice
 from panelspark.operators.relational import dense_id, semi_restrict
+from panelspark.plans import fixtures as fx
 from panelspark.plans.fixtures import CrimeParams
+from panelspark.session import materialize
 from panelspark.sources.files import read_csv_multi, read_fixed_width, year_by_file_order
 
 # Cost per offence used for the cost-weighted sums.
@@ -97,6 +99,57 @@ def asg_population(spark: SparkSession, path: str, first_year: int,
     return pop.withColumn("g_pop", dlog("pop_asg", GOV_UNIT))
 
 
+class CrimeInputs:
+    """The inputs of the crime plan, derived from the test tables.
+
+    The (unit, year) cell table is written once and serves both the crime counts and the
+    sample; the file-based series are read from the yearly files at ``emp_path`` /
+    ``pop_path``. Members are built on first use.
+    """
+
+    def __init__(self, spark: SparkSession, base_dir: str, emp_path: str | None = None,
+                 pop_path: str | None = None, p: CrimeParams = CrimeParams()):
+        self.spark, self.base_dir, self.p = spark, base_dir, p
+        self.emp_path, self.pop_path = emp_path, pop_path
+        self._cells = None
+
+    @property
+    def cells(self) -> DataFrame:
+        if self._cells is None:
+            self._cells = materialize(fx.crime_cells(self.spark, self.base_dir), "crime_cells")
+        return self._cells
+
+    @property
+    def ucr(self) -> DataFrame:
+        return fx.ucr(self.cells)
+
+    @property
+    def base(self) -> DataFrame:
+        return fx.sample_base(self.cells, self.p)
+
+    @property
+    def leoka(self) -> DataFrame:
+        return fx.leoka(self.spark, self.base_dir)
+
+    @property
+    def crosswalk(self) -> DataFrame:
+        return fx.crosswalk(self.spark, self.base_dir)
+
+    @property
+    def employment(self) -> DataFrame:
+        return asg_employment(self.spark, self.emp_path, self.p.cutoff + 1, self.p)
+
+    @property
+    def population(self) -> DataFrame:
+        return asg_population(self.spark, self.pop_path, self.p.cutoff + 1, self.p)
+
+    def linked(self) -> DataFrame:
+        return link(self.ucr, self.leoka, self.base, self.crosswalk, self.employment, self.population)
+
+    def prepared(self) -> DataFrame:
+        return prepare(self.linked(), self.base, self.p)
+
+
 def link(ucr: DataFrame, leoka: DataFrame, base: DataFrame, crosswalk: DataFrame,
          employment: DataFrame, population: DataFrame) -> DataFrame:
     """Crime and officers, restricted to the sample units, bridged to the government id

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.session import materialize
 from panelspark.sources.tables import scan_table
 
 
@@ -104,7 +105,9 @@ def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams
         dbl(F.sum(F.when(imp & (F.col("x") == p.reporter_key) & (F.col("m") != p.reporter_key),
                          F.col("v")))).alias("exports_by_reporter"),
     )
-    world = gdp.join(trade, ["m", "year"], "left")
+    # one row per (country, year): written once, so the reporter's series below is a filter
+    # of the written table rather than a second pass over the flows
+    world = materialize(gdp.join(trade, ["m", "year"], "left"), "trade_cells")
     # the reporter's own exports, one row per year, attached to every country of that year
     reporter_exports = F.broadcast(
         world.where(F.col("m") == p.reporter_key)

@@ -22,6 +22,7 @@ from panelspark.operators.panel import (
     log_rebase, null_at,
 )
 from panelspark.plans.fixtures import TradeParams, trade_world
+from panelspark.session import materialize
 
 COUNTRY_PANEL = PanelSpec(["country"], "year")
 SERIES = PanelSpec([], "year")
@@ -96,10 +97,10 @@ def country_panel(spark: SparkSession, base_dir: str, p: TradeParams = TradePara
     """The country panel with DA growth, weights and the DA index, materialised once.
 
     The panel has one row per (country, year), so it is small whatever the size of the
-    fact tables; checkpointing it (to the shared checkpoint folder) lets the partner
+    fact tables; writing it once to the shared checkpoint folder lets the partner
     aggregate and the reporter rows read it without a second pass over the facts.
     """
-    return absorption_index(trade_world(spark, base_dir, p), p).checkpoint(eager=True)
+    return materialize(absorption_index(trade_world(spark, base_dir, p), p), "country_panel")
 
 
 def trade_decomposition(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:

@@ -86,26 +86,25 @@ DECOMP_COLS = ["FA_components", "FA", "DA_index", "TR", "RA", "FMI", "DMI", "RMI
 
 from panelspark.operators import text as tx  # noqa: E402
 from panelspark.operators import topics as tp  # noqa: E402
-from panelspark.sources.corpus import corpus_scan  # noqa: E402
-from panelspark.sources.stopwords import builtin_stopwords, custom_stopwords  # noqa: E402
+from panelspark.plans import corpus as cp  # noqa: E402
 
-AUTHORS = ["en", "fr", "de", "es"]
+CORPUS = cp.CorpusParams()
 
 
 def _corpus(spark, d):
-    return corpus_scan(spark, d, "lang", AUTHORS)
+    return cp.corpus(spark, d, CORPUS)
 
 
 def _counts(spark, d):
-    return tx.word_counts(tx.tokenize(_corpus(spark, d)))
+    return cp.counts(spark, d, CORPUS)
 
 
 def _tfidf(spark, d):
-    return tx.tf_idf(_counts(spark, d))
+    return cp.tfidf(spark, d, CORPUS)
 
 
 def _cleaned(spark, d):
-    return tx.remove_words(_tfidf(spark, d), custom_stopwords(spark))
+    return cp.cleaned(spark, d, CORPUS)
 
 
 @register("corpus_scan")
@@ -124,7 +123,7 @@ def q_tokenize_words(spark, d):
 @register("word_counts")
 def q_word_counts(spark, d):
     """count(author, word, sort=TRUE)."""
-    return tx.word_counts(tx.tokenize(_corpus(spark, d)), sort=True)
+    return tx.word_counts(tx.tokenize(_corpus(spark, d)), sort=True)  # single use: no materialisation
 
 
 @register("word_totals")
@@ -160,7 +159,7 @@ def q_stopword_antijoin_custom(spark, d):
 @register("tfidf_top_terms")
 def q_tfidf_top_terms(spark, d):
     """Top 15 words per document by tf-idf, ties kept."""
-    return tx.top_terms(_cleaned(spark, d), 15).select("author", "word", "n", "tf_idf")
+    return tx.top_terms(_cleaned(spark, d), CORPUS.top_terms).select("author", "word", "n", "tf_idf")
 
 
 @register("topk_ties")
@@ -172,13 +171,13 @@ def q_topk_ties(spark, d):
 @register("label_reorder")
 def q_label_reorder(spark, d):
     """Words of the top-terms table ordered by mean tf-idf; facet labels."""
-    top = tx.top_terms(_cleaned(spark, d), 15).select("author", "word", "tf_idf")
+    top = tx.top_terms(_cleaned(spark, d), CORPUS.top_terms).select("author", "word", "tf_idf")
     out = tx.reorder_levels(top, "word", "tf_idf", "word_level")
     return out.withColumn("word_in_author", tx.reorder_within("word", "author"))
 
 
 def _kept_tokens(spark, d):
-    return tx.remove_words(tx.tokenize(_corpus(spark, d)), builtin_stopwords(spark, "english"))
+    return cp.kept_tokens(spark, d, CORPUS)
 
 
 @register("stopword_antijoin_builtin")
@@ -195,7 +194,7 @@ def q_topic_word_counts(spark, d):
 
 
 def _dtm(spark, d):
-    counts = tx.word_counts(_kept_tokens(spark, d))
+    counts = cp.topic_counts(spark, d, CORPUS)
     vocab = tp.vocabulary(counts)
     return counts, vocab, tp.dtm_entries(counts, vocab)
 
@@ -209,9 +208,8 @@ def q_dtm_stats(spark, d):
 
 def _lda(spark, d):
     counts, vocab, entries = _dtm(spark, d)
-    vocab = vocab.checkpoint(eager=True)
     size = vocab.count()
-    model = tp.fit_lda(tp.dtm_vectors(entries, size), k=4, seed=1234)
+    model = tp.fit_lda(tp.dtm_vectors(entries, size), k=CORPUS.topics, seed=CORPUS.seed)
     return tp.topic_beta(model, vocab, size)
 
 
@@ -232,7 +230,7 @@ def q_topic_beta(spark, d):
 @register("topic_top_terms")
 def q_topic_top_terms(spark, d):
     """Top 5 terms per topic, ties kept, ordered by topic and beta."""
-    return tp.top_topic_terms(_lda(spark, d), 5)
+    return tp.top_topic_terms(_lda(spark, d), CORPUS.topic_terms)
 
 
 # ------------------------------------------------------------------ crime / police panel
@@ -268,21 +266,17 @@ def _pop(spark, d):
     return crime.asg_population(spark, _crime_files(spark, d)[1], FILE_YEAR0, CP)
 
 
-def _ucr(spark, d):
-    return fx.ucr(fx.crime_cells(spark, d))
-
-
-def _base(spark, d):
-    return fx.sample_base(fx.crime_cells(spark, d), CP)
+def _inputs(spark, d, files: bool = True):
+    emp, pop = _crime_files(spark, d) if files else (None, None)
+    return crime.CrimeInputs(spark, d, emp, pop, CP)
 
 
 def _linked(spark, d):
-    return crime.link(_ucr(spark, d), fx.leoka(spark, d), _base(spark, d), fx.crosswalk(spark, d),
-                      _emp(spark, d), _pop(spark, d))
+    return _inputs(spark, d).linked()
 
 
 def _prepared(spark, d):
-    return crime.prepare(_linked(spark, d), _base(spark, d), CP)
+    return _inputs(spark, d).prepared()
 
 
 @register("scan_csv_multi")
@@ -338,7 +332,7 @@ def q_crime_panel_linked(spark, d):
 @register("cost_weighted_sum")
 def q_cost_weighted_sum(spark, d):
     """Cost-weighted violent, property and total crime."""
-    return crime.cost_weighted(_ucr(spark, d)).select("ORI7", "year", "cw_violent", "cw_property", "cw_all")
+    return crime.cost_weighted(_inputs(spark, d, False).ucr).select("ORI7", "year", "cw_violent", "cw_property", "cw_all")
 
 
 @register("series_splice")
@@ -375,52 +369,59 @@ def q_crime_panel_final(spark, d):
 @register("sample_restrict")
 def q_sample_restrict(spark, d):
     """Distinct sample units left-joined to the unit facts."""
-    ucr_all = _ucr(spark, d).join(fx.leoka(spark, d), ["ORI7", "STATE", "year"], "left")
-    return rel.semi_restrict(_base(spark, d), ucr_all, ["ORI7"])
+    inp = _inputs(spark, d, False)
+    ucr_all = inp.ucr.join(inp.leoka, ["ORI7", "STATE", "year"], "left")
+    return rel.semi_restrict(inp.base, ucr_all, ["ORI7"])
 
 
 @register("distinct_keys")
 def q_distinct_keys(spark, d):
     """A5: distinct sample units."""
-    return _base(spark, d).select("ORI7").distinct()
+    return _inputs(spark, d, False).base.select("ORI7").distinct()
 
 
 @register("crosswalk_bridge")
 def q_crosswalk_bridge(spark, d):
     """ORI7 -> GOVID -> yearly employment."""
-    units = _ucr(spark, d).select("ORI7", "year")
-    return rel.bridge(units, fx.crosswalk(spark, d), "ORI7", "GOVID", _emp(spark, d), ["GOVID", "year"])
+    inp = _inputs(spark, d)
+    units = inp.ucr.select("ORI7", "year")
+    return rel.bridge(units, inp.crosswalk, "ORI7", "GOVID", inp.employment, ["GOVID", "year"])
 
 
 @register("join_left_3key")
 def q_join_left_3key(spark, d):
     """Crime left-joined to officers on (ORI7, STATE, year)."""
-    return _ucr(spark, d).join(fx.leoka(spark, d), ["ORI7", "STATE", "year"], "left")
+    inp = _inputs(spark, d, False)
+    return inp.ucr.join(inp.leoka, ["ORI7", "STATE", "year"], "left")
 
 
 @register("join_left_2key")
 def q_join_left_2key(spark, d):
     """Crime left-joined to the sample's old series on (ORI7, year)."""
-    return _ucr(spark, d).select("ORI7", "year", "population").join(_base(spark, d), ["ORI7", "year"], "left")
+    inp = _inputs(spark, d, False)
+    return inp.ucr.select("ORI7", "year", "population").join(inp.base, ["ORI7", "year"], "left")
 
 
 @register("join_left")
 def q_join_left(spark, d):
     """Crime left-joined to the crosswalk on ORI7."""
-    return _ucr(spark, d).select("ORI7", "year").join(fx.crosswalk(spark, d), "ORI7", "left")
+    inp = _inputs(spark, d, False)
+    return inp.ucr.select("ORI7", "year").join(inp.crosswalk, "ORI7", "left")
 
 
 @register("join_right")
 def q_join_right(spark, d):
     """Sample right-joined to the crime cells (every cell kept)."""
-    return _base(spark, d).join(_ucr(spark, d).select("ORI7", "year", "population"), ["ORI7", "year"], "right")
+    inp = _inputs(spark, d, False)
+    return inp.base.join(inp.ucr.select("ORI7", "year", "population"), ["ORI7", "year"], "right")
 
 
 @register("join_suffix")
 def q_join_suffix(spark, d):
     """Shared non-key column gets _x / _y suffixes."""
-    return rel.join_suffix(_ucr(spark, d).select("ORI7", "year", "STATE", "population"),
-                           fx.leoka(spark, d), ["ORI7", "year"], "left")
+    inp = _inputs(spark, d, False)
+    return rel.join_suffix(inp.ucr.select("ORI7", "year", "STATE", "population"), inp.leoka,
+                           ["ORI7", "year"], "left")
 
 
 @register("join_nullsafe")
