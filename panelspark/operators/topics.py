@@ -78,3 +78,40 @@ def topic_beta(model: LDAModel, vocab: DataFrame, vocab_size: int) -> DataFrame:
 def top_topic_terms(beta: DataFrame, k: int = 5) -> DataFrame:
     """Top k terms per topic by beta (ties kept), ordered by topic then beta descending."""
     return top_k_ties(beta, ["topic"], F.desc("beta"), k).orderBy("topic", F.desc("beta"), "term")
+
+
+def top_topic_terms_from_model(model: LDAModel, vocab: DataFrame, k: int = 5) -> DataFrame:
+    """Top k terms per topic with ties, without expanding the whole topic-term table.
+
+    ``describeTopics(m)`` returns each topic's m heaviest terms. m starts at k and doubles
+    until, in every topic, the m-th weight is strictly below the k-th one (or the topic
+    has fewer than m terms), so every term tied with the k-th is inside the fetched set;
+    the ranking below is then exact. Only one scalar pair per topic reaches the driver.
+    """
+    m = k
+    while True:
+        t = model.describeTopics(maxTermsPerTopic=m)
+        checks = t.select(
+            F.size("termWeights").alias("n"),
+            F.element_at("termWeights", k).alias("kth"),
+            F.element_at("termWeights", -1).alias("last"),
+        ).collect()
+        if all(r["n"] < m or r["last"] < r["kth"] for r in checks):
+            break
+        m *= 2
+    pairs = t.select(
+        (F.col("topic") + 1).cast("int").alias("topic"),
+        F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p"),
+    ).select("topic", F.col("p.termIndices").alias("term_index"), F.col("p.termWeights").alias("beta"))
+    beta = pairs.join(vocab.withColumnRenamed("word", "term"), "term_index").select("topic", "term", "beta")
+    return top_topic_terms(beta, k)
+
+
+def topic_summary(model: LDAModel, vocab_size: int) -> DataFrame:
+    """Per topic: number of terms and total weight, from the weight arrays (no expansion)."""
+    topics = model.describeTopics(maxTermsPerTopic=vocab_size)
+    return topics.select(
+        (F.col("topic") + 1).cast("int").alias("topic"),
+        F.size("termWeights").cast("bigint").alias("n_terms"),
+        F.aggregate("termWeights", F.lit(0.0), lambda acc, w: acc + w).alias("beta_sum"),
+    )

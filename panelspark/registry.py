@@ -206,19 +206,23 @@ def q_dtm_stats(spark, d):
     return tp.dtm_stats(entries)
 
 
-def _lda(spark, d):
+def _lda_model(spark, d):
     counts, vocab, entries = _dtm(spark, d)
     size = vocab.count()
     model = tp.fit_lda(tp.dtm_vectors(entries, size), k=CORPUS.topics, seed=CORPUS.seed)
+    return model, vocab, size
+
+
+def _lda(spark, d):
+    model, vocab, size = _lda_model(spark, d)
     return tp.topic_beta(model, vocab, size)
 
 
 @register("topic_model")
 def q_topic_model(spark, d):
     """LDA with k = 4; per topic the number of terms and the total of beta."""
-    beta = _lda(spark, d)
-    return beta.groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"),
-                                     F.sum("beta").alias("beta_sum"))
+    model, _, size = _lda_model(spark, d)
+    return tp.topic_summary(model, size)
 
 
 @register("topic_beta")
@@ -230,7 +234,8 @@ def q_topic_beta(spark, d):
 @register("topic_top_terms")
 def q_topic_top_terms(spark, d):
     """Top 5 terms per topic, ties kept, ordered by topic and beta."""
-    return tp.top_topic_terms(_lda(spark, d), CORPUS.topic_terms)
+    model, vocab, _ = _lda_model(spark, d)
+    return tp.top_topic_terms_from_model(model, vocab, CORPUS.topic_terms)
 
 
 # ------------------------------------------------------------------ crime / police panel

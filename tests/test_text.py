@@ -60,3 +60,18 @@ def test_token_stats(spark):
     df = spark.createDataFrame([(1, "A", "ab ab c")], "doc_id int, author string, text string")
     r = tx.token_stats(df).first()
     assert (r["n_tokens"], r["n_types"], r["token_chars"]) == (3, 2, 5)
+
+
+def test_topic_top_terms_from_model_matches_full_table(spark):
+    from panelspark.operators import topics as tp
+    rows = [("A", "w%d" % i, float(1 + i % 3)) for i in range(30)] + [("B", "v%d" % i, 2.0) for i in range(20)]
+    counts = spark.createDataFrame(rows, "author string, word string, n double")
+    vocab = tp.vocabulary(counts)
+    size = vocab.count()
+    model = tp.fit_lda(tp.dtm_vectors(tp.dtm_entries(counts, vocab), size), k=2, seed=7, max_iter=3)
+    full = tp.top_topic_terms(tp.topic_beta(model, vocab, size), 3)
+    fast = tp.top_topic_terms_from_model(model, vocab, 3)
+    key = lambda df: sorted((r["topic"], r["term"], round(r["beta"], 12)) for r in df.collect())
+    assert key(full) == key(fast)
+    summary = tp.topic_summary(model, size).collect()
+    assert all(r["n_terms"] == size and abs(r["beta_sum"] - 1.0) < 1e-9 for r in summary)
