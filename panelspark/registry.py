@@ -11,9 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import round_doubles
-from panelspark.plans import trade
+from panelspark.functions import semantics as sem
+from panelspark.functions.semantics import id_scale, round_doubles, try_number
+from panelspark.operators import panel as pn
+from panelspark.operators import relational as rel
+from panelspark.operators import text as tx
+from panelspark.operators import topics as tp
+from panelspark.operators.panel import PanelSpec, base_value
+from panelspark.plans import corpus as cp
+from panelspark.plans import crime, trade
+from panelspark.plans import fixtures as fx
 from panelspark.plans.fixtures import TradeParams, trade_world
+from panelspark.session import shared_path
+from panelspark.sources.files import read_csv_header, write_csv, write_parquet, write_yearly
+from panelspark.sources.nested import nested_series_scan, unnest_obs
+from panelspark.sources.tables import scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,9 +96,6 @@ DECOMP_COLS = ["FA_components", "FA", "DA_index", "TR", "RA", "FMI", "DMI", "RMI
 
 # ------------------------------------------------------------------ corpus statistics
 
-from panelspark.operators import text as tx  # noqa: E402
-from panelspark.operators import topics as tp  # noqa: E402
-from panelspark.plans import corpus as cp  # noqa: E402
 
 CORPUS = cp.CorpusParams()
 
@@ -240,13 +249,6 @@ def q_topic_top_terms(spark, d):
 
 # ------------------------------------------------------------------ crime / police panel
 
-from panelspark.functions.semantics import inf_to_zero  # noqa: E402
-from panelspark.operators import relational as rel  # noqa: E402
-from panelspark.operators.panel import PanelSpec, base_value  # noqa: E402
-from panelspark.plans import crime  # noqa: E402
-from panelspark.plans import fixtures as fx  # noqa: E402
-from panelspark.session import shared_path  # noqa: E402
-from panelspark.sources.files import write_yearly  # noqa: E402
 
 CP = fx.CrimeParams()
 FILE_YEAR0 = CP.cutoff + 1
@@ -324,7 +326,6 @@ def q_id_scale(spark, d):
 
 
 def _scaled_id():
-    from panelspark.functions.semantics import id_scale, try_number
     return id_scale(try_number("govid", "bigint"), CP.id_scale)
 
 
@@ -440,8 +441,6 @@ def q_join_nullsafe(spark, d):
 
 # ------------------------------------------------------------------ panel operators (sparse customer grid)
 
-from panelspark.functions import semantics as sem  # noqa: E402
-from panelspark.operators import panel as pn  # noqa: E402
 
 CUST = PanelSpec(["o_custkey"], "year")
 GRID_VARS = ["n_urgent", "n_low", "n_orders", "revenue"]
@@ -688,7 +687,7 @@ def q_format_numeric_cols(spark, d):
 @register("scalar_string")
 def q_scalar_string(spark, d):
     """Upper-case, concatenation with a separator."""
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = scan_table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     return c.select("c_custkey", F.upper(F.lower("c_mktsegment")).alias("segment"),
                     F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("c_mktsegment")).alias("label"))
 
@@ -696,7 +695,8 @@ def q_scalar_string(spark, d):
 @register("scalar_math")
 def q_scalar_math(spark, d):
     """IEEE log and division, arithmetic, unary minus."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    li = scan_table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                           "l_discount", "l_tax"])
     return li.select(
         "l_orderkey", "l_linenumber",
         sem.rln("l_quantity").alias("ln_qty"),
@@ -710,7 +710,7 @@ def q_scalar_math(spark, d):
 @register("scalar_try_cast")
 def q_scalar_try_cast(spark, d):
     """Numeric coercion, failures give NULL, blanks are trimmed."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    o = scan_table(spark, d, "orders", ["o_orderkey", "o_orderpriority"])
     return o.select(
         "o_orderkey",
         sem.try_number(F.substring("o_orderpriority", 1, 1)).alias("prio_num"),
@@ -725,21 +725,17 @@ LANG_LEVELS = ["en", "fr", "de", "es"]
 @register("ordered_levels")
 def q_ordered_levels(spark, d):
     """Explicit level order; a value outside the levels gives NULL."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    docs = scan_table(spark, d, "documents", ["doc_id", "lang"])
     levels = F.create_map(*[x for i, lv in enumerate(LANG_LEVELS, 1) for x in (F.lit(lv), F.lit(i))])
     return docs.select("doc_id", "lang", F.try_element_at(levels, F.col("lang")).alias("lang_level"))
 
 
 # ------------------------------------------------------------------ scans, sinks, nested series
 
-from panelspark.sources.files import read_csv_header, write_csv, write_parquet  # noqa: E402
-from panelspark.sources.nested import nested_series_scan, unnest_obs  # noqa: E402
-
 
 @register("scan_table")
 def q_scan_table(spark, d):
     """Named table scan with a narrow read schema."""
-    from panelspark.sources.tables import scan_table
     return scan_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
 
 
@@ -749,7 +745,7 @@ CODES_SCHEMA = "c_custkey bigint, c_name string, partner_iso string"
 @register("scan_csv_header")
 def q_scan_csv_header(spark, d):
     """CSV with a header, read back with a declared schema; codes upper-cased."""
-    c = spark.read.parquet(f"{d}/customer.parquet").select(
+    c = scan_table(spark, d, "customer", ["c_custkey", "c_name", "c_mktsegment"]).select(
         "c_custkey", "c_name", F.lower("c_mktsegment").alias("partner_iso"))
     path = write_csv(c, shared_path(spark, "codes"))
     codes = read_csv_header(spark, path, CODES_SCHEMA)
