@@ -100,9 +100,23 @@ def dlog(c: str | Column, spec: PanelSpec, lagger=lag_time) -> Column:
     return rln(x) - rln(lagger(x, spec))
 
 
+def with_lags(df: DataFrame, spec: PanelSpec, cols: Iterable[str], lagger=lag_time,
+              prefix: str = "_lag_") -> DataFrame:
+    """Add one lag column per input column (all in one window node).
+
+    Computing each lag once as a named column keeps the later arithmetic on plain
+    columns: the IEEE helpers reference their arguments several times, and repeating a
+    window expression inside them makes analysis slower without changing the plan.
+    """
+    return df.withColumns({f"{prefix}{c}": lagger(F.col(c), spec) for c in cols})
+
+
 def dlog_many(df: DataFrame, spec: PanelSpec, cols: Iterable[str], lagger=lag_time) -> DataFrame:
     """Replace each column by its log difference; one window node serves all columns."""
-    return df.withColumns({c: dlog(c, spec, lagger) for c in cols})
+    cols = list(cols)
+    lagged = with_lags(df, spec, cols, lagger, "_lag_")
+    return lagged.withColumns({c: rln(c) - rln(f"_lag_{c}") for c in cols}).drop(
+        *[f"_lag_{c}" for c in cols])
 
 
 def drop_first_period(df: DataFrame, spec: PanelSpec, first: int | None = None) -> DataFrame:

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import ifelse_na, is_missing, rdiv, rln
 from panelspark.operators.panel import (
-    PanelSpec, chain_index, growth, index_to_base, lag_time, lagged_ratio, lagged_share,
-    log_rebase, null_at,
+    PanelSpec, chain_index, index_to_base, lag_time, log_rebase, null_at, with_lags,
 )
 from panelspark.plans.fixtures import TradeParams, trade_world
 from panelspark.session import materialize
@@ -34,26 +33,31 @@ REPORTER_COLUMNS = [
 LOG_TERMS = ["RA", "TR", "R", "RMI", "DMI", "FMI", "DA", "FA"]
 
 
+LAGGED = ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal",
+          "exports_by_reporter", "total_exports"]
+
+
 def absorption_index(world: DataFrame, p: TradeParams = TradeParams(), lagger=lag_time) -> DataFrame:
     """DA growth (share-weighted consumption and investment growth) and the DA index.
 
     C, I = growth of real consumption / investment; s_C = lagged nominal consumption share,
     s_I = 1 - s_C; DA_growth = C s_C + I s_I; DA_index = 100 * level / level at base year.
-    Countries without a base-year row are dropped.
+    w = last year's exports to the partner over last year's total exports. Countries
+    without a base-year row are dropped. All lags come from one window node.
     """
     spec = COUNTRY_PANEL
-    s_c, _ = lagged_share("cons_final_nominal", "gfcf_final_nominal", spec, lagger)
-    df = world.withColumns({
-        "C": null_at(growth("cons_final", spec, lagger), spec, p.base_year),
-        "I": null_at(growth("gfcf_final", spec, lagger), spec, p.base_year),
-        "s_C": null_at(s_c, spec, p.base_year),
-        "w": null_at(lagged_ratio("exports_by_reporter", "total_exports", spec, lagger), spec,
-                     p.base_year),
-    })
+    L = lambda c: F.col(f"_lag_{c}")
+    guard = lambda c: null_at(c, spec, p.base_year)
+    df = with_lags(world, spec, LAGGED, lagger)
+    s_c = guard(rdiv(L("cons_final_nominal"), L("cons_final_nominal") + L("gfcf_final_nominal")))
     df = df.withColumns({
-        "s_I": null_at(F.lit(1.0) - F.col("s_C"), spec, p.base_year),
+        "C": guard(rdiv(F.col("cons_final") - L("cons_final"), L("cons_final"))),
+        "I": guard(rdiv(F.col("gfcf_final") - L("gfcf_final"), L("gfcf_final"))),
+        "s_C": s_c,
+        "w": guard(rdiv(L("exports_by_reporter"), L("total_exports"))),
         "DA_level": F.col("cons_final") + F.col("gfcf_final"),
-    })
+    }).drop(*[f"_lag_{c}" for c in LAGGED])
+    df = df.withColumn("s_I", guard(F.lit(1.0) - F.col("s_C")))
     df = df.withColumn("DA_growth", F.col("C") * F.col("s_C") + F.col("I") * F.col("s_I"))
     return index_to_base(df, "DA_level", spec, p.base_year, "DA_index", base_col="baseDA")
 
