@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SERIES_SCHEMA = "freq string, ref_area bigint, obs array<struct<day: date, value: double>>"
 
 
-def nested_series_scan(spark: SparkSession, path: str, freq: str | None = None) -> DataFrame:
-    """Read nested series with a declared schema; the frequency filter reaches the scan."""
+def nested_series_scan(spark: SparkSession, path: str, freq: str | None = None,
+                       areas: Sequence[int] | None = None, start: dt.date | None = None,
+                       end: dt.date | None = None) -> DataFrame:
+    """Read nested series with a declared schema.
+
+    ``freq`` and ``areas`` are filters on top-level columns and reach the Parquet scan;
+    ``start`` / ``end`` keep only observations inside the date range, inside each array
+    (a higher-order ``filter``, no explode).
+    """
     df = spark.read.schema(SERIES_SCHEMA).parquet(path)
-    return df.where(F.col("freq") == freq) if freq is not None else df
+    if freq is not None:
+        df = df.where(F.col("freq") == freq)
+    if areas is not None:
+        df = df.where(F.col("ref_area").isin(list(areas)))
+    if start is not None or end is not None:
+        def keep(o):
+            cond = F.lit(True)
+            if start is not None:
+                cond = cond & (o["day"] >= F.lit(start))
+            if end is not None:
+                cond = cond & (o["day"] <= F.lit(end))
+            return cond
+        df = df.withColumn("obs", F.filter("obs", keep))
+    return df
 
 
 def unnest_obs(series: DataFrame, keep_empty: bool = False) -> DataFrame:

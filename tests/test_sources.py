@@ -44,3 +44,17 @@ def test_nested_series_scan_and_unnest(spark, tmp_dir):
     assert unnest_obs(all_series, keep_empty=True).count() == 3
     plan = clicks._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "freq" in plan
+
+
+def test_nested_series_area_and_date_range(spark, tmp_dir):
+    import datetime as dt
+    obs = [(dt.date(2024, 1, d), float(d)) for d in (1, 2, 3)]
+    rows = [("click", 1, obs), ("click", 2, obs), ("view", 1, obs)]
+    df = spark.createDataFrame(rows, "freq string, ref_area bigint, obs array<struct<day: date, value: double>>")
+    df.write.parquet(f"{tmp_dir}/s2")
+    s = nested_series_scan(spark, f"{tmp_dir}/s2", freq="click", areas=[1],
+                           start=dt.date(2024, 1, 2), end=dt.date(2024, 1, 3))
+    got = sorted((r["ref_area"], r["day"].day) for r in unnest_obs(s).collect())
+    assert got == [(1, 2), (1, 3)]
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "In(ref_area" in plan or "EqualTo(ref_area" in plan
