@@ -420,13 +420,13 @@ FROM ids a JOIN ids b ON a.GOVID IS NOT DISTINCT FROM b.GOVID AND a.year = b.yea
 
 # ------------------------------------------------------------------ sparse customer grid
 
-GRID = ORD + """,
+GRID = """
 cg AS (
-  SELECT o_custkey, year,
+  SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year,
     CAST(count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS DOUBLE) AS n_urgent,
     CAST(count(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END) AS DOUBLE) AS n_low,
-    count(*) AS n_orders, CAST(sum(price) AS DOUBLE) AS revenue
-  FROM ord GROUP BY o_custkey, year)"""
+    count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+  FROM orders GROUP BY o_custkey, CAST(year(o_orderdate) AS INTEGER))"""
 
 
 def _cl(x):
