@@ -169,10 +169,16 @@ def cost_weighted(df: DataFrame) -> DataFrame:
 
 
 def prepare(linked: DataFrame, base: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
-    """Cost sums, old growth series joined, Z spliced, state-year and city ids."""
+    """Cost sums, old growth series joined, Z spliced, state-year and city ids.
+
+    The linked panel (one row per unit and year) is written once before the ids are
+    numbered: both id tables and the growth step then read it instead of re-running the
+    joins and file scans behind it.
+    """
     final = cost_weighted(linked)
     final = final.join(base.select("ORI7", "year", "Z", "C2"), ["ORI7", "year"], "left")
     final = final.withColumn("Z", series_splice("year", p.cutoff, dlog("full_time", UNIT), F.col("Z")))
+    final = materialize(final, "crime_linked")
     final = dense_id(final, ["STATE", "year"], "stateyear")
     return dense_id(final, ["ORI7"], "cityid", na_gets_id=False)
 
