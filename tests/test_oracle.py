@@ -47,6 +47,9 @@ def test_query_matches_oracle(spark, duck, key):
     assert sorted(df.columns) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert _rows(df.columns, s_rows) == _rows(d_cols, d_rows)
+    # no Python UDF on the data path of any oracle-checked query
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
 def test_entry_smoke(spark):
