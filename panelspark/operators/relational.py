@@ -29,7 +29,9 @@ def join_na_match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     """Equi-join where, with ``na_match``, a NULL key matches a NULL key (``<=>``).
 
     The result keeps one copy of each key column (the left one, or the right one where
-    the left row is absent).
+    the left row is absent). Like any equi-join, rows sharing a key pair up; with NULL
+    matching, all NULL-key rows share one key, so join against a keyed table (one row per
+    key, e.g. an aggregate) when many keys may be NULL.
     """
     on = list(on)
     if not na_match:

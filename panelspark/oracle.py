@@ -413,9 +413,10 @@ SELECT u.ORI7, u.year, u.STATE AS STATE_x, {r6('u.population', 'population')}, l
        {r6('l.total_employees_officers', 'total_employees_officers')}
 FROM ucr u LEFT JOIN leoka l ON u.ORI7 = l.ORI7 AND u.year = l.year"""
 ORACLE["join_nullsafe"] = f"""WITH {CRIME}, ids AS (
-  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw)
-SELECT a.GOVID, a.year, a.pop_asg AS pop_x, b.pop_asg AS pop_y
-FROM ids a JOIN ids b ON a.GOVID IS NOT DISTINCT FROM b.GOVID AND a.year = b.year"""
+  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw),
+per_key AS (SELECT GOVID, year, count(*) AS n_rows FROM ids GROUP BY GOVID, year)
+SELECT a.GOVID, a.year, a.pop_asg AS pop_x, k.n_rows
+FROM ids a LEFT JOIN per_key k ON a.GOVID IS NOT DISTINCT FROM k.GOVID AND a.year = k.year"""
 
 
 # ------------------------------------------------------------------ sparse customer grid

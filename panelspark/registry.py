@@ -432,11 +432,13 @@ def q_join_suffix(spark, d):
 
 @register("join_nullsafe")
 def q_join_nullsafe(spark, d):
-    """Unparsable ids (NULL keys) match each other with the NULL-safe join."""
+    """NULL keys match NULL keys. Each file row is matched NULL-safely to the keyed
+    table of row counts per (GOVID, year), so an unparsable id (NULL) finds the NULL group
+    and every row has exactly one match (no pairing of rows within a key)."""
     raw = crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
     ids = raw.select(_scaled_id().alias("GOVID"), "year", F.col("pop_asg").alias("pop_x"))
-    other = ids.withColumnRenamed("pop_x", "pop_y")
-    return rel.join_na_match(ids, other, ["GOVID", "year"], "inner", na_match=True)
+    per_key = ids.groupBy("GOVID", "year").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rel.join_na_match(ids, per_key, ["GOVID", "year"], "left", na_match=True)
 
 
 # ------------------------------------------------------------------ panel operators (sparse customer grid)
