@@ -66,12 +66,13 @@ def tf_idf(counts: DataFrame, doc: str = "author", term: str = "word", n: str =
     """
     totals = counts.groupBy(doc).agg(F.sum(n).alias("_total"))
     dfreq = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_df"))
-    n_docs = F.broadcast(counts.agg(F.countDistinct(doc).alias("_ndocs")))  # one row
-    j = counts.join(totals, doc).join(dfreq, term).crossJoin(n_docs)
+    # number of documents: a scalar subquery (one distributed count, used as a constant)
+    n_docs = counts.agg(F.countDistinct(doc)).scalar()
+    j = counts.join(totals, doc).join(dfreq, term)
     return j.select(
         doc, term, n,
         (F.col(n) / F.col("_total")).alias("tf"),
-        rln(F.col("_ndocs") / F.col("_df")).alias("idf"),
+        rln(n_docs / F.col("_df")).alias("idf"),
     ).withColumn("tf_idf", F.col("tf") * F.col("idf"))
 
 

@@ -46,11 +46,11 @@ def dtm_vectors(entries: DataFrame, vocab_size: int, doc: str = "author") -> Dat
 
 def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
     """Per document: non-zero entries, row sum, and the vocabulary size (columns)."""
-    n_terms = F.broadcast(entries.agg(F.countDistinct("term_index").alias("n_terms")))  # one row
+    n_terms = entries.agg(F.countDistinct("term_index")).scalar()  # scalar subquery
     return entries.groupBy(doc).agg(
         F.count(F.lit(1)).alias("nnz"),
         F.sum("n").alias("row_sum"),
-    ).crossJoin(n_terms)
+    ).withColumn("n_terms", n_terms)
 
 
 def fit_lda(vectors: DataFrame, k: int = 4, seed: int = 1234, max_iter: int = 10) -> LDAModel:
