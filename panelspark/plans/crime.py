@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import id_scale, inf_to_zero, try_number, weighted_sum
-from panelspark.operators.panel import PanelSpec, base_value, dlog, dlog_many, series_splice
+from panelspark.operators.panel import PanelSpec, assert_unique, base_value, dlog, dlog_many, series_splice
 from panelspark.operators.relational import dense_id, semi_restrict
 from panelspark.plans import fixtures as fx
 from panelspark.plans.fixtures import CrimeParams
@@ -179,6 +179,7 @@ def prepare(linked: DataFrame, base: DataFrame, p: CrimeParams = CrimeParams())
     final = final.join(base.select("ORI7", "year", "Z", "C2"), ["ORI7", "year"], "left")
     final = final.withColumn("Z", series_splice("year", p.cutoff, dlog("full_time", UNIT), F.col("Z")))
     final = materialize(final, "crime_linked")
+    assert_unique(final, UNIT)   # a crosswalk fan-out would make the lags meaningless
     final = dense_id(final, ["STATE", "year"], "stateyear")
     return dense_id(final, ["ORI7"], "cityid", na_gets_id=False)
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.operators.panel import PanelSpec, assert_unique
 from panelspark.session import materialize
 from panelspark.sources.tables import scan_table
 
@@ -108,6 +109,7 @@ def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams
     # one row per (country, year): written once, so the reporter's series below is a filter
     # of the written table rather than a second pass over the flows
     world = materialize(gdp.join(trade, ["m", "year"], "left"), "trade_cells")
+    assert_unique(world, PanelSpec(["m"], "year"))
     # the reporter's own exports, one row per year, attached to every country of that year
     reporter_exports = F.broadcast(
         world.where(F.col("m") == p.reporter_key)
@@ -222,22 +224,27 @@ def _cells_with_govid(spark, base_dir, p):
 
 
 def employment_rows(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
-    """Rows of the yearly employment files: 13 columns, police rows (type 62) and decoys."""
+    """Rows of the yearly employment files: 13 columns, police rows (type 62) and decoys.
+
+    Each cell yields one police row and one decoy row (another employment type) through an
+    explode over the two types, so the cell aggregate is computed once.
+    """
     c = _cells_with_govid(spark, base_dir, p)
-    gid = (F.col("GOVID") * p.id_scale).cast("string")
-
-    def rows(type_emp: int, factor: float):
-        ft = F.col("n_orders").cast("double") * F.lit(factor)
-        return c.select(
-            gid.alias("govid"), F.lit(type_emp).alias("type_emp"), ft.alias("full_time"),
-            F.lit("R").alias("full_time_flag"), (ft * 1000).alias("full_time_payroll"),
-            F.lit("R").alias("full_time_payroll_flag"), F.col("actual_burg_total").alias("part_time"),
-            F.lit("R").alias("part_time_flag"), (F.col("actual_burg_total") * 500).alias("part_time_payroll"),
-            F.lit("R").alias("part_time_payroll_flag"), (F.col("actual_burg_total") * 20).alias("part_time_hrs"),
-            F.lit("R").alias("part_time_hrs_flag"), (ft + F.col("actual_burg_total") / 2).alias("full_time_equivalent"),
-            "year",
-        )
-    return rows(62, 1.0).unionByName(rows(5, 2.0))
+    kinds = F.explode(F.array(
+        F.struct(F.lit(62).alias("type_emp"), F.lit(1.0).alias("factor")),
+        F.struct(F.lit(5).alias("type_emp"), F.lit(2.0).alias("factor")),
+    )).alias("k")
+    c = c.select("*", kinds)
+    ft = F.col("n_orders").cast("double") * F.col("k.factor")
+    burg = F.col("actual_burg_total")
+    return c.select(
+        (F.col("GOVID") * p.id_scale).cast("string").alias("govid"), F.col("k.type_emp").alias("type_emp"),
+        ft.alias("full_time"), F.lit("R").alias("full_time_flag"), (ft * 1000).alias("full_time_payroll"),
+        F.lit("R").alias("full_time_payroll_flag"), burg.alias("part_time"), F.lit("R").alias("part_time_flag"),
+        (burg * 500).alias("part_time_payroll"), F.lit("R").alias("part_time_payroll_flag"),
+        (burg * 20).alias("part_time_hrs"), F.lit("R").alias("part_time_hrs_flag"),
+        (ft + burg / 2).alias("full_time_equivalent"), "year",
+    )
 
 
 def population_lines(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
