@@ -21,7 +21,6 @@ from panelspark.operators.panel import (
     PanelSpec, chain_index, index_to_base, lag_time, log_rebase, null_at, with_lags,
 )
 from panelspark.plans.fixtures import TradeParams, trade_world
-from panelspark.session import materialize
 
 COUNTRY_PANEL = PanelSpec(["country"], "year")
 SERIES = PanelSpec([], "year")
@@ -98,13 +97,12 @@ def decompose(panel: DataFrame, fa: DataFrame, p: TradeParams = TradeParams()) -
 
 
 def country_panel(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
-    """The country panel with DA growth, weights and the DA index, materialised once.
+    """The country panel with DA growth, weights and the DA index.
 
-    The panel has one row per (country, year), so it is small whatever the size of the
-    fact tables; writing it once to the shared checkpoint folder lets the partner
-    aggregate and the reporter rows read it without a second pass over the facts.
+    It is computed from the written (country, year) cell table, so the partner aggregate
+    and the reporter rows both read that small table; the fact tables are passed once.
     """
-    return materialize(absorption_index(trade_world(spark, base_dir, p), p), "country_panel")
+    return absorption_index(trade_world(spark, base_dir, p), p)
 
 
 def trade_decomposition(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
