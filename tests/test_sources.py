@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from panelspark.sources.files import (
     read_csv_header, read_csv_multi, read_fixed_width, write_csv, write_yearly, year_by_file_order,

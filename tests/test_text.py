@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from panelspark.functions.text import token_array
 from panelspark.operators import text as tx
