@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import rln, rlog10
 from panelspark.functions.text import TOKEN_PATTERN, token_array
-from panelspark.operators.relational import sequence_number, top_k_ties
+from panelspark.operators.relational import natural_join, sequence_number, top_k_ties
 
 
 def tokenize(corpus: DataFrame, text: str = "text", keep=("doc_id", "author"),
@@ -41,9 +41,10 @@ def word_counts(tokens: DataFrame, by=("author",), sort: bool = False) -> DataFr
 
 
 def with_totals(counts: DataFrame, by=("author",)) -> DataFrame:
-    """Add ``total`` = sum of n over the group (an aggregate joined back)."""
+    """Add ``total`` = sum of n over the group (an aggregate joined back on the shared
+    column names, i.e. a natural left join)."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    return counts.join(totals, list(by), "left")
+    return natural_join(counts, totals, "left")
 
 
 def zipf_table(counts_with_totals: DataFrame, by=("author",)) -> DataFrame:
