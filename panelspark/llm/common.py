@@ -57,3 +57,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def texts_of(batch, column: str = "text") -> list[bytes]:
     """The texts of an Arrow batch as bytes; a missing one is empty."""
     return [t or b"" for t in batch.column(column).to_pylist()]
+
+
+def random_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of their id (the same ones on every run)."""
+    place = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 32))
+    near = df.where(place < (1 << 32) * min(1.0, 2 * rows / max(1, df.count())))  # else every task sends as many rows
+    return near.orderBy(place, *df.columns).limit(rows)
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], n_col: str, total: int,
+               heavy_keys: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that has one row per key and its number of rows.
+
+    Keys of more than a ``heavy_keys``-th of ``total`` rows are fewer than ``heavy_keys``, so
+    they are broadcast; all other keys are shuffled, and none of them is large. ``rows`` is
+    read twice, so it should be a written table.
+    """
+    least = max(1, total // heavy_keys)
+    heavy, light = table.where(F.col(n_col) > least), table.where(F.col(n_col) <= least)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, salts: int = 32,
+                how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a ``table`` that has one row per key.
+
+    The table is repeated ``salts`` times and rows are dealt to the copies by a hash of
+    ``spread``, so a key that holds a third of all rows meets the table in many tasks.
+    """
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(many, [*on, "_salt"], how).drop("_salt")

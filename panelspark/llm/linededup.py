@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import BLANK, ascii_lower
+from panelspark.llm.common import BLANK, ascii_lower, heavy_join
 from panelspark.session import materialize
 
 
@@ -45,8 +45,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = materialize(lines, "lines")
     shared = (lines.select("_h1", "_h2", "_id").distinct()
               .groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-              .where(F.col("_n") >= min_docs).select("_h1", "_h2", "_first"))
-    drops = (lines.join(shared, ["_h1", "_h2"]).where(F.col("_id") > F.col("_first"))
+              .where(F.col("_n") >= min_docs))
+    shared = materialize(shared, "shared-lines")
+    drops = (heavy_join(lines, shared, ["_h1", "_h2"], "_n", lines.count()).where(F.col("_id") > F.col("_first"))
              .groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_drop")))
     # one flag per line up to the last dropped one, so that a line is looked up by position
     gap = F.transform("_drop", lambda p, i: F.concat(

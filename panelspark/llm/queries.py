@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontam, linededup, mixing, rules
+from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, tokenbin
 from panelspark.llm.common import documents
+from panelspark.session import shared_path
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_corpus(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words_per_shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    tokenbin.write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenbin.read_checksums(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text", "source", "lang"), labels)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     judged = rules.failed_rule(docs)
@@ -31,6 +53,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (~base & F.col("failed_rule").isNull()).alias("kept"))
 
 
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"]))
+    return chat.perspectives(turns).withColumn("mask", F.array_join(spans, ","))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     found = decontam.find_passages(documents(spark, sf_dir, "doc_id", "text"), benchmark)
@@ -40,4 +68,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_line_dedup, op8_quality_rules, op10_decontaminate)}
+    op1_mix, op2_line_dedup, op3_lm_scoring, op4_near_duplicates, op6_token_binary,
+    op7_quality_classifier, op8_quality_rules,
+    op9_chat_perspectives, op10_decontaminate)}
