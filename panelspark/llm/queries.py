@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, tokenbin
+from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, suffixdedup, tokenbin
 from panelspark.llm.common import documents
 from panelspark.session import shared_path
 
@@ -31,6 +31,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup_substrings(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     tokenbin.write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -68,6 +73,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_line_dedup, op3_lm_scoring, op4_near_duplicates, op6_token_binary,
+    op1_mix, op2_line_dedup, op3_lm_scoring, op4_near_duplicates, op5_suffix_dedup, op6_token_binary,
     op7_quality_classifier, op8_quality_rules,
     op9_chat_perspectives, op10_decontaminate)}
