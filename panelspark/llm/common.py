@@ -6,7 +6,11 @@ carriage return; a word is a maximal run of anything else.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +58,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that a task takes in hand at once (a longer text alone).
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in stretches of about ``PIECE_BYTES`` of text, which bounds the
+    words held at once."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, done + PIECE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def texts_of(batch, column: str = "text") -> list[bytes]:
     """The texts of an Arrow batch as bytes; a missing one is empty."""
     return [t or b"" for t in batch.column(column).to_pylist()]

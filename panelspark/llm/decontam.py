@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from panelspark.llm.common import WordHashes, texts_of
+from panelspark.llm.common import WordHashes, pieces, texts_of
 from panelspark.session import materialize
 
 WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
@@ -99,7 +99,7 @@ def scanner(block):
             table[keys >> np.uint64(64 - TABLE_BITS)] = True
             index[n] = keys, table
         known = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             docs = [normal_words(t) for t in texts_of(batch)]
             sizes = np.fromiter(map(len, docs), np.int64, len(docs))
             ends = np.cumsum(sizes)

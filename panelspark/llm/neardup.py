@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, mix64, salted_join, texts_of
+from panelspark.llm.common import WordHashes, mix64, pieces, salted_join, texts_of
 from panelspark.llm.components import components
 from panelspark.session import materialize
 
@@ -81,11 +81,11 @@ def set_id(found: np.ndarray) -> int:
 
 
 def sketch(rows: DataFrame, words_per_shingle: int, bands: int, per_band: int, seed: int) -> DataFrame:
-    """(id, n, set, bands) of rows of (id, text)."""
+    """(id, row, n, set, bands) of rows of (id, row, text)."""
 
     def run(batches):
         known, slices = WordHashes(), circulant_slices(bands * per_band, seed)
-        for batch in batches:
+        for batch in pieces(batches):
             n, ids, keys = [], [], []
             for text in texts_of(batch):
                 found = shingles(text, words_per_shingle, known)
@@ -95,11 +95,11 @@ def sketch(rows: DataFrame, words_per_shingle: int, bands: int, per_band: int, s
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             values = np.concatenate([*keys, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "n", "set", "bands"])
+                [batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "row", "n", "set", "bands"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n long, `set` long, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, row long, n long, `set` long, bands array<long>")
 
 
 def candidate_sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -201,12 +201,14 @@ def links(rows: DataFrame, vertices: DataFrame, words_per_shingle: int, percent:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5,
                     percent: int = 80, bands: int = 64, per_band: int = 7, rounds: int = 6, seed: int = 3) -> DataFrame:
-    """(id, n_shingles, component_id, kept, set): one row per row of ``docs``.
+    """(id, n_shingles, component_id, kept, row): one row per row of ``docs``; ``row`` is the
+    hash (xxhash64) of its text's bytes.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marks = materialize(sketch(rows, words_per_shingle, bands, per_band, seed), "sketch")
+    marks = materialize(sketch(rows.withColumn("row", F.xxhash64("text")), words_per_shingle, bands, per_band, seed),
+                        "sketch")
     some = marks.where("id IS NOT NULL AND n > 0")
     first = materialize(some.groupBy("set", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "sets-first")
     vertices = some.select("set", "n", "id", "bands").join(first.drop("rows"), ["set", "n", "id"]).dropDuplicates(["set"])
@@ -219,4 +221,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = salted_join(marks, materialize(of, "component"), ["set"], "id", how="left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "set")
+                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "row")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every group of linked documents, that of the smallest id. Rows that
+    repeat id and text are one document; rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("id"), "row").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("row"),
+                       F.struct(*docs.columns).alias("doc"))
+    named = rows.where(F.col("id").isNotNull()).join(gone, ["id", "row"], "left_anti").dropDuplicates(["id", "row"])
+    return named.select("doc.*").unionByName(rows.where(F.col("id").isNull()).select("doc.*"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, random_sample, salted_join, texts_of
+from panelspark.llm.common import WordHashes, pieces, random_sample, salted_join, texts_of
 from panelspark.session import materialize
 
 FEATURE_BITS = 18
@@ -71,29 +71,46 @@ def labelled_features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "quality int, toxic int, features binary")
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, passes: int = 40, l2: float = 1e-4,
+def telling(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, least_z: float = 4.0) -> np.ndarray:
+    """Features whose share of rows differs between the classes by ``least_z`` standard errors,
+    and all shapes."""
+    size = SHAPES + (1 << FEATURE_BITS)
+    one, all_ = np.bincount(flat, y[owner], size), np.bincount(flat, minlength=size)
+    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    p1, p0, p = one / n1, (all_ - one) / n0, np.clip(all_ / len(y), 1 / len(y), 1 - 1 / len(y))
+    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    keep = (np.abs(z) >= least_z) & (all_ >= 5)
+    keep[:SHAPES] = True
+    return keep
+
+
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, passes: int = 80, l2: float = 1e-6,
                  seed: int = 5) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic model on sets of features, by AdaGrad."""
+    """Weights (the last is the intercept) of a logistic model on sets of features that tell the
+    classes apart, by AdaGrad; either class counts half, so that a rare one is not overlooked."""
     size = SHAPES + (1 << FEATURE_BITS)
     w, g2 = np.zeros(size + 1), np.full(size + 1, 1e-6)
     if not len(rows):
         return w
-    flat, sizes = np.concatenate(rows), np.fromiter(map(len, rows), np.int64)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    keep = telling(flat, owner, y)[flat]
+    flat, sizes = flat[keep], np.bincount(owner[keep], minlength=len(rows))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     order = np.random.default_rng(seed)
     n = len(rows)
+    cost = np.where(y > 0, n / 2 / max(1.0, y.sum()), n / 2 / max(1.0, n - y.sum()))
     for _ in range(passes):
         for part in np.array_split(order.permutation(n), max(1, n // 64)):
             cols = np.concatenate([flat[starts[i]:starts[i + 1]] for i in part])
-            owner = np.repeat(np.arange(len(part)), sizes[part])
-            z = np.bincount(owner, w[cols], len(part)) + w[-1]
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
+            own = np.repeat(np.arange(len(part)), sizes[part])
+            z = np.bincount(own, w[cols], len(part)) + w[-1]
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * cost[part]
             uniq, inverse = np.unique(cols, return_inverse=True)
-            grad = np.bincount(inverse, err[owner]) / len(part) + l2 * w[uniq]
+            grad = np.bincount(inverse, err[own], len(uniq)) / len(part) + l2 * w[uniq]
             g2[uniq] += grad * grad
-            w[uniq] -= 0.2 * grad / np.sqrt(g2[uniq])
+            w[uniq] -= 0.5 * grad / np.sqrt(g2[uniq])
             g2[-1] += err.mean() ** 2
-            w[-1] -= 0.2 * err.mean() / math.sqrt(g2[-1])
+            w[-1] -= 0.5 * err.mean() / math.sqrt(g2[-1])
     return w
 
 
@@ -119,7 +136,7 @@ def score_documents(rows: DataFrame, models: tuple[np.ndarray, np.ndarray]) -> D
     def run(batches):
         quality, toxic = shared.value
         known = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             x = [features(t, known) for t in texts_of(batch)]
             z = [[float(w[f].sum() + w[-1]) for f in x] for w in (quality, toxic)]
             keep = [c for c in batch.schema.names if c != "text"]

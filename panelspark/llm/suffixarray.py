@@ -109,7 +109,7 @@ def names_of(text: np.ndarray, leftmost: np.ndarray, order: np.ndarray) -> np.nd
 def by_doubling(text: np.ndarray) -> np.ndarray:
     """Suffix array by sorting pairs of ranks of twice the length each time."""
     n, k = len(text), 1
-    rank = text.astype(np.int64)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     while True:
         key = rank * (n + 1)
         key[:n - k] += rank[k:] + 1 if k < n else 0

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import heavy_join, mix64
+from panelspark.llm.common import heavy_join, mix64, pieces
 from panelspark.llm.suffixarray import permuted_prefixes, suffix_array
 from panelspark.session import materialize
 
@@ -103,7 +103,7 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
                  pa.array([r[2] for r in rows], pa.binary())], ["bucket", "anchors", "tokens"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text, token in zip(batch.column("text").to_pylist(), batch.column("token").to_pylist()):
                 found = np.unique(runs_of(text, length, gram)[0])
                 anchors.append(found)
@@ -185,7 +185,7 @@ def run_bytes(held: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             return pa.RecordBatch.from_arrays(
                 [pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in list(out)[1:]]], list(out))
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "anchors")]):
                 if anchors is None:
                     continue
@@ -276,7 +276,7 @@ def run_places(held: DataFrame, length: int, gram: int) -> DataFrame:
     """(id, row, start, key, small, salt) of every shared run of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = {c: [] for c in ("id", "row", "start", "key", "small", "salt")}
             for doc, row, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "row", "text", "anchors")]):
                 if anchors is None:
@@ -298,7 +298,7 @@ def without(rows: DataFrame, length: int) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of rows of (id, text, copy, firsts, lasts)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
             for text, copy, firsts, lasts in zip(*[batch.column(c).to_pylist()
                                                    for c in ("text", "copy", "firsts", "lasts")]):
