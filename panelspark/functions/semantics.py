@@ -126,9 +126,35 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def format_numeric(df: DataFrame, decimals: int = 2) -> DataFrame:
-    """Render every numeric column as text with a fixed number of decimals."""
-    return df.withColumns({c: F.format_number(F.col(c), decimals) for c in numeric_columns(df)})
+def significant_decimals(df: DataFrame, digits: int = 2) -> dict[str, int]:
+    """Decimals of each numeric column: the most that any entry needs for ``digits`` significant
+    digits, not counting zeros at their end. One aggregate over the table."""
+    aggs = []
+    for c in numeric_columns(df):
+        x = F.abs(F.col(c).cast("double"))
+        x = F.when((x > 0) & (x < F.lit(INF)), x)
+        e = F.floor(F.log10(x))
+        m = F.round(x / F.pow(F.lit(10.0), e - digits + 1)).cast("bigint")    # `digits` digits, or one more
+        e = e + F.when(m >= 10 ** digits, 1).otherwise(0)
+        zeros = F.length(F.regexp_extract(m.cast("string"), "(0*)$", 1)) - F.when(m >= 10 ** digits, 1).otherwise(0)
+        aggs.append(F.max(F.greatest(F.lit(0), digits - zeros - 1 - e)).alias(c))
+    if not aggs:
+        return {}
+    return {c: int(n or 0) for c, n in df.agg(*aggs).first().asDict().items()}
+
+
+def format_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Render every numeric column as text with ``digits`` significant digits for its smallest
+    entry and one number of decimals for the whole column (no thousands separators)."""
+    decimals = significant_decimals(df, digits)
+
+    def shown(c: str) -> Column:
+        x = F.col(c).cast("double")
+        text = F.format_string(f"%.{decimals[c]}f", x)
+        return F.when(x.isNull(), F.lit("NA")).when(F.isnan(x), F.lit("NaN")).when(
+            F.abs(x) == F.lit(INF), F.when(x > 0, F.lit("Inf")).otherwise(F.lit("-Inf"))).otherwise(text)
+
+    return df.withColumns({c: shown(c) for c in decimals})
 
 
 def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:

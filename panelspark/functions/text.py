@@ -18,7 +18,3 @@ def token_array(text: str | Column, pattern: str = TOKEN_PATTERN) -> Column:
     """All word tokens of the lower-cased text, in order, as an array<string>."""
     return F.regexp_extract_all(F.lower(col(text)), F.lit(pattern), F.lit(0))
 
-
-def tokens(text: str | Column, pattern: str = TOKEN_PATTERN) -> Column:
-    """One row per token (use in ``select``; it is a generator)."""
-    return F.explode(token_array(text, pattern))

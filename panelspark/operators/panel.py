@@ -89,9 +89,8 @@ def lag_row(c: str | Column, spec: PanelSpec, periods: int = 1) -> Column:
 
 def growth(c: str | Column, spec: PanelSpec, lagger=lag_time) -> Column:
     """Growth rate (x_t - x_{t-1}) / x_{t-1} with IEEE division."""
-    x = col(c)
-    prev = lagger(x, spec)
-    return rdiv(x - prev, prev)
+    prev = lagger(c, spec)
+    return rdiv(col(c) - prev, prev)
 
 
 def dlog(c: str | Column, spec: PanelSpec, lagger=lag_time) -> Column:
@@ -111,6 +110,11 @@ def with_lags(df: DataFrame, spec: PanelSpec, cols: Iterable[str], lagger=lag_ti
     return df.withColumns({f"{prefix}{c}": lagger(F.col(c), spec) for c in cols})
 
 
+def held_lag(c: str, spec: PanelSpec, prefix: str = "_lag_") -> Column:
+    """A lag that :func:`with_lags` has put into a column (to pass as ``lagger``)."""
+    return F.col(f"{prefix}{c}")
+
+
 def dlog_many(df: DataFrame, spec: PanelSpec, cols: Iterable[str], lagger=lag_time) -> DataFrame:
     """Replace each column by its log difference; one window node serves all columns."""
     cols = list(cols)
@@ -137,14 +141,14 @@ def null_at(c: Column, spec: PanelSpec, period: int) -> Column:
 
 def lagged_share(a: str, b: str, spec: PanelSpec, lagger=lag_time) -> tuple[Column, Column]:
     """(s_a, s_b) with s_a = L(a) / (L(a) + L(b)) and s_b = 1 - s_a."""
-    la, lb = lagger(F.col(a), spec), lagger(F.col(b), spec)
+    la, lb = lagger(a, spec), lagger(b, spec)
     s_a = rdiv(la, la + lb)
     return s_a, F.lit(1.0) - s_a
 
 
 def lagged_ratio(num: str, den: str, spec: PanelSpec, lagger=lag_time) -> Column:
     """L(num) / L(den), e.g. a trade weight from last period's exports."""
-    return rdiv(lagger(F.col(num), spec), lagger(F.col(den), spec))
+    return rdiv(lagger(num, spec), lagger(den, spec))
 
 
 # ---------------------------------------------------------------- base periods and indices

@@ -50,19 +50,29 @@ def join_na_match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on every column name the two sides share."""
     on = [c for c in left.columns if c in right.columns]
+    if not on:
+        raise ValueError(f"natural_join: no shared column in {left.columns} and {right.columns}")
     return left.join(right, on, how)
 
 
 def semi_restrict(keys: DataFrame, facts: DataFrame, on: Sequence[str], keep_unmatched: bool = True) -> DataFrame:
-    """Restrict facts to a sample of units: distinct sample keys, then a join on the key.
+    """Restrict facts to a sample of units.
 
-    ``keep_unmatched`` keeps sample units with no facts (a left join from the keys, as the
-    analysis does); otherwise it is a left-semi join of the facts.
+    The facts are reduced first, by a left-semi join with the distinct sample keys (a small
+    key table is broadcast by the planner, so the facts are not shuffled). ``keep_unmatched``
+    then adds the sample units without facts, as the left join from the keys in the analysis
+    does: the keys that no reduced fact has, found by an anti join.
     """
+    on = list(on)
     k = keys.select(*on).distinct()
-    if keep_unmatched:
-        return k.join(facts, list(on), "left")
-    return facts.join(k, list(on), "left_semi")
+    kept = facts.join(k, on, "left_semi")
+    if not keep_unmatched:
+        return kept
+    units = kept.select(*on).distinct()
+    missing = k.join(units, on, "left_anti")
+    rest = [c for c in facts.columns if c not in on]
+    empty = missing.select(*on, *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in rest])
+    return kept.select(*on, *rest).unionByName(empty)
 
 
 def key_override(c: str, key_col: str, overrides: Mapping[str, object]) -> Column:
@@ -86,26 +96,28 @@ def bridge(facts: DataFrame, crosswalk: DataFrame, first_key: str, second_key: s
 
 def sequence_number(df: DataFrame, order: Sequence[Column | str], out: str,
                     group: Sequence[str] = ()) -> DataFrame:
-    """1-based row number by ``order`` within ``group`` without a single-task window.
-
-    The rows are range-partitioned and sorted on (group, order), numbered locally with
-    ``monotonically_increasing_id`` (partition id in the upper bits), written once to the
-    shared checkpoint folder so the numbering is stable if a task is recomputed, and
-    shifted by the row counts of the earlier partitions of the same group. The offset
-    table has one row per (group, partition), so a large group is spread over many tasks.
+    """1-based row number (bigint) by ``order`` within ``group`` without a single-task window.
+
+    The rows are range-partitioned and sorted on (group, order), numbered within their
+    partition and written once to the shared checkpoint folder, so the numbering is stable if
+    a task is recomputed. A second, small table has one row per (partition, group): where the
+    group starts in the partition and how many of its rows are in earlier partitions. It is
+    written too, so the planner knows its size and broadcasts it: the numbered rows are not
+    shuffled again. Without a group it has one row per partition; with groups it exceeds
+    their number by less than the number of partitions.
     """
     group = list(group)
     keys = [F.col(g) for g in group] + [col(o) for o in order]
     s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = materialize(s.withColumn("_mid", F.monotonically_increasing_id()), "seq")
-    s = s.withColumn("_pid", F.shiftright("_mid", 33))
-    parts = s.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min"))
+    s = materialize(s.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}), "seq")
+    parts = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    parts = parts.withColumnsRenamed({g: f"_p_{g}" for g in group} | {"_pid": "_p_pid"})
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_min") + 1
+    parts = materialize(parts.select(F.col("_pid").alias("_p_pid"), offset.alias("_add"),
+                                     *[F.col(g).alias(f"_p_{g}") for g in group]), "seq-parts")
     j = s.join(parts, _cond(group), "inner")
-    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_min") + 1).cast("int")).drop(
-        "_mid", "_pid", "_n", "_min", "_off", "_p_pid", *[f"_p_{g}" for g in group])
+    return j.withColumn(out, (F.col("_mid") + F.col("_add")).cast("bigint")).drop(
+        "_mid", "_pid", "_add", "_p_pid", *[f"_p_{g}" for g in group])
 
 
 def _cond(group: Sequence[str]) -> Column:
@@ -139,13 +151,18 @@ def dense_id(df: DataFrame, keys: Sequence[str], out: str, na_gets_id: bool = Tr
     return df.join(ids, cond, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def top_k_ties(df: DataFrame, group: Sequence[str], order: Column, k: int, rank_col: str | None = None) -> DataFrame:
-    """Rows whose rank by ``order`` within ``group`` is <= k; ties at the k-th place are kept.
+def top_k_ties(df: DataFrame, group: Sequence[str], value: Column | str, k: int, rank_col: str | None = None,
+               largest: bool = True) -> DataFrame:
+    """Rows whose rank by ``value`` within ``group`` is <= k; ties at the k-th place are kept.
 
-    ``rank() <= k`` is planned with a partial WindowGroupLimit before the exchange, so each
-    map task ships at most its own top k (plus ties) per group.
+    NULL and NaN rank last, after every number. ``rank() <= k`` is planned with a partial
+    WindowGroupLimit before the exchange, so each map task ships at most its own top k (plus
+    ties) per group.
     """
-    w = Window.partitionBy(*group).orderBy(order)
+    v = col(value)
+    if df.select(v.alias("v")).schema["v"].dataType.typeName() in ("double", "float"):
+        v = F.when(~F.isnan(v), v)
+    w = Window.partitionBy(*group).orderBy(F.desc_nulls_last(v) if largest else F.asc_nulls_last(v))
     name = rank_col or "_rank"
     out = df.withColumn(name, F.rank().over(w)).where(F.col(name) <= k)
     return out if rank_col else out.drop(name)

@@ -35,16 +35,34 @@ def token_stats(corpus: DataFrame, text: str = "text", keys=("doc_id", "author")
 
 
 def word_counts(tokens: DataFrame, by=("author",), sort: bool = False) -> DataFrame:
-    """(by..., word, n): occurrences per group and word; optionally sorted by n desc."""
+    """(by..., word, n): occurrences per group and word; optionally sorted by n desc, with the
+    row's ``position`` in that order."""
     out = tokens.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
-    return out.orderBy(F.desc("n"), *by, "word") if sort else out
+    if not sort:
+        return out
+    return sequence_number(out, [F.desc("n"), *by, "word"], "position").orderBy("position")
 
 
-def with_totals(counts: DataFrame, by=("author",)) -> DataFrame:
-    """Add ``total`` = sum of n over the group (an aggregate joined back on the shared
-    column names, i.e. a natural left join)."""
+#: Copies of a table of totals that a hot group's rows are dealt over.
+SALTS = 16
+
+
+def join_totals(counts: DataFrame, totals: DataFrame, by=("author",), term: str = "word") -> DataFrame:
+    """Left-join one row per group to many rows per group.
+
+    A group (a language) may hold most of the rows, so the rows are dealt over ``SALTS``
+    copies of its total by a hash of the word: no task gets a whole group. The copies are
+    few rows; where they are small the planner broadcasts them.
+    """
+    copies = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = counts.withColumn("_salt", F.pmod(F.hash(term), F.lit(SALTS)))
+    return natural_join(dealt, copies, "left").drop("_salt")
+
+
+def with_totals(counts: DataFrame, by=("author",), term: str = "word") -> DataFrame:
+    """Add ``total`` = sum of n over the group (an aggregate joined back on the group)."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    return natural_join(counts, totals, "left")
+    return join_totals(counts, totals, by, term)
 
 
 def zipf_table(counts_with_totals: DataFrame, by=("author",)) -> DataFrame:
@@ -69,7 +87,7 @@ def tf_idf(counts: DataFrame, doc: str = "author", term: str = "word", n: str =
     dfreq = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_df"))
     # number of documents: a scalar subquery (one distributed count, used as a constant)
     n_docs = counts.agg(F.countDistinct(doc)).scalar()
-    j = counts.join(totals, doc).join(dfreq, term)
+    j = join_totals(counts, totals, (doc,), term).join(dfreq, term)
     return j.select(
         doc, term, n,
         (F.col(n) / F.col("_total")).alias("tf"),
@@ -78,13 +96,13 @@ def tf_idf(counts: DataFrame, doc: str = "author", term: str = "word", n: str =
 
 
 def remove_words(df: DataFrame, words: DataFrame, on: str = "word") -> DataFrame:
-    """Anti-join against a small word table (broadcast: its size is fixed by the list)."""
-    return df.join(F.broadcast(words), on, "left_anti")
+    """Anti-join against a word table (the planner broadcasts it where it is small)."""
+    return df.join(words, on, "left_anti")
 
 
 def top_terms(df: DataFrame, k: int, by=("author",), order: str = "tf_idf") -> DataFrame:
     """Top k rows per group by ``order`` descending, ties at the k-th place kept."""
-    return top_k_ties(df, list(by), F.desc(order), k)
+    return top_k_ties(df, list(by), order, k)
 
 
 def reorder_levels(df: DataFrame, label: str, value: str, out: str) -> DataFrame:
@@ -97,3 +115,10 @@ def reorder_levels(df: DataFrame, label: str, value: str, out: str) -> DataFrame
 def reorder_within(term: str, within: str, sep: str = "___"):
     """Composite facet label term___group (so a term can rank differently per facet)."""
     return F.concat_ws(sep, F.col(term), F.col(within).cast("string"))
+
+
+def order_within(df: DataFrame, term: str, within: str, value: str, out: str) -> DataFrame:
+    """The label of :func:`reorder_within` and the place of each label in its facet, by ascending
+    ``value`` and then by term (the order in which a facet's bars are drawn)."""
+    placed = sequence_number(df, [F.asc_nulls_last(value), F.asc(term)], f"{out}_place", group=[within])
+    return placed.withColumn(out, reorder_within(term, within))

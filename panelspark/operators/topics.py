@@ -1,23 +1,27 @@
-"""Document-term matrix and LDA topics on Spark ML.
-
-The matrix is built from (document, word, n) counts, never from token lists: each
-document row carries its distinct words only. Words get dense indices from the sorted
-vocabulary (distributed numbering). The sparse vector of a document is assembled by a
-small Python function called once per document (not per token). The model is Spark ML's
-online variational LDA; its topic matrix (k x vocabulary) lives on the driver, as in
-Spark ML itself.
+"""Document-term matrix and topics by expectation maximisation on DataFrames.
+
+The matrix stays in coordinate form: (document, word, n). A topic model is two tables, word
+weights (word, w1..wk), which sum to 1 over the words of a topic, and document weights
+(document, t1..tk), which sum to 1 over the topics of a document. A step joins the counts with
+both, splits every count over the topics in proportion to w_i * t_i, and adds the parts up by
+word and by document in one aggregate over two grouping sets, which is written once. Only the k
+topic totals and the log-likelihood reach the driver.
+
+This is the EM fit of topic mixtures with a pseudo-count for every word (``eta``) and topic
+(``alpha``), i.e. the posterior mode of latent Dirichlet allocation.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.relational import sequence_number, top_k_ties
+from panelspark.operators.text import join_totals
 from panelspark.session import materialize
 
+ALPHA, ETA = 0.1, 0.01
+
 
 def vocabulary(counts: DataFrame, term: str = "word") -> DataFrame:
     """(term, term_index) with 0-based indices in term order."""
@@ -32,18 +36,6 @@ def dtm_entries(counts: DataFrame, vocab: DataFrame, doc: str = "author", term:
     return counts.join(vocab, term).select(doc, "term_index", F.col(n).cast("double").alias("n"))
 
 
-@F.udf(VectorUDT())
-def _to_sparse(size, entries):
-    return SparseVector(size, [e[0] for e in entries], [e[1] for e in entries])
-
-
-def dtm_vectors(entries: DataFrame, vocab_size: int, doc: str = "author") -> DataFrame:
-    """One row per document with a sparse term-count vector ``features``."""
-    per_doc = entries.groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("term_index", "n"))).alias("entries"))
-    return per_doc.select(doc, _to_sparse(F.lit(vocab_size), "entries").alias("features"))
-
-
 def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
     """Per document: non-zero entries, row sum, and the vocabulary size (columns)."""
     n_terms = entries.agg(F.countDistinct("term_index")).scalar()  # scalar subquery
@@ -53,65 +45,80 @@ def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
     ).withColumn("n_terms", n_terms)
 
 
-def fit_lda(vectors: DataFrame, k: int = 4, seed: int = 1234, max_iter: int = 10) -> LDAModel:
-    """Online variational LDA; every document takes part in every iteration.
-
-    The document vectors are written once to the shared checkpoint folder, so each
-    iteration re-reads them instead of re-running tokenisation and counting.
-    """
-    data = materialize(vectors, "dtm")
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0,
-              featuresCol="features")
-    return lda.fit(data)
+class TopicFit:
+    """A topic model in the course of its fit."""
+
+    def __init__(self, counts: DataFrame, k: int, doc: str = "author", term: str = "word", n: str = "n"):
+        """Start: a word's weight in a topic is the hash (first eight hex digits of the MD5) of
+        "word#topic" over the topic's total; a document has all topics in equal parts."""
+        self.k, self.doc, self.term, self.n = k, doc, term, n
+        self.counts = counts
+        self.steps, self.likelihood = 0, None
+        words = counts.select(term).distinct()
+        raw = [self._hash(i).alias(f"a{i}") for i in self.topics]
+        self._set_words(materialize(words.select(term, *raw), "topic-start"), 0.0)
+        self.docs = counts.select(doc).distinct().select(doc, *[F.lit(1.0 / k).alias(f"t{i}") for i in self.topics])
+
+    @property
+    def topics(self) -> range:
+        return range(1, self.k + 1)
+
+    def _hash(self, i: int):
+        text = F.concat(F.col(self.term), F.lit(f"#{i}"))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+    def _set_words(self, sums: DataFrame, eta: float) -> None:
+        total = sums.agg(*[F.sum(F.col(f"a{i}") + eta).alias(f"a{i}") for i in self.topics]).first()
+        self.words = sums.select(self.term, *[((F.col(f"a{i}") + eta) / F.lit(total[f"a{i}"])).alias(f"w{i}")
+                                              for i in self.topics])
+
+    def step(self) -> "TopicFit":
+        """One round: every count split over the topics, parts added up by word and by document."""
+        j = join_totals(self.counts.join(self.words, self.term), self.docs, (self.doc,), self.term)
+        part = {i: F.col(f"w{i}") * F.col(f"t{i}") for i in self.topics}
+        j = j.withColumns({f"p{i}": p for i, p in part.items()})
+        j = j.withColumn("s", sum((F.col(f"p{i}") for i in list(self.topics)[1:]), F.col("p1")))
+        sums = [F.sum(F.col(self.n) * F.col(f"p{i}") / F.col("s")).alias(f"a{i}") for i in self.topics]
+        both = j.groupingSets([[self.term], [self.doc]], self.term, self.doc).agg(
+            *sums, F.sum(F.col(self.n) * F.ln("s")).alias("ll"), F.grouping(self.term).alias("of_doc"))
+        both = materialize(both, "topic-step")
+        words, docs = both.where("of_doc = 0"), both.where("of_doc = 1")
+        self.likelihood = docs.agg(F.sum("ll")).first()[0]
+        self._set_words(words, ETA)
+        whole = sum((F.col(f"a{i}") for i in list(self.topics)[1:]), F.col("a1")) + F.lit(self.k * ALPHA)
+        self.docs = docs.select(self.doc, *[((F.col(f"a{i}") + ALPHA) / whole).alias(f"t{i}") for i in self.topics])
+        self.steps += 1
+        return self
+
+    def run(self, steps: int) -> "TopicFit":
+        for _ in range(steps):
+            self.step()
+        return self
+
+    def until(self, tolerance: float, limit: int) -> "TopicFit":
+        """Steps until the log-likelihood changes by less than ``tolerance``, relatively; it is an
+        error if ``limit`` steps are not enough."""
+        while True:
+            before = self.likelihood
+            self.step()
+            if before is not None and abs(self.likelihood - before) <= tolerance * abs(before):
+                return self
+            if self.steps >= limit:
+                raise RuntimeError(f"no convergence to {tolerance} in {limit} steps")
+
+    def beta(self) -> DataFrame:
+        """Long topic-term table (topic 1..k, term, beta); beta sums to 1 per topic."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("topic"), F.col(f"w{i}").alias("beta")) for i in self.topics]))
+        return self.words.select(F.col(self.term).alias("term"), pairs.alias("p")).select(
+            F.col("p.topic").alias("topic"), "term", F.col("p.beta").alias("beta"))
 
 
-def topic_beta(model: LDAModel, vocab: DataFrame, vocab_size: int) -> DataFrame:
-    """Long topic-term table (topic 1..k, term, beta); beta sums to 1 per topic."""
-    topics = model.describeTopics(maxTermsPerTopic=vocab_size)
-    pairs = topics.select(
-        (F.col("topic") + 1).cast("int").alias("topic"),
-        F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p"),
-    ).select("topic", F.col("p.termIndices").alias("term_index"), F.col("p.termWeights").alias("beta"))
-    return pairs.join(vocab.withColumnRenamed("word", "term"), "term_index").select("topic", "term", "beta")
+def top_topic_terms(beta: DataFrame, k: int = 5) -> DataFrame:
+    """Top k terms per topic by beta (ties kept; all terms where there are fewer), ordered by
+    topic, then beta descending."""
+    return top_k_ties(beta, ["topic"], "beta", k).orderBy("topic", F.desc("beta"), "term")
 
 
-def top_topic_terms(beta: DataFrame, k: int = 5) -> DataFrame:
-    """Top k terms per topic by beta (ties kept), ordered by topic then beta descending."""
-    return top_k_ties(beta, ["topic"], F.desc("beta"), k).orderBy("topic", F.desc("beta"), "term")
-
-
-def top_topic_terms_from_model(model: LDAModel, vocab: DataFrame, k: int = 5) -> DataFrame:
-    """Top k terms per topic with ties, without expanding the whole topic-term table.
-
-    ``describeTopics(m)`` returns each topic's m heaviest terms. m starts at k and doubles
-    until, in every topic, the m-th weight is strictly below the k-th one (or the topic
-    has fewer than m terms), so every term tied with the k-th is inside the fetched set;
-    the ranking below is then exact. Only one scalar pair per topic reaches the driver.
-    """
-    m = k
-    while True:
-        t = model.describeTopics(maxTermsPerTopic=m)
-        checks = t.select(
-            F.size("termWeights").alias("n"),
-            F.element_at("termWeights", k).alias("kth"),
-            F.element_at("termWeights", -1).alias("last"),
-        ).collect()
-        if all(r["n"] < m or r["last"] < r["kth"] for r in checks):
-            break
-        m *= 2
-    pairs = t.select(
-        (F.col("topic") + 1).cast("int").alias("topic"),
-        F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p"),
-    ).select("topic", F.col("p.termIndices").alias("term_index"), F.col("p.termWeights").alias("beta"))
-    beta = pairs.join(vocab.withColumnRenamed("word", "term"), "term_index").select("topic", "term", "beta")
-    return top_topic_terms(beta, k)
-
-
-def topic_summary(model: LDAModel, vocab_size: int) -> DataFrame:
-    """Per topic: number of terms and total weight, from the weight arrays (no expansion)."""
-    topics = model.describeTopics(maxTermsPerTopic=vocab_size)
-    return topics.select(
-        (F.col("topic") + 1).cast("int").alias("topic"),
-        F.size("termWeights").cast("bigint").alias("n_terms"),
-        F.aggregate("termWeights", F.lit(0.0), lambda acc, w: acc + w).alias("beta_sum"),
-    )
+def topic_summary(beta: DataFrame) -> DataFrame:
+    """Per topic: number of terms and total weight."""
+    return beta.groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("beta").alias("beta_sum"))

@@ -52,23 +52,38 @@ trade AS (
     CAST(SUM(CASE WHEN side = 'exp' THEN v END) AS DOUBLE) AS nom_exports_dom,
     CAST(SUM(CASE WHEN side = 'imp' THEN v END) AS DOUBLE) AS nom_imports_dom,
     CAST(SUM(CASE WHEN side = 'exp' THEN q END) AS DOUBLE) AS real_exports,
-    CAST(SUM(CASE WHEN side = 'imp' THEN q END) AS DOUBLE) AS real_imports,
-    CAST(SUM(CASE WHEN side = 'imp' AND x = {REPORTER_KEY} AND m <> {REPORTER_KEY} THEN v END) AS DOUBLE)
-      AS exports_by_reporter
+    CAST(SUM(CASE WHEN side = 'imp' THEN q END) AS DOUBLE) AS real_imports
   FROM (SELECT m AS nation, 'imp' AS side, * FROM flows
         UNION ALL SELECT x AS nation, 'exp' AS side, * FROM flows) sides
   GROUP BY nation, year),
+code_list AS (
+  SELECT CASE WHEN n_name <> 'NATION_24' THEN 'Z' || chr(65 + n_nationkey::INTEGER) END AS iso2c,
+         'N' || lpad(n_nationkey::VARCHAR, 2, '0') AS partner_iso FROM nation),
+code_file AS (
+  SELECT n_name AS country,
+         upper(CASE WHEN n_name = 'NATION_9' THEN 'x99' ELSE 'n' || lpad(n_nationkey::VARCHAR, 2, '0') END) AS partner_iso
+  FROM nation WHERE n_name <> 'NATION_5'),
+codes AS (
+  SELECT f.country, f.partner_iso, c.iso2c
+  FROM (SELECT * FROM code_list WHERE iso2c IS NOT NULL) c RIGHT JOIN code_file f ON c.partner_iso = f.partner_iso),
+accounts AS (
+  SELECT n.n_name AS country, g.m, g.year, g.cons_final, g.gfcf_final, t.cons_final_nominal, t.gfcf_final_nominal,
+         t.nom_exports_dom, t.nom_imports_dom, t.real_exports, t.real_imports
+  FROM gdp g LEFT JOIN trade t ON g.m = t.m AND g.year = t.year JOIN nation n ON g.m = n.n_nationkey),
 w0 AS (
-  SELECT g.m, g.year, g.cons_final, g.gfcf_final, t.cons_final_nominal, t.gfcf_final_nominal,
-         t.nom_exports_dom, t.nom_imports_dom, t.real_exports, t.real_imports, t.exports_by_reporter
-  FROM gdp g LEFT JOIN trade t ON g.m = t.m AND g.year = t.year),
+  SELECT a.*, CASE WHEN a.country = 'NATION_5' THEN 'N05' ELSE c.partner_iso END AS partner_iso,
+         CASE WHEN a.country = 'NATION_5' THEN 'ZF' ELSE c.iso2c END AS iso2c
+  FROM codes c RIGHT JOIN accounts a ON c.country = a.country),
+series AS (
+  SELECT f.year, k.iso2c, CAST(SUM(f.v) AS DOUBLE) AS exports_by_reporter
+  FROM flows f JOIN (SELECT DISTINCT m, iso2c FROM w0 WHERE iso2c IS NOT NULL) k ON f.m = k.m
+  WHERE f.x = {REPORTER_KEY} AND f.m <> {REPORTER_KEY} GROUP BY f.year, k.iso2c),
 world AS (
-  SELECT w0.year, n.n_name AS country, w0.m AS nation_key, w0.cons_final, w0.gfcf_final,
+  SELECT w0.year, w0.country, w0.m AS nation_key, w0.partner_iso, w0.iso2c, w0.cons_final, w0.gfcf_final,
          w0.cons_final_nominal, w0.gfcf_final_nominal, w0.nom_exports_dom, w0.nom_imports_dom,
-         w0.real_exports, w0.real_imports, w0.exports_by_reporter, r.total_exports
-  FROM w0 LEFT JOIN (SELECT year, nom_exports_dom AS total_exports FROM w0 WHERE m = {REPORTER_KEY}) r
-         ON w0.year = r.year
-  JOIN nation n ON w0.m = n.n_nationkey)"""
+         w0.real_exports, w0.real_imports, s.exports_by_reporter, r.total_exports
+  FROM w0 LEFT JOIN series s ON w0.year = s.year AND w0.iso2c = s.iso2c
+  LEFT JOIN (SELECT year, nom_exports_dom AS total_exports FROM w0 WHERE m = {REPORTER_KEY}) r ON w0.year = r.year)"""
 
 
 def lag_t(x: str, unit: str = "country", time: str = "year") -> str:
@@ -126,7 +141,7 @@ DECOMP_COLS = ["FA_components", "FA", "DA_index", "TR", "RA", "FMI", "DMI", "RMI
 ORACLE: dict[str, str] = {}
 
 ORACLE["trade_panel"] = "WITH " + TRADE_WORLD + """
-SELECT year, country, nation_key, """ + ", ".join(r6(c) for c in [
+SELECT year, country, nation_key, partner_iso, iso2c, """ + ", ".join(r6(c) for c in [
     "cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal", "nom_exports_dom",
     "nom_imports_dom", "real_exports", "real_imports", "exports_by_reporter", "total_exports"]) + """
 FROM world"""
@@ -172,8 +187,24 @@ FROM periods p LEFT JOIN reporter s ON s.year = p.start_y LEFT JOIN reporter e O
 
 # ------------------------------------------------------------------ corpus statistics
 
-from panelspark.functions.text import TOKEN_PATTERN  # noqa: E402
-from panelspark.sources.stopwords import CUSTOM_STOPWORDS, SPARK_ENGLISH_STOPWORDS  # noqa: E402
+# The oracle's own token pattern and lists, so that a fault in the package's shows.
+TOKEN = (r"(?:\p{Nd}+(?:[.,;']\p{Nd}+)*"            # digit runs joined by . , ; '
+         r"|[\p{L}\p{M}]+(?:['’.:·][\p{L}\p{M}]+)*"   # letter runs joined by ' ’ . : ·
+         r"|_)+")
+CUSTOM = """2 4 100 1000 8 10 720 1883 1878 1873 1880 1879 0 1882 1884 pp 4_i 4_l 100_l 1000_l 8_s 720_s
+10_s 3_l 720_l 10,000_l 50_l _on metamorphosis tokens qrs 5_l 2000_l 5000_l whilst laborers labourers
+8_d g etc l 20,000_l ..a... 1870 8vo 900_l 9_s 4_s 2_s 200_l 1,000 laboring laborer labourer
+the der les und que""".split()
+ENGLISH = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+her hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above
+below to from up down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too very s t can will
+just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're
+he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't
+hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's
+how's let's ought that's there's what's when's where's who's why's would""".split()
 
 
 def _sql_str(s: str) -> str:
@@ -184,25 +215,25 @@ def _word_values(words) -> str:
     return "(VALUES " + ", ".join(f"({_sql_str(w)})" for w in sorted({w.lower() for w in words})) + ") v(word)"
 
 
-TOK_SQL = _sql_str(TOKEN_PATTERN)
+TOK_SQL = _sql_str(TOKEN)
 
 TEXT = f"""
-docs AS (SELECT doc_id, lang AS author, source, text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+docs AS (SELECT doc_id, lang AS author, source, text FROM documents WHERE lang IN ('en', 'fr', 'de')),
 tok AS (SELECT doc_id, author, unnest(regexp_extract_all(lower(text), {TOK_SQL}, 0)) AS word FROM docs),
 counts AS (SELECT author, word, count(*) AS n FROM tok GROUP BY author, word),
 totals AS (SELECT author, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY author),
 wt AS (SELECT c.author, c.word, c.n, t.total FROM counts c LEFT JOIN totals t ON c.author = t.author),
 zipf AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY author ORDER BY n DESC, word) AS INTEGER) AS rank,
+  SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, word) AS rank,
          n / total AS term_frequency FROM wt),
 dfreq AS (SELECT word, count(*) AS df FROM counts GROUP BY word),
 ndocs AS (SELECT count(DISTINCT author) AS nd FROM counts),
 tfidf AS (
   SELECT c.author, c.word, c.n, c.n / t.total AS tf, ln(nd / df) AS idf, (c.n / t.total) * ln(nd / df) AS tf_idf
   FROM counts c JOIN totals t ON c.author = t.author JOIN dfreq f ON c.word = f.word, ndocs),
-cleaned AS (SELECT * FROM tfidf WHERE word NOT IN (SELECT word FROM {_word_values(CUSTOM_STOPWORDS)})),
+cleaned AS (SELECT * FROM tfidf WHERE word NOT IN (SELECT word FROM {_word_values(CUSTOM)})),
 top15 AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY author ORDER BY tf_idf DESC) AS rk FROM cleaned) WHERE rk <= 15),
-kept AS (SELECT * FROM tok WHERE word NOT IN (SELECT word FROM {_word_values(SPARK_ENGLISH_STOPWORDS)})),
+kept AS (SELECT * FROM tok WHERE word NOT IN (SELECT word FROM {_word_values(ENGLISH)})),
 kcounts AS (SELECT author, word, count(*) AS n FROM kept GROUP BY author, word)"""
 
 ORACLE["corpus_scan"] = f"WITH {TEXT} SELECT doc_id, author, source, CAST(length(text) AS BIGINT) AS text_chars FROM docs"
@@ -210,7 +241,7 @@ ORACLE["tokenize_words"] = f"""WITH {TEXT},
 arr AS (SELECT doc_id, author, regexp_extract_all(lower(text), {TOK_SQL}, 0) AS t FROM docs)
 SELECT doc_id, author, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_types,
        CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS token_chars FROM arr"""
-ORACLE["word_counts"] = f"WITH {TEXT} SELECT author, word, n FROM counts"
+ORACLE["word_counts"] = f"WITH {TEXT} SELECT author, word, n, row_number() OVER (ORDER BY n DESC, author, word) AS position FROM counts"
 ORACLE["word_totals"] = f"WITH {TEXT} SELECT author, word, n, total FROM wt"
 ORACLE["zipf_rank"] = f"WITH {TEXT} SELECT author, word, n, total, rank, {r6('term_frequency')} FROM zipf"
 ORACLE["zipf_loglog"] = f"""WITH {TEXT} SELECT author, word, rank, {r6('log10(rank)', 'log_rank')},
@@ -219,13 +250,24 @@ ORACLE["tf_idf"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf')}, {r6('idf')}
 ORACLE["stopword_antijoin_custom"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf')}, {r6('idf')}, {r6('tf_idf')} FROM cleaned"
 ORACLE["tfidf_top_terms"] = f"WITH {TEXT} SELECT author, word, n, {r6('tf_idf')} FROM top15"
 ORACLE["topk_ties"] = f"""WITH {TEXT} SELECT author, word, n FROM
-  (SELECT *, rank() OVER (PARTITION BY author ORDER BY n DESC) AS rk FROM counts) WHERE rk <= 3"""
+  (SELECT *, rank() OVER (PARTITION BY author ORDER BY n DESC) AS rk FROM counts) WHERE rk <= 200"""
 ORACLE["label_reorder"] = f"""WITH {TEXT},
 means AS (SELECT word, avg(tf_idf) AS word_level_mean FROM top15 GROUP BY word),
-lv AS (SELECT word, word_level_mean, CAST(row_number() OVER (ORDER BY word_level_mean, word) AS INTEGER) AS word_level FROM means)
+lv AS (SELECT word, word_level_mean, row_number() OVER (ORDER BY word_level_mean, word) AS word_level FROM means)
 SELECT t.author, t.word, {r6('t.tf_idf', 'tf_idf')}, {r6('lv.word_level_mean', 'word_level_mean')}, lv.word_level,
-       t.word || '___' || t.author AS word_in_author
+       t.word || '___' || t.author AS word_in_author,
+       row_number() OVER (PARTITION BY t.author ORDER BY t.tf_idf, t.word) AS word_in_author_place
 FROM top15 t LEFT JOIN lv ON t.word = lv.word"""
+ORACLE["tf_idf_by_source"] = f"""WITH
+tok AS (SELECT source AS author, unnest(regexp_extract_all(lower(text), {TOK_SQL}, 0)) AS word FROM documents),
+counts AS (SELECT author, word, count(*) AS n FROM tok GROUP BY author, word),
+dfreq AS (SELECT word, count(*) AS df FROM counts GROUP BY word),
+x AS (
+  SELECT c.author, c.n, ln((SELECT count(DISTINCT author) FROM counts) / df) AS idf,
+         c.n / sum(c.n) OVER (PARTITION BY c.author) AS tf
+  FROM counts c JOIN dfreq USING (word))
+SELECT author, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n_tokens, {r6('sum(tf * idf)', 'tf_idf_sum')},
+       {r6('max(idf)', 'idf_max')} FROM x GROUP BY author"""
 ORACLE["stopword_antijoin_builtin"] = f"WITH {TEXT} SELECT doc_id, author, count(*) AS n_kept FROM kept GROUP BY doc_id, author"
 ORACLE["topic_word_counts"] = f"WITH {TEXT} SELECT author, word, n FROM kcounts"
 ORACLE["dtm_stats"] = f"""WITH {TEXT}
@@ -234,6 +276,37 @@ SELECT author, count(*) AS nnz, CAST(sum(n) AS DOUBLE) AS row_sum,
 FROM kcounts GROUP BY author"""
 
 
+def topics_sql(steps: int, k: int = 4, alpha: float = 0.1, eta: float = 0.01) -> str:
+    """CTEs of ``steps`` rounds of the topic fit; the last word weights are w{steps}."""
+    ks = range(1, k + 1)
+    cols = lambda f: ", ".join(f(i) for i in ks)
+    out = [TEXT, "tc AS MATERIALIZED (SELECT * FROM kcounts)", """h AS (SELECT word, """ + cols(
+        lambda i: f"('0x' || substr(md5(word || '#{i}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS a{i}")
+        + " FROM (SELECT DISTINCT word FROM tc))",
+        "w0 AS MATERIALIZED (SELECT word, " + cols(lambda i: f"a{i} / (SELECT sum(a{i}) FROM h) AS w{i}") + " FROM h)",
+        "t0 AS MATERIALIZED (SELECT DISTINCT author, " + cols(lambda i: f"{1 / k}::DOUBLE AS t{i}") + " FROM tc)"]
+    total = " + ".join(f"w{i} * t{i}" for i in ks)
+    for s in range(steps):
+        out += [
+            f"j{s} AS MATERIALIZED (SELECT author, word, " + cols(lambda i: f"n * w{i} * t{i} / ({total}) AS a{i}")
+            + f" FROM tc JOIN w{s} USING (word) JOIN t{s} USING (author))",
+            f"nw{s} AS MATERIALIZED (SELECT word, " + cols(lambda i: f"sum(a{i}) + {eta} AS a{i}") + f" FROM j{s} GROUP BY word)",
+            f"nt{s} AS (SELECT author, " + cols(lambda i: f"sum(a{i}) + {alpha} AS a{i}") + f" FROM j{s} GROUP BY author)",
+            f"w{s + 1} AS MATERIALIZED (SELECT word, " + cols(lambda i: f"a{i} / (SELECT sum(a{i}) FROM nw{s}) AS w{i}") + f" FROM nw{s})",
+            f"t{s + 1} AS MATERIALIZED (SELECT author, " + cols(lambda i: f"a{i} / ({' + '.join(f'a{x}' for x in ks)}) AS t{i}") + f" FROM nt{s})"]
+    beta = " UNION ALL ".join(f"SELECT {i} AS topic, word AS term, w{i} AS beta FROM w{steps}" for i in ks)
+    return "WITH " + ",\n".join(out) + f",\nbeta AS ({beta})\n"
+
+
+ORACLE["topic_em_step"] = topics_sql(1) + f"SELECT topic, term, {r6('beta')} FROM beta"
+ORACLE["topic_beta"] = topics_sql(5) + f"SELECT topic, term, {r6('beta')} FROM beta"
+ORACLE["topic_top_terms"] = topics_sql(5) + f"""SELECT topic, term, {r6('beta')} FROM
+  (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS rk FROM beta) WHERE rk <= 5"""
+ORACLE["topic_model"] = f"""WITH {TEXT}
+SELECT topic, (SELECT count(DISTINCT word) FROM kcounts) AS n_terms, 1.0::DOUBLE AS beta_sum
+FROM (VALUES (1), (2), (3), (4)) v(topic)"""
+
+
 # ------------------------------------------------------------------ crime / police panel
 
 CUTOFF = 1998
@@ -288,7 +361,10 @@ base AS (
   SELECT ORI7, year,
     CASE WHEN year <= {CUTOFF} THEN CAST(n_orders AS DOUBLE) / 1000.0::DOUBLE END AS Z,
     CASE WHEN year <= {CUTOFF} THEN actual_burg_total / 1000.0::DOUBLE END AS C2
-  FROM cells WHERE m < 20),
+  FROM cells WHERE m < 20
+  UNION ALL SELECT '99-NONE', 1999, NULL, NULL),
+original AS (
+  SELECT ORI7, year, CAST(n_orders AS DOUBLE) * 1.5::DOUBLE AS full_time_original FROM cells WHERE year <= {CUTOFF}),
 xwalk AS (
   SELECT DISTINCT CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment AS ORI7,
     CAST(100000000 + CAST(c_nationkey AS BIGINT) * 10 + {SEG_INDEX.format(c='c_mktsegment')} AS BIGINT) AS GOVID
@@ -302,14 +378,15 @@ emp_raw AS (
   FROM cells, (VALUES (62, 1.0::DOUBLE), (5, 2.0::DOUBLE)) t(type_emp, f) WHERE year > {CUTOFF}),
 emp AS (SELECT GOVID, CAST(n_orders AS DOUBLE) AS full_time, year FROM cells WHERE year > {CUTOFF}),
 pop_raw AS (
-  SELECT CASE WHEN m = 24 AND c_mktsegment = 'MACHINERY' THEN 'UNKNOWN' ELSE CAST(GOVID * 100000 AS VARCHAR) END AS govid,
+  SELECT CASE WHEN m = 24 AND c_mktsegment = 'MACHINERY' THEN 'UNKNOWN'
+         WHEN m = 24 AND c_mktsegment = 'HOUSEHOLD' THEN '1.2.3' ELSE CAST(GOVID * 100000 AS VARCHAR) END AS govid,
     'CITY ' || ORI7 AS name, '1' AS region_code, 'COUNTY ' || STATE AS county_name,
     lpad(CAST(m AS VARCHAR), 2, '0') AS fips_state, lpad(CAST({SEG_INDEX.format(c='c_mktsegment')} AS VARCHAR), 3, '0') AS fips_county,
     CAST(CAST(floor(population / 1000) AS BIGINT) AS VARCHAR) AS pop_asg, substr(CAST(year AS VARCHAR), 3, 2) AS pop_year,
     year, GOVID AS real_govid, m, c_mktsegment
   FROM cells WHERE year > {CUTOFF}),
 pop0 AS (
-  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID,
+  SELECT CASE WHEN govid IN ('UNKNOWN', '1.2.3') THEN NULL ELSE real_govid END AS GOVID,
          CAST(pop_asg AS DOUBLE) AS pop_asg, year FROM pop_raw),
 pop AS (
   SELECT GOVID, pop_asg, year, ln(pop_asg) - ln({lag_t('pop_asg', 'GOVID')}) AS g_pop
@@ -321,9 +398,10 @@ linked AS (
   SELECT s.ORI7, a.STATE, a.year, a.actual_murder, a.actual_rape_total, a.actual_robbery_total,
          a.actual_assault_total, a.actual_burg_total, a.actual_theft_total, a.actual_mtr_veh_theft_total,
          a.actual_index_property, a.actual_index_violent, a.population, a.total_employees_officers,
-         x.GOVID, e.full_time, p.pop_asg, p.g_pop
+         o.full_time_original, x.GOVID, e.full_time, p.pop_asg, p.g_pop
   FROM (SELECT DISTINCT ORI7 FROM base) s
   LEFT JOIN ucr_all a ON s.ORI7 = a.ORI7
+  LEFT JOIN original o ON s.ORI7 = o.ORI7 AND a.year = o.year
   LEFT JOIN xwalk x ON s.ORI7 = x.ORI7
   LEFT JOIN emp e ON x.GOVID = e.GOVID AND a.year = e.year
   LEFT JOIN pop p ON x.GOVID = p.GOVID AND a.year = p.year),
@@ -340,8 +418,9 @@ prep0 AS (
 prep AS (
   SELECT * EXCLUDE (Z_old),
     CASE WHEN year > {CUTOFF} THEN ln(full_time) - ln({lag_t('full_time', 'ORI7')}) ELSE Z_old END AS Z,
-    CAST(dense_rank() OVER (ORDER BY STATE, year) AS INTEGER) AS stateyear,
-    CAST(dense_rank() OVER (ORDER BY ORI7) AS INTEGER) AS cityid
+    dense_rank() OVER (ORDER BY STATE NULLS LAST, year NULLS LAST) AS stateyear,
+    dense_rank() OVER (ORDER BY ORI7) AS cityid,
+    CASE WHEN STATE IS NOT NULL THEN dense_rank() OVER (ORDER BY STATE NULLS LAST) END AS stateid
   FROM prep0),
 g1 AS (
   SELECT ORI7, GOVID, STATE, year, cityid, stateyear,
@@ -373,9 +452,9 @@ ORACLE["scan_fixed_width"] = (f"WITH {CRIME} SELECT govid, name, region_code, co
 ORACLE["ingest_year_from_file"] = f"WITH {CRIME} SELECT year, count(*) AS n_rows, {r6('sum(full_time)', 'full_time')} FROM emp_raw GROUP BY year"
 ORACLE["asg_employment"] = f"WITH {CRIME} SELECT GOVID, {r6('full_time')}, year FROM emp"
 ORACLE["asg_population"] = f"WITH {CRIME} SELECT GOVID, {r6('pop_asg')}, year, {r6('g_pop')} FROM pop"
-ORACLE["id_scale"] = f"WITH {CRIME} SELECT govid, year, CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS scaled_id FROM pop_raw"
+ORACLE["id_scale"] = f"WITH {CRIME} SELECT govid, year, CASE WHEN govid IN ('UNKNOWN', '1.2.3') THEN NULL ELSE real_govid END AS scaled_id FROM pop_raw"
 ORACLE["crime_panel_linked"] = (f"WITH {CRIME} SELECT ORI7, STATE, year, GOVID, "
-                                + ", ".join(r6(c) for c in _UCR_D + ["total_employees_officers", "full_time", "pop_asg", "g_pop"])
+                                + ", ".join(r6(c) for c in _UCR_D + ["total_employees_officers", "full_time_original", "full_time", "pop_asg", "g_pop"])
                                 + " FROM linked")
 ORACLE["cost_weighted_sum"] = f"""WITH {CRIME}, c AS (
   SELECT ORI7, year,
@@ -386,7 +465,7 @@ ORACLE["cost_weighted_sum"] = f"""WITH {CRIME}, c AS (
 SELECT ORI7, year, {r6('cw_violent')}, {r6('cw_property')}, {r6('cw_violent + cw_property', 'cw_all')} FROM c"""
 ORACLE["series_splice"] = f"WITH {CRIME} SELECT ORI7, year, {r6('Z')} FROM prep"
 ORACLE["group_id"] = f"WITH {CRIME} SELECT ORI7, year, STATE, stateyear FROM prep"
-ORACLE["unit_id"] = f"WITH {CRIME} SELECT ORI7, year, cityid FROM prep"
+ORACLE["unit_id"] = f"WITH {CRIME} SELECT ORI7, year, STATE, cityid, stateid FROM prep"
 ORACLE["base_period_weight"] = (f"WITH {CRIME} SELECT ORI7, year, "
                                 f"{r6(f'max(CASE WHEN year = {REF_YEAR} THEN population END) OVER (PARTITION BY ORI7)', 'W')} FROM linked")
 ORACLE["crime_panel_final"] = (f"WITH {CRIME} SELECT ORI7, GOVID, STATE, year, cityid, stateyear, "
@@ -399,12 +478,15 @@ ORACLE["distinct_keys"] = f"WITH {CRIME} SELECT DISTINCT ORI7 FROM base"
 ORACLE["crosswalk_bridge"] = f"""WITH {CRIME}
 SELECT u.ORI7, u.year, x.GOVID, {r6('e.full_time', 'full_time')}
 FROM ucr u LEFT JOIN xwalk x ON u.ORI7 = x.ORI7 LEFT JOIN emp e ON x.GOVID = e.GOVID AND u.year = e.year"""
-ORACLE["join_left_3key"] = (f"WITH {CRIME} SELECT ORI7, STATE, year, "
-                            + ", ".join(r6(c) for c in _UCR_D + ["total_employees_officers"]) + " FROM ucr_all")
+ORACLE["join_left_3key"] = (f"WITH {CRIME} SELECT u.ORI7, u.STATE, u.year, "
+                            + ", ".join(r6(f"u.{c}", c) for c in _UCR_D)
+                            + f", {r6('l.total_employees_officers', 'total_employees_officers')}"
+                            + f""" FROM ucr u LEFT JOIN (SELECT * FROM leoka WHERE year <= {CUTOFF}) l
+  ON u.ORI7 = l.ORI7 AND u.STATE = l.STATE AND u.year = l.year""")
 ORACLE["join_left_2key"] = f"""WITH {CRIME}
 SELECT u.ORI7, u.year, {r6('u.population', 'population')}, {r6('b.Z', 'Z')}, {r6('b.C2', 'C2')}
 FROM ucr u LEFT JOIN base b ON u.ORI7 = b.ORI7 AND u.year = b.year"""
-ORACLE["join_left"] = f"WITH {CRIME} SELECT u.ORI7, u.year, x.GOVID FROM ucr u LEFT JOIN xwalk x ON u.ORI7 = x.ORI7"
+ORACLE["join_left"] = f"WITH {CRIME} SELECT u.ORI7, u.year, x.GOVID FROM ucr u LEFT JOIN (SELECT * FROM xwalk WHERE ORI7 IN (SELECT ORI7 FROM base)) x ON u.ORI7 = x.ORI7"
 ORACLE["join_right"] = f"""WITH {CRIME}
 SELECT u.ORI7, u.year, {r6('b.Z', 'Z')}, {r6('b.C2', 'C2')}, {r6('u.population', 'population')}
 FROM base b RIGHT JOIN ucr u ON b.ORI7 = u.ORI7 AND b.year = u.year"""
@@ -413,7 +495,7 @@ SELECT u.ORI7, u.year, u.STATE AS STATE_x, {r6('u.population', 'population')}, l
        {r6('l.total_employees_officers', 'total_employees_officers')}
 FROM ucr u LEFT JOIN leoka l ON u.ORI7 = l.ORI7 AND u.year = l.year"""
 ORACLE["join_nullsafe"] = f"""WITH {CRIME}, ids AS (
-  SELECT CASE WHEN govid = 'UNKNOWN' THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw),
+  SELECT CASE WHEN govid IN ('UNKNOWN', '1.2.3') THEN NULL ELSE real_govid END AS GOVID, year, pop_asg FROM pop_raw),
 per_key AS (SELECT GOVID, year, count(*) AS n_rows FROM ids GROUP BY GOVID, year)
 SELECT a.GOVID, a.year, a.pop_asg AS pop_x, k.n_rows
 FROM ids a LEFT JOIN per_key k ON a.GOVID IS NOT DISTINCT FROM k.GOVID AND a.year = k.year"""
@@ -488,8 +570,8 @@ SELECT a.year, a.country, {r6('a.DA_level', 'DA_level')}, {r6('b.DA_level', 'bas
 FROM wl a JOIN (SELECT country, DA_level FROM wl WHERE year = {BASE_YEAR}) b ON a.country = b.country"""
 ORACLE["broadcast_reporter"] = _W + f" SELECT year, country, {r6('total_exports')} FROM world"
 ORACLE["key_override"] = _W + f""" SELECT year, country,
-  CASE WHEN country = '{REPORTER}' THEN 'REP' ELSE 'N' || lpad(CAST(nation_key AS VARCHAR), 2, '0') END AS code FROM world"""
-ORACLE["proj_select"] = _W + f" SELECT year, country, {r6('cons_final')}, {r6('gfcf_final')} FROM world"
+  CASE WHEN country = '{REPORTER}' THEN 'REP' ELSE partner_iso END AS code FROM world"""
+ORACLE["proj_select"] = f"SELECT o_orderkey, o_orderdate, {r6('o_totalprice')} FROM orders"
 ORACLE["proj_drop"] = _W + " SELECT year, country, " + ", ".join(r6(c) for c in [
     "cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal", "nom_exports_dom",
     "nom_imports_dom", "real_exports", "real_imports"]) + " FROM world"
@@ -497,16 +579,27 @@ ORACLE["proj_reorder"] = _W + f" SELECT {r6('total_exports')}, year, country, {r
 ORACLE["proj_rename"] = _W + f" SELECT year, country, {r6('cons_final', 'consumption')}, {r6('gfcf_final', 'investment')} FROM world"
 ORACLE["proj_derive"] = _W + f""" SELECT year, country, {r6('cons_final + gfcf_final', 'DA_level')},
   {r6('nom_exports_dom / nom_imports_dom', 'TR')}, {r6('-real_imports', 'neg_imports')} FROM world"""
-ORACLE["filter_eq"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world WHERE year = {BASE_YEAR}"
-ORACLE["filter_ne"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world WHERE year <> {BASE_YEAR}"
+ORACLE["filter_eq"] = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'"
+ORACLE["filter_ne"] = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"
 ORACLE["filter_not_null"] = _W + f" SELECT year, country, {r6('exports_by_reporter')} FROM world WHERE exports_by_reporter IS NOT NULL"
 ORACLE["ifelse_na"] = _W + """ SELECT year, country,
   CASE WHEN exports_by_reporter IS NULL THEN NULL WHEN exports_by_reporter > 1000000.0 THEN 'large' ELSE 'small' END AS size FROM world"""
-ORACLE["sort_multi"] = _W + f" SELECT country, year, {r6('cons_final')} FROM world ORDER BY country, year"
+ORACLE["sort_multi"] = _W + f""" SELECT country, year, {r6('cons_final')},
+  row_number() OVER (ORDER BY country, year) AS position FROM world ORDER BY country, year"""
 ORACLE["union_by_name"] = _W + f" SELECT year, country, {r6('cons_final')} FROM world"
 ORACLE["unpivot_components"] = _W + " SELECT year, country, name, " + r6("value") + " FROM (" + " UNION ALL ".join(
     f"SELECT year, country, '{c}' AS name, {c} AS value FROM world" for c in
     ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal"]) + ")"
+def significant(table: str, c: str, digits: int = 2) -> str:
+    """Decimals of a column so that every entry shows ``digits`` significant digits, as a common
+    format does: of each entry's digits in scientific notation, zeros at the end do not count."""
+    sci = f"format('{{:.{digits - 1}e}}', abs({c}))"
+    exponent = f"CAST(split_part({sci}, 'e', 2) AS INTEGER)"
+    mantissa = f"rtrim(replace(split_part({sci}, 'e', 1), '.', ''), '0')"
+    return (f"(SELECT max(greatest(0, length({mantissa}) - 1 - {exponent})) FROM {table} "
+            f"WHERE {c} <> 0 AND isfinite({c}))")
+
+
 ORACLE["format_numeric_cols"] = "WITH " + TRADE_REPORTER + """,
 periods AS (SELECT * FROM (VALUES (1995, 1997), (1998, 2000)) v(start_y, end_y)),
 pt AS (
@@ -514,7 +607,7 @@ pt AS (
     (e.log_R - s.log_R) * 100 AS R, (e.log_TR - s.log_TR) * 100 AS TR, (e.log_FA - s.log_FA) * 100 AS FA,
     -((e.log_DA - s.log_DA) * 100) AS DA, (e.log_FMI - s.log_FMI) * 100 AS FMI, -((e.log_DMI - s.log_DMI) * 100) AS DMI
   FROM periods p LEFT JOIN reporter s ON s.year = p.start_y LEFT JOIN reporter e ON e.year = p.end_y)
-SELECT period, """ + ", ".join(f"format('{{:,.2f}}', {c}) AS {c}" for c in ["R", "TR", "FA", "DA", "FMI", "DMI"]) + " FROM pt"
+SELECT period, """ + ", ".join(f"format('{{:.' || {significant('pt', c)} || 'f}}', {c}) AS {c}" for c in ["R", "TR", "FA", "DA", "FMI", "DMI"]) + " FROM pt"
 
 # ------------------------------------------------------------------ scalar functions
 
@@ -527,7 +620,7 @@ ORACLE["scalar_try_cast"] = """SELECT o_orderkey, TRY_CAST(substr(o_orderpriorit
   TRY_CAST(o_orderpriority AS DOUBLE) AS prio_bad,
   TRY_CAST(' ' || CAST(o_orderkey AS VARCHAR) || ' ' AS DOUBLE) AS padded FROM orders"""
 ORACLE["ordered_levels"] = """SELECT doc_id, lang,
-  CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'es' THEN 4 END AS lang_level FROM documents"""
+  CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 END AS lang_level FROM documents"""
 
 # ------------------------------------------------------------------ scans, sinks, nested series
 
@@ -540,5 +633,5 @@ daily AS (
   SELECT event_type AS freq, user_id AS ref_area, CAST(ts AS DATE) AS day,
          CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
   FROM events GROUP BY event_type, user_id, CAST(ts AS DATE))"""
-ORACLE["nested_series_scan"] = f"WITH {NESTED} SELECT freq, ref_area, CAST(count(*) AS INTEGER) AS n_obs FROM daily WHERE freq = 'click' GROUP BY freq, ref_area"
-ORACLE["unnest_obs"] = f"WITH {NESTED} SELECT freq, ref_area, day, {r6('value')} FROM daily WHERE freq = 'click'"
+ORACLE["nested_series_scan"] = f"WITH {NESTED} SELECT freq, ref_area, CAST(count(*) FILTER (day BETWEEN '2024-01-05' AND '2024-01-20') AS INTEGER) AS n_obs FROM daily WHERE freq = 'click' AND ref_area < 100 GROUP BY freq, ref_area"
+ORACLE["unnest_obs"] = f"WITH {NESTED} SELECT freq, ref_area, day, {r6('value')} FROM daily"

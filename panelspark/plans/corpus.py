@@ -22,15 +22,20 @@ from panelspark.sources.stopwords import builtin_stopwords, custom_stopwords
 @dataclass(frozen=True)
 class CorpusParams:
     group_col: str = "lang"                      # what plays the "author" (document) column
-    groups: tuple = ("en", "fr", "de", "es")     # IN-list on it
+    groups: tuple = ("en", "fr", "de")           # IN-list on it
+    own_stopwords: tuple = ("the", "der", "les", "und", "que")   # removed with the custom list
+    tie_rank: int = 200                          # a place where counts are tied
     top_terms: int = 15
     topics: int = 4
     topic_terms: int = 5
-    seed: int = 1234
+    topic_steps: int = 5                         # steps of the registered fits of a stated length
+    topic_tolerance: float = 1e-3                # relative change that ends a fit
+    topic_limit: int = 200                       # steps after which a fit has failed
 
 
 def corpus(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
-    return corpus_scan(spark, base_dir, p.group_col, list(p.groups))
+    meta = [c for c in ("source",) if c != p.group_col]
+    return corpus_scan(spark, base_dir, p.group_col, None if p.groups is None else list(p.groups), meta)
 
 
 def counts(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
@@ -44,7 +49,7 @@ def tfidf(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams())
 
 def cleaned(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
     """tf-idf computed with every word, then the custom stopwords removed."""
-    return tx.remove_words(tfidf(spark, base_dir, p), custom_stopwords(spark))
+    return tx.remove_words(tfidf(spark, base_dir, p), custom_stopwords(spark, p.own_stopwords))
 
 
 def kept_tokens(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:

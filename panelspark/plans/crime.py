@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import id_scale, inf_to_zero, try_number, weighted_sum
 from panelspark.operators.panel import PanelSpec, assert_unique, base_value, dlog, dlog_many, series_splice
-from panelspark.operators.relational import dense_id, semi_restrict
+from panelspark.operators.relational import bridge, dense_id, semi_restrict
 from panelspark.plans import fixtures as fx
 from panelspark.plans.fixtures import CrimeParams
 from panelspark.session import materialize
@@ -41,6 +41,8 @@ PROPERTY_WEIGHTS = {
     "actual_mtr_veh_theft_total": COST["mvt"],
 }
 
+# The series that are differenced, their final names and the layouts of the yearly
+# files.
 RELEVANT_VARS = [
     "actual_murder", "actual_rape_total", "actual_robbery_total", "actual_assault_total",
     "actual_burg_total", "actual_theft_total", "actual_mtr_veh_theft_total",
@@ -70,27 +72,25 @@ UNIT = PanelSpec(["ORI7"], "year")
 GOV_UNIT = PanelSpec(["GOVID"], "year")
 
 
-def employment_raw(spark: SparkSession, path: str, first_year: int) -> DataFrame:
+def employment_raw(spark: SparkSession, path: str, p: CrimeParams = CrimeParams()) -> DataFrame:
     """All yearly employment files, named by position, with the year of each file."""
-    return year_by_file_order(read_csv_multi(spark, path, EMPLOYMENT_SCHEMA), first_year)
+    return year_by_file_order(read_csv_multi(spark, path, EMPLOYMENT_SCHEMA), p.cutoff + 1, p.file_years)
 
 
-def asg_employment(spark: SparkSession, path: str, first_year: int,
-                   p: CrimeParams = CrimeParams()) -> DataFrame:
+def asg_employment(spark: SparkSession, path: str, p: CrimeParams = CrimeParams()) -> DataFrame:
     """Police rows (type 62) of every file: (GOVID, full_time, year), ids rescaled."""
-    raw = employment_raw(spark, path, first_year)
+    raw = employment_raw(spark, path, p)
     return raw.where(F.col("type_emp") == 62).select(
         id_scale(try_number("govid", "bigint"), p.id_scale).alias("GOVID"), "full_time", "year")
 
 
-def population_raw(spark: SparkSession, path: str, first_year: int) -> DataFrame:
-    return year_by_file_order(read_fixed_width(spark, path, POPULATION_FIELDS), first_year)
+def population_raw(spark: SparkSession, path: str, p: CrimeParams = CrimeParams()) -> DataFrame:
+    return year_by_file_order(read_fixed_width(spark, path, POPULATION_FIELDS), p.cutoff + 1, p.file_years)
 
 
-def asg_population(spark: SparkSession, path: str, first_year: int,
-                   p: CrimeParams = CrimeParams()) -> DataFrame:
+def asg_population(spark: SparkSession, path: str, p: CrimeParams = CrimeParams()) -> DataFrame:
     """(GOVID, pop_asg, year, g_pop): parsed, incomplete rows dropped, log growth added."""
-    raw = population_raw(spark, path, first_year)
+    raw = population_raw(spark, path, p)
     pop = raw.select(
         id_scale(try_number("govid", "bigint"), p.id_scale).alias("GOVID"),
         try_number("pop_asg", "double").alias("pop_asg"),
@@ -102,16 +102,16 @@ def asg_population(spark: SparkSession, path: str, first_year: int,
 class CrimeInputs:
     """The inputs of the crime plan, derived from the test tables.
 
-    The (unit, year) cell table is written once and serves both the crime counts and the
-    sample; the file-based series are read from the yearly files at ``emp_path`` /
-    ``pop_path``. Members are built on first use.
+    The (unit, year) cell table is written once (or handed in, written); it serves the crime
+    counts, the sample, the original employment and the yearly files. Officers need the order
+    lines, so orders are read twice in all. Members are built on first use.
     """
 
-    def __init__(self, spark: SparkSession, base_dir: str, emp_path: str | None = None,
-                 pop_path: str | None = None, p: CrimeParams = CrimeParams()):
+    def __init__(self, spark: SparkSession, base_dir: str, cells: DataFrame | None = None,
+                 emp_path: str | None = None, pop_path: str | None = None, p: CrimeParams = CrimeParams()):
         self.spark, self.base_dir, self.p = spark, base_dir, p
         self.emp_path, self.pop_path = emp_path, pop_path
-        self._cells = None
+        self._cells = cells
 
     @property
     def cells(self) -> DataFrame:
@@ -131,33 +131,37 @@ class CrimeInputs:
     def leoka(self) -> DataFrame:
         return fx.leoka(self.spark, self.base_dir)
 
+    @property
+    def original(self) -> DataFrame:
+        return fx.original_employment(self.cells, self.p)
+
     @property
     def crosswalk(self) -> DataFrame:
         return fx.crosswalk(self.spark, self.base_dir)
 
     @property
     def employment(self) -> DataFrame:
-        return asg_employment(self.spark, self.emp_path, self.p.cutoff + 1, self.p)
+        return asg_employment(self.spark, self.emp_path, self.p)
 
     @property
     def population(self) -> DataFrame:
-        return asg_population(self.spark, self.pop_path, self.p.cutoff + 1, self.p)
+        return asg_population(self.spark, self.pop_path, self.p)
 
     def linked(self) -> DataFrame:
-        return link(self.ucr, self.leoka, self.base, self.crosswalk, self.employment, self.population)
+        return link(self.ucr, self.leoka, self.base, self.original, self.crosswalk, self.employment, self.population)
 
     def prepared(self) -> DataFrame:
         return prepare(self.linked(), self.base, self.p)
 
 
-def link(ucr: DataFrame, leoka: DataFrame, base: DataFrame, crosswalk: DataFrame,
+def link(ucr: DataFrame, leoka: DataFrame, base: DataFrame, original: DataFrame, crosswalk: DataFrame,
          employment: DataFrame, population: DataFrame) -> DataFrame:
-    """Crime and officers, restricted to the sample units, bridged to the government id
-    and extended with the file-based employment and population series."""
+    """Crime and officers, restricted to the sample units, with the original employment series,
+    bridged to the government id and extended with the file-based employment and population."""
     ucr_all = ucr.join(leoka, ["ORI7", "STATE", "year"], "left")
     final = semi_restrict(base, ucr_all, ["ORI7"])
-    final = final.join(crosswalk, "ORI7", "left")
-    final = final.join(employment, ["GOVID", "year"], "left")
+    final = final.join(original, ["ORI7", "year"], "left")
+    final = bridge(final, crosswalk, "ORI7", "GOVID", employment, ["GOVID", "year"])
     return final.join(population, ["GOVID", "year"], "left")
 
 

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators.panel import PanelSpec, assert_unique
 from panelspark.session import materialize
 from panelspark.sources.tables import scan_table
 
@@ -24,6 +23,9 @@ from panelspark.sources.tables import scan_table
 class TradeParams:
     reporter: str = "NATION_3"
     reporter_key: int = 3
+    reporter_iso2: str = "ZD"
+    first_year: int = 1995
+    last_year: int = 2001
     base_year: int = 1995
     periods: tuple = ((1995, 1997), (1998, 2000))
 
@@ -52,17 +54,17 @@ def order_facts(spark: SparkSession, base_dir: str) -> DataFrame:
     )
 
 
-def trade_flows(spark: SparkSession, base_dir: str) -> DataFrame:
+def trade_flows(spark: SparkSession, base_dir: str, orders: DataFrame) -> DataFrame:
     """Bilateral flow cube: value and quantity by (year, exporter x, importer m, return flag).
 
     The cube has at most years x nations^2 x flags rows, so the fact-side work is one
-    partial + final aggregation after the joins.
+    partial + final aggregation after the joins. ``orders`` are the order facts.
     """
     li = scan_table(spark, base_dir, "lineitem",
                     ["l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity",
                      "l_returnflag"])
     s = scan_table(spark, base_dir, "supplier", ["s_suppkey", "s_nationkey"])
-    o = order_facts(spark, base_dir).select("o_orderkey", "year", "m")
+    o = orders.select("o_orderkey", "year", "m")
     # net value in 1/10000 units: cents * (100 - discount in hundredths), exact
     v = cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
     return (
@@ -73,19 +75,57 @@ def trade_flows(spark: SparkSession, base_dir: str) -> DataFrame:
     )
 
 
-def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
-    """The country x year panel: expenditure, trade totals, reporter's bilateral exports.
+# Fixed values of the stand-in: the country that the code file lacks and whose codes are put in
+# by hand, the one whose code is wrong there, and the one without a two-letter code.
+NOT_IN_FILE, WRONG_IN_FILE, NO_ISO2 = "NATION_5", "NATION_9", "NATION_24"
 
-    Country cells are those with orders (the 'GDP' table); trade columns are NULL where
-    a country has no flows in a year.
+
+def code_list(spark: SparkSession, base_dir: str) -> DataFrame:
+    """(country, iso2c, iso3c): the code dimension. Its country names differ in case from those of
+    the data, and one country has no two-letter code."""
+    n = scan_table(spark, base_dir, "nation", ["n_nationkey", "n_name"])
+    iso2 = F.concat(F.lit("Z"), F.char(F.col("n_nationkey") + 65))
+    return n.select(F.initcap("n_name").alias("country"),
+                    F.when(F.col("n_name") != NO_ISO2, iso2).alias("iso2c"),
+                    F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3c"))
+
+
+def code_file(spark: SparkSession, base_dir: str) -> DataFrame:
+    """(country, partner_iso): the code file with the data's country names and lower-case codes;
+    one country is missing, one has a code that no list knows."""
+    n = scan_table(spark, base_dir, "nation", ["n_nationkey", "n_name"]).where(F.col("n_name") != NOT_IN_FILE)
+    code = F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    return n.select(F.col("n_name").alias("country"),
+                    F.when(F.col("n_name") == WRONG_IN_FILE, F.lit("x99")).otherwise(code).alias("partner_iso"))
+
+
+def export_series(flows: DataFrame, codes: DataFrame, p: TradeParams) -> DataFrame:
+    """Nested series of the reporter's exports to each partner: yearly totals as text (frequency
+    "A"), and a second frequency that the analysis has to leave out. ``codes`` is (m, iso2c)."""
+    yearly = flows.where((F.col("x") == p.reporter_key) & (F.col("m") != p.reporter_key)).groupBy("m", "year").agg(
+        F.sum("v").alias("v"))
+    obs = F.struct(F.col("year").cast("string").alias("time"), F.col("v").cast("string").alias("value"))
+    nested = yearly.groupBy("m").agg(F.array_sort(F.collect_list(obs)).alias("obs")).join(codes, "m")
+    kinds = F.explode(F.array(F.lit("A"), F.lit("Q")))
+    return nested.select(kinds.alias("freq"), F.lit(p.reporter_iso2).alias("ref_area"),
+                         F.col("iso2c").alias("counterpart_area"), "obs")
+
+
+def national_accounts(spark: SparkSession, base_dir: str, p: TradeParams) -> tuple[DataFrame, DataFrame]:
+    """((country, year) cells of expenditure and trade totals, bilateral flow cube), both written.
+
+    Country cells are those with orders (the 'GDP' table); trade columns are NULL where a
+    country has no flows in a year. Orders and customers are read and joined once: the narrow
+    order facts are written and serve both the expenditure sums and the flows.
     """
     dbl = lambda c: c.cast("double")
-    nation = F.broadcast(scan_table(spark, base_dir, "nation", ["n_nationkey", "n_name"]))
-    gdp = order_facts(spark, base_dir).groupBy("m", "year").agg(
+    orders = materialize(order_facts(spark, base_dir).select("o_orderkey", "year", "m", "o_orderstatus", "price"),
+                         "order_facts")
+    gdp = orders.groupBy("m", "year").agg(
         from_cents(F.sum(F.when(F.col("o_orderstatus").isin("F", "P"), F.col("price")))).alias("cons_final"),
         from_cents(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("price")))).alias("gfcf_final"),
     )
-    flows = trade_flows(spark, base_dir)
+    flows = materialize(trade_flows(spark, base_dir, orders), "trade_flows")
     # each flow row counts once for the importer and once for the exporter
     sides = flows.select(
         "year", "v", "q", "rf", "x", "m",
@@ -103,31 +143,18 @@ def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams
         dbl(F.sum(F.when(imp, F.col("v")))).alias("nom_imports_dom"),
         dbl(F.sum(F.when(exp_, F.col("q")))).alias("real_exports"),
         dbl(F.sum(F.when(imp, F.col("q")))).alias("real_imports"),
-        dbl(F.sum(F.when(imp & (F.col("x") == p.reporter_key) & (F.col("m") != p.reporter_key),
-                         F.col("v")))).alias("exports_by_reporter"),
-    )
-    # one row per (country, year): written once, so the reporter's series below is a filter
-    # of the written table rather than a second pass over the flows
-    world = materialize(gdp.join(trade, ["m", "year"], "left"), "trade_cells")
-    assert_unique(world, PanelSpec(["m"], "year"))
-    # the reporter's own exports, one row per year, attached to every country of that year
-    reporter_exports = F.broadcast(
-        world.where(F.col("m") == p.reporter_key)
-        .select("year", F.col("nom_exports_dom").alias("total_exports"))
-    )
-    world = world.join(reporter_exports, "year", "left")
-    return world.join(nation, world.m == nation.n_nationkey).select(
-        "year", F.col("n_name").alias("country"), F.col("m").alias("nation_key"),
-        "cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal",
-        "nom_exports_dom", "nom_imports_dom", "real_exports", "real_imports",
-        "exports_by_reporter", "total_exports",
     )
+    nation = scan_table(spark, base_dir, "nation", ["n_nationkey", "n_name"])
+    cells = gdp.join(trade, ["m", "year"], "left").join(nation, F.col("m") == nation.n_nationkey)
+    cells = cells.withColumnsRenamed({"n_name": "country", "m": "nation_key"}).drop("n_nationkey")
+    return materialize(cells, "trade_cells"), flows
 
 
 # ---------------------------------------------------------------- crime / police panel
 
 # Fixed values of the stand-in: market segments in their id order, the priority and
 # status categories that play the seven crime counts, and the cutoff / reference years.
+UNIT_WITHOUT_FACTS = "99-NONE"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 VIOLENT_CATEGORIES = {
     "actual_murder": "1-URGENT",
@@ -145,6 +172,7 @@ PROPERTY_CATEGORIES = {
 @dataclass(frozen=True)
 class CrimeParams:
     cutoff: int = 1998          # last year of the old series; files cover the years after it
+    file_years: int = 3         # yearly files of each family
     reference_year: int = 1998  # year whose population becomes the weight W
     first_year: int = 1995      # first panel year (no growth there)
     sample_nations: int = 20    # units of nations below this form the sample
@@ -199,13 +227,21 @@ def leoka(spark: SparkSession, base_dir: str) -> DataFrame:
 
 def sample_base(cells: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
     """The sample: units of the first nations, one row per year (so keys repeat), with the
-    old growth series Z and C2 filled up to the cutoff."""
+    old growth series Z and C2 filled up to the cutoff, and one unit without any facts."""
     old = F.col("year") <= p.cutoff
-    return cells.where(F.col("m") < p.sample_nations).select(
+    rows = cells.where(F.col("m") < p.sample_nations).select(
         "ORI7", "year",
         F.when(old, F.col("n_orders") / F.lit(1000.0)).alias("Z"),
         F.when(old, F.col("actual_burg_total") / F.lit(1000.0)).alias("C2"),
     )
+    return rows.unionByName(cells.sparkSession.createDataFrame(
+        [(UNIT_WITHOUT_FACTS, p.cutoff + 1, None, None)], "ORI7 string, year int, Z double, C2 double"))
+
+
+def original_employment(cells: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
+    """(ORI7, year, full_time_original): the authors' police employment up to the cutoff."""
+    return cells.where(F.col("year") <= p.cutoff).select(
+        "ORI7", "year", (F.col("n_orders") * F.lit(1.5)).alias("full_time_original"))
 
 
 def crosswalk(spark: SparkSession, base_dir: str) -> DataFrame:
@@ -217,19 +253,19 @@ def crosswalk(spark: SparkSession, base_dir: str) -> DataFrame:
     )
 
 
-def _cells_with_govid(spark, base_dir, p):
-    cells = crime_cells(spark, base_dir).where(F.col("year") > p.cutoff)
+def _cells_with_govid(cells, p):
+    cells = cells.where(F.col("year") > p.cutoff)
     govid = F.lit(100000000) + F.col("m").cast("bigint") * 10 + _segment_index()
     return cells.withColumn("GOVID", govid)
 
 
-def employment_rows(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
+def employment_rows(cells: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
     """Rows of the yearly employment files: 13 columns, police rows (type 62) and decoys.
 
     Each cell yields one police row and one decoy row (another employment type) through an
     explode over the two types, so the cell aggregate is computed once.
     """
-    c = _cells_with_govid(spark, base_dir, p)
+    c = _cells_with_govid(cells, p)
     kinds = F.explode(F.array(
         F.struct(F.lit(62).alias("type_emp"), F.lit(1.0).alias("factor")),
         F.struct(F.lit(5).alias("type_emp"), F.lit(2.0).alias("factor")),
@@ -247,14 +283,15 @@ def employment_rows(spark: SparkSession, base_dir: str, p: CrimeParams = CrimePa
     )
 
 
-def population_lines(spark: SparkSession, base_dir: str, p: CrimeParams = CrimeParams()) -> DataFrame:
+def population_lines(cells: DataFrame, p: CrimeParams = CrimeParams()) -> DataFrame:
     """Lines of the yearly fixed-width population files (136 characters each).
 
-    One unit (the last nation's last segment) carries an unparsable id.
+    Two units (the last nation's last two segments) carry ids that are no numbers.
     """
-    c = _cells_with_govid(spark, base_dir, p)
-    bad = (F.col("m") == 24) & (F.col("c_mktsegment") == SEGMENTS[-1])
-    gid = F.when(bad, F.lit("UNKNOWN")).otherwise((F.col("GOVID") * p.id_scale).cast("string"))
+    c = _cells_with_govid(cells, p)
+    last = F.col("m") == 24
+    gid = F.when(last & (F.col("c_mktsegment") == SEGMENTS[-1]), F.lit("UNKNOWN")).when(
+        last & (F.col("c_mktsegment") == SEGMENTS[-2]), F.lit("1.2.3")).otherwise((F.col("GOVID") * p.id_scale).cast("string"))
     pop = F.floor(F.col("population") / 1000).cast("bigint").cast("string")
     line = F.concat(
         F.rpad(gid, 14, " "),

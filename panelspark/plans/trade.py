@@ -16,11 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import ifelse_na, is_missing, rdiv, rln
+from panelspark.functions.semantics import ifelse_na, rdiv, rln, try_number
 from panelspark.operators.panel import (
-    PanelSpec, chain_index, index_to_base, lag_time, log_rebase, null_at, with_lags,
+    PanelSpec, assert_unique, chain_index, growth, held_lag, index_to_base, lag_time, lagged_ratio,
+    lagged_share, log_rebase, null_at, with_lags,
 )
-from panelspark.plans.fixtures import TradeParams, trade_world
+from panelspark.operators.relational import join_suffix, key_override, sum_dropping_missing
+from panelspark.plans import fixtures as fx
+from panelspark.plans.fixtures import TradeParams
+from panelspark.session import materialize, shared_path
+from panelspark.sources.files import write_parquet
+from panelspark.sources.nested import TRADE_SERIES_SCHEMA, nested_series_scan, unnest_obs
 
 COUNTRY_PANEL = PanelSpec(["country"], "year")
 SERIES = PanelSpec([], "year")
@@ -36,6 +42,54 @@ LAGGED = ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal"
           "exports_by_reporter", "total_exports"]
 
 
+def country_codes(codes: DataFrame, code_file: DataFrame) -> DataFrame:
+    """(country, partner_iso, iso2c): the code list joined to the code file, whose country names
+    are those of the data; every row of the file is kept."""
+    listed = codes.where(F.col("iso2c").isNotNull()).withColumnRenamed("iso3c", "partner_iso")
+    named = code_file.withColumn("partner_iso", F.upper("partner_iso"))
+    both = join_suffix(listed, named, ["partner_iso"], "right")
+    return both.select(F.col("country_y").alias("country"), "partner_iso", "iso2c")
+
+
+def with_codes(gdp: DataFrame, codes: DataFrame) -> DataFrame:
+    """Every row of the accounts with its codes; the country that the file lacks is put in."""
+    out = codes.join(gdp, "country", "right")
+    return out.withColumns({"partner_iso": key_override("partner_iso", "country", {fx.NOT_IN_FILE: "N05"}),
+                            "iso2c": key_override("iso2c", "country", {fx.NOT_IN_FILE: "ZF"})})
+
+
+def partner_exports(spark: SparkSession, path: str, p: TradeParams) -> DataFrame:
+    """(year, iso2c, exports_by_reporter) from the nested series: the yearly ones of the reporter
+    in the years of the panel, one row per observation, text turned into numbers."""
+    series = nested_series_scan(spark, path, freq="A", areas=[p.reporter_iso2], start=str(p.first_year),
+                                end=str(p.last_year), schema=TRADE_SERIES_SCHEMA, time="time")
+    return unnest_obs(series).select(
+        try_number("time", "int").alias("year"), F.col("counterpart_area").alias("iso2c"),
+        try_number("value").alias("exports_by_reporter"))
+
+
+def trade_world(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
+    """The country x year panel: codes, expenditure, trade totals, the reporter's exports to each
+    country (by year and two-letter code) and its total exports (by year)."""
+    cells, flows = fx.national_accounts(spark, base_dir, p)
+    codes = country_codes(fx.code_list(spark, base_dir), fx.code_file(spark, base_dir))
+    gdp = with_codes(cells, codes)
+    keys = gdp.select(F.col("nation_key").alias("m"), "iso2c").where(F.col("iso2c").isNotNull()).distinct()
+    path = write_parquet(fx.export_series(flows, keys, p), shared_path(spark, "export_series"))
+    world = gdp.join(partner_exports(spark, path, p), ["year", "iso2c"], "left")
+    world = materialize(world, "trade_world")
+    assert_unique(world, COUNTRY_PANEL)   # a code that two countries share would double rows here
+    # the reporter's own exports, one row per year, attached to every country of that year
+    total = world.where(F.col("nation_key") == p.reporter_key).select(
+        "year", F.col("nom_exports_dom").alias("total_exports"))
+    return F.broadcast(total).join(world, "year", "right").select(
+        "year", "country", "nation_key", "partner_iso", "iso2c",
+        "cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal",
+        "nom_exports_dom", "nom_imports_dom", "real_exports", "real_imports",
+        "exports_by_reporter", "total_exports",
+    )
+
+
 def absorption_index(world: DataFrame, p: TradeParams = TradeParams(), lagger=lag_time) -> DataFrame:
     """DA growth (share-weighted consumption and investment growth) and the DA index.
 
@@ -45,15 +99,14 @@ def absorption_index(world: DataFrame, p: TradeParams = TradeParams(), lagger=la
     without a base-year row are dropped. All lags come from one window node.
     """
     spec = COUNTRY_PANEL
-    L = lambda c: F.col(f"_lag_{c}")
     guard = lambda c: null_at(c, spec, p.base_year)
     df = with_lags(world, spec, LAGGED, lagger)
-    s_c = guard(rdiv(L("cons_final_nominal"), L("cons_final_nominal") + L("gfcf_final_nominal")))
+    s_c, _ = lagged_share("cons_final_nominal", "gfcf_final_nominal", spec, held_lag)
     df = df.withColumns({
-        "C": guard(rdiv(F.col("cons_final") - L("cons_final"), L("cons_final"))),
-        "I": guard(rdiv(F.col("gfcf_final") - L("gfcf_final"), L("gfcf_final"))),
-        "s_C": s_c,
-        "w": guard(rdiv(L("exports_by_reporter"), L("total_exports"))),
+        "C": guard(growth("cons_final", spec, held_lag)),
+        "I": guard(growth("gfcf_final", spec, held_lag)),
+        "s_C": guard(s_c),
+        "w": guard(lagged_ratio("exports_by_reporter", "total_exports", spec, held_lag)),
         "DA_level": F.col("cons_final") + F.col("gfcf_final"),
     }).drop(*[f"_lag_{c}" for c in LAGGED])
     df = df.withColumn("s_I", guard(F.lit(1.0) - F.col("s_C")))
@@ -68,11 +121,7 @@ def foreign_demand(panel: DataFrame, p: TradeParams = TradeParams()) -> DataFram
     aggregate has one row per year, so the chaining window is tiny.
     """
     comp = panel.select("year", (F.col("w") * F.col("DA_growth")).alias("FA_components"))
-    by_year = (
-        comp.where(~is_missing("FA_components"))
-        .groupBy("year")
-        .agg(F.sum("FA_components").alias("FA_components"))
-    )
+    by_year = sum_dropping_missing(comp, "FA_components", ["year"])
     return chain_index(by_year, "FA_components", "year", "FA")
 
 
@@ -99,8 +148,8 @@ def decompose(panel: DataFrame, fa: DataFrame, p: TradeParams = TradeParams()) -
 def country_panel(spark: SparkSession, base_dir: str, p: TradeParams = TradeParams()) -> DataFrame:
     """The country panel with DA growth, weights and the DA index.
 
-    It is computed from the written (country, year) cell table, so the partner aggregate
-    and the reporter rows both read that small table; the fact tables are passed once.
+    It is computed from written (country, year) tables, so the partner aggregate and the
+    reporter rows both read those; orders, customers and lines are each read once.
     """
     return absorption_index(trade_world(spark, base_dir, p), p)
 

@@ -6,6 +6,7 @@ rounded to 6 decimals at the very end so results compare exactly with the oracle
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from panelspark.operators.panel import PanelSpec, base_value
 from panelspark.plans import corpus as cp
 from panelspark.plans import crime, trade
 from panelspark.plans import fixtures as fx
-from panelspark.plans.fixtures import TradeParams, trade_world
-from panelspark.session import shared_path
+from panelspark.plans.fixtures import TradeParams
+from panelspark.plans.trade import trade_world
+from panelspark.session import materialize, shared_path
 from panelspark.sources.files import read_csv_header, write_csv, write_parquet, write_yearly
 from panelspark.sources.nested import nested_series_scan, unnest_obs
 from panelspark.sources.tables import scan_table
@@ -55,7 +57,8 @@ def _reporter(spark, d):
 
 @register("trade_panel")
 def q_trade_panel(spark, d):
-    """Country x year panel with expenditure, trade totals and reporter exports."""
+    """Country x year panel with codes, expenditure, trade totals and
+    the reporter's exports from the nested series."""
     return trade_world(spark, d, TP)
 
 
@@ -131,7 +134,7 @@ def q_tokenize_words(spark, d):
 
 @register("word_counts")
 def q_word_counts(spark, d):
-    """count(author, word, sort=TRUE)."""
+    """count(author, word, sort=TRUE), with each row's position in the order."""
     return tx.word_counts(tx.tokenize(_corpus(spark, d)), sort=True)  # single use: no materialisation
 
 
@@ -159,9 +162,18 @@ def q_tf_idf(spark, d):
     return _tfidf(spark, d)
 
 
+@register("tf_idf_by_source")
+def q_tf_idf_by_source(spark, d):
+    """A6 / T6 over 20 documents: tf-idf with the corpus grouped by source."""
+    p = cp.CorpusParams(group_col="source", groups=None)
+    return cp.tfidf(spark, d, p).groupBy("author").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_tokens"), F.sum("tf_idf").alias("tf_idf_sum"),
+        F.max("idf").alias("idf_max"))
+
+
 @register("stopword_antijoin_custom")
 def q_stopword_antijoin_custom(spark, d):
-    """Custom stopwords removed after tf-idf."""
+    """Custom stopwords (the list and the caller's words) removed after tf-idf."""
     return _cleaned(spark, d)
 
 
@@ -173,16 +185,18 @@ def q_tfidf_top_terms(spark, d):
 
 @register("topk_ties")
 def q_topk_ties(spark, d):
-    """Top 3 per document by raw count, ties at the 3rd place kept."""
-    return tx.top_terms(_counts(spark, d), 3, order="n")
+    """Top words per document by raw count down to a place where counts are tied; all
+    words tied with it are kept."""
+    return tx.top_terms(_counts(spark, d), CORPUS.tie_rank, order="n")
 
 
 @register("label_reorder")
 def q_label_reorder(spark, d):
-    """Words of the top-terms table ordered by mean tf-idf; facet labels."""
+    """Words of the top-terms table ordered by mean tf-idf; facet labels and their places."""
     top = tx.top_terms(_cleaned(spark, d), CORPUS.top_terms).select("author", "word", "tf_idf")
+    top = materialize(top, "top_terms")
     out = tx.reorder_levels(top, "word", "tf_idf", "word_level")
-    return out.withColumn("word_in_author", tx.reorder_within("word", "author"))
+    return tx.order_within(out, "word", "author", "tf_idf", "word_in_author")
 
 
 def _kept_tokens(spark, d):
@@ -215,67 +229,64 @@ def q_dtm_stats(spark, d):
     return tp.dtm_stats(entries)
 
 
-def _lda_model(spark, d):
-    counts, vocab, entries = _dtm(spark, d)
-    size = vocab.count()
-    model = tp.fit_lda(tp.dtm_vectors(entries, size), k=CORPUS.topics, seed=CORPUS.seed)
-    return model, vocab, size
+def _topics(spark, d):
+    return tp.TopicFit(cp.topic_counts(spark, d, CORPUS), CORPUS.topics)
 
 
-def _lda(spark, d):
-    model, vocab, size = _lda_model(spark, d)
-    return tp.topic_beta(model, vocab, size)
+@register("topic_em_step")
+def q_topic_em_step(spark, d):
+    """Topic weights of every word after one step of the fit."""
+    return _topics(spark, d).run(1).beta()
 
 
 @register("topic_model")
 def q_topic_model(spark, d):
-    """LDA with k = 4; per topic the number of terms and the total of beta."""
-    model, _, size = _lda_model(spark, d)
-    return tp.topic_summary(model, size)
+    """k = 4 topics fitted until the likelihood settles; terms and total weight per topic."""
+    fit = _topics(spark, d).until(CORPUS.topic_tolerance, CORPUS.topic_limit)
+    return tp.topic_summary(fit.beta())
 
 
 @register("topic_beta")
 def q_topic_beta(spark, d):
-    """Topic-term probabilities in long form."""
-    return _lda(spark, d)
+    """Topic-term probabilities in long form after a stated number of steps."""
+    return _topics(spark, d).run(CORPUS.topic_steps).beta()
 
 
 @register("topic_top_terms")
 def q_topic_top_terms(spark, d):
     """Top 5 terms per topic, ties kept, ordered by topic and beta."""
-    model, vocab, _ = _lda_model(spark, d)
-    return tp.top_topic_terms_from_model(model, vocab, CORPUS.topic_terms)
+    return tp.top_topic_terms(_topics(spark, d).run(CORPUS.topic_steps).beta(), CORPUS.topic_terms)
 
 
 # ------------------------------------------------------------------ crime / police panel
 
 
 CP = fx.CrimeParams()
-FILE_YEAR0 = CP.cutoff + 1
 _FILES: dict = {}
 
 
-def _crime_files(spark, d):
-    """Yearly employment CSVs and fixed-width population files, written once per session."""
+def crime_files(spark, d):
+    """(cell table, yearly employment CSVs, yearly fixed-width population files), written once per
+    session; the files are derived from the cell table."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FILES:
-        emp = write_yearly(fx.employment_rows(spark, d, CP), shared_path(spark, "employment"), "csv")
-        pop = write_yearly(fx.population_lines(spark, d, CP), shared_path(spark, "population"), "text")
-        _FILES[key] = (emp, pop)
+        cells = materialize(fx.crime_cells(spark, d), "crime_cells")
+        emp = write_yearly(fx.employment_rows(cells, CP), shared_path(spark, "employment"), "csv")
+        pop = write_yearly(fx.population_lines(cells, CP), shared_path(spark, "population"), "text")
+        _FILES[key] = (cells, emp, pop)
     return _FILES[key]
 
 
 def _emp(spark, d):
-    return crime.asg_employment(spark, _crime_files(spark, d)[0], FILE_YEAR0, CP)
+    return crime.asg_employment(spark, crime_files(spark, d)[1], CP)
 
 
 def _pop(spark, d):
-    return crime.asg_population(spark, _crime_files(spark, d)[1], FILE_YEAR0, CP)
+    return crime.asg_population(spark, crime_files(spark, d)[2], CP)
 
 
 def _inputs(spark, d, files: bool = True):
-    emp, pop = _crime_files(spark, d) if files else (None, None)
-    return crime.CrimeInputs(spark, d, emp, pop, CP)
+    return crime.CrimeInputs(spark, d, *(crime_files(spark, d) if files else (None, None, None)), CP)
 
 
 def _linked(spark, d):
@@ -289,19 +300,19 @@ def _prepared(spark, d):
 @register("scan_csv_multi")
 def q_scan_csv_multi(spark, d):
     """Every headerless yearly CSV in one scan, columns named by position."""
-    return crime.employment_raw(spark, _crime_files(spark, d)[0], FILE_YEAR0)
+    return crime.employment_raw(spark, crime_files(spark, d)[1], CP)
 
 
 @register("scan_fixed_width")
 def q_scan_fixed_width(spark, d):
     """Fixed-width yearly files, 8 fields by 1-based positions."""
-    return crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+    return crime.population_raw(spark, crime_files(spark, d)[2], CP)
 
 
 @register("ingest_year_from_file")
 def q_ingest_year_from_file(spark, d):
     """Year attached from the file's position; rows and totals per year."""
-    raw = crime.employment_raw(spark, _crime_files(spark, d)[0], FILE_YEAR0)
+    raw = crime.employment_raw(spark, crime_files(spark, d)[1], CP)
     return raw.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"),
                                    F.sum("full_time").alias("full_time"))
 
@@ -321,7 +332,7 @@ def q_asg_population(spark, d):
 @register("id_scale")
 def q_id_scale(spark, d):
     """File ids divided by 100000; ids that do not divide exactly become NULL."""
-    raw = crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+    raw = crime.population_raw(spark, crime_files(spark, d)[2], CP)
     return raw.select("govid", "year", _scaled_id().alias("scaled_id"))
 
 
@@ -355,8 +366,9 @@ def q_group_id(spark, d):
 
 @register("unit_id")
 def q_unit_id(spark, d):
-    """Dense id of ORI7 (factor codes)."""
-    return _prepared(spark, d).select("ORI7", "year", "cityid")
+    """Dense ids of ORI7 and of STATE as factor codes (a missing STATE has none)."""
+    out = _prepared(spark, d).select("ORI7", "year", "STATE", "cityid")
+    return rel.dense_id(out, ["STATE"], "stateid", na_gets_id=False)
 
 
 @register("base_period_weight")
@@ -396,9 +408,10 @@ def q_crosswalk_bridge(spark, d):
 
 @register("join_left_3key")
 def q_join_left_3key(spark, d):
-    """Crime left-joined to officers on (ORI7, STATE, year)."""
+    """Crime left-joined to the officers of the years up to the cutoff on (ORI7, STATE, year);
+    later years have no match."""
     inp = _inputs(spark, d, False)
-    return inp.ucr.join(inp.leoka, ["ORI7", "STATE", "year"], "left")
+    return inp.ucr.join(inp.leoka.where(F.col("year") <= CP.cutoff), ["ORI7", "STATE", "year"], "left")
 
 
 @register("join_left_2key")
@@ -410,9 +423,10 @@ def q_join_left_2key(spark, d):
 
 @register("join_left")
 def q_join_left(spark, d):
-    """Crime left-joined to the crosswalk on ORI7."""
+    """Crime left-joined to the crosswalk of the sample's units on ORI7; other units have no match."""
     inp = _inputs(spark, d, False)
-    return inp.ucr.select("ORI7", "year").join(inp.crosswalk, "ORI7", "left")
+    known = inp.crosswalk.join(inp.base.select("ORI7"), "ORI7", "left_semi")
+    return inp.ucr.select("ORI7", "year").join(known, "ORI7", "left")
 
 
 @register("join_right")
@@ -435,7 +449,7 @@ def q_join_nullsafe(spark, d):
     """NULL keys match NULL keys. Each file row is matched NULL-safely to the keyed
     table of row counts per (GOVID, year), so an unparsable id (NULL) finds the NULL group
     and every row has exactly one match (no pairing of rows within a key)."""
-    raw = crime.population_raw(spark, _crime_files(spark, d)[1], FILE_YEAR0)
+    raw = crime.population_raw(spark, crime_files(spark, d)[2], CP)
     ids = raw.select(_scaled_id().alias("GOVID"), "year", F.col("pop_asg").alias("pop_x"))
     per_key = ids.groupBy("GOVID", "year").agg(F.count(F.lit(1)).alias("n_rows"))
     return rel.join_na_match(ids, per_key, ["GOVID", "year"], "left", na_match=True)
@@ -584,10 +598,9 @@ def q_broadcast_reporter(spark, d):
 
 @register("key_override")
 def q_key_override(spark, d):
-    """P10: a code derived per country, forced to a constant for one key."""
-    w = _world(spark, d).withColumn(
-        "code", F.concat(F.lit("N"), F.lpad(F.col("nation_key").cast("string"), 2, "0")))
-    return w.select("year", "country", rel.key_override("code", "country", {TP.reporter: "REP"}).alias("code"))
+    """P10: codes of the panel, forced to a constant for one country."""
+    return _world(spark, d).select(
+        "year", "country", rel.key_override("partner_iso", "country", {TP.reporter: "REP"}).alias("code"))
 
 
 WORLD_MEASURES = ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_nominal"]
@@ -595,15 +608,15 @@ WORLD_MEASURES = ["cons_final", "gfcf_final", "cons_final_nominal", "gfcf_final_
 
 @register("proj_select")
 def q_proj_select(spark, d):
-    """Select columns by name (list given as a vector)."""
-    cols = ["year", "country", "cons_final", "gfcf_final"]
-    return _world(spark, d).select(*cols)
+    """Select columns by name (list given as a vector); the scan reads these alone."""
+    cols = ["o_orderkey", "o_orderdate", "o_totalprice"]
+    return scan_table(spark, d, "orders").select(*cols)
 
 
 @register("proj_drop")
 def q_proj_drop(spark, d):
     """Drop columns by name."""
-    return _world(spark, d).drop("exports_by_reporter", "total_exports", "nation_key")
+    return _world(spark, d).drop("exports_by_reporter", "total_exports", "nation_key", "partner_iso", "iso2c")
 
 
 @register("proj_reorder")
@@ -632,19 +645,20 @@ def q_proj_derive(spark, d):
 
 @register("filter_eq")
 def q_filter_eq(spark, d):
-    """equality filter."""
-    return _world(spark, d).where(F.col("year") == TP.base_year).select("year", "country", "cons_final")
+    """equality filter, pushed into the scan."""
+    return scan_table(spark, d, "orders").where(F.col("o_orderstatus") == "P").select("o_orderkey", "o_orderstatus")
 
 
 @register("filter_ne")
 def q_filter_ne(spark, d):
-    """inequality filter."""
-    return _world(spark, d).where(F.col("year") != TP.base_year).select("year", "country", "cons_final")
+    """inequality filter, pushed into the scan."""
+    return scan_table(spark, d, "orders").where(F.col("o_orderstatus") != "F").select("o_orderkey", "o_orderstatus")
 
 
 @register("filter_not_null")
 def q_filter_not_null(spark, d):
-    """Keep rows where a column is present."""
+    """Keep rows where a column is present (the reporter and countries without a code have
+    no bilateral exports)."""
     return _world(spark, d).where(F.col("exports_by_reporter").isNotNull()).select(
         "year", "country", "exports_by_reporter")
 
@@ -658,8 +672,9 @@ def q_ifelse_na(spark, d):
 
 @register("sort_multi")
 def q_sort_multi(spark, d):
-    """O1: multi-key ascending sort."""
-    return _world(spark, d).select("country", "year", "cons_final").orderBy("country", "year")
+    """O1: multi-key ascending sort, with each row's position in the order."""
+    rows = _world(spark, d).select("country", "year", "cons_final")
+    return rel.sequence_number(rows, ["country", "year"], "position").orderBy("position")
 
 
 @register("union_by_name")
@@ -679,7 +694,7 @@ def q_unpivot_components(spark, d):
 
 @register("format_numeric_cols")
 def q_format_numeric_cols(spark, d):
-    """Every numeric column rendered with 2 decimals."""
+    """Every numeric column rendered with 2 significant digits."""
     periods = trade.decomp_periods(_reporter(spark, d), trade.period_table(spark, TP.periods))
     return sem.format_numeric(periods, 2)
 
@@ -721,7 +736,7 @@ def q_scalar_try_cast(spark, d):
     )
 
 
-LANG_LEVELS = ["en", "fr", "de", "es"]
+LANG_LEVELS = ["en", "fr", "de"]   # "es" is outside
 
 
 @register("ordered_levels")
@@ -784,12 +799,14 @@ def _nested_path(spark, d):
 
 @register("nested_series_scan")
 def q_nested_series_scan(spark, d):
-    """Nested series filtered by frequency at the scan."""
-    s = nested_series_scan(spark, _nested_path(spark, d), freq="click")
+    """Nested series of one frequency and a list of areas (both filters reach the scan), with
+    the observations of a range of days."""
+    s = nested_series_scan(spark, _nested_path(spark, d), freq="click", areas=range(100),
+                           start=dt.date(2024, 1, 5), end=dt.date(2024, 1, 20))
     return s.select("freq", "ref_area", F.size("obs").alias("n_obs"))
 
 
 @register("unnest_obs")
 def q_unnest_obs(spark, d):
-    """U4: one row per nested observation."""
-    return unnest_obs(nested_series_scan(spark, _nested_path(spark, d), freq="click"))
+    """U4: one row per nested observation of every series."""
+    return unnest_obs(nested_series_scan(spark, _nested_path(spark, d)))

@@ -1,12 +1,14 @@
 """Session and shared-folder helpers.
 
 On a cluster the session is created by the caller and ``spark.checkpoint.dir`` names a
-shared folder; every materialisation (checkpoints, file round trips) goes below it.
-Only when the setting is missing (local tests) do we create a private folder.
+shared folder; every materialisation (checkpoints, file round trips) goes below it, and it
+is an error if the setting is missing. Only a session whose executors are threads of the
+driver (``local[n]``, as in tests) gets a private folder.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,13 +36,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "panel
     return spark
 
 
+def checkpoint_folder(configured: str | None, master: str) -> str:
+    """The folder to use: the configured one, or a private one where driver and executors are
+    one process."""
+    if configured:
+        return configured
+    if re.match(r"local(\[|$)", master):
+        return tempfile.mkdtemp(prefix="panelspark-ckpt-")
+    raise RuntimeError(
+        "spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only when the session has none."""
+    """The shared checkpoint folder of the session. Callers remove it when they are done."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if not root:
-        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="panelspark-ckpt-"))
+        sc.setCheckpointDir(checkpoint_folder(sc.getConf().get("spark.checkpoint.dir", None), sc.master))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 

@@ -57,26 +57,27 @@ def _norm_path(c):
     return F.regexp_replace(c, _SCHEME, "")
 
 
-def year_by_file_order(df: DataFrame, first_year: int, out: str = "year") -> DataFrame:
+def year_by_file_order(df: DataFrame, first_year: int, n_years: int, out: str = "year") -> DataFrame:
     """Attach ``first_year + position`` of each row's file in the sorted file list.
 
-    The file list is the one the driver already holds for planning the scan, so the
-    (file, year) table is bounded by the number of files and broadcast.
+    A "file" is what holds one year: a single file, or a folder that a distributed writer has
+    filled with part files (``part-...``). ``n_years`` files are required: with one missing or
+    added, positions would name the wrong years, which is an error. The list is the one the
+    driver already holds for planning the scan, so the (file, year) table is bounded by the
+    number of files and broadcast.
     """
     spark = df.sparkSession
-    files = sorted(re.sub(_SCHEME, "", f) for f in df.inputFiles())
-    table = spark.createDataFrame([(f, first_year + i) for i, f in enumerate(files)],
-                                  f"_fkey string, {out} int")
+    files = [re.sub(_SCHEME, "", f) for f in df.inputFiles()]
+    unit = lambda f: f.rpartition("/")[0] if re.search(r"/part-[^/]*$", f) else f
+    units = sorted({unit(f) for f in files})
+    if len(units) != n_years:
+        raise ValueError(f"{n_years} yearly files are expected from {first_year} on, found {len(units)}: {units[:20]}")
+    year = {u: first_year + i for i, u in enumerate(units)}
+    table = spark.createDataFrame([(f, year[unit(f)]) for f in files], f"_fkey string, {out} int")
     keyed = with_file(df).withColumn("_fkey", _norm_path(F.col("_file")))
     return keyed.join(F.broadcast(table), "_fkey").drop("_file", "_fkey")
 
 
-def year_from_path(df: DataFrame, pattern: str = r"(\d{4})", out: str = "year") -> DataFrame:
-    """Attach the year found in the file path (first match of ``pattern``)."""
-    return with_file(df).withColumn(
-        out, F.regexp_extract(F.col("_file"), pattern, 1).try_cast("int")).drop("_file")
-
-
 # ---------------------------------------------------------------- sinks
 
 
@@ -91,9 +92,10 @@ def write_parquet(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_yearly(df: DataFrame, path: str, fmt: str, year: str = "year") -> str:
-    """One file per year: rows are hash-partitioned by year, then written per year folder."""
-    w = df.repartition(year).write.mode("overwrite").partitionBy(year)
+def write_yearly(df: DataFrame, path: str, fmt: str, year: str = "year", files_per_year: int = 4) -> str:
+    """One folder per year with up to ``files_per_year`` part files, so a year is not one task."""
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != year]), F.lit(files_per_year))
+    w = df.repartition(F.col(year), salt).write.mode("overwrite").partitionBy(year)
     if fmt == "text":
         w.text(path)
     else:

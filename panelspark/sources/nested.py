@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SERIES_SCHEMA = "freq string, ref_area bigint, obs array<struct<day: date, value: double>>"
+#: Yearly series between two areas, as a data service delivers them: times and values are text.
+TRADE_SERIES_SCHEMA = ("freq string, ref_area string, counterpart_area string, "
+                       "obs array<struct<time: string, value: string>>")
 
 
 def nested_series_scan(spark: SparkSession, path: str, freq: str | None = None,
-                       areas: Sequence[int] | None = None, start: dt.date | None = None,
-                       end: dt.date | None = None) -> DataFrame:
+                       areas: Sequence | None = None, start=None, end=None,
+                       schema: str = SERIES_SCHEMA, time: str = "day") -> DataFrame:
     """Read nested series with a declared schema.
 
     ``freq`` and ``areas`` are filters on top-level columns and reach the Parquet scan;
-    ``start`` / ``end`` keep only observations inside the date range, inside each array
+    ``start`` / ``end`` keep only observations inside the range of ``time``, inside each array
     (a higher-order ``filter``, no explode).
     """
-    df = spark.read.schema(SERIES_SCHEMA).parquet(path)
+    df = spark.read.schema(schema).parquet(path)
     if freq is not None:
         df = df.where(F.col("freq") == freq)
     if areas is not None:
@@ -29,15 +31,15 @@ def nested_series_scan(spark: SparkSession, path: str, freq: str | None = None,
         def keep(o):
             cond = F.lit(True)
             if start is not None:
-                cond = cond & (o["day"] >= F.lit(start))
+                cond = cond & (o[time] >= F.lit(start))
             if end is not None:
-                cond = cond & (o["day"] <= F.lit(end))
+                cond = cond & (o[time] <= F.lit(end))
             return cond
         df = df.withColumn("obs", F.filter("obs", keep))
     return df
 
 
 def unnest_obs(series: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """One row per observation: (freq, ref_area, day, value)."""
+    """One row per observation: the series' columns and those of its observations."""
     gen = F.inline_outer if keep_empty else F.inline
-    return series.select("freq", "ref_area", gen("obs"))
+    return series.select(*[c for c in series.columns if c != "obs"], gen("obs"))

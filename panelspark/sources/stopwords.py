@@ -1,14 +1,13 @@
 """Stopword tables.
 
 ``custom_stopwords`` is the analysis' own list; ``builtin_stopwords`` is Spark ML's list for
-a language. Both are small literal tables (tens to hundreds of rows, fixed by the code), so
-they are broadcast.
+a language. Both are small literal tables (tens to hundreds of rows, fixed by the code), which
+the planner broadcasts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The analysis' custom stopword list, as written (lower-cased on load).
 CUSTOM_STOPWORDS = [
@@ -43,8 +42,9 @@ def word_table(spark: SparkSession, words) -> DataFrame:
     return spark.createDataFrame([(w,) for w in rows], "word string")
 
 
-def custom_stopwords(spark: SparkSession) -> DataFrame:
-    return word_table(spark, CUSTOM_STOPWORDS)
+def custom_stopwords(spark: SparkSession, more: tuple = ()) -> DataFrame:
+    """The analysis' list and the caller's own words."""
+    return word_table(spark, [*CUSTOM_STOPWORDS, *more])
 
 
 def builtin_stopwords(spark: SparkSession, language: str = "english") -> DataFrame:
@@ -53,6 +53,3 @@ def builtin_stopwords(spark: SparkSession, language: str = "english") -> DataFra
 
     return word_table(spark, StopWordsRemover.loadDefaultStopWords(language))
 
-
-def broadcast_words(df: DataFrame) -> DataFrame:
-    return F.broadcast(df)

@@ -22,13 +22,3 @@ def scan_table(spark: SparkSession, base_dir: str, name: str,
     df = spark.read.parquet(table_path(base_dir, name))
     return df.select(*columns) if columns else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster's parallelism.
-
-    A large input already has at least that many splits and is returned unchanged (no
-    shuffle); a scan of a single row group would otherwise run CPU-heavy per-row work
-    (tokenising whole texts) in one task.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -61,11 +61,63 @@ def test_crime_panel_has_no_missing_or_infinite(spark):
     assert df.count() > 0 and df.where(cond).count() == 0
 
 
-def test_lda_topics_are_distributions(spark):
-    from panelspark.registry import _lda
-    beta = _lda(spark, SF_SMALL)
+def test_topics_are_distributions(spark):
+    beta = QUERIES["topic_beta"](spark, SF_SMALL)
     sums = beta.groupBy("topic").agg(F.sum("beta").alias("s"), F.count("*").alias("n")).collect()
     assert sorted(r["topic"] for r in sums) == [1, 2, 3, 4]
-    assert all(abs(r["s"] - 1.0) < 1e-9 for r in sums)
+    assert all(abs(r["s"] - 1.0) < 1e-2 for r in sums)   # entries are rounded to 6 decimals
     top = QUERIES["topic_top_terms"](spark, SF_SMALL).collect()
     assert 20 <= len(top) and all(r["beta"] > 0 for r in top)
+    assert [(r["topic"], -r["beta"]) for r in top] == sorted((r["topic"], -r["beta"]) for r in top)
+
+
+# ---------------------------------------------------------------- the keys' data makes their operators work
+
+
+def test_sorts_emit_their_order(spark):
+    for key, order in (("word_counts", lambda r: (-r["n"], r["author"].encode(), r["word"].encode())),
+                       ("sort_multi", lambda r: (r["country"].encode(), r["year"]))):
+        rows = QUERIES[key](spark, SF_SMALL).collect()
+        assert [order(r) for r in rows] == sorted(map(order, rows)) and len(rows) > 100
+        assert [r["position"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_left_joins_have_unmatched_rows(spark):
+    for key, c in (("join_left", "GOVID"), ("join_left_3key", "total_employees_officers"), ("join_left_2key", "Z")):
+        rows = QUERIES[key](spark, SF_SMALL)
+        n = rows.count()
+        assert 0 < rows.where(F.col(c).isNull()).count() < n
+
+
+def test_filters_and_levels_leave_something_out(spark):
+    all_docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    assert 0 < QUERIES["corpus_scan"](spark, SF_SMALL).count() < all_docs
+    levels = QUERIES["ordered_levels"](spark, SF_SMALL)
+    assert 0 < levels.where("lang_level IS NULL").count() < levels.count() == all_docs
+    assert QUERIES["stopword_antijoin_custom"](spark, SF_SMALL).count() < QUERIES["tf_idf"](spark, SF_SMALL).count()
+
+
+def test_top_k_has_a_tie_at_its_cut(spark):
+    from panelspark.registry import CORPUS
+    per = QUERIES["topk_ties"](spark, SF_MID).groupBy("author").count().collect()
+    assert any(r["count"] > CORPUS.tie_rank for r in per)
+
+
+def test_ids_meet_missing_keys(spark):
+    groups = QUERIES["group_id"](spark, SF_SMALL)
+    missing = groups.where("STATE IS NULL").collect()
+    assert len(missing) == 1 and missing[0]["stateyear"] == groups.agg(F.max("stateyear")).first()[0]
+    units = QUERIES["unit_id"](spark, SF_SMALL)
+    assert units.where("STATE IS NULL AND stateid IS NULL").count() == 1
+    assert units.where("STATE IS NOT NULL AND stateid IS NULL").count() == 0
+
+
+def test_trade_panel_has_countries_without_codes(spark):
+    w = QUERIES["trade_panel"](spark, SF_MID)
+    codes = {r["country"]: (r["partner_iso"], r["iso2c"]) for r in w.select("country", "partner_iso", "iso2c").distinct().collect()}
+    assert codes["NATION_5"] == ("N05", "ZF")        # put in by hand
+    assert codes["NATION_9"] == ("X99", None)        # no list knows its code
+    assert codes["NATION_24"] == ("N24", None)       # has no two-letter code
+    assert codes["NATION_7"] == ("N07", "ZH")
+    per = {r["country"]: r["n"] for r in w.groupBy("country").agg(F.count("exports_by_reporter").alias("n")).collect()}
+    assert per["NATION_9"] == per["NATION_24"] == per["NATION_3"] == 0 < per["NATION_7"]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import relational as rel
@@ -42,7 +43,29 @@ def test_sequence_number_spans_partitions(spark):
 def test_top_k_keeps_ties(spark):
     rows = [("a", 5.0), ("a", 4.0), ("a", 3.0), ("a", 3.0), ("a", 3.0), ("a", 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    assert rel.top_k_ties(df, ["g"], F.desc("v"), 3).count() == 5
+    assert rel.top_k_ties(df, ["g"], "v", 3).count() == 5
+
+
+def test_top_k_ranks_missing_values_last(spark):
+    rows = [("a", float("nan")), ("a", None), ("a", 1.0), ("a", 2.0), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = sorted((r["g"], repr(r["v"])) for r in rel.top_k_ties(df, ["g"], "v", 1).collect())
+    assert got == [("a", "2.0"), ("b", "nan")]
+    low = [r["v"] for r in rel.top_k_ties(df.where("g = 'a'"), ["g"], "v", 1, largest=False).collect()]
+    assert low == [1.0]
+
+
+def test_natural_join_names_what_is_missing(spark):
+    with pytest.raises(ValueError, match="no shared column"):
+        rel.natural_join(spark.range(1), spark.range(1).withColumnRenamed("id", "x"))
+
+
+def test_sequence_number_is_a_bigint_and_handles_nulls(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, v int")
+    out = rel.sequence_number(df, ["v"], "rn", group=["g"])
+    assert out.schema["rn"].dataType.typeName() == "long"
+    assert sorted((r["g"] or "", r["v"], r["rn"]) for r in out.collect()) == [("", 1, 1), ("", 3, 2), ("a", 2, 1)]
+    assert rel.sequence_number(df.limit(0), ["v"], "rn").count() == 0
 
 
 def test_semi_restrict_keeps_sample_units(spark):

@@ -59,3 +59,13 @@ def test_weighted_sum_propagates_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, None)], "a double, b double")
     got = [r[0] for r in df.select(sem.weighted_sum({"a": 10, "b": 100})).collect()]
     assert got == [210.0, None]
+
+
+def test_format_numeric_shows_significant_digits(spark):
+    rows = [(-1.89, 100.0, 0.00123, 3), (-13.17, 250.0, 12.0, 40), (None, 1000.0, float("inf"), 7)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int")
+    got = [tuple(r) for r in sem.format_numeric(df, 2).collect()]
+    assert got == [("-1.9", "100", "0.0012", "3"), ("-13.2", "250", "12.0000", "40"), ("NA", "1000", "Inf", "7")]
+    # a common format has no decimals that are zero in every entry, and 9.96 shows as 10
+    more = spark.createDataFrame([(0.5, 9.96), (20.0, 30.0)], "a double, b double")
+    assert [tuple(r) for r in sem.format_numeric(more, 2).collect()] == [("0.5", "10"), ("20.0", "30")]

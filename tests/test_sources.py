@@ -1,7 +1,8 @@
+import pytest
+from pyspark.sql import functions as F
 
 from panelspark.sources.files import (
     read_csv_header, read_csv_multi, read_fixed_width, write_csv, write_yearly, year_by_file_order,
-    year_from_path,
 )
 from panelspark.sources.nested import nested_series_scan, unnest_obs
 
@@ -11,11 +12,37 @@ def test_headerless_multi_file_csv_with_year_by_file_order(spark, tmp_dir):
     df = spark.createDataFrame(rows, "govid string, type_emp int, full_time double, year int")
     path = write_yearly(df, f"{tmp_dir}/emp", "csv")
     raw = read_csv_multi(spark, path, "govid string, type_emp int, full_time double")
-    by_order = year_by_file_order(raw, 2011)
+    by_order = year_by_file_order(raw, 2011, 2)
     got = sorted((r["govid"], r["type_emp"], r["full_time"], r["year"]) for r in by_order.collect())
     assert got == sorted(rows)
-    by_path = year_from_path(raw, r"year=(\d{4})")
-    assert sorted(r["year"] for r in by_path.collect()) == [2011, 2011, 2012]
+
+
+def test_year_of_a_folder_with_several_files(spark, tmp_dir):
+    df = spark.range(400).select((F.col("id") % 3 + 2011).cast("int").alias("year"), F.col("id").cast("string").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # small data would become one task
+    try:
+        path = write_yearly(df, f"{tmp_dir}/y", "csv", files_per_year=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    raw = read_csv_multi(spark, path, "v string")
+    assert len(raw.inputFiles()) > 3
+    got = {r["v"]: r["year"] for r in year_by_file_order(raw, 2011, 3).collect()}
+    assert got == {str(i): 2011 + i % 3 for i in range(400)}
+
+
+def test_single_files_are_years_too(spark, tmp_dir):
+    for y in (2011, 2012):
+        with open(f"{tmp_dir}/emp_{y}.csv", "w") as f:
+            f.write(f"a{y}\n")
+    raw = read_csv_multi(spark, tmp_dir, "v string")
+    assert sorted((r["v"], r["year"]) for r in year_by_file_order(raw, 2011, 2).collect()) == [("a2011", 2011), ("a2012", 2012)]
+
+
+def test_a_missing_year_is_an_error(spark, tmp_dir):
+    df = spark.createDataFrame([("a", 2011), ("b", 2013)], "v string, year int")
+    raw = read_csv_multi(spark, write_yearly(df, f"{tmp_dir}/m", "csv"), "v string")
+    with pytest.raises(ValueError, match="3 yearly files are expected"):
+        year_by_file_order(raw, 2011, 3)
 
 
 def test_fixed_width(spark, tmp_dir):

@@ -1,8 +1,11 @@
 import math
 
+import pytest
+
 
 from panelspark.functions.text import token_array
 from panelspark.operators import text as tx
+from panelspark.operators import topics as tp
 from panelspark.sources.stopwords import SPARK_ENGLISH_STOPWORDS, builtin_stopwords, custom_stopwords
 
 
@@ -61,16 +64,62 @@ def test_token_stats(spark):
     assert (r["n_tokens"], r["n_types"], r["token_chars"]) == (3, 2, 5)
 
 
-def test_topic_top_terms_from_model_matches_full_table(spark):
-    from panelspark.operators import topics as tp
-    rows = [("A", "w%d" % i, float(1 + i % 3)) for i in range(30)] + [("B", "v%d" % i, 2.0) for i in range(20)]
-    counts = spark.createDataFrame(rows, "author string, word string, n double")
-    vocab = tp.vocabulary(counts)
-    size = vocab.count()
-    model = tp.fit_lda(tp.dtm_vectors(tp.dtm_entries(counts, vocab), size), k=2, seed=7, max_iter=3)
-    full = tp.top_topic_terms(tp.topic_beta(model, vocab, size), 3)
-    fast = tp.top_topic_terms_from_model(model, vocab, 3)
-    key = lambda df: sorted((r["topic"], r["term"], round(r["beta"], 12)) for r in df.collect())
-    assert key(full) == key(fast)
-    summary = tp.topic_summary(model, size).collect()
-    assert all(r["n_terms"] == size and abs(r["beta_sum"] - 1.0) < 1e-9 for r in summary)
+def test_hot_group_totals(spark):
+    rows = [("A", f"w{i}", 1) for i in range(500)] + [("B", "x", 7), (None, "y", 2)]
+    counts = spark.createDataFrame(rows, "author string, word string, n int")
+    got = {(r["author"], r["word"]): r["total"] for r in tx.with_totals(counts).collect()}
+    assert len(got) == len(rows) and got["A", "w3"] == 500 and got["B", "x"] == 7
+
+
+def test_order_within_facets(spark):
+    df = spark.createDataFrame([("f", "a", 2.0), ("f", "b", 1.0), ("f", "c", 2.0), ("g", "a", 5.0)],
+                               "facet string, term string, v double")
+    got = {r["label"]: r["label_place"] for r in tx.order_within(df, "term", "facet", "v", "label").collect()}
+    assert got == {"b___f": 1, "a___f": 2, "c___f": 3, "a___g": 1}
+
+
+def _plain_em(counts, k, steps, alpha=0.1, eta=0.01):
+    import hashlib
+    words = sorted({w for _, w, _ in counts})
+    docs = sorted({d for d, _, _ in counts})
+    phi = [{w: int(hashlib.md5(f"{w}#{i}".encode()).hexdigest()[:8], 16) for w in words} for i in range(1, k + 1)]
+    phi = [{w: x / sum(p.values()) for w, x in p.items()} for p in phi]
+    theta = {d: [1 / k] * k for d in docs}
+    for _ in range(steps):
+        nw, nd = [dict.fromkeys(words, eta) for _ in range(k)], {d: [alpha] * k for d in docs}
+        for d, w, n in counts:
+            p = [phi[i][w] * theta[d][i] for i in range(k)]
+            for i in range(k):
+                nw[i][w] += n * p[i] / sum(p)
+                nd[d][i] += n * p[i] / sum(p)
+        phi = [{w: x / sum(p.values()) for w, x in p.items()} for p in nw]
+        theta = {d: [x / sum(t) for x in t] for d, t in nd.items()}
+    return {(i + 1, w): x for i, p in enumerate(phi) for w, x in p.items()}
+
+
+COUNTS = [("A", f"w{i}", 1 + i % 3) for i in range(30)] + [("B", f"v{i}", 2) for i in range(20)] + [("B", "w1", 4)]
+
+
+def test_topic_steps(spark):
+    counts = spark.createDataFrame(COUNTS, "author string, word string, n int")
+    for steps in (1, 4):
+        got = {(r["topic"], r["term"]): r["beta"] for r in tp.TopicFit(counts, 3).run(steps).beta().collect()}
+        want = _plain_em(COUNTS, 3, steps)
+        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
+
+
+def test_topic_fit_settles_or_fails(spark):
+    counts = spark.createDataFrame(COUNTS, "author string, word string, n int")
+    fit = tp.TopicFit(counts, 2).until(1e-2, 100)
+    sums = {r["topic"]: r for r in tp.topic_summary(fit.beta()).collect()}
+    assert all(abs(r["beta_sum"] - 1) < 1e-9 and r["n_terms"] == 50 for r in sums.values())
+    with pytest.raises(RuntimeError, match="no convergence"):
+        tp.TopicFit(counts, 2).until(1e-12, 3)
+
+
+def test_top_topic_terms_with_a_small_vocabulary(spark):
+    counts = spark.createDataFrame(COUNTS[:3], "author string, word string, n int")
+    top = tp.top_topic_terms(tp.TopicFit(counts, 2).run(2).beta(), 5).collect()
+    assert len(top) == 6   # three words in each of two topics
+    assert [r["topic"] for r in top] == [1, 1, 1, 2, 2, 2]
+    assert all(a["beta"] >= b["beta"] for a, b in zip(top, top[1:]) if a["topic"] == b["topic"])
