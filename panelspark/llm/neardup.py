@@ -6,11 +6,11 @@ k = 0, 1, 2, ... gives all signature coordinates, so a shingle's ranks under all
 one slice of one array and a signature is the minimum of slices. Bands of coordinates are
 hashed; documents that share a band are candidates, and links are confirmed on full sets.
 
-Exact copies of a set are one vertex. A bucket of candidates never emits all its pairs: in
-every round each vertex meets one leader of one bucket that still holds several components;
-verified links merge components, and buckets whose members are connected drop out. What is
-left after the rounds (members outside their bucket's largest component) is compared with all
-members of other components, so no link between candidates is lost.
+Exact copies of a set are one vertex. A bucket of more than ``SMALL`` candidates never emits its
+pairs: in every round each vertex meets one leader of one bucket that still holds several
+components; verified links merge components, and buckets whose members are connected drop out.
+What is left after the rounds is compared in blocks of sets, within tasks, which put out links
+only. So no link between candidates is lost, whatever the size of a group.
 
 With 64 bands of 7 coordinates a pair of similarity 0.8 fails to become a candidate with
 probability 3e-7, one of similarity 0.05 becomes one with probability 5e-8.
@@ -31,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, mix64, pieces, salted_join, texts_of
+from panelspark.llm.common import WordHashes, heavy_join, mix64, pieces, salted_join, texts_of
 from panelspark.llm.components import components
+from panelspark.operators.relational import sequence_number
 from panelspark.session import materialize
 
 UNIVERSE_BITS = 20
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 SLICE_ROWS = 1024
+SMALL = 8
+BLOCK_SETS = 256
 
 
 def shingles(text: bytes, words_per_shingle: int, known: WordHashes) -> np.ndarray:
@@ -148,15 +151,73 @@ def leader_pairs(now: DataFrame, turn: int) -> DataFrame:
         "set", "n", F.col("lead.set").alias("other"), F.col("lead.n").alias("m"))
 
 
-def stray_pairs(now: DataFrame) -> DataFrame:
-    """(set, n, other, m): members outside their bucket's largest component and all members of
-    other components of that bucket."""
-    sizes = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("c", "label"))["label"].alias("main"),
-                                     F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "main")
-    stray = now.join(main, "band").where("label != main").select(
-        "band", F.col("set").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
-    return now.join(stray, "band").where("label != l").select("set", "n", "other", "m")
+def alike_in_size(percent: int, n: str = "n", m: str = "m"):
+    """Whether sets of ``n`` and ``m`` elements can be similar enough."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def block_links(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked components among the members of buckets that hold several components.
+
+    Buckets that share members make a family. A family is cut into blocks of ``BLOCK_SETS``
+    members, sorted by component, and blocks are compared pair by pair, each pair in one task:
+    intersections of all their sets are one matrix product over the shingles they share. Pairs
+    of blocks of one and the same component are left out, and so are those whose sizes are too
+    far apart. Only links between components are put out.
+    """
+    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                    F.min("set").alias("first")).where("lo < hi").select("band", "first")
+    held = materialize(now.join(open_, "band").select("set", "n", "label", "first").distinct(), "open-members")
+    families = components(held.select(F.col("set").alias("a"), F.col("first").alias("b")))
+    held = held.select("set", "n", "label").distinct().join(
+        families.select(F.col("v").alias("set"), F.col("label").alias("family")), "set")
+    held = sequence_number(held, ["label", "n", "set"], "at", group=["family"])
+    held = held.withColumn("block", F.floor((F.col("at") - 1) / BLOCK_SETS))
+    blocks = held.join(sets, "set").groupBy("family", "block").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.collect_list("label").alias("labels"), F.collect_list("shingles").alias("held"))
+    blocks = materialize(blocks, "blocks")
+    side = lambda x: blocks.select("family", *[F.col(c).alias(c + x) for c in ("block", "lo", "hi", "least", "most")])
+    pairs = side("_a").join(side("_b"), "family").where(
+        (F.col("block_a") <= F.col("block_b"))
+        & ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
+        & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
+    full = lambda x: blocks.select("family", *[F.col(c).alias(c + x) for c in ("block", "labels", "held")])
+    pairs = (pairs.select("family", "block_a", "block_b").join(full("_a"), ["family", "block_a"])
+             .join(full("_b"), ["family", "block_b"]))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c)[i].as_py() for c in ("labels_a", "held_a", "labels_b", "held_b")}
+                a, b = np.array(one["labels_a"]), np.array(one["labels_b"])
+                hit = similar_pairs(*[[np.frombuffer(x, np.uint64) for x in one[c]] for c in ("held_a", "held_b")], percent)
+                rows, cols = np.nonzero(hit & (a[:, None] != b[None, :]))
+                found = np.unique(np.stack([a[rows], b[cols]], axis=1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    return pairs.select("labels_a", "held_a", "labels_b", "held_b").mapInArrow(run, "a long, b long")
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix: is set i of ``left`` similar enough to set j of ``right``."""
+    size_a, size_b = (np.array(list(map(len, x)), np.int64) for x in (left, right))
+    all_a, all_b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = np.repeat(np.arange(len(left)), size_a), np.repeat(np.arange(len(right)), size_b)
+    common = np.intersect1d(all_a, all_b)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), 4096):
+        part = common[at:at + 4096]
+        sides = []
+        for values, rows, n in ((all_a, row_a, len(left)), (all_b, row_b, len(right))):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            own = part[place] == values
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[own], place[own]] = 1
+            sides.append(matrix)
+        both += sides[0] @ sides[1].T
+    both = np.rint(both).astype(np.int64)
+    return 100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)
 
 
 def links(rows: DataFrame, vertices: DataFrame, words_per_shingle: int, percent: int, rounds: int) -> DataFrame:
@@ -165,42 +226,47 @@ def links(rows: DataFrame, vertices: DataFrame, words_per_shingle: int, percent:
     ``rows`` are (id, text), ``vertices`` (set, n, id, bands) with one row per distinct set.
     """
     spread = vertices.select("set", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi")
-    members = materialize(spread.join(shared.select("band"), "band"), "members")
+    shared = materialize(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
+    members = heavy_join(spread, shared, ["band"], "size", vertices.count() * 64)
+    members = materialize(members, "members")
     picked = members.select("set").distinct().join(vertices.select("set", "id"), "set")
     sets = materialize(candidate_sets(rows.join(picked, "id").select("text", "set"), words_per_shingle), "sets")
+    state = materialize(members.select("set", F.col("set").alias("label")).distinct(), "state")
 
-    state = members.select("set", F.col("set").alias("label")).distinct()
-    tried, turn = None, 0
-    while turn <= rounds:
-        met = leader_pairs(members.join(state, "set"), turn) if turn < rounds else stray_pairs(members.join(state, "set"))
-        met = met.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(
-            "set", F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
-        if tried is not None:
-            met = met.join(tried, ["a", "b"], "left_anti")
-        if turn < rounds:  # one partner a vertex and round
-            met = met.groupBy("set").agg(
-                F.min(F.struct(F.xxhash64("a", "b").alias("r"), "a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = materialize(met.select("a", "b").distinct(), "pairs")
-        if not pairs.limit(1).count():
-            turn = rounds if turn < rounds else rounds + 1  # leaders have no more to meet: on to the rest
-            continue
-        turn += 1
-        tried = pairs if tried is None else tried.union(pairs)
+    def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
+        """``state`` after joining the components (a, b) of ``edges``."""
+        if not edges.limit(1).count():
+            return state
+        to = components(edges).select(F.col("v").alias("label"), F.col("label").alias("to"))
+        return materialize(state.join(to, "label", "left").select("set", F.coalesce("to", "label").alias("label")), "state")
+
+    def compared(state: DataFrame, pairs: DataFrame) -> DataFrame:
         new = materialize(confirmed(pairs, sets, percent), "links")
-        if not new.limit(1).count():
-            continue
         of = lambda side: state.select(F.col("set").alias(side), F.col("label").alias("l" + side))
-        merged = components(new.join(of("a"), "a").join(of("b"), "b").select(
+        return merged(state, new.join(of("a"), "a").join(of("b"), "b").where("la != lb").select(
             F.col("la").alias("a"), F.col("lb").alias("b")))
-        merged = merged.select(F.col("v").alias("label"), F.col("label").alias("to"))
-        state = materialize(state.join(merged, "label", "left").select(
-            "set", F.coalesce("to", "label").alias("label")), "state")
-    return state
+
+    # small buckets: every pair, which is at most SMALL - 1 for a member
+    small = members.where(F.col("size") <= SMALL)
+    other = small.select("band", F.col("set").alias("other"), F.col("n").alias("m"))
+    pairs = small.join(other, "band").where(F.col("set") < F.col("other")).where(alike_in_size(percent)).select(
+        F.col("set").alias("a"), F.col("other").alias("b")).distinct()
+    state = compared(state, materialize(pairs, "pairs"))
+
+    # large ones: a member meets one leader a round, then what is left is compared in blocks
+    large = members.where(F.col("size") > SMALL).drop("size")
+    for turn in range(rounds):
+        met = leader_pairs(large.join(state, "set"), turn).where(alike_in_size(percent)).groupBy("set").agg(
+            F.min(F.struct(F.xxhash64("set", "other").alias("r"), "other"))["other"].alias("other"))
+        pairs = materialize(met.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct(), "pairs")
+        if not pairs.limit(1).count():
+            break
+        state = compared(state, pairs)
+    return merged(state, materialize(block_links(large.join(state, "set"), sets, percent), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5,
-                    percent: int = 80, bands: int = 64, per_band: int = 7, rounds: int = 6, seed: int = 3) -> DataFrame:
+                    percent: int = 80, bands: int = 64, per_band: int = 7, rounds: int = 4, seed: int = 3) -> DataFrame:
     """(id, n_shingles, component_id, kept, row): one row per row of ``docs``; ``row`` is the
     hash (xxhash64) of its text's bytes.
 
