@@ -27,14 +27,16 @@ told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from panelspark.llm.common import WordHashes, mix64, texts_of
+from panelspark.llm.common import CACHE_WORDS, WordHashes, mix64, pieces, texts_of
 from panelspark.session import materialize
 
 END = b" "  # no word is blank
@@ -63,7 +65,7 @@ def tokens_of(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.nda
     return known.of(flat), np.array(sizes, np.int64)
 
 
-def pairs_of(tokens: np.ndarray, end: int) -> np.ndarray:
+def pairs_of(tokens: np.ndarray, end: int | np.uint64) -> np.ndarray:
     """Hash of every token with the one before it (an end mark before the first)."""
     before = np.concatenate([np.array([end], np.uint64), tokens[:-1]])
     return mix64(before * PAIR + mix64(tokens))
@@ -114,7 +116,7 @@ def count_ngrams(texts: DataFrame, blocks: int) -> DataFrame:
                 [pa.array(out["block"], pa.int32()), pa.array(out["size"], pa.int32()),
                  pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], list(out))
 
-        for batch in batches:
+        for batch in pieces(batches):
             tokens, _ = tokens_of(texts_of(batch), known)
             held[1].append(tokens)
             held[2].append(pairs_of(tokens, end))
@@ -136,38 +138,39 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
 def probe_bit(base: np.ndarray, i: int, bits: np.ndarray | int) -> np.ndarray:
     """Bit number of probe ``i`` of entries with hash ``base`` in blocks of ``bits`` bits."""
     step = (base >> np.uint64(32)) | np.uint64(1)
-    return ((base & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.asarray(bits).astype(np.uint64)
+    low = (base + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)
+    return (low * np.asarray(bits).astype(np.uint64)) >> np.uint64(32)
+
+
+def block_filter(table: pa.Table) -> pa.Table:
+    """The filter of a block's n-grams and the exact counts of its words, from their packed parts."""
+    size = np.array(table.column("size").to_pylist())
+    blobs = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64))
+             for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
+    exact = {s: summed(*map(list, zip(*[b for b, x in zip(blobs, size) if x == s]))) if (size == s).any()
+             else summed([], []) for s in (1, 2)}
+    keys = np.concatenate([exact[1][0], exact[2][0]])
+    level = levels(np.concatenate([exact[1][1], exact[2][1]]))
+    bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
+    table_bits = np.zeros(bits, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        base = mix64(keys[level >= j] + LEVEL_STEPS[j])
+        for i in range(PROBES):
+            table_bits[probe_bit(base, i, bits)] = True
+    return pa.table({
+        "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
+        "bits": pa.array([np.packbits(table_bits).tobytes()], pa.binary()),
+        "words": pa.array([exact[1][0].tobytes()], pa.binary()),
+        "counts": pa.array([exact[1][1].tobytes()], pa.binary()),
+        "tokens": pa.array([int(exact[1][1].sum())], pa.int64()),
+        "types": pa.array([len(exact[1][0])], pa.int64()),
+        "pair_types": pa.array([len(exact[2][0])], pa.int64())})
 
 
 def fill_blocks(ngrams: DataFrame) -> DataFrame:
-    """(block, bits, words, counts, tokens, pairs, pair_types) per block: the filter of its n-grams
-    and the exact counts of its words."""
-
-    def run(table: pa.Table) -> pa.Table:
-        size = np.array(table.column("size").to_pylist())
-        blobs = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64))
-                 for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
-        exact = {s: summed(*map(list, zip(*[b for b, x in zip(blobs, size) if x == s]))) if (size == s).any()
-                 else summed([], []) for s in (1, 2)}
-        keys = np.concatenate([exact[1][0], exact[2][0]])
-        level = levels(np.concatenate([exact[1][1], exact[2][1]]))
-        bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
-        table_bits = np.zeros(bits, bool)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            base = mix64(keys[level >= j] + LEVEL_STEPS[j])
-            for i in range(PROBES):
-                table_bits[probe_bit(base, i, bits)] = True
-        return pa.table({
-            "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
-            "bits": pa.array([np.packbits(table_bits).tobytes()], pa.binary()),
-            "words": pa.array([exact[1][0].tobytes()], pa.binary()),
-            "counts": pa.array([exact[1][1].tobytes()], pa.binary()),
-            "tokens": pa.array([int(exact[1][1].sum())], pa.int64()),
-            "types": pa.array([len(exact[1][0])], pa.int64()),
-            "pair_types": pa.array([len(exact[2][0])], pa.int64())})
-
+    """(block, bits, words, counts, tokens, types, pair_types) of every block."""
     return ngrams.groupBy("block").applyInArrow(
-        run, "block int, bits binary, words binary, counts binary, tokens long, types long, pair_types long")
+        block_filter, "block int, bits binary, words binary, counts binary, tokens long, types long, pair_types long")
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -235,48 +238,86 @@ def learn(texts: DataFrame) -> tuple[DataFrame, dict]:
 
 def filter_parts(table: DataFrame, model: dict, max_filter_bytes: int) -> list:
     """The filter as broadcasts of at most ``max_filter_bytes`` (one block at least)."""
-    parts, n, room = [[]], 0, 0
+    parts, room = [[]], 0
     for b, size in sorted(table.select("block", F.octet_length("bits")).collect()):
-        if n and room + size > max_filter_bytes:
+        if parts[-1] and room + size > max_filter_bytes:
             parts.append([])
-            n, room = 0, 0
+            room = 0
         parts[-1].append(b)
-        n, room = n + 1, room + size
+        room += size
     spark = table.sparkSession
+    out = []
     for own in parts:
-        rows = table.where(F.col("block").between(own[0], own[-1])).select("block", "bits").collect() if own else []
-        yield len(parts), spark.sparkContext.broadcast(
-            Filter(model["blocks"], [(r.block, bytes(r.bits)) for r in sorted(rows)]))
+        some = table.where(F.col("block").between(own[0], own[-1])) if own else table.limit(0)
+        rows = [(r.block, bytes(r.bits)) for r in some.select("block", "bits").toLocalIterator()]  # a file at a time
+        out.append(spark.sparkContext.broadcast(Filter(model["blocks"], sorted(rows))))
+    return out
 
 
 def head_counts(counts: DataFrame, head_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and counts of the most frequent words."""
-    rows = counts.orderBy(F.desc("c"), "h").limit(head_words).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    table = counts.orderBy(F.desc("c"), "h").limit(head_words).toArrow()
+    h = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r.c for r in rows], np.int64)[order]
-
-
-def base_part(texts: list[bytes], known: WordHashes, head: tuple[np.ndarray, np.ndarray], model: dict):
-    """Per text: tokens, known head tokens, base score without its other words; those words with
-    their numbers."""
-    tokens, sizes = tokens_of(texts, known)
-    uniq, inverse = np.unique(tokens, return_inverse=True)
-    keys, counts = head
-    place = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
-    in_head = keys[place] == uniq if len(keys) else np.zeros(len(uniq), bool)
-    c = np.where(in_head, counts[place] if len(keys) else 0, 0)
+    return h[order], table.column("c").to_numpy()[order]
+
+
+class KnownWords:
+    """Numbers for the words of one task, with what the model says of each."""
+
+    def __init__(self, head: tuple[np.ndarray, np.ndarray], held: Filter | None):
+        self.head, self.filter = head, held
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.count, self.level = array("Q"), array("q"), array("B")
+        self.learn([END])
+
+    def learn(self, words: list[bytes]) -> None:
+        at = len(self.number)
+        self.number.update(zip(words, range(at, at + len(words))))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        keys, counts = self.head
+        c = np.zeros(len(h), np.int64)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            c = np.where(keys[place] == h, counts[place], 0)
+        self.hash.frombytes(h.tobytes())
+        self.count.frombytes(c.tobytes())
+        self.level.frombytes((self.filter.levels(h) if self.filter else np.zeros(len(h), np.uint8)).tobytes())
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens of some texts and the tokens per text."""
+        if len(self.number) > CACHE_WORDS:
+            self.clear()
+        flat, sizes = [], []
+        for t in texts:
+            words = t.lower().split()
+            flat += words
+            flat.append(END)
+            sizes.append(len(words) + 1)
+        self.learn([w for w in set(flat) if w not in self.number])
+        return np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)), np.array(sizes, np.int64)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, exact count (0 outside the head) and level of every number."""
+        return np.array(self.hash, np.uint64), np.array(self.count, np.int64), np.array(self.level, np.uint8)
+
+
+def base_part(number: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, model: dict):
+    """Per text: known head tokens, base score without its other words; those words with their numbers."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    all_logs = np.bincount(owner, np.log10(c + 1.0)[inverse], len(sizes))
-    base = all_logs - sizes * math.log10(model["tokens"] + model["types"] + 1)
-    n_known = np.bincount(owner, in_head[inverse], len(sizes)).astype(np.int64)
-    rest = np.flatnonzero(~in_head[inverse])
-    pair, n = np.unique(owner[rest] * len(uniq) + inverse[rest], return_counts=True)
-    cut = np.searchsorted(pair, np.arange(len(sizes) + 1) * max(1, len(uniq))).astype(np.int32)
-    words = uniq[pair % max(1, len(uniq))].view(np.int64)
+    c = counts[number]
+    base = np.bincount(owner, np.log10(counts + 1.0)[number], len(sizes)) - sizes * math.log10(
+        model["tokens"] + model["types"] + 1)
+    n_known = np.bincount(owner, c > 0, len(sizes)).astype(np.int64)
+    rest = np.flatnonzero(c == 0)
+    pair, n = np.unique(owner[rest] * len(words) + number[rest], return_counts=True)
+    cut = np.searchsorted(pair, np.arange(len(sizes) + 1) * len(words)).astype(np.int32)
     others = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays(
-        [pa.array(words), pa.array(n.astype(np.int64))], ["h", "n"]))
-    return tokens, sizes, n_known, base, others
+        [pa.array(words[pair % len(words)].view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"]))
+    return n_known, base, others
 
 
 def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 18,
@@ -289,31 +330,26 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     counts = word_counts(table)
     head = head_counts(counts, head_words)
     shared = spark.sparkContext.broadcast((head, model))
-    parts = list(filter_parts(table, model, max_filter_bytes))
+    parts = filter_parts(table, model, max_filter_bytes)
     whole = len(parts) == 1
-    if not whole:
+    if not whole:  # the passes are put together by row, so rows get a number that stays
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
     names = [c for c in rows.columns if c != "text"]
     kept = rows.drop("text").schema
 
-    def levels_of(tokens: np.ndarray, held: Filter, known: WordHashes):
-        end = known[END]
-        found = []
-        for keys in (tokens, pairs_of(tokens, end)):
-            uniq, inverse = np.unique(keys, return_inverse=True)
-            found.append(held.levels(uniq)[inverse])
-        return found, int(held.levels(np.array([end], np.uint64))[0])
-
     def score(part):
         def run(batches):
-            (head, model), known = shared.value, WordHashes()
-            for batch in batches:
-                tokens, sizes, n_known, base, others = base_part(texts_of(batch), known, head, model)
-                if part is None:
-                    scores = np.zeros(len(sizes))
-                else:
-                    (words, pairs), end = levels_of(tokens, part.value, known)
-                    scores = score_levels(words, pairs, sizes, end, model)
+            head, model = shared.value
+            held = part.value if part else None
+            known = KnownWords(head, held)
+            for batch in pieces(batches):
+                number, sizes = known.of(texts_of(batch))
+                words, counts, level = known.columns()
+                n_known, base, others = base_part(number, sizes, words, counts, model)
+                scores = np.zeros(len(sizes))
+                if held:
+                    pairs = held.levels(pairs_of(words[number], words[0]))
+                    scores = score_levels(level[number], pairs, sizes, level[0], model)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in names], pa.array(sizes), pa.array(n_known), pa.array(base),
                      others, pa.array(scores)], [*names, "n_tokens", "n_known", "base", "others", "score"])
@@ -321,15 +357,16 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def level_rows(part):
         def run(batches):
-            known = WordHashes()
-            for batch in batches:
-                tokens, sizes = tokens_of(texts_of(batch), known)
-                (words, pairs), end = levels_of(tokens, part.value, known)
+            known = KnownWords(shared.value[0], part.value)
+            for batch in pieces(batches):
+                number, sizes = known.of(texts_of(batch))
+                words, _, level = known.columns()
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), cut(words), cut(pairs), pa.array(np.full(len(sizes), end, np.int32))],
-                    ["row", "words", "pairs", "end"])
+                    [batch.column("row"), cut(level[number]),
+                     cut(part.value.levels(pairs_of(words[number], words[0]))),
+                     pa.array(np.full(len(sizes), level[0], np.int32))], ["row", "words", "pairs", "end"])
         return run
 
     def put_together(found: pa.Table) -> pa.Table:
@@ -341,13 +378,13 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     out = kept.add("n_tokens", "long").add("n_known", "long").add("base", "double").add(
         "others", OTHERS).add("score", "double")
-    scored = rows.mapInArrow(score(parts[0][1] if whole else None), out)
+    scored = rows.mapInArrow(score(parts[0] if whole else None), out)
     if whole:
         scored = scored.withColumn("row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     if not whole:
         passes = [rows.select("row", "text").mapInArrow(level_rows(p), "row long, words binary, pairs binary, end int")
-                  for _, p in parts]
+                  for p in parts]
         together = passes[0]
         for more in passes[1:]:
             together = together.union(more)
