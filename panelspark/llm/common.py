@@ -23,6 +23,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CACHE_WORDS = 1_000_000
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python tasks in batches of at most ``rows`` rows (a session setting): long
+    texts then need little memory on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table with only the named columns in the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(*columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from panelspark.llm.common import WordHashes, pieces, texts_of
+from panelspark.llm.common import WordHashes, bounded_batches, pieces, texts_of
 from panelspark.session import materialize
 
 WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
@@ -142,6 +142,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     the ids of the items whose windows occur, sorted as strings. With ``carry`` the whole
     row comes along as the struct ``doc``.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     windows = materialize(item_windows(benchmark, n, item_col, item_text_col), "windows")
     blocks = max(1, -(-windows.count() // max_windows))

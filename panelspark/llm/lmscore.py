@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from panelspark.llm.common import CACHE_WORDS, WordHashes, mix64, pieces, texts_of
+from panelspark.llm.common import CACHE_WORDS, WordHashes, bounded_batches, mix64, pieces, texts_of
 from panelspark.session import materialize
 
 END = b" "  # no word is blank
@@ -323,6 +323,7 @@ def base_part(number: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts:
 def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 18,
                  max_filter_bytes: int = 256 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
                        held_out(F.col(id_col)).alias("held_out"))

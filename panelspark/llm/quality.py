@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, pieces, random_sample, salted_join, texts_of
+from panelspark.llm.common import WordHashes, bounded_batches, pieces, random_sample, salted_join, texts_of
 from panelspark.session import materialize
 
 FEATURE_BITS = 18
@@ -199,6 +199,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     ``evidence`` is the document's own log odds of quality. With ``carry`` the whole row comes
     along as the struct ``doc``.
     """
+    bounded_batches(docs.sparkSession)
     models = fit(docs, labels, id_col, text_col, sample_rows)
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     doc = [F.struct(*docs.columns).alias("doc")] if carry else []
