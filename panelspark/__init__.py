@@ -10,7 +10,6 @@ operators/  DataFrame -> DataFrame operators (panel time operators, relational h
             reshaping, text statistics, topic models).
 plans/      the end-to-end analyses (trade decomposition, crime panel, corpus statistics)
             and the fixture builders that derive their inputs from the test tables.
-streaming/  intentionally empty: the analyses are batch jobs over finite inputs.
 """
 
 from panelspark.session import local_session, materialize, shared_path
