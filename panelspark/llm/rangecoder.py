@@ -6,7 +6,8 @@ its own checksum, so a block can be read alone. For each id an order-1 and an or
 that the candidate is right is mixed in the logistic domain from an order-0 estimate (the
 block's share of right candidates) and what the order-1 and order-2 confidences say, with
 weights learned as the block goes. The answer is coded with that chance; after a miss the id is
-coded by the block's order-0 frequencies of its upper bits, and its lower eight bits follow.
+coded by the block's order-0 frequencies of its upper bits (in slots, so that a reader finds them at once), and its
+lower eight bits follow.
 
 All arithmetic is on integers, so any machine reads what another has written. The blocks of a
 segment are coded side by side, one step of every block at a time, as numpy vectors; choices
@@ -29,7 +30,7 @@ TABLE1, TABLE2 = 256, 256
 TOP, MASK = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
 B8, B16, B24, B32 = (np.uint64(x) for x in (8, 16, 24, 32))
 #: Steps after which the order-0 frequencies are worked out anew, a longer time each.
-REFRESH = {16: 0, 48: 16, 128: 48, 320: 128, 768: 320, 1408: 768}
+REFRESH = {24: 0, 96: 24, 320: 96, 1024: 320}
 SPREAD = 2047
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-z / 256)))))
                    for z in range(-SPREAD, SPREAD + 1)], np.int32)
@@ -51,7 +52,10 @@ class Model:
     def __init__(self, n: int, upper: int):
         lane = np.arange(n)
         self.upper = upper
-        self.at1, self.at2, self.at_upper, self.at_slot = lane * TABLE1, lane * TABLE2, lane * (upper + 1), lane * 257
+        # shares are whole slots: at least four slots for each upper bits
+        self.slots = 1 << max(10, (4 * upper - 1).bit_length())
+        self.unit = 65536 // self.slots
+        self.at1, self.at2, self.at_upper, self.at_slot = lane * TABLE1, lane * TABLE2, lane * (upper + 1), lane * self.slots
         self.table1, self.table2 = np.zeros(n * TABLE1, np.int32), np.zeros(n * TABLE2, np.int32)
         self.right = np.full(n, 1024, np.int32)
         self.weights = [np.full(n, x, np.int32) for x in (8000, 24000, 36000)]
@@ -66,15 +70,12 @@ class Model:
             at = (ids[:, :live] >> 8) + np.arange(live, dtype=np.int32) * np.int32(upper)
             self.seen += (24 * np.bincount(at.reshape(-1), minlength=n * upper)).astype(np.int32)
         seen = self.seen.reshape(n, upper) + 1
-        unit = ((65536 - upper) << 14) // seen.sum(axis=1, keepdims=True)
-        cum = np.zeros((n, upper + 1), np.uint32)
-        np.cumsum((seen * unit >> 14) + 1, axis=1, out=cum[:, 1:])
-        cum[:, -1] = 65536
-        self.cum = cum.reshape(-1)
-        # for every 256 slots: how many upper bits start at or before the first of them
-        begin = ((cum[:, 1:-1] + np.uint32(255)) >> np.uint32(8)).astype(np.int32) + self.at_slot[:, None]
-        found = np.bincount(begin.reshape(-1), minlength=n * 257).reshape(n, 257)
-        self.slot = np.cumsum(found, axis=1, dtype=np.int32).reshape(-1)
+        part = ((self.slots - upper) << 14) // seen.sum(axis=1, keepdims=True)
+        cum = np.zeros((n, upper + 1), np.int32)
+        np.cumsum((seen * part >> 14) + 1, axis=1, out=cum[:, 1:])
+        cum[:, -1] = self.slots
+        self.cum = (cum * self.unit).reshape(-1)
+        self.slot = np.repeat(np.tile(np.arange(upper, dtype=np.uint16), n), np.diff(cum, axis=1).reshape(-1))
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates of the first ``n`` blocks and their chances in 65,536ths."""
@@ -104,28 +105,14 @@ class Model:
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
-    def interval(self, n: int, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and share of upper bits in the order-0 frequencies."""
-        at = self.at_upper[:n] + top
+    def interval(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and share of upper bits in the order-0 frequencies; ``at`` has the block's table in it."""
         start = self.cum.take(at)
         return start.astype(np.uint64), (self.cum.take(at + 1) - start).astype(np.uint64)
 
     def upper_of(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The upper bits of blocks ``lanes`` whose interval holds ``value``: those a slot begins
-        in or those after, else found by halving what else begins in the slot."""
-        slot = self.at_slot[lanes] + (value >> B8).astype(np.int64)
-        low, base = self.slot.take(slot), self.at_upper[lanes] + 1
-        for _ in range(2):
-            low = low + (self.cum.take(base + low) <= value)
-        left = np.flatnonzero(self.cum.take(base + low) <= value)
-        if len(left):
-            a, z, at, v = low[left] + 1, self.slot.take(slot[left] + 1) + 1, base[left], value[left]
-            while (a < z).any():
-                mid = (a + z) >> 1
-                ahead = (self.cum.take(at + np.minimum(mid, self.upper - 1)) <= v) & (a < z)
-                a, z = np.where(ahead, mid + 1, a), np.where(ahead, z, np.minimum(z, mid))
-            low[left] = np.minimum(a, self.upper - 1)
-        return low
+        """The upper bits of blocks ``lanes`` whose interval holds ``value``."""
+        return self.slot.take(self.at_slot[lanes] + (value // np.uint64(self.unit)).astype(np.int64)).astype(np.int64)
 
 
 class Interval:
@@ -183,7 +170,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         hit = guess == x
         at.answer(live, (at.width[:live] >> B16) * chance, hit)
         sent[2 * t, :live], words[2 * t, :live] = at.settle(live)
-        start, share = model.interval(live, x >> 8)
+        start, share = model.interval(model.at_upper[:live] + (x >> 8))
         miss = hit.astype(np.uint64) - np.uint64(1)
         at.literal(live, at.width[:live] >> B24, start, share, (x & 255).astype(np.uint64), miss)
         sent[2 * t + 1, :live], words[2 * t + 1, :live] = at.settle(live)
@@ -239,9 +226,7 @@ def decode(data: bytes) -> np.ndarray:
             unit = at.width[miss] >> B24
             value = (code[miss] - at.low[miss]) // unit
             top = model.upper_of(miss, value >> B8)
-            own = model.at_upper[miss] + top
-            start = model.cum.take(own).astype(np.uint64)
-            share = model.cum.take(own + 1).astype(np.uint64) - start
+            start, share = model.interval(model.at_upper[miss] + top)
             rest = np.minimum((value - (start << B8)) // share, np.uint64(255))
             at.low[miss] += unit * ((start << B8) + rest * share)
             at.width[miss] = unit * share

@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,29 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import rangecoder
-from panelspark.llm.common import texts_of
+from panelspark.llm.common import CACHE_WORDS, bounded_batches, texts_of
 
 SEGMENT_IDS = 1 << 22
-#: Ids and words a task remembers before it starts anew.
-CACHE_IDS = 20_000_000
-LETTERS = re.compile(rb"[a-z]+\Z")
-CLOSED = re.compile(rb"([a-z]+)([.,;:!?]+)\Z")
+#: A word of letters and the marks that close it.
+CLOSED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,;:!?]+)\Z")
 JOINED = 20_000
+BREAK = b"\n"  # no word holds white space
+
+
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Words:
     """Token ids of whole texts, each distinct word encoded once.
 
-    Lower-cased words of letters only are encoded together, joined by blanks, and told apart
-    by the tokens that end a word; should their number differ from that of the words, and for
-    all other words, every word is encoded on its own.
+    Words of letters only are encoded together, joined by blanks, and told apart by the tokens
+    that end a word; should their number differ from that of the words, and for words of any
+    other kind, every word is encoded on its own.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -57,72 +65,85 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.ids, self.stops = array("i"), array("q", [0])
 
-    def add(self, word: bytes, ids) -> None:
-        self.number[word] = len(self.stops) - 1
-        self.ids.extend(ids)
-        self.stops.append(len(self.ids))
-
-    def learn(self, words: set[bytes]) -> None:
-        plain = sorted(w for w in words if LETTERS.match(w))
+    def codes(self, words: list[bytes]) -> list[array]:
+        """Ids of every word."""
+        found: dict[bytes, array] = {}
+        text = {w: w.decode() for w in words}
+        plain = [w for w in words if text[w].isalpha()]
         for at in range(0, len(plain), JOINED):
             some = plain[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and len(ids) == stops[-1]:
-                base, first = len(self.ids), len(self.stops) - 1
-                self.ids.frombytes(ids.tobytes())
-                self.stops.frombytes((stops + base).tobytes())
-                self.number.update(zip(some, range(first, first + len(some))))
-        other = sorted(w for w in words if w not in self.number)
-        for word, code in zip(other, self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)):
-            self.add(word, code.ids)
+            ids = array("i", self.tokenizer.encode(" ".join(map(text.__getitem__, some)), add_special_tokens=False).ids)
+            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.int32)]) + 1).tolist()
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                found.update((w, ids[a:z]) for w, a, z in zip(some, [0, *stops], stops))
+        other = [w for w in words if w not in found]
+        for w, code in zip(other, self.tokenizer.encode_batch([text[w] for w in other], add_special_tokens=False)):
+            found[w] = array("i", code.ids)
+        return [found[w] for w in words]
+
+    def learn(self, end: int) -> None:
+        """Ids of the words that have a number but no ids yet."""
+        done = len(self.stops) - 1
+        new = list(islice(self.number, done, None))
+        closed = [CLOSED.match(w) for w in new]
+        parts = {x for m in closed if m for x in m.groups()}
+        parts.update(w for w, m in zip(new, closed) if not m)
+        parts.discard(BREAK)
+        held = {BREAK: array("i", [end])}
+        unknown = []
+        for x in parts:
+            n = self.number.get(x, done)
+            if n < done:
+                held[x] = self.ids[self.stops[n]:self.stops[n + 1]]
+            else:
+                unknown.append(x)
+        held.update(zip(unknown, self.codes(unknown)))
+        for w, m in zip(new, closed):
+            self.ids.extend(held[m[1]] + held[m[2]] if m else held[w])
+            self.stops.append(len(self.ids))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, ids of every text)."""
-        if len(self.ids) > CACHE_IDS:
+        if len(self.number) > CACHE_WORDS:
             self.clear()
         flat: list[bytes] = []
         counts = []
         for text in texts:
             words = text.split() if b"<|" in text else text.lower().split()
             flat += words
-            counts.append(len(words))
-        new = {w for w in set(flat) if w not in self.number}
-        whole, closed = set(), []
-        for w in new:
-            m = CLOSED.match(w)
-            if m:
-                closed.append((w, m[1], m[2]))
-                whole.update(x for x in m.groups() if x not in self.number)
-            else:
-                whole.add(w)
-        self.learn(whole)
-        for w, head, mark in closed:
-            a, b = self.number[head], self.number[mark]
-            self.add(w, self.ids[self.stops[a]:self.stops[a + 1]] + self.ids[self.stops[b]:self.stops[b + 1]])
-        known, stops = np.frombuffer(self.ids, np.int32), np.frombuffer(self.stops, np.int64)
+            flat.append(BREAK)
+            counts.append(len(words) + 1)
         number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        sizes = stops[number + 1] - stops[number]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        text_stop = np.cumsum(np.array(counts, np.int64))
-        text_end = ends[text_stop]
-        # every word's ids are copied from where they are remembered; an end id shifts what follows it
-        shift = np.repeat(np.arange(len(texts)), counts)
-        out = np.full(int(ends[-1]) + len(texts), end, np.int32)
-        start = ends[:-1] + shift
-        step = np.arange(int(ends[-1])) - np.repeat(ends[:-1], sizes)
-        out[np.repeat(start, sizes) + step] = known[np.repeat(stops[number], sizes) + step]
-        total = np.diff(np.concatenate([[0], text_end])) + 1
-        del known, stops
-        return out, total
+        self.learn(end)
+        known, stops = np.array(self.ids, np.int32), np.array(self.stops, np.int64)
+        start = stops[number]
+        sizes = stops[number + 1] - start
+        after = np.cumsum(sizes)
+        # every word's ids are copied from where they are remembered
+        out = known.take(np.repeat(start - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0))
+        text_end = after[np.cumsum(counts) - 1] if counts else after
+        return out, np.diff(np.concatenate([[0], text_end]))
+
+
+def worker_words(tokenizer: str, end: int) -> Words:
+    """The remembered words of this Python worker, which Spark keeps for further tasks."""
+    import __main__
+
+    kept = __main__.__dict__.setdefault("_token_words", {})
+    key = zlib.crc32(tokenizer.encode()), len(tokenizer), end
+    if key not in kept:
+        kept.clear()
+        kept[key] = Words(Tokenizer.from_str(tokenizer))
+    return kept[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = 1) -> None:
     """Write the ids of every text of ``docs`` to ``path`` in ascending order of the document's id."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     tie = F.xxhash64(F.col(text_col))
@@ -132,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(Tokenizer.from_str(shared.value))
+        words = worker_words(shared.value, end_id)
         vocabulary = max(len(words.ends), end_id + 1)
         part, segment = TaskContext.get().partitionId(), 0
         ids, sizes, names, waiting = [], [], [], 0
