@@ -116,4 +116,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op1_mix": OP1, "op2_line_dedup": OP2, "op8_quality_rules": OP8, "op10_decontaminate": OP10}
+OP9 = r"""
+WITH r AS (
+  SELECT conv_id, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(role, '') <> '' AS named,
+         coalesce(text, '') || '<|end|>' || chr(10) AS body,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(nullif(role, ''), 'unknown'), coalesce(text, '')) AS pos
+  FROM conversations),
+v AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE named AND role <> 'system'),
+m AS (
+  SELECT r.conv_id, speaker, (pos - 1) // 256 AS part, pos, role = speaker AS own, body,
+         '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+                      ELSE 'user name=' || role END || '|>' || chr(10) AS head
+  FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM m)
+SELECT conv_id, speaker, part::BIGINT AS part, count(*)::BIGINT AS n_turns, (count(*) FILTER (own))::BIGINT AS n_own,
+       string_agg(head || body, '' ORDER BY pos) AS text,
+       coalesce(string_agg((stop - length(body))::BIGINT || '-' || (stop - 1)::BIGINT, ',' ORDER BY pos)
+                FILTER (own), '') AS mask
+FROM o GROUP BY conv_id, speaker, part
+"""
+
+ORACLE = {"op1_mix": OP1, "op2_line_dedup": OP2, "op8_quality_rules": OP8, "op9_chat_perspectives": OP9,
+          "op10_decontaminate": OP10}
