@@ -49,13 +49,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    judged = rules.failed_rule(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    stats = judged.select("doc_id", *[f(text).alias(k) for k, f in rules.STATS.items()], "failed_rule")
+    judged = rules.judged_stats(docs)
     failed = rules.base_rules({k: F.col(k) for k in rules.STATS})
     base = failed["few_words"] | failed["repeats"]
-    return stats.select("doc_id", *rules.STATS, base.alias("base_failed"),
-                        (~base & F.col("failed_rule").isNull()).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         base.alias("base_failed"), (~base & F.col("failed_rule").isNull()).alias("kept"))
 
 
 def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,13 @@ def n_repeat_words(text: Column, window: int = WINDOW) -> Column:
     return let(hashes, count).cast("long")
 
 
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(text, "\n")).cast("long")
+
+
 #: Statistics of a text, by name.
 STATS = {
+    "n_lines": n_lines,
     "n_words": n_words,
     "word_chars": word_chars,
     "n_symbols": n_symbols,
@@ -104,19 +109,19 @@ def base_rules(stat: Mapping[str, Column]) -> dict[str, Column]:
 
 def default_rules(stat: Mapping[str, Column]) -> dict[str, Column]:
     """Base rules and limits on word length, symbols and repeated lines (true: rejected)."""
-    words, lines = stat["n_words"], F.size(F.split(stat["text"], "\n"))
+    words = stat["n_words"]
     return base_rules(stat) | {
         "short_words": stat["word_chars"] < 2 * words,
         "long_words": stat["word_chars"] > 15 * words,
         "symbols": 10 * stat["n_symbols"] > words,
-        "dup_lines": (10 * stat["n_dup_lines"] > 3 * lines) & (stat["n_dup_lines"] > 1),
+        "dup_lines": (10 * stat["n_dup_lines"] > 3 * stat["n_lines"]) & (stat["n_dup_lines"] > 1),
     }
 
 
 def lazy_stats(text: Column) -> dict[str, Column]:
     """Every statistic as an expression of the text: a rule computes only what it names."""
     text = F.coalesce(text, F.lit(""))
-    return {"text": text} | {k: f(text) for k, f in STATS.items()}
+    return {k: f(text) for k, f in STATS.items()}
 
 
 def measure_rules(docs: DataFrame, rules: Mapping[str, Column], sample_rows: int = 2000,
@@ -155,9 +160,23 @@ def cascade(rules: Mapping[str, Column], order: Sequence[str]) -> Column:
     return reduce(lambda c, t: c.when(*t), rest, F.when(*head))
 
 
+def rule_order(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_rows: int = 2000) -> list[str]:
+    """The order of a cascade, from what the rules cost and reject on a sample."""
+    own = rules(lazy_stats(F.col(text_col)))
+    return by_rejection_per_cost(measure_rules(docs.select(text_col), own, sample_rows))
+
+
 def failed_rule(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_rows: int = 2000,
                 out: str = "failed_rule") -> DataFrame:
-    """``docs`` with the first rule each text fails (NULL: kept), cheapest rejections first."""
-    own = rules(lazy_stats(F.col(text_col)))
-    order = by_rejection_per_cost(measure_rules(docs.select(text_col), own, sample_rows))
-    return docs.withColumn(out, cascade(own, order))
+    """``docs`` with the first rule each text fails (NULL: kept); only the statistics that the
+    cascade comes to are computed."""
+    order = rule_order(docs, text_col, rules, sample_rows)
+    return docs.withColumn(out, cascade(rules(lazy_stats(F.col(text_col))), order))
+
+
+def judged_stats(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_rows: int = 2000,
+                 out: str = "failed_rule") -> DataFrame:
+    """As :func:`failed_rule`, with every statistic as a column; the cascade reads these columns."""
+    order = rule_order(docs, text_col, rules, sample_rows)
+    return docs.withColumns(lazy_stats(F.col(text_col))).withColumn(
+        out, cascade(rules({k: F.col(k) for k in STATS}), order))
