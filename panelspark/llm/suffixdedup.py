@@ -7,8 +7,9 @@ anchor are a run. Equal strings have equal anchors, so
 1. anchors are counted over the corpus (packed by anchor; only those of two different texts go
    on) and sent back to the documents that hold them;
 2. the bytes of the remaining runs are gathered by anchor, equal runs once with the smallest id.
-   Each shard sorts the suffixes of its runs by induced sorting; a permuted common prefix of
-   ``length`` bytes joins strings into classes, and each class gets its smallest id;
+   Each shard sorts the suffixes of the runs of anchors that have several different runs by
+   induced sorting; a permuted common prefix of ``length`` bytes joins strings into classes, and
+   each class gets its smallest id;
 3. runs learn which of their starts a smaller document holds. Runs of an anchor that many texts
    share are dealt over ``SALTS`` copies of the answer;
 4. documents merge the intervals and drop the bytes.
@@ -19,7 +20,7 @@ groups of copies of any size do not enter the steps above.
 Defined results: a missing or empty text is empty; a text shorter than ``length`` loses nothing;
 rows without an id keep all bytes and remove none elsewhere; rows that share an id do not
 remove each other's bytes; rows that repeat get equal results; an empty table gives an empty
-result; other columns are not read. Runs are told apart by 96-bit and whole texts by 128-bit
+result; other columns are not read. Runs are told apart by 95-bit and whole texts by 128-bit
 hashes; strings are compared byte by byte.
 """
 
@@ -27,20 +28,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import heavy_join, mix64, pieces
+from panelspark.llm.common import bounded_batches, heavy_join, mix64, pieces
 from panelspark.llm.suffixarray import permuted_prefixes, suffix_array
 from panelspark.session import materialize
 
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 ANCHOR_BITS = 48
-TEXT_BYTES_PER_BUCKET = 64 << 20
-FLUSH_RUNS = 2_000_000
-FLUSH_BYTES = 48 << 20
-SORTED_BYTES = 400_000
+#: Bounds of what a task holds: text behind a bucket of anchors, anchors and bytes of runs before
+#: they are packed, bytes that are sorted at once.
+TEXT_BYTES_PER_BUCKET = 16 << 20
+FLUSH_RUNS = 700_000
+FLUSH_BYTES = 16 << 20
+SORTED_BYTES = 600_000
 SALTS = 32
 
 
@@ -119,7 +121,7 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
 
 
 def shared_anchors(packed: DataFrame, hot_texts: int) -> DataFrame:
-    """(token, anchors): anchors that texts of different tokens hold; those of more than
+    """(token, anchor): anchors that texts of different tokens hold; those of more than
     ``hot_texts`` texts as -1 - anchor."""
 
     def run(found: pa.Table) -> pa.Table:
@@ -133,163 +135,226 @@ def shared_anchors(packed: DataFrame, hot_texts: int) -> DataFrame:
         n = np.diff(np.append(first, len(a)))
         texts = np.repeat(n, n)
         a = np.where(texts > hot_texts, -1 - a.astype(np.int64), a.astype(np.int64))[texts > 1]
-        t = t[texts > 1]
-        order = np.argsort(t, kind="stable")
-        a, t = a[order], t[order]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        return pa.table({"token": pa.array(t[first], pa.int32()), "anchors": pa.ListArray.from_arrays(
-            pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(a))})
+        return pa.table({"token": pa.array(t[texts > 1], pa.int32()), "anchor": pa.array(a)})
 
-    return packed.groupBy("bucket").applyInArrow(run, "token int, anchors array<long>")
+    return packed.groupBy("bucket").applyInArrow(run, "token int, anchor long")
 
 
-def shared_runs(text: bytes, anchors, length: int, gram: int):
+def shared_runs(text: bytes, anchors, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor, hot, start, stop) of the runs whose anchor is listed; stop is the end of their bytes."""
-    listed = np.sort(np.array(anchors, np.int64))
-    hot = listed[listed < 0]
-    known = np.sort(np.concatenate([-1 - hot, listed[listed >= 0]]))
-    hot = np.sort(-1 - hot)
+    listed = np.array(anchors, np.int64)
+    hot = listed < 0
+    known = np.where(hot, -1 - listed, listed)
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
     anchor, start, n = runs_of(text, length, gram)
     anchor = anchor.astype(np.int64)
-    keep = np.isin(anchor, known)
-    anchor, start, n = anchor[keep], start[keep], n[keep]
-    return anchor.tolist(), np.isin(anchor, hot).tolist(), start.tolist(), (start + n + length - 1).tolist()
+    place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+    keep = np.flatnonzero(known[place] == anchor)
+    return anchor[keep], hot[place[keep]], start[keep], (start + n)[keep] + length - 1
+
+
+#: Two odd bases of polynomial hashes modulo 2^64, and their inverses.
+BASES = [(x, pow(x, -1, 1 << 64)) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+class Powers:
+    """Powers of the bases, kept as far as they were needed."""
+
+    def __init__(self):
+        self.held = np.ones((4, 1), np.uint64)
+
+    def up_to(self, n: int) -> np.ndarray:
+        if self.held.shape[1] < n:
+            size = 1 << n.bit_length()
+            steps = np.array([x for pair in BASES for x in pair], np.uint64)[:, None].repeat(size, axis=1)
+            steps[:, 0] = 1
+            self.held = np.multiply.accumulate(steps, axis=1, out=steps)
+        return self.held
+
+
+def run_keys(data: bytes, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, powers: Powers):
+    """95 bits (a 64-bit and a 31-bit integer) that depend on the bytes of a run and its anchor alone."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    table = powers.up_to(len(x) + 1)
+    salt = mix64(anchor.astype(np.uint64) * ROLL + (stop - start).astype(np.uint64))
+    out = []
+    for up, down in (table[:2], table[2:]):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:len(x)], dtype=np.uint64)])
+        out.append(mix64((sums[stop] - sums[start]) * down[start] + salt))
+    return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
 
 
-def run_key(anchor: int, data: bytes) -> tuple[int, int]:
-    return xxhash.xxh3_64_intdigest(data, anchor) - (1 << 63), anchor & 0x7FFFFFFF
+def distinct_runs(key: np.ndarray, small: np.ndarray, ids: np.ndarray, many: np.ndarray, hot: np.ndarray):
+    """(one place of each run, its smallest id, has it several holders, is its anchor hot)."""
+    order = np.lexsort((ids, small, key))
+    k, s, i = key[order], small[order], ids[order]
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+    last = np.append(first[1:], len(k)) - 1
+    return (order[first], i[first], np.logical_or.reduceat(many[order], first) | (i[first] != i[last]),
+            np.logical_or.reduceat(hot[order], first))
 
 
 def run_bytes(held: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, anchors, ids, stops, data, hot): bytes of the shared runs of stretches of
-    documents, equal runs once with their smallest id."""
+    """(bucket, anchors, ids, flags, stops, size, data): bytes of the shared runs of stretches of
+    documents, equal runs once with their smallest id; data is compressed."""
 
     def run(batches):
-        found: dict[tuple[int, bytes], tuple[int, bool]] = {}
-        size = 0
+        powers = Powers()
+        found, texts, size = [], [], 0
 
         def flush():
-            items = sorted(found.items())
-            a = np.array([k[0] for k, _ in items], np.uint64)
-            edges = bucket_edges(a, buckets)
-            out = {"bucket": [], "anchors": [], "ids": [], "stops": [], "data": [], "hot": []}
+            anchor, hot, start, stop, key, small, ids, owner = map(np.concatenate, zip(*found))
+            at, least, many, hot = distinct_runs(key, small, ids, np.zeros(len(key), bool), hot)
+            order = np.argsort(anchor[at], kind="stable")
+            at, least, flags = at[order], least[order], (many + 2 * hot).astype(np.uint8)[order]
+            anchor, start, stop, owner = anchor[at].astype(np.uint64), start[at], stop[at], owner[at]
+            edges = bucket_edges(anchor, buckets)
+            rows = []
             for b, (x, z) in enumerate(zip(edges, edges[1:])):
                 if x < z:
-                    part = items[x:z]
-                    out["bucket"].append(b)
-                    out["anchors"].append(planes(a[x:z], 6))
-                    out["ids"].append(np.array([v[0] for _, v in part], np.int64).tobytes())
-                    out["stops"].append(np.cumsum([len(k[1]) for k, _ in part]).astype(np.int64).tobytes())
-                    out["data"].append(b"".join(k[1] for k, _ in part))
-                    out["hot"].append(np.array([v[1] for _, v in part], bool).tobytes())
+                    data = b"".join([texts[o][p:q] for o, p, q in zip(
+                        owner[x:z].tolist(), start[x:z].tolist(), stop[x:z].tolist())])
+                    rows.append((b, planes(anchor[x:z], 6), least[x:z].tobytes(), flags[x:z].tobytes(),
+                                 np.cumsum(stop[x:z] - start[x:z]).tobytes(), len(data),
+                                 pa.compress(data, codec="zstd", asbytes=True)))
+            kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays(
-                [pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in list(out)[1:]]], list(out))
+                [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)],
+                ["bucket", "anchors", "ids", "flags", "stops", "size", "data"])
 
         for batch in pieces(batches):
             for doc, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "anchors")]):
-                if anchors is None:
+                if not anchors:
                     continue
-                for anchor, hot, start, stop in zip(*shared_runs(text, anchors, length, gram)):
-                    key = anchor, text[start:stop]
-                    known = found.get(key)
-                    if known is None:
-                        size += stop - start + 100
-                        found[key] = doc, hot
-                    elif doc < known[0]:
-                        found[key] = doc, hot
+                anchor, hot, start, stop = shared_runs(text, anchors, length, gram)
+                n = len(anchor)
+                found.append((anchor, hot, start, stop, *run_keys(text, start, stop, anchor, powers),
+                              np.full(n, doc, np.int64), np.full(n, len(texts), np.int64)))
+                texts.append(text)
+                size += len(text)
                 if size >= FLUSH_BYTES:
                     yield flush()
-                    found, size = {}, 0
+                    found, texts, size = [], [], 0
         if found:
             yield flush()
 
-    return held.mapInArrow(
-        run, "bucket int, anchors binary, ids binary, stops binary, data binary, hot binary")
-
-
-def smallest_ids(runs: list[bytes], ids: np.ndarray, length: int) -> list[list[tuple[int, int, int]]]:
-    """For every run, (first, last, id): starts whose strings have ``id`` as the smallest holder."""
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
-    text = np.zeros(int(sizes.sum()) + 1, np.uint16)
-    text[:-1] = np.frombuffer(b"\0".join(runs) + b"\0", np.uint8)
-    text[:-1] += 2
-    text[np.cumsum(sizes) - 1] = 1  # between runs
+    return held.mapInArrow(run, "bucket int, anchors binary, ids binary, flags binary, stops binary, "
+                                "size long, data binary")
+
+
+def smallest_ids(data: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray,
+                 length: int) -> tuple[np.ndarray, ...]:
+    """(spans per run, firsts, lasts, ids): starts first..last of a run whose strings have ``id`` as
+    the smallest holder, for all runs one after the other. Runs are stretches of ``data``."""
+    sizes = stop - start + 1
+    ends = np.cumsum(sizes)
+    text = np.ones(int(ends[-1]) + 1, np.uint16)  # 1 between runs
+    text[-1] = 0
+    place = np.arange(int(ends[-1]))
+    inside = np.ones(int(ends[-1]), bool)
+    inside[ends - 1] = False
+    text[:-1][inside] = data[(place + np.repeat(start - (ends - sizes), sizes))[inside]].astype(np.uint16) + 2
     order = suffix_array(text)
     same = permuted_prefixes(text, order, length)[order] >= length
-    owner = np.append(np.repeat(np.arange(len(runs)), sizes), 0)
+    owner = np.append(np.repeat(np.arange(len(sizes)), sizes), 0)
     first = np.flatnonzero(~same)
     least = np.minimum.reduceat(ids[owner[order]], first)
     by_place = np.empty(len(text), np.int64)
     by_place[order] = np.repeat(least, np.diff(np.append(first, len(text))))
-    out, at = [], 0
-    for size in sizes.tolist():
-        own = by_place[at:at + size - length]
-        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out.append(list(zip(cut.tolist(), np.append(cut[1:] - 1, len(own) - 1).tolist(), own[cut].tolist())))
-        at += size
-    return out
+    # the starts of every run, and where the smallest holder changes among them
+    n = sizes - length
+    run = np.repeat(np.arange(len(sizes)), n)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    own = by_place[np.repeat(ends - sizes, n) + at]
+    cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (run[1:] != run[:-1])))
+    return np.bincount(run[cut], minlength=len(sizes)), at[cut], at[np.append(cut[1:] - 1, len(run) - 1)], own[cut]
 
 
 ANSWER = "key long, small int, salt int, firsts array<int>, lasts array<int>, ids array<long>"
 
 
-def answers(packed: DataFrame, length: int) -> DataFrame:
-    """Per distinct run, and per salt for those of hot anchors, its starts' smallest holders."""
+def bucket_answers(found: pa.Table, length: int) -> pa.Table:
+    """Distinct runs of a bucket and their starts' smallest holders, where a document loses by them;
+    once for each salt where the anchor is hot."""
+    parts = [found.column(c).to_pylist() for c in ("anchors", "ids", "flags", "stops", "size", "data")]
+    data = [pa.decompress(d, decompressed_size=n, codec="zstd", asbytes=True) for n, d in zip(parts[4], parts[5])]
+    anchor = [from_planes(x, 6) for x in parts[0]]
+    stop = [np.frombuffer(x, np.int64) for x in parts[3]]
+    powers = Powers()
+    keys = [run_keys(d, np.append(0, z[:-1]), z, a, powers) for d, z, a in zip(data, stop, anchor)]
+    key, small = map(np.concatenate, zip(*keys))
+    anchor = np.concatenate(anchor)
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in parts[1]])
+    flags = np.concatenate([np.frombuffer(x, np.uint8) for x in parts[2]])
+    stop = np.concatenate([z + at for z, at in zip(stop, np.cumsum([0, *parts[4]]))])
+    start = np.append(0, stop[:-1])
+    data = b"".join(data)
+    at, ids, many, hot = distinct_runs(key, small, ids, flags & 1 > 0, flags & 2 > 0)
+    order = np.argsort(anchor[at], kind="stable")
+    at, ids, many, hot = at[order], ids[order], many[order], hot[order]
+    anchor, start, stop = anchor[at], start[at], stop[at]
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    size = np.diff(np.append(first, len(anchor)))
+    # the only run of its anchor shares its strings with no other: its holder is theirs
+    alone = np.flatnonzero(np.repeat(size, size) == 1)
+    spans = [(np.ones(len(alone), np.int64), 0 * alone, stop[alone] - start[alone] - length, ids[alone])]
+    runs = [alone]
+    data = np.frombuffer(data, np.uint8)
+    weight = np.append(0, np.cumsum(stop - start))
+    x = 0
+    several = first[size > 1]
+    ends = several + size[size > 1]
+    while x < len(several):  # whole anchors are sorted together
+        z = x
+        held = []
+        total = 0
+        while z < len(several) and (z == x or total < SORTED_BYTES):
+            held.append(np.arange(several[z], ends[z]))
+            total += int(weight[ends[z]] - weight[several[z]])
+            z += 1
+        some = np.concatenate(held)
+        spans.append(smallest_ids(data, start[some], stop[some], ids[some], length))
+        runs.append(some)
+        x = z
+    n, firsts, lasts, least = map(np.concatenate, zip(*spans))
+    runs = np.concatenate(runs)
+    loses = many[runs].copy()
+    owner = np.repeat(np.arange(len(runs)), n)
+    loses[owner[least < ids[runs][owner]]] = True
+    keep = loses[owner]
+    runs, n, firsts, lasts, least = runs[loses], n[loses], firsts[keep], lasts[keep], least[keep]
+    offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+    listed = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(x, kind))
+    out = pa.table([pa.array(key[at[runs]]), pa.array(small[at[runs]]), pa.array(np.zeros(len(runs), np.int32)),
+                    listed(firsts.astype(np.int32), pa.int32()), listed(lasts.astype(np.int32), pa.int32()),
+                    listed(least, pa.int64())], names=["key", "small", "salt", "firsts", "lasts", "ids"])
+    hot = out.filter(pa.array(hot[runs]))
+    more = [hot.set_column(2, "salt", pa.array(np.full(len(hot), salt, np.int32))) for salt in range(1, SALTS)]
+    return pa.concat_tables([out, *more]) if len(hot) else out
 
-    def run(found: pa.Table) -> pa.Table:
-        held: dict[tuple[int, bytes], tuple[int, bool]] = {}
-        for anchors, ids, stops, data, hot in zip(*[found.column(c).to_pylist()
-                                                    for c in ("anchors", "ids", "stops", "data", "hot")]):
-            at = 0
-            for a, i, stop, h in zip(from_planes(anchors, 6).tolist(), np.frombuffer(ids, np.int64).tolist(),
-                                     np.frombuffer(stops, np.int64).tolist(), np.frombuffer(hot, bool).tolist()):
-                key = a, data[at:stop]
-                at = stop
-                known = held.get(key)
-                if known is None or i < known[0]:
-                    held[key] = i, h or (known is not None and known[1])
-        out = {c: [] for c in ("key", "small", "salt", "firsts", "lasts", "ids")}
-        keys = sorted(held)
-        at = 0
-        while at < len(keys):  # whole anchors are sorted together
-            stop, size = at, 0
-            while stop < len(keys) and (size < SORTED_BYTES or keys[stop][0] == keys[stop - 1][0]):
-                size += len(keys[stop][1])
-                stop += 1
-            part = keys[at:stop]
-            least = smallest_ids([k[1] for k in part], np.array([held[k][0] for k in part]), length)
-            for key, spans in zip(part, least):
-                whole, small = run_key(*key)
-                for salt in range(SALTS if held[key][1] else 1):
-                    for c, v in zip(out, (whole, small, salt, *map(list, zip(*spans)))):
-                        out[c].append(v)
-            at = stop
-        return pa.table([pa.array(out["key"], pa.int64()), pa.array(out["small"], pa.int32()),
-                         pa.array(out["salt"], pa.int32()), pa.array(out["firsts"], pa.list_(pa.int32())),
-                         pa.array(out["lasts"], pa.list_(pa.int32())), pa.array(out["ids"], pa.list_(pa.int64()))],
-                        names=list(out))
-
-    return packed.groupBy("bucket").applyInArrow(run, ANSWER)
+
+def answers(packed: DataFrame, length: int) -> DataFrame:
+    return packed.groupBy("bucket").applyInArrow(lambda found: bucket_answers(found, length), ANSWER)
 
 
 def run_places(held: DataFrame, length: int, gram: int) -> DataFrame:
     """(id, row, start, key, small, salt) of every shared run of every document."""
+    names, kinds = ["id", "row", "start", "key", "small", "salt"], [np.int64, np.int64, np.int32, np.int64, np.int32, np.int32]
 
     def run(batches):
+        powers = Powers()
         for batch in pieces(batches):
-            out = {c: [] for c in ("id", "row", "start", "key", "small", "salt")}
+            found = [tuple(np.zeros(0, k) for k in kinds)]
             for doc, row, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "row", "text", "anchors")]):
-                if anchors is None:
+                if not anchors:
                     continue
-                spread = doc % SALTS
-                for anchor, hot, start, stop in zip(*shared_runs(text, anchors, length, gram)):
-                    key, small = run_key(anchor, text[start:stop])
-                    for c, v in zip(out, (doc, row, start, key, small, spread if hot else 0)):
-                        out[c].append(v)
+                anchor, hot, start, stop = shared_runs(text, anchors, length, gram)
+                n = len(anchor)
+                found.append((np.full(n, doc), np.full(n, row), start, *run_keys(text, start, stop, anchor, powers),
+                              np.where(hot, doc % SALTS, 0)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["row"], pa.int64()), pa.array(out["start"], pa.int32()),
-                 pa.array(out["key"], pa.int64()), pa.array(out["small"], pa.int32()), pa.array(out["salt"], pa.int32())],
-                list(out))
+                [pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*found), kinds)], names)
 
     return held.mapInArrow(run, "id long, row long, start int, key long, small int, salt int")
 
@@ -329,6 +394,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_bytes, n_removed, n_spans, kept): every text without each byte that is covered by a
     ``length``-byte string which also starts in a text of a smaller id. Ids are integers;
     ``kept`` is binary, as a cut may fall inside a character."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
@@ -346,7 +412,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     packed = anchor_rows(long_rows.select("text", token), buckets, length, gram)
     found = shared_anchors(packed, hot_texts=max(1000, total[2] // 1000))
-    listed = found.groupBy("token").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    listed = found.groupBy("token").agg(F.collect_list("anchor").alias("anchors"))
     live = known.where(~F.col("copy")).select("id", "row", token)
     listed = materialize(live.join(listed, "token").select("id", "row", "anchors"), "anchors")
 
