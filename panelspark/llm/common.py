@@ -114,8 +114,18 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, s
     """Join ``rows`` with a ``table`` that has one row per key.
 
     The table is repeated ``salts`` times and rows are dealt to the copies by a hash of
-    ``spread``, so a key that holds a third of all rows meets the table in many tasks.
+    ``spread``, so a key that holds a third of all rows meets the table in many tasks. The
+    copies are never broadcast, as their size is not seen in that of the table.
     """
     many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return dealt.join(many, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(many.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, how: str = "inner",
+               most_rows: int = 100_000) -> DataFrame:
+    """Join with a written ``table`` of one row per key: broadcast where it has at most
+    ``most_rows`` rows, else by :func:`salted_join`."""
+    if table.limit(most_rows + 1).count() <= most_rows:
+        return rows.join(F.broadcast(table), on, how)
+    return salted_join(rows, table, on, spread, how=how)

@@ -61,7 +61,7 @@ def source_targets(sources: DataFrame, share: float = 1.0, max_repeats: float =
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights: Sequence[float] | Mapping[str, float] = (5, 2, 1),
-                share: float = 1.0, max_repeats: float = 3.0, rows_per_range: int = 1024,
+                share: float = 1.0, max_repeats: float = 3.0, rows_per_range: int = 256,
                 keep_text: bool = True) -> DataFrame:
     """Add size, source_size, target, taken (words, repeats counted) and copies to every row.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, heavy_join, mix64, pieces, salted_join, texts_of
+from panelspark.llm.common import WordHashes, bounded_batches, heavy_join, keyed_join, mix64, pieces, salted_join, texts_of
 from panelspark.llm.components import components
 from panelspark.operators.relational import sequence_number
 from panelspark.session import materialize
@@ -147,7 +147,7 @@ def leader_pairs(now: DataFrame, turn: int) -> DataFrame:
     lead = now.groupBy("band").agg(
         F.min(F.struct(rank.alias("r"), "set", "n", "label")).alias("lead"),
         F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lead")
-    return now.join(lead, "band").where(F.col("label") != F.col("lead.label")).select(
+    return salted_join(now, lead, ["band"], "set", salts=8).where(F.col("label") != F.col("lead.label")).select(
         "set", "n", F.col("lead.set").alias("other"), F.col("lead.n").alias("m"))
 
 
@@ -165,12 +165,13 @@ def block_links(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of blocks of one and the same component are left out, and so are those whose sizes are too
     far apart. Only links between components are put out.
     """
-    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                    F.min("set").alias("first")).where("lo < hi").select("band", "first")
-    held = materialize(now.join(open_, "band").select("set", "n", "label", "first").distinct(), "open-members")
-    families = components(held.select(F.col("set").alias("a"), F.col("first").alias("b")))
+    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo < hi").select("band", "lo")
+    held = materialize(salted_join(now, open_, ["band"], "set", salts=8).select("set", "n", "label", "lo").distinct(),
+                       "open-members")
+    families = components(held.where("label != lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
     held = held.select("set", "n", "label").distinct().join(
-        families.select(F.col("v").alias("set"), F.col("label").alias("family")), "set")
+        families.select(F.col("v").alias("label"), F.col("label").alias("family")), "label")
     held = sequence_number(held, ["label", "n", "set"], "at", group=["family"])
     held = held.withColumn("block", F.floor((F.col("at") - 1) / BLOCK_SETS))
     blocks = held.join(sets, "set").groupBy("family", "block").agg(
@@ -227,7 +228,7 @@ def links(rows: DataFrame, vertices: DataFrame, words_per_shingle: int, percent:
     """
     spread = vertices.select("set", "n", F.explode("bands").alias("band"))
     shared = materialize(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
-    members = heavy_join(spread, shared, ["band"], "size", vertices.count() * 64)
+    members = heavy_join(spread, shared, ["band"], "size", vertices.agg(F.sum(F.size("bands"))).first()[0] or 0)
     members = materialize(members, "members")
     picked = members.select("set").distinct().join(vertices.select("set", "id"), "set")
     sets = materialize(candidate_sets(rows.join(picked, "id").select("text", "set"), words_per_shingle), "sets")
@@ -272,6 +273,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     marks = materialize(sketch(rows.withColumn("row", F.xxhash64("text")), words_per_shingle, bands, per_band, seed),
                         "sketch")
@@ -283,8 +285,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = first.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("rows").alias("size"))
-    of = salted_join(named, least.where("size > 1"), ["label"], "set").select("set", "component_id")
-    out = salted_join(marks, materialize(of, "component"), ["set"], "id", how="left")
+    least = materialize(least.where("size > 1"), "components")
+    of = keyed_join(named, least, ["label"], "set").select("set", "component_id")
+    out = keyed_join(marks, materialize(of, "component"), ["set"], "id", how="left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "row")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WordHashes, bounded_batches, pieces, random_sample, salted_join, texts_of
+from panelspark.llm.common import WordHashes, bounded_batches, keyed_join, pieces, random_sample, texts_of
 from panelspark.session import materialize
 
 FEATURE_BITS = 18
@@ -186,7 +186,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     overall = total[0] / total[1] if total[1] else 0.5
     hosts = materialize(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("s", "q", "n")]), "hosts")
     hosts = shrink(hosts, F.lit(overall), "host_posterior").select("host", "host_posterior")
-    paths = materialize(salted_join(paths, hosts, ["host"], "path"), "path-priors")
+    paths = materialize(keyed_join(paths, materialize(hosts, "host-posteriors"), ["host"], "path"), "path-priors")
     return shrink(paths, F.col("host_posterior"), "path_posterior").select(
         "host", "path", "host_posterior", "path_posterior"), overall
 
@@ -207,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                        key(host_col).alias("host"), key(path_col).alias("path"), *doc)
     scored = materialize(score_documents(rows, models), "scored")
     sites, overall = site_posteriors(scored.select("host", "path", sigmoid(F.col("z_quality")).alias("p")))
-    joined = salted_join(scored, sites, ["host", "path"], "id")
+    joined = keyed_join(scored, materialize(sites, "sites"), ["host", "path"], "id")
     p_quality = sigmoid(F.col("z_quality") + logit(F.col("path_posterior")) - logit(F.lit(overall)))
     out = joined.select(F.col("id").alias(id_col), F.col("z_quality").alias("evidence"), "host_posterior",
                         "path_posterior", p_quality.alias("p_quality"), sigmoid(F.col("z_toxic")).alias("p_toxic"),
