@@ -109,7 +109,7 @@ def names_of(text: np.ndarray, leftmost: np.ndarray, order: np.ndarray) -> np.nd
 def by_doubling(text: np.ndarray) -> np.ndarray:
     """Suffix array by sorting pairs of ranks of twice the length each time."""
     n, k = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    rank = text.astype(np.int64) if text.max() < n else np.unique(text, return_inverse=True)[1].astype(np.int64)
     while True:
         key = rank * (n + 1)
         key[:n - k] += rank[k:] + 1 if k < n else 0
@@ -143,7 +143,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """By text position: common prefix with the suffix before it in ``order``, counted up to ``most``.
 
-    ``text`` holds 16-bit symbols; four of them are compared at a time, then single ones.
+    ``text`` holds 16-bit symbols and four of them are compared at a time: a prefix shorter than
+    the last multiple of four in ``most`` is rounded down to one, a longer one is exact.
     """
     n = len(text)
     previous = np.empty(n, np.int64)
@@ -158,9 +159,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
         same = words[left + k] == words[previous[left] + k]
         left = left[same]
         out[left] = k + 4
-    left = np.flatnonzero(np.arange(n) != order[0])
-    for _ in range(3):
-        left = left[out[left] < most]
-        left = left[padded[left + out[left]] == padded[previous[left] + out[left]]]
+    for k in range(whole, most):
+        left = left[padded[left + k] == padded[previous[left] + k]]
         out[left] += 1
     return out

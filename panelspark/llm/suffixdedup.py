@@ -42,7 +42,7 @@ ANCHOR_BITS = 48
 TEXT_BYTES_PER_BUCKET = 16 << 20
 FLUSH_RUNS = 700_000
 FLUSH_BYTES = 16 << 20
-SORTED_BYTES = 600_000
+SORTED_BYTES = 150_000
 SALTS = 32
 
 
