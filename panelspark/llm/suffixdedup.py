@@ -5,7 +5,10 @@ anchor, the smallest hash among the ``gram``-byte strings inside it; consecutive
 anchor are a run. Equal strings have equal anchors, so
 
 1. anchors are counted over the corpus (packed by anchor; only those of two different texts go
-   on) and sent back to the documents that hold them;
+   on) and sent back to the documents that hold them. An anchor that many texts of a stretch hold
+   is told to its bucket by two of them, and the list of its texts stays in stretches. An anchor
+   of many different runs, as at both ends of a passage in many contexts, is split: each string
+   of its runs is a run by itself, with a hash of the string as its anchor;
 2. the bytes of the remaining runs are gathered by anchor, equal runs once with the smallest id.
    Each shard sorts the suffixes of the runs of anchors that have several different runs by
    induced sorting; a permuted common prefix of ``length`` bytes joins strings into classes, and
@@ -44,6 +47,13 @@ FLUSH_RUNS = 700_000
 FLUSH_BYTES = 16 << 20
 SORTED_BYTES = 150_000
 SALTS = 32
+#: An anchor that more than a ``WIDE_PART``-th of a stretch's texts hold (and ``WIDE_TEXTS`` at least)
+#: has its texts listed apart. An anchor of more than ``SPLIT_RUNS`` different runs, counted in
+#: stretches where it has more than ``FEW_RUNS``, is split by the strings of its runs.
+WIDE_PART = 32
+WIDE_TEXTS = 64
+FEW_RUNS = 4
+SPLIT_RUNS = 4000
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -62,13 +72,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - k)], x[width - k:]) if k < width else x
 
 
-def runs_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(text: bytes, length: int, gram: int, hashes: np.ndarray | None = None):
     """(anchor, first start, starts) of every run of a text of at least ``length`` bytes."""
-    least = sliding_min(gram_hashes(np.frombuffer(text, np.uint8), gram), length - gram + 1)
+    hashes = gram_hashes(np.frombuffer(text, np.uint8), gram) if hashes is None else hashes
+    least = sliding_min(hashes, length - gram + 1)
     cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return least[cut] >> np.uint64(64 - ANCHOR_BITS), cut, np.diff(np.append(cut, len(least)))
 
 
+def marked_anchors(text: bytes, length: int, gram: int) -> np.ndarray:
+    """Distinct anchors of a text, each with 16 bits that tell its different runs apart."""
+    hashes = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    anchor, start, n = runs_of(text, length, gram, hashes)
+    sums = np.append(np.uint64(0), np.cumsum(hashes, dtype=np.uint64))
+    mark = mix64(sums[start + n + length - gram] - sums[start]) >> np.uint64(ANCHOR_BITS)
+    return np.unique(anchor << np.uint64(64 - ANCHOR_BITS) | mark)
+
+
 def bucket_edges(anchors: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket starts in ascending anchors."""
     limits = -(-(np.arange(buckets + 1, dtype=object) << ANCHOR_BITS) // buckets)
@@ -87,71 +107,121 @@ def from_planes(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def group_starts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, size) of every group of equal values in ascending ones."""
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(a)))
+
+
 def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, anchors, tokens): the distinct anchors of stretches of texts with their texts' tokens."""
+    """(bucket, anchors, tokens, varied): the distinct anchors of stretches of texts with their texts'
+    tokens, and the marked anchors of those that have several different runs.
+
+    An anchor that a large part of a stretch's texts hold sends its smallest and largest token to
+    its bucket; all its tokens go to a bucket beyond ``buckets``, another one for each stretch.
+    """
 
     def run(batches):
-        anchors, tokens, held = [], [], 0
+        found, tokens, held = [], [], 0
 
         def flush():
-            a, t = np.concatenate(anchors), np.concatenate(tokens)
+            marked, n = np.concatenate(found), np.array([len(x) for x in found])
+            t = np.repeat(np.array(tokens, np.int32), n)
+            shift = np.uint64(64 - ANCHOR_BITS)
+            a = marked >> shift
             order = np.lexsort((t, a))
             a, t = a[order], t[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
             a, t = a[new], t[new]
-            edges = bucket_edges(a, buckets)
-            rows = [(b, planes(a[x:z], 6), t[x:z].tobytes()) for b, (x, z) in enumerate(zip(edges, edges[1:])) if x < z]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-                 pa.array([r[2] for r in rows], pa.binary())], ["bucket", "anchors", "tokens"])
+            first, size = group_starts(a)
+            wide = np.repeat(size > max(WIDE_TEXTS, len(tokens) // WIDE_PART), size)
+            end = np.zeros(len(a), bool)
+            end[first] = end[first + size - 1] = True
+            rows = []
+            if wide.any():
+                rows.append((buckets + int(mix64(t[:1].astype(np.uint64))[0] % np.uint64(buckets)),
+                             planes(a[wide], 6), t[wide].tobytes(), b""))
+            a, t = a[~wide | end], t[~wide | end]
+            varied = np.unique(marked)
+            runs = group_starts(varied >> shift)[1]
+            varied = varied[np.repeat(runs > FEW_RUNS, runs)]
+            edges, bounds = bucket_edges(a, buckets), bucket_edges(varied >> shift, buckets)
+            rows += [(b, planes(a[x:z], 6), t[x:z].tobytes(), planes(varied[p:q], 8))
+                     for b, (x, z, p, q) in enumerate(zip(edges, edges[1:], bounds, bounds[1:])) if x < z]
+            names = ["bucket", "anchors", "tokens", "varied"]
+            kinds = [pa.int32(), *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
 
         for batch in pieces(batches):
             for text, token in zip(batch.column("text").to_pylist(), batch.column("token").to_pylist()):
-                found = np.unique(runs_of(text, length, gram)[0])
-                anchors.append(found)
-                tokens.append(np.full(len(found), token, np.int32))
-                held += len(found)
+                found.append(marked_anchors(text, length, gram))
+                tokens.append(token)
+                held += len(found[-1])
                 if held >= FLUSH_RUNS:
                     yield flush()
-                    anchors, tokens, held = [], [], 0
+                    found, tokens, held = [], [], 0
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "bucket int, anchors binary, tokens binary")
+    return texts.mapInArrow(run, "bucket int, anchors binary, tokens binary, varied binary")
 
 
-def shared_anchors(packed: DataFrame, hot_texts: int) -> DataFrame:
+def shared_anchors(packed: DataFrame, buckets: int, hot_texts: int, split_runs: int) -> DataFrame:
     """(token, anchor): anchors that texts of different tokens hold; those of more than
-    ``hot_texts`` texts as -1 - anchor."""
+    ``hot_texts`` texts as -1 - anchor. Anchors that are to be split have a row without a token."""
 
     def run(found: pa.Table) -> pa.Table:
         a = np.concatenate([from_planes(x, 6) for x in found.column("anchors").to_pylist()])
         t = np.concatenate([np.frombuffer(x, np.int32) for x in found.column("tokens").to_pylist()])
+        if found.column("bucket")[0].as_py() >= buckets:  # anchors of many texts, told in whole
+            return pa.table({"token": pa.array(t, pa.int32()), "anchor": pa.array(-1 - a.astype(np.int64))})
         order = np.lexsort((t, a))
         a, t = a[order], t[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
         a, t = a[new], t[new]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        n = np.diff(np.append(first, len(a)))
+        n = group_starts(a)[1]
         texts = np.repeat(n, n)
         a = np.where(texts > hot_texts, -1 - a.astype(np.int64), a.astype(np.int64))[texts > 1]
-        return pa.table({"token": pa.array(t[texts > 1], pa.int32()), "anchor": pa.array(a)})
+        varied = np.concatenate([from_planes(x, 8) for x in found.column("varied").to_pylist()])
+        varied = np.unique(varied) >> np.uint64(64 - ANCHOR_BITS)
+        first, runs = group_starts(varied)
+        split = varied[first[runs > split_runs]].astype(np.int64)
+        token = pa.array(t[texts > 1], pa.int32())
+        return pa.table({"token": pa.concat_arrays([token, pa.nulls(len(split), pa.int32())]),
+                         "anchor": pa.array(np.append(a, split))})
 
     return packed.groupBy("bucket").applyInArrow(run, "token int, anchor long")
 
 
-def shared_runs(text: bytes, anchors, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, hot, start, stop) of the runs whose anchor is listed; stop is the end of their bytes."""
+def shared_runs(text: bytes, anchors, split: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor, hot, start, stop) of the runs whose anchor is listed; stop is the end of their bytes.
+
+    Runs of the anchors in ``split`` (ascending) become one run for each of their strings, with a
+    hash of the string as its anchor: equal strings still meet, and only they do.
+    """
     listed = np.array(anchors, np.int64)
     hot = listed < 0
     known = np.where(hot, -1 - listed, listed)
-    order = np.argsort(known)
+    order = np.lexsort((~hot, known))
     known, hot = known[order], hot[order]
-    anchor, start, n = runs_of(text, length, gram)
+    data = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    anchor, start, n = runs_of(text, length, gram, data)
     anchor = anchor.astype(np.int64)
     place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
     keep = np.flatnonzero(known[place] == anchor)
-    return anchor[keep], hot[place[keep]], start[keep], (start + n)[keep] + length - 1
+    anchor, hot, start, n = anchor[keep], hot[place[keep]], start[keep], n[keep]
+    if len(split):
+        cut = split[np.minimum(np.searchsorted(split, anchor), len(split) - 1)] == anchor
+        if cut.any():
+            size = n[cut]
+            at = np.arange(size.sum()) + np.repeat(start[cut] - (np.cumsum(size) - size), size)
+            own = np.zeros(len(at), np.uint64)
+            for k in [*range(0, length - gram, gram), length - gram]:
+                own = mix64(own * ROLL + data[at + k])
+            anchor = np.append(anchor[~cut], (own >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64))
+            hot = np.append(hot[~cut], np.repeat(hot[cut], size))
+            start, n = np.append(start[~cut], at), np.append(n[~cut], np.ones(len(at), np.int64))
+    return anchor, hot, start, start + n + length - 1
 
 
 #: Two odd bases of polynomial hashes modulo 2^64, and their inverses.
@@ -195,7 +265,7 @@ def distinct_runs(key: np.ndarray, small: np.ndarray, ids: np.ndarray, many: np.
             np.logical_or.reduceat(hot[order], first))
 
 
-def run_bytes(held: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def run_bytes(held: DataFrame, split: np.ndarray, buckets: int, length: int, gram: int) -> DataFrame:
     """(bucket, anchors, ids, flags, stops, size, data): bytes of the shared runs of stretches of
     documents, equal runs once with their smallest id; data is compressed."""
 
@@ -227,7 +297,7 @@ def run_bytes(held: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             for doc, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "anchors")]):
                 if not anchors:
                     continue
-                anchor, hot, start, stop = shared_runs(text, anchors, length, gram)
+                anchor, hot, start, stop = shared_runs(text, anchors, split, length, gram)
                 n = len(anchor)
                 found.append((anchor, hot, start, stop, *run_keys(text, start, stop, anchor, powers),
                               np.full(n, doc, np.int64), np.full(n, len(texts), np.int64)))
@@ -338,7 +408,7 @@ def answers(packed: DataFrame, length: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(lambda found: bucket_answers(found, length), ANSWER)
 
 
-def run_places(held: DataFrame, length: int, gram: int) -> DataFrame:
+def run_places(held: DataFrame, split: np.ndarray, length: int, gram: int) -> DataFrame:
     """(id, row, start, key, small, salt) of every shared run of every document."""
     names, kinds = ["id", "row", "start", "key", "small", "salt"], [np.int64, np.int64, np.int32, np.int64, np.int32, np.int32]
 
@@ -349,7 +419,7 @@ def run_places(held: DataFrame, length: int, gram: int) -> DataFrame:
             for doc, row, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "row", "text", "anchors")]):
                 if not anchors:
                     continue
-                anchor, hot, start, stop = shared_runs(text, anchors, length, gram)
+                anchor, hot, start, stop = shared_runs(text, anchors, split, length, gram)
                 n = len(anchor)
                 found.append((np.full(n, doc), np.full(n, row), start, *run_keys(text, start, stop, anchor, powers),
                               np.where(hot, doc % SALTS, 0)))
@@ -390,7 +460,7 @@ def without(rows: DataFrame, length: int) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-                     gram: int = 16) -> DataFrame:
+                     gram: int = 16, split_runs: int = SPLIT_RUNS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): every text without each byte that is covered by a
     ``length``-byte string which also starts in a text of a smaller id. Ids are integers;
     ``kept`` is binary, as a cut may fall inside a character."""
@@ -411,16 +481,20 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = materialize(known.select("id", "row", (F.col("id") > F.col("first")).alias("copy")), "copies")
 
     packed = anchor_rows(long_rows.select("text", token), buckets, length, gram)
-    found = shared_anchors(packed, hot_texts=max(1000, total[2] // 1000))
+    found = shared_anchors(packed, buckets, max(1000, total[2] // 1000), split_runs)
     listed = found.groupBy("token").agg(F.collect_list("anchor").alias("anchors"))
     live = known.where(~F.col("copy")).select("id", "row", token)
-    listed = materialize(live.join(listed, "token").select("id", "row", "anchors"), "anchors")
+    listed = materialize(live.join(listed, "token", "right").select("id", "row", "anchors"), "anchors")
+    # the anchors to split: at most one for every ``split_runs`` runs of the corpus
+    split = [x for r in listed.where("id is null").select("anchors").collect() for x in r.anchors]
+    split = np.unique(np.array(split, np.int64))
+    listed = listed.where("id is not null")
 
     # the texts are shuffled once; the same exchange serves all three uses below
     texts = rows.repartition("id", "row")
     held = texts.join(listed, ["id", "row"], "left").select("id", "row", "text", "anchors")
-    told = answers(run_bytes(held, 4 * buckets, length, gram), length)
-    places = run_places(held, length, gram).join(told, ["key", "small", "salt"])
+    told = answers(run_bytes(held, split, 4 * buckets, length, gram), length)
+    places = run_places(held, split, length, gram).join(told, ["key", "small", "salt"])
     spans = places.select("id", "row", "start", F.inline(F.arrays_zip("firsts", "lasts", "ids"))).where("ids < id")
     spans = spans.groupBy("id", "row").agg(F.collect_list(F.col("start") + F.col("firsts")).alias("firsts"),
                                            F.collect_list(F.col("start") + F.col("lasts")).alias("lasts"))

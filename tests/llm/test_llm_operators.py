@@ -1,8 +1,10 @@
 """Every operator against its plain Python version, on awkward rows, on a small table and on none."""
 
+import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -172,6 +174,49 @@ def test_substrings(awkward, rows, none, spark, sf_rows):
     assert suffixdedup.dedup_substrings(none).collect() == []
 
 
+def in_contexts(n):
+    """Texts that share a passage, each within words of its own; some hold a part of it only."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    return [" ".join([word(), word(), word(), passage[7 * (i % 3):len(passage) - 5 * (i % 4)], word(), word(), word()])
+            for i in range(n)]
+
+
+def test_substrings_of_a_passage_in_many_contexts(spark, awkward, rows):
+    key = lambda r: tuple(r[:4]) + (bytes(r[4]),)
+    texts = in_contexts(300)
+    table = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = multiset(brute.substrings(table))
+    assert multiset(map(key, suffixdedup.dedup_substrings(docs).collect())) == want
+    assert multiset(map(key, suffixdedup.dedup_substrings(docs, split_runs=20).collect())) == want
+    found = suffixdedup.dedup_substrings(awkward, split_runs=5).collect()
+    assert multiset(map(key, found)) == multiset(brute.substrings(rows))
+
+
+def test_no_anchor_gathers_the_runs_of_all_texts(spark):
+    texts = in_contexts(1200)
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, token int")
+    docs = docs.select(F.col("text").cast("binary").alias("text"), "token").repartition(2)
+    packed = suffixdedup.anchor_rows(docs, 8, 50, 16)
+    told = Counter(a for r in packed.where("bucket < 8").collect() for a in suffixdedup.from_planes(r.anchors, 6).tolist())
+    assert max(told.values()) <= 100  # 1,200 texts hold the passage
+    rows = suffixdedup.shared_anchors(packed, 8, 1000, 100).collect()
+    split = np.array(sorted(r.anchor for r in rows if r.token is None))
+    listed = {}
+    for r in rows:
+        if r.token is not None:
+            listed.setdefault(r.token, set()).add(r.anchor)
+    groups, shared = {}, {}
+    for t, text in enumerate(t.encode() for t in texts):
+        for a, _, start, stop in zip(*suffixdedup.shared_runs(text, sorted(listed[t]), split, 50, 16)):
+            groups.setdefault(a, set()).add(text[start:stop])
+            shared.setdefault(a, set()).add(t)
+    assert max(map(len, shared.values())) > 600  # the passage is there
+    assert max(map(len, groups.values())) <= 100
+
+
 # ---------------------------------------------------------------- quality classifier
 
 
