@@ -140,26 +140,50 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return induce(text, smaller, order, size)
 
 
+def previous_suffixes(order: np.ndarray) -> np.ndarray:
+    """By text position: the suffix before it in ``order`` (the last position for the first one)."""
+    previous = np.empty(len(order), np.int64)
+    previous[order[1:]] = order[:-1]
+    previous[order[0]] = len(order) - 1
+    return previous
+
+
+def by_fours(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit symbols with room for ``most`` more, and four of them from every position as one word."""
+    padded = np.concatenate([text.astype("<u2"), np.zeros(most + 4, "<u2")])
+    return padded, np.ndarray((len(text) + most + 1,), "<u8", padded, 0, (2,))
+
+
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """By text position: common prefix with the suffix before it in ``order``, counted up to ``most``.
 
-    ``text`` holds 16-bit symbols and four of them are compared at a time: a prefix shorter than
-    the last multiple of four in ``most`` is rounded down to one, a longer one is exact.
+    ``text`` holds 16-bit symbols; four of them are compared at a time, then single ones.
     """
-    n = len(text)
-    previous = np.empty(n, np.int64)
-    previous[order[1:]] = order[:-1]
-    previous[order[0]] = n - 1
-    out = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype("<u2"), np.zeros(most + 4, "<u2")])
-    words = np.ndarray((n + most + 1,), "<u8", padded, 0, (2,))
-    left = np.flatnonzero(np.arange(n) != order[0])
-    whole = most // 4 * 4
-    for k in range(0, whole, 4):
-        same = words[left + k] == words[previous[left] + k]
-        left = left[same]
+    previous = previous_suffixes(order)
+    padded, words = by_fours(text, most)
+    out = np.zeros(len(text), np.int64)
+    left = np.flatnonzero(np.arange(len(text)) != order[0])
+    for k in range(0, most // 4 * 4, 4):
+        left = left[words[left + k] == words[previous[left] + k]]
         out[left] = k + 4
-    for k in range(whole, most):
-        left = left[padded[left + k] == padded[previous[left] + k]]
+    left = np.flatnonzero(np.arange(len(text)) != order[0])
+    for _ in range(3):
+        left = left[out[left] < most]
+        left = left[padded[left + out[left]] == padded[previous[left] + out[left]]]
         out[left] += 1
     return out
+
+
+def reaches(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """By text position: is the common prefix with the suffix before it in ``order`` at least ``length``?"""
+    previous = previous_suffixes(order)
+    padded, words = by_fours(text, length)
+    left = np.flatnonzero(np.arange(len(text)) != order[0])
+    whole = length // 4 * 4
+    for k in range(0, whole, 4):
+        left = left[words[left + k] == words[previous[left] + k]]
+    for k in range(whole, length):
+        left = left[padded[left + k] == padded[previous[left] + k]]
+    out = np.zeros(len(text), bool)
+    out[left] = True
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import bounded_batches, heavy_join, mix64, pieces
-from panelspark.llm.suffixarray import permuted_prefixes, suffix_array
+from panelspark.llm.suffixarray import reaches, suffix_array
 from panelspark.session import materialize
 
 ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -326,7 +326,7 @@ def smallest_ids(data: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.
     inside[ends - 1] = False
     text[:-1][inside] = data[(place + np.repeat(start - (ends - sizes), sizes))[inside]].astype(np.uint16) + 2
     order = suffix_array(text)
-    same = permuted_prefixes(text, order, length)[order] >= length
+    same = reaches(text, order, length)[order]
     owner = np.append(np.repeat(np.arange(len(sizes)), sizes), 0)
     first = np.flatnonzero(~same)
     least = np.minimum.reduceat(ids[owner[order]], first)

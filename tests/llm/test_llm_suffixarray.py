@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from panelspark.llm.suffixarray import by_doubling, permuted_prefixes, suffix_array
+from panelspark.llm.suffixarray import by_doubling, permuted_prefixes, reaches, suffix_array
 
 
 def sorted_suffixes(text):
@@ -22,9 +22,19 @@ def test_against_sorting(letters):
             k = 0
             while max(a, b) + k < len(text) and text[a + k] == text[b + k]:
                 k += 1
-            assert got[b] == (min(k, 11) if k >= 8 else k // 4 * 4)
+            assert got[b] == min(k, 11)
 
 
 def test_recursion_on_repeats():
     text = np.append(np.tile(np.frombuffer(b"the cat sat on the mat. ", np.uint8).astype(int) + 2, 40), 0)
     assert suffix_array(text).tolist() == sorted_suffixes(text)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 26])
+def test_reaches_against_prefixes(letters):
+    r = np.random.default_rng(letters)
+    for n in [*range(1, 25), 400]:
+        text = np.append(r.integers(1, letters + 1, n), 0)
+        order = suffix_array(text)
+        for length in (1, 2, 3, 4, 7, 8, 11, 50):
+            assert reaches(text, order, length).tolist() == (permuted_prefixes(text, order, length) >= length).tolist()
