@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from panelspark.plans import trade
 from panelspark.plans.fixtures import TradeParams
 from panelspark.registry import QUERIES

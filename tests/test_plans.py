@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from panelspark.registry import QUERIES
 
 
