@@ -1,8 +1,6 @@
 import random
 
 import pytest
-
-SF = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "id long, row string, size string, target long, label string")
 

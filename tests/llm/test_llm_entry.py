@@ -3,7 +3,7 @@
 import brute
 import duckdb
 import pytest
-from conftest import SF
+from llm_paths import SF
 
 import corpus_pipeline
 from panelspark.llm.oracle import ORACLE

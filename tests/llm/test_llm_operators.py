@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import SF
+from llm_paths import SF
 from pyspark.sql import functions as F
 
 from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, suffixdedup
