@@ -138,5 +138,48 @@ SELECT conv_id, speaker, part::BIGINT AS part, count(*)::BIGINT AS n_turns, (cou
 FROM o GROUP BY conv_id, speaker, part
 """
 
+OP11 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(ws) < 200 THEN 16 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 8 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 2 ELSE 0 END
+         + CASE WHEN CASE WHEN doc_id IS NULL THEN first_id IS NOT NULL ELSE doc_id > first_id END THEN 1 ELSE 0 END AS fails
+  FROM t),
+lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+cell AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN lab ON f.doc_id = lab.doc_id GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([16, 8, 4, 2, 1]) AS bit),
+ord(filter_order, used) AS (
+  SELECT '', 0
+  UNION ALL
+  SELECT filter_order || l, used + bit FROM ord, letter WHERE length(filter_order) < 5 AND used & bit = 0),
+step AS (
+  SELECT filter_order, step::INTEGER AS step,
+         (SELECT bit FROM letter WHERE l = substr(filter_order, step, 1)) AS own,
+         (SELECT coalesce(sum(bit), 0)::INTEGER FROM letter
+          WHERE position(l IN substr(filter_order, 1, step - 1)) > 0) AS before
+  FROM ord, range(1, 6) r(step) WHERE length(filter_order) = 5),
+counted AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN fails & (before + own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN fails & before > 0 AND fails & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN fails & before = 0 AND fails & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cell, step GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
+"""
+
 ORACLE = {"op1_mix": OP1, "op2_line_dedup": OP2, "op8_quality_rules": OP8, "op9_chat_perspectives": OP9,
-          "op10_decontaminate": OP10}
+          "op10_decontaminate": OP10, "op11_filter_audit": OP11}

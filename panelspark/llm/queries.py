@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, suffixdedup, tokenbin
+from panelspark.llm import (chat, decontam, filteraudit, langid, linededup, lmscore, mixing, neardup, quality, rules,
+                            suffixdedup, tokenbin, whitening)
 from panelspark.llm.common import documents
 from panelspark.session import shared_path
 
@@ -70,7 +71,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return filteraudit.audit(documents(spark, sf_dir, "doc_id", "text", "lang"), labels)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    train = docs.where(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(train))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_line_dedup, op3_lm_scoring, op4_near_duplicates, op5_suffix_dedup, op6_token_binary,
     op7_quality_classifier, op8_quality_rules,
-    op9_chat_perspectives, op10_decontaminate)}
+    op9_chat_perspectives, op10_decontaminate, op11_filter_audit, op12_language_id, op13_whitening)}
