@@ -23,8 +23,8 @@ groups of copies of any size do not enter the steps above.
 Defined results: a missing or empty text is empty; a text shorter than ``length`` loses nothing;
 rows without an id keep all bytes and remove none elsewhere; rows that share an id do not
 remove each other's bytes; rows that repeat get equal results; an empty table gives an empty
-result; other columns are not read. Runs are told apart by 95-bit and whole texts by 128-bit
-hashes; strings are compared byte by byte.
+result; other columns are not read. Runs are told apart by 95-bit and whole texts by 128-bit hashes, the
+texts that hold an anchor by 64-bit ones; strings are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 ANCHOR_BITS = 48
 #: Bounds of what a task holds: text behind a bucket of anchors, anchors and bytes of runs before
 #: they are packed, bytes that are sorted at once.
-TEXT_BYTES_PER_BUCKET = 16 << 20
-FLUSH_RUNS = 700_000
+TEXT_BYTES_PER_BUCKET = 8 << 20
+FLUSH_RUNS = 350_000
+FLUSH_TEXTS = 1 << 16
 FLUSH_BYTES = 16 << 20
 SORTED_BYTES = 150_000
 SALTS = 32
@@ -114,8 +115,9 @@ def group_starts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, anchors, tokens, varied): the distinct anchors of stretches of texts with their texts'
-    tokens, and the marked anchors of those that have several different runs.
+    """(bucket, anchors, tokens, holders, varied): the distinct anchors of stretches of texts, the
+    tokens of their texts and for each anchor which of these it is, and the marked anchors of
+    those that have several different runs.
 
     An anchor that a large part of a stretch's texts hold sends its smallest and largest token to
     its bucket; all its tokens go to a bucket beyond ``buckets``, another one for each stretch.
@@ -125,45 +127,48 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
         found, tokens, held = [], [], 0
 
         def flush():
-            marked, n = np.concatenate(found), np.array([len(x) for x in found])
-            t = np.repeat(np.array(tokens, np.int32), n)
+            marked = np.concatenate(found)
+            names, which = np.unique(np.array(tokens, np.int64), return_inverse=True)
             shift = np.uint64(64 - ANCHOR_BITS)
-            a = marked >> shift
-            order = np.lexsort((t, a))
-            a, t = a[order], t[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
-            a, t = a[new], t[new]
+            low = np.uint64((1 << (64 - ANCHOR_BITS)) - 1)
+            # anchor and text in one integer: a stretch has at most 2^16 texts
+            pairs = np.unique(marked & ~low | np.repeat(which.astype(np.uint64), [len(x) for x in found]))
+            a, t = pairs >> shift, (pairs & low).astype(np.uint16)
             first, size = group_starts(a)
             wide = np.repeat(size > max(WIDE_TEXTS, len(tokens) // WIDE_PART), size)
             end = np.zeros(len(a), bool)
             end[first] = end[first + size - 1] = True
             rows = []
+
+            def put(bucket, a, t, varied):
+                some, of = np.unique(t, return_inverse=True)
+                rows.append((bucket, planes(a, 6), names[some].tobytes(), of.astype(np.uint16).tobytes(), varied))
+
             if wide.any():
-                rows.append((buckets + int(mix64(t[:1].astype(np.uint64))[0] % np.uint64(buckets)),
-                             planes(a[wide], 6), t[wide].tobytes(), b""))
+                put(buckets + int(mix64(names[:1].view(np.uint64))[0] % np.uint64(buckets)), a[wide], t[wide], b"")
             a, t = a[~wide | end], t[~wide | end]
             varied = np.unique(marked)
             runs = group_starts(varied >> shift)[1]
             varied = varied[np.repeat(runs > FEW_RUNS, runs)]
             edges, bounds = bucket_edges(a, buckets), bucket_edges(varied >> shift, buckets)
-            rows += [(b, planes(a[x:z], 6), t[x:z].tobytes(), planes(varied[p:q], 8))
-                     for b, (x, z, p, q) in enumerate(zip(edges, edges[1:], bounds, bounds[1:])) if x < z]
-            names = ["bucket", "anchors", "tokens", "varied"]
-            kinds = [pa.int32(), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
+            for b, (x, z, p, q) in enumerate(zip(edges, edges[1:], bounds, bounds[1:])):
+                if x < z:
+                    put(b, a[x:z], t[x:z], planes(varied[p:q], 8))
+            names_, kinds = ["bucket", "anchors", "tokens", "holders", "varied"], [pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names_)
 
         for batch in pieces(batches):
             for text, token in zip(batch.column("text").to_pylist(), batch.column("token").to_pylist()):
                 found.append(marked_anchors(text, length, gram))
                 tokens.append(token)
                 held += len(found[-1])
-                if held >= FLUSH_RUNS:
+                if held >= FLUSH_RUNS or len(tokens) == FLUSH_TEXTS:
                     yield flush()
                     found, tokens, held = [], [], 0
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "bucket int, anchors binary, tokens binary, varied binary")
+    return texts.mapInArrow(run, "bucket int, anchors binary, tokens binary, holders binary, varied binary")
 
 
 def shared_anchors(packed: DataFrame, buckets: int, hot_texts: int, split_runs: int) -> DataFrame:
@@ -172,9 +177,10 @@ def shared_anchors(packed: DataFrame, buckets: int, hot_texts: int, split_runs:
 
     def run(found: pa.Table) -> pa.Table:
         a = np.concatenate([from_planes(x, 6) for x in found.column("anchors").to_pylist()])
-        t = np.concatenate([np.frombuffer(x, np.int32) for x in found.column("tokens").to_pylist()])
+        t = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(of, np.uint16)] for x, of in zip(
+            found.column("tokens").to_pylist(), found.column("holders").to_pylist())])
         if found.column("bucket")[0].as_py() >= buckets:  # anchors of many texts, told in whole
-            return pa.table({"token": pa.array(t, pa.int32()), "anchor": pa.array(-1 - a.astype(np.int64))})
+            return pa.table({"token": pa.array(t), "anchor": pa.array(-1 - a.astype(np.int64))})
         order = np.lexsort((t, a))
         a, t = a[order], t[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
@@ -186,11 +192,11 @@ def shared_anchors(packed: DataFrame, buckets: int, hot_texts: int, split_runs:
         varied = np.unique(varied) >> np.uint64(64 - ANCHOR_BITS)
         first, runs = group_starts(varied)
         split = varied[first[runs > split_runs]].astype(np.int64)
-        token = pa.array(t[texts > 1], pa.int32())
-        return pa.table({"token": pa.concat_arrays([token, pa.nulls(len(split), pa.int32())]),
+        token = pa.array(t[texts > 1])
+        return pa.table({"token": pa.concat_arrays([token, pa.nulls(len(split), pa.int64())]),
                          "anchor": pa.array(np.append(a, split))})
 
-    return packed.groupBy("bucket").applyInArrow(run, "token int, anchor long")
+    return packed.groupBy("bucket").applyInArrow(run, "token long, anchor long")
 
 
 def shared_runs(text: bytes, anchors, split: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -468,7 +474,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
-    token = (F.shiftright("row", 33)).cast("int").alias("token")
+    token = F.col("row").alias("token")
     long_rows = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
 
     slim = materialize(long_rows.select("id", "row", F.xxhash64(F.lit(5), F.col("text")).alias("row2"),

@@ -195,9 +195,19 @@ def test_substrings_of_a_passage_in_many_contexts(spark, awkward, rows):
     assert multiset(map(key, found)) == multiset(brute.substrings(rows))
 
 
+def test_texts_whose_hashes_agree_in_31_bits(spark):
+    """Two texts that share a string with nobody else are compared whatever their hashes share."""
+    passage = "the quick brown fox jumps over the lazy dog and then some more words follow it here "
+    for pair in ((222690, 296546), (222690, 222691)):
+        table = [{"doc_id": i, "text": f"{passage}{n}"} for i, n in enumerate(pair)]
+        found = suffixdedup.dedup_substrings(spark.createDataFrame(table, "doc_id long, text string"))
+        assert multiset((*r[:4], bytes(r[4])) for r in found.collect()) == multiset(brute.substrings(table))
+        assert found.where("n_removed > 0").count() == 1
+
+
 def test_no_anchor_gathers_the_runs_of_all_texts(spark):
     texts = in_contexts(1200)
-    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, token int")
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, token long")
     docs = docs.select(F.col("text").cast("binary").alias("text"), "token").repartition(2)
     packed = suffixdedup.anchor_rows(docs, 8, 50, 16)
     told = Counter(a for r in packed.where("bucket < 8").collect() for a in suffixdedup.from_planes(r.anchors, 6).tolist())
