@@ -141,13 +141,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(now: DataFrame, turn: int) -> DataFrame:
-    """(set, n, other, m): members of unconnected buckets and this round's leader of the bucket,
-    where they are of different components. ``now`` is (band, set, n, label)."""
+    """(set, n, other, m): every set with this round's leader of one of its buckets, where that
+    bucket holds several components and the two are of different ones. ``now`` is (set, n, label,
+    bands), a row a set; the bucket is picked by a hash, so a set brings one row to the join."""
     rank = F.xxhash64(F.lit(turn), F.col("set"))
-    lead = now.groupBy("band").agg(
+    lead = now.select("set", "n", "label", F.explode("bands").alias("band")).groupBy("band").agg(
         F.min(F.struct(rank.alias("r"), "set", "n", "label")).alias("lead"),
         F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lead")
-    return salted_join(now, lead, ["band"], "set", salts=8).where(F.col("label") != F.col("lead.label")).select(
+    pick = F.array_min(F.transform("bands", lambda b: F.struct(F.xxhash64(F.lit(turn), F.col("set"), b).alias("r"), b.alias("band"))))
+    met = salted_join(now.select("set", "n", "label", pick["band"].alias("band")), lead, ["band"], "set", salts=8)
+    return met.where(F.col("label") != F.col("lead.label")).select(
         "set", "n", F.col("lead.set").alias("other"), F.col("lead.n").alias("m"))
 
 
@@ -165,6 +168,7 @@ def block_links(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of blocks of one and the same component are left out, and so are those whose sizes are too
     far apart. Only links between components are put out.
     """
+    now = now.select("set", "n", "label", F.explode("bands").alias("band"))
     open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
         "lo < hi").select("band", "lo")
     held = materialize(salted_join(now, open_, ["band"], "set", salts=8).select("set", "n", "label", "lo").distinct(),
@@ -255,10 +259,11 @@ def links(rows: DataFrame, vertices: DataFrame, words_per_shingle: int, percent:
     state = compared(state, materialize(pairs, "pairs"))
 
     # large ones: a member meets one leader a round, then what is left is compared in blocks
-    large = members.where(F.col("size") > SMALL).drop("size")
+    # the buckets of a set are one array, so labels are joined to one row a set
+    large = materialize(members.where(F.col("size") > SMALL).groupBy("set", "n").agg(
+        F.collect_set("band").alias("bands")), "large")
     for turn in range(rounds):
-        met = leader_pairs(large.join(state, "set"), turn).where(alike_in_size(percent)).groupBy("set").agg(
-            F.min(F.struct(F.xxhash64("set", "other").alias("r"), "other"))["other"].alias("other"))
+        met = leader_pairs(large.join(state, "set"), turn).where(alike_in_size(percent))
         pairs = materialize(met.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct(), "pairs")
         if not pairs.limit(1).count():
             break
