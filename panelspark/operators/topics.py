@@ -45,28 +45,32 @@ def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
     ).withColumn("n_terms", n_terms)
 
 
+def start_weights(counts: DataFrame, term: str, topics: range) -> DataFrame:
+    """(term, a1..ak), written: a word's start weight in a topic is the hash (first eight hex digits
+    of the MD5) of "word#topic", as a share of 2^32."""
+    def weight(i: int):
+        text = F.concat(F.col(term), F.lit(f"#{i}"))
+        return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))).alias(f"a{i}")
+
+    return materialize(counts.select(term).distinct().select(term, *[weight(i) for i in topics]), "topic-start")
+
+
 class TopicFit:
     """A topic model in the course of its fit."""
 
     def __init__(self, counts: DataFrame, k: int, doc: str = "author", term: str = "word", n: str = "n"):
-        """Start: a word's weight in a topic is the hash (first eight hex digits of the MD5) of
-        "word#topic" over the topic's total; a document has all topics in equal parts."""
+        """Start: word weights by hash (:func:`start_weights`) over the topic's total; a document has
+        all topics in equal parts."""
         self.k, self.doc, self.term, self.n = k, doc, term, n
         self.counts = counts
         self.steps, self.likelihood = 0, None
-        words = counts.select(term).distinct()
-        raw = [self._hash(i).alias(f"a{i}") for i in self.topics]
-        self._set_words(materialize(words.select(term, *raw), "topic-start"), 0.0)
+        self._set_words(start_weights(counts, term, self.topics), 0.0)
         self.docs = counts.select(doc).distinct().select(doc, *[F.lit(1.0 / k).alias(f"t{i}") for i in self.topics])
 
     @property
     def topics(self) -> range:
         return range(1, self.k + 1)
 
-    def _hash(self, i: int):
-        text = F.concat(F.col(self.term), F.lit(f"#{i}"))
-        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-
     def _set_words(self, sums: DataFrame, eta: float) -> None:
         total = sums.agg(*[F.sum(F.col(f"a{i}") + eta).alias(f"a{i}") for i in self.topics]).first()
         self.words = sums.select(self.term, *[((F.col(f"a{i}") + eta) / F.lit(total[f"a{i}"])).alias(f"w{i}")

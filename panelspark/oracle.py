@@ -218,7 +218,7 @@ def _word_values(words) -> str:
 TOK_SQL = _sql_str(TOKEN)
 
 TEXT = f"""
-docs AS (SELECT doc_id, lang AS author, source, text FROM documents WHERE lang IN ('en', 'fr', 'de')),
+docs AS (SELECT doc_id, lang AS author, source, text FROM documents),
 tok AS (SELECT doc_id, author, unnest(regexp_extract_all(lower(text), {TOK_SQL}, 0)) AS word FROM docs),
 counts AS (SELECT author, word, count(*) AS n FROM tok GROUP BY author, word),
 totals AS (SELECT author, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY author),
@@ -236,7 +236,7 @@ top15 AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY author ORDER BY tf_
 kept AS (SELECT * FROM tok WHERE word NOT IN (SELECT word FROM {_word_values(ENGLISH)})),
 kcounts AS (SELECT author, word, count(*) AS n FROM kept GROUP BY author, word)"""
 
-ORACLE["corpus_scan"] = f"WITH {TEXT} SELECT doc_id, author, source, CAST(length(text) AS BIGINT) AS text_chars FROM docs"
+ORACLE["corpus_scan"] = f"WITH {TEXT} SELECT doc_id, author, source, CAST(length(text) AS BIGINT) AS text_chars FROM docs WHERE author IN ('en', 'fr', 'de')"
 ORACLE["tokenize_words"] = f"""WITH {TEXT},
 arr AS (SELECT doc_id, author, regexp_extract_all(lower(text), {TOK_SQL}, 0) AS t FROM docs)
 SELECT doc_id, author, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_types,
@@ -299,13 +299,93 @@ def topics_sql(steps: int, k: int = 4, alpha: float = 0.1, eta: float = 0.01) ->
 
 
 ORACLE["topic_em_step"] = topics_sql(1) + f"SELECT topic, term, {r6('beta')} FROM beta"
-ORACLE["topic_beta"] = topics_sql(5) + f"SELECT topic, term, {r6('beta')} FROM beta"
-ORACLE["topic_top_terms"] = topics_sql(5) + f"""SELECT topic, term, {r6('beta')} FROM
+
+
+def vem_sql(steps: int, k: int = 4, inner: int = 2, tolerance: float = 1e-4) -> str:
+    """CTEs of ``steps`` rounds of the variational fit: word weights w{s}, document parameters g{s},
+    the bound of each round, and the first round where it has settled."""
+    ks, alpha = range(1, k + 1), 50.0 / k
+    cols = lambda f, sep=", ": sep.join(f(i) for i in ks)
+
+    def psi(x):
+        y = f"({x} + 20.0)"
+        return (f"(ln({y}) - 0.5 / {y} - 1.0 / (12.0 * {y} ** 2) + 1.0 / (120.0 * {y} ** 4) - 1.0 / (252.0 * {y} ** 6) - ("
+                + " + ".join(f"1.0 / ({x} + {i}.0)" for i in range(20)) + "))")
+
+    out = [TEXT, "tc AS MATERIALIZED (SELECT * FROM kcounts)", "h AS (SELECT word, " + cols(
+        lambda i: f"('0x' || substr(md5(word || '#{i}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS a{i}")
+        + " FROM (SELECT DISTINCT word FROM tc))",
+        "w0 AS MATERIALIZED (SELECT word, " + cols(lambda i: f"a{i} / (SELECT sum(a{i}) FROM h) AS w{i}") + " FROM h)",
+        f"g0 AS MATERIALIZED (SELECT author, {cols(lambda i: f'{alpha} + sum(n)::DOUBLE / {k} AS g{i}')} FROM tc GROUP BY author)"]
+    whole = cols(lambda i: f"g{i}", " + ")
+    shares = cols(lambda i: f"w{i} * t{i}", " + ")
+
+    def weights(name, of):
+        return (f"{name} AS MATERIALIZED (SELECT author, " + cols(lambda i: f"{psi(f'g{i}')} - p AS l{i}, exp({psi(f'g{i}')} - p) AS t{i}, g{i}")
+                + f" FROM (SELECT *, {psi(f'({whole})')} AS p FROM {of}))")
+
+    for s in range(steps):
+        last = f"g{s}"
+        for r in range(inner):
+            out += [weights(f"t{s}_{r}", last),
+                    f"x{s}_{r} AS MATERIALIZED (SELECT author, " + cols(lambda i: f"{alpha} + sum(n * w{i} * t{i} / ({shares})) AS g{i}")
+                    + f" FROM tc JOIN w{s} USING (word) JOIN t{s}_{r} USING (author) GROUP BY author)"]
+            last = f"x{s}_{r}"
+        out += [f"g{s + 1} AS (SELECT * FROM {last})", weights(f"e{s + 1}", last),
+                f"j{s} AS MATERIALIZED (SELECT word, sum(n * ln({shares})) AS ll, " + cols(lambda i: f"sum(n * w{i} * t{i} / ({shares})) AS a{i}")
+                + f" FROM tc JOIN w{s} USING (word) JOIN e{s + 1} USING (author) GROUP BY word)",
+                f"b{s + 1} AS MATERIALIZED (SELECT (SELECT sum(ll) FROM j{s}) + sum(lgamma({k * alpha}) - {k} * lgamma({alpha}) + "
+                + cols(lambda i: f"lgamma(g{i}) + ({alpha} - g{i}) * l{i}", " + ") + f" - lgamma({whole})) AS v FROM e{s + 1})",
+                f"w{s + 1} AS MATERIALIZED (SELECT word, " + cols(lambda i: f"a{i} / (SELECT sum(a{i}) FROM j{s}) AS w{i}") + f" FROM j{s})"]
+    every = range(1, steps + 1)
+    out += ["bounds AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {s} AS step, v FROM b{s}" for s in every) + ")",
+            f"""done AS MATERIALIZED (SELECT min(a.step) AS s FROM bounds a JOIN bounds z ON a.step = z.step + 1
+  WHERE abs(a.v - z.v) <= {tolerance} * abs(z.v))"""]
+    return "WITH " + ",\n".join(out) + "\n"
+
+
+def _settled(steps: int, name: str, columns: str) -> str:
+    """Rows of the table ``name`` of the round in which the fit has settled."""
+    return " UNION ALL ".join(f"SELECT {columns} FROM {name}{s} WHERE {s} = (SELECT s FROM done)" for s in range(1, steps + 1))
+
+
+VEM_STEPS = 16
+_VEM = vem_sql(VEM_STEPS)
+_BETA = (_VEM.rstrip() + ",\nsettled AS MATERIALIZED (" + _settled(VEM_STEPS, "w", "word, w1, w2, w3, w4") + "),\nbeta AS ("
+         + " UNION ALL ".join(f"SELECT {i} AS topic, word AS term, w{i} AS beta FROM settled" for i in range(1, 5)) + ")\n")
+ORACLE["topic_vem_step"] = vem_sql(1) + " UNION ALL ".join(
+    f"SELECT {i} AS topic, word AS term, {r6(f'w{i}', 'beta')} FROM w1" for i in range(1, 5))
+ORACLE["topic_vem_bound"] = _VEM + f"""SELECT step, {r6('v / (SELECT sum(n) FROM tc)', 'bound')} FROM bounds
+WHERE step <= (SELECT s FROM done)"""
+ORACLE["topic_gamma"] = (_VEM.rstrip() + ",\nsettled AS (" + _settled(VEM_STEPS, "g", "author, g1, g2, g3, g4") + ")\n"
+                         + " UNION ALL ".join(f"SELECT author, {i} AS topic, {r6(f'g{i} / (g1 + g2 + g3 + g4)', 'gamma')} FROM settled"
+                                              for i in range(1, 5)))
+ORACLE["topic_beta"] = _BETA + f"SELECT topic, term, {r6('beta')} FROM beta"
+ORACLE["topic_top_terms"] = _BETA + f"""SELECT topic, term, {r6('beta')} FROM
   (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS rk FROM beta) WHERE rk <= 5"""
 ORACLE["topic_model"] = f"""WITH {TEXT}
 SELECT topic, (SELECT count(DISTINCT word) FROM kcounts) AS n_terms, 1.0::DOUBLE AS beta_sum
 FROM (VALUES (1), (2), (3), (4)) v(topic)"""
 
+_STATUS = "PARTITION BY o_orderstatus ORDER BY o_orderkey"
+ORACLE["panel_lag_halo"] = f"""WITH x AS (
+  SELECT o_orderkey, o_orderstatus, o_totalprice AS price,
+         first(o_totalprice) OVER ({_STATUS} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS time_price,
+         first(o_totalprice) OVER ({_STATUS} RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS time3_price,
+         lag(o_totalprice, 2) OVER ({_STATUS}) AS row2_price
+  FROM orders)
+SELECT o_orderkey, o_orderstatus, {', '.join(r6(c) for c in ('price', 'time_price', 'time3_price', 'row2_price'))},
+       {r6('ln(price) - ln(time_price)', 'dlog_price')} FROM x"""
+ORACLE["log_rebase_scan"] = f"""SELECT o_orderkey, o_orderstatus, {r6('o_totalprice', 'price')},
+  {r6(f'ln(o_totalprice / first_value(o_totalprice) OVER ({_STATUS}))', 'rebased')} FROM orders"""
+ORACLE["chain_index_scan"] = f"""WITH daily AS (
+  SELECT o_orderpriority AS priority, (o_orderdate::DATE - DATE '1970-01-01')::INTEGER AS day,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders GROUP BY ALL),
+g AS (SELECT *, lag(value) OVER (PARTITION BY priority ORDER BY day) AS lag_value FROM daily),
+h AS (SELECT *, (value - lag_value) / lag_value AS growth FROM g)
+SELECT priority, day, {r6('value')}, {r6('lag_value')}, {r6('growth')},
+       {r6('100 * product(1 + growth) OVER (PARTITION BY priority ORDER BY day)', 'value_index')} FROM h"""
+
 
 # ------------------------------------------------------------------ crime / police panel
 

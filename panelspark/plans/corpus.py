@@ -22,14 +22,13 @@ from panelspark.sources.stopwords import builtin_stopwords, custom_stopwords
 @dataclass(frozen=True)
 class CorpusParams:
     group_col: str = "lang"                      # what plays the "author" (document) column
-    groups: tuple = ("en", "fr", "de")           # IN-list on it
+    groups: tuple | None = None                  # IN-list on it; all groups if there is none
     own_stopwords: tuple = ("the", "der", "les", "und", "que")   # removed with the custom list
     tie_rank: int = 200                          # a place where counts are tied
     top_terms: int = 15
     topics: int = 4
     topic_terms: int = 5
-    topic_steps: int = 5                         # steps of the registered fits of a stated length
-    topic_tolerance: float = 1e-3                # relative change that ends a fit
+    topic_tolerance: float = 1e-4                # relative change of the bound that ends a fit
     topic_limit: int = 200                       # steps after which a fit has failed
 
 

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import semantics as sem
-from panelspark.functions.semantics import id_scale, round_doubles, try_number
+from panelspark.functions.semantics import id_scale, rdiv, rln, round_doubles, try_number
 from panelspark.operators import panel as pn
 from panelspark.operators import relational as rel
 from panelspark.operators import text as tx
 from panelspark.operators import topics as tp
+from panelspark.operators.lda import VariationalFit
+from panelspark.operators.longpanel import LongPanel, chain_index_scan, log_rebase_scan
 from panelspark.operators.panel import PanelSpec, base_value
 from panelspark.plans import corpus as cp
 from panelspark.plans import crime, trade
@@ -101,6 +103,7 @@ DECOMP_COLS = ["FA_components", "FA", "DA_index", "TR", "RA", "FMI", "DMI", "RMI
 
 
 CORPUS = cp.CorpusParams()
+SCANNED = cp.CorpusParams(groups=("en", "fr", "de"))
 
 
 def _corpus(spark, d):
@@ -122,7 +125,7 @@ def _cleaned(spark, d):
 @register("corpus_scan")
 def q_corpus_scan(spark, d):
     """Corpus with document metadata, IN-list on the grouping column."""
-    return _corpus(spark, d).select("doc_id", "author", "source",
+    return cp.corpus(spark, d, SCANNED).select("doc_id", "author", "source",
                                     F.length("text").cast("bigint").alias("text_chars"))
 
 
@@ -239,23 +242,57 @@ def q_topic_em_step(spark, d):
     return _topics(spark, d).run(1).beta()
 
 
+def _variational(spark, d):
+    return VariationalFit(cp.topic_counts(spark, d, CORPUS), CORPUS.topics)
+
+
+_FITS: dict = {}
+
+
+def converged_topics(spark, d):
+    """The variational fit of the corpus until its bound settles, made once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITS:
+        _FITS[key] = _variational(spark, d).until(CORPUS.topic_tolerance, CORPUS.topic_limit)
+    return _FITS[key]
+
+
+@register("topic_vem_step")
+def q_topic_vem_step(spark, d):
+    """Topic weights of every word after one variational step."""
+    return _variational(spark, d).run(1).beta()
+
+
+@register("topic_vem_bound")
+def q_topic_vem_bound(spark, d):
+    """Evidence bound per token after each of the steps that the fit took to settle."""
+    fit = converged_topics(spark, d)
+    bounds = spark.createDataFrame(list(enumerate(fit.bounds, 1)), "step int, bound double")
+    return bounds.withColumn("bound", F.col("bound") / fit.counts.agg(F.sum("n")).scalar())
+
+
+@register("topic_gamma")
+def q_topic_gamma(spark, d):
+    """Mean topic weights of every document of the settled fit."""
+    return converged_topics(spark, d).gamma()
+
+
 @register("topic_model")
 def q_topic_model(spark, d):
-    """k = 4 topics fitted until the likelihood settles; terms and total weight per topic."""
-    fit = _topics(spark, d).until(CORPUS.topic_tolerance, CORPUS.topic_limit)
-    return tp.topic_summary(fit.beta())
+    """k = 4 topics, variational fit until the bound settles; terms and total weight per topic."""
+    return tp.topic_summary(converged_topics(spark, d).beta())
 
 
 @register("topic_beta")
 def q_topic_beta(spark, d):
-    """Topic-term probabilities in long form after a stated number of steps."""
-    return _topics(spark, d).run(CORPUS.topic_steps).beta()
+    """Topic-term probabilities of the settled fit in long form."""
+    return converged_topics(spark, d).beta()
 
 
 @register("topic_top_terms")
 def q_topic_top_terms(spark, d):
-    """Top 5 terms per topic, ties kept, ordered by topic and beta."""
-    return tp.top_topic_terms(_topics(spark, d).run(CORPUS.topic_steps).beta(), CORPUS.topic_terms)
+    """Top 5 terms per topic of the settled fit, ties kept, ordered by topic and beta."""
+    return tp.top_topic_terms(converged_topics(spark, d).beta(), CORPUS.topic_terms)
 
 
 # ------------------------------------------------------------------ crime / police panel
@@ -548,6 +585,47 @@ def q_log_rebase(spark, d):
     return _grid(spark, d).select("o_custkey", "year", pn.log_rebase("revenue", CUST).alias("rebased"))
 
 
+# ------------------------------------------------------------------ long panels (units over many partitions)
+
+
+STATUS = PanelSpec(["o_orderstatus"], "o_orderkey")   # three units, each of a third of the rows or so
+
+
+def _status_panel(spark, d):
+    orders = scan_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    return LongPanel(orders.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price")), STATUS, 16)
+
+
+def _daily_panel(spark, d):
+    """Daily order value per priority, with its growth over the previous day that has orders."""
+    orders = scan_table(spark, d, "orders", ["o_orderdate", "o_orderpriority", "o_totalprice"])
+    value = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")
+    daily = orders.groupBy(F.col("o_orderpriority").alias("priority"), F.unix_date(F.to_date("o_orderdate")).alias("day")).agg(value)
+    panel = LongPanel(daily, PanelSpec(["priority"], "day"), 16).lags(["value"], by="row")
+    growth = rdiv(F.col("value") - F.col("lag_value"), F.col("lag_value"))
+    return LongPanel(materialize(panel.placed.withColumn("growth", growth), "daily"), panel.spec, _placed=True)
+
+
+@register("panel_lag_halo")
+def q_panel_lag_halo(spark, d):
+    """W2 to W6 on units of a third of all rows: lags by time and by row over partitions of (unit, time)."""
+    panel = _status_panel(spark, d).lags(["price"], prefix="time_")
+    panel = panel.lags(["price"], 3, prefix="time3_").lags(["price"], 2, by="row", prefix="row2_")
+    return panel.rows.withColumn("dlog_price", rln("price") - rln("time_price"))
+
+
+@register("chain_index_scan")
+def q_chain_index_scan(spark, d):
+    """Daily index chained over several partitions of a series."""
+    return chain_index_scan(_daily_panel(spark, d), "growth", "value_index").rows
+
+
+@register("log_rebase_scan")
+def q_log_rebase_scan(spark, d):
+    """ln(x / x at the unit's first period) on units that lie in many partitions."""
+    return log_rebase_scan(_status_panel(spark, d), "price", "rebased").rows
+
+
 # ------------------------------------------------------------------ trade panel extras
 
 def _world(spark, d):
