@@ -46,6 +46,7 @@ def read_fixed_width(spark: SparkSession, path: str,
 
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:/*"
+_PART = r"/part-[^/]*$"
 
 
 def with_file(df: DataFrame) -> DataFrame:
@@ -62,19 +63,15 @@ def year_by_file_order(df: DataFrame, first_year: int, n_years: int, out: str =
 
     A "file" is what holds one year: a single file, or a folder that a distributed writer has
     filled with part files (``part-...``). ``n_years`` files are required: with one missing or
-    added, positions would name the wrong years, which is an error. The list is the one the
-    driver already holds for planning the scan, so the (file, year) table is bounded by the
-    number of files and broadcast.
+    added, positions would name the wrong years, which is an error. The names come from the list
+    the driver holds for planning the scan; what is broadcast has one row a year.
     """
     spark = df.sparkSession
-    files = [re.sub(_SCHEME, "", f) for f in df.inputFiles()]
-    unit = lambda f: f.rpartition("/")[0] if re.search(r"/part-[^/]*$", f) else f
-    units = sorted({unit(f) for f in files})
+    units = sorted({re.sub(_PART, "", re.sub(_SCHEME, "", f)) for f in df.inputFiles()})
     if len(units) != n_years:
         raise ValueError(f"{n_years} yearly files are expected from {first_year} on, found {len(units)}: {units[:20]}")
-    year = {u: first_year + i for i, u in enumerate(units)}
-    table = spark.createDataFrame([(f, year[unit(f)]) for f in files], f"_fkey string, {out} int")
-    keyed = with_file(df).withColumn("_fkey", _norm_path(F.col("_file")))
+    table = spark.createDataFrame([(u, first_year + i) for i, u in enumerate(units)], f"_fkey string, {out} int")
+    keyed = with_file(df).withColumn("_fkey", F.regexp_replace(_norm_path(F.col("_file")), _PART, ""))
     return keyed.join(F.broadcast(table), "_fkey").drop("_file", "_fkey")
 
 
