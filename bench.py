@@ -33,7 +33,7 @@ HEADLINE = [
     "zipf_rank",             # distributed rank within document
     "tf_idf",
     "tfidf_top_terms",
-    "topic_top_terms",       # topics: five EM steps over the document-term matrix
+    "topic_top_terms",       # topics: variational fit until its bound settles
 ]
 
 
