@@ -2,11 +2,12 @@
 
 Two logistic models (quality, toxicity) over hashed words and a few shape features are fitted
 on a bounded sample of labelled rows (``sample_rows``; the only part that does not read all
-rows). Every document is then scored. The mean probability of each path, host and of the
-whole table are hierarchical empirical Bayes estimates: a path is shrunk towards its host
-and a host towards the global mean by pseudo-counts fitted to the variance between groups,
-so a sparse site stays near the prior. A document's log odds are its own evidence moved by
-the difference between its path's posterior and the global mean.
+rows). Every document is then scored. The mean probability (of quality, and of toxicity) of
+each path, host and of the whole table are hierarchical empirical Bayes estimates: a path is
+shrunk towards its host and a host towards the global mean by pseudo-counts fitted to the
+variance between groups, so a sparse site stays near the prior. A document's log odds are its
+own evidence moved by the difference between its path's posterior and the global mean; both
+verdicts are made so.
 
 A host is the ``host_col`` of a row, a path the pair of host and ``path_col``.
 
@@ -34,6 +35,7 @@ FEATURE_BITS = 18
 SHAPES = 64
 SYMBOL_BYTES = np.zeros(256, bool)
 SYMBOL_BYTES[list(b"#*$%&|<>")] = True
+MEASURES = ("quality", "toxic")
 EDGES = np.array([0.0, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.6])
 
 
@@ -58,17 +60,18 @@ def features(text: bytes, known: WordHashes) -> np.ndarray:
 
 
 def labelled_features(docs: DataFrame) -> DataFrame:
-    """(quality, toxic, features as bytes) of labelled rows."""
+    """(id, quality, toxic, features as bytes) of labelled rows."""
+
+    kept = ["id", "quality", "toxic"]
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
             found = [features(t, known).astype(np.int32).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("quality"), batch.column("toxic"), pa.array(found, pa.binary())],
-                ["quality", "toxic", "features"])
+                [*[batch.column(c) for c in kept], pa.array(found, pa.binary())], [*kept, "features"])
 
-    return docs.mapInArrow(run, "quality int, toxic int, features binary")
+    return docs.mapInArrow(run, docs.select(*kept).schema.add("features", "binary"))
 
 
 def telling(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, least_z: float = 4.0) -> np.ndarray:
@@ -121,9 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = random_sample(labels.select(F.col(id_col).alias("id"), "quality", "toxic").dropna(), "id", sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sample = labelled_features(rows.join(F.broadcast(chosen), "id").select(
-        "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")))
-    # rows that repeat an id must not take the sample over its bound
-    found = sample.limit(2 * sample_rows).collect()
+        "id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")))
+    # rows that repeat an id must not take the sample over its bound, nor depend on a run's order
+    found = sample.distinct().orderBy(F.xxhash64("id", "features"), "features", "quality", "toxic").limit(
+        2 * sample_rows).collect()
     found.sort(key=lambda r: (r.features, r.quality, r.toxic))
     x = [np.frombuffer(r.features, np.int32) for r in found]
     return tuple(fit_logistic(x, np.array([r[c] for r in found], float)) for c in ("quality", "toxic"))
@@ -156,17 +160,18 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def shrink(groups: DataFrame, prior: Column, out: str) -> DataFrame:
-    """Posterior mean of every group: (sum + k * prior) / (n + k).
+def shrink(groups: DataFrame, of: str, prior: Column, out: str) -> DataFrame:
+    """Posterior mean of the measure ``of`` in every group: (sum + k * prior) / (n + k).
 
     k makes the prior's variance equal to the variance between groups that sampling does not
     explain (moments of the group means); a single group, or no such variance, shrinks fully.
     """
-    mean, m = F.col("s") / F.col("n"), prior
+    s, q = F.col(f"s_{of}"), F.col(f"q_{of}")
+    mean, m = s / F.col("n"), prior
     stat = groups.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("n") * m).alias("pm"),
         F.sum(F.col("n") * (mean - m) * (mean - m)).alias("between"),
-        F.sum(F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))).alias("within")).first()
+        F.sum(F.greatest(q - s * mean, F.lit(0.0))).alias("within")).first()
     k = 1e6
     if stat["n"] and stat["g"] > 1 and stat["n"] > stat["g"]:
         noise = stat["within"] / (stat["n"] - stat["g"])
@@ -174,29 +179,36 @@ def shrink(groups: DataFrame, prior: Column, out: str) -> DataFrame:
         p = stat["pm"] / stat["n"]
         if spread > 0:
             k = min(1e6, max(1.0, p * (1 - p) / spread - 1))
-    return groups.withColumn(out, (F.col("s") + k * m) / (F.col("n") + k))
+    return groups.withColumn(out, (s + k * m) / (F.col("n") + k))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """((host, path, host_posterior, path_posterior), global mean) from rows of (host, path, p)."""
-    p = F.col("p")
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """((host, path, <measure>_host, <measure>_path), global mean of each measure) from rows of
+    (host, path, quality, toxic), the two measures being probabilities."""
     paths = materialize(scored.groupBy("host", "path").agg(
-        F.sum(p).alias("s"), F.sum(p * p).alias("q"), F.count(F.lit(1)).alias("n")), "paths")
-    total = paths.agg(F.sum("s"), F.sum("n")).first()
-    overall = total[0] / total[1] if total[1] else 0.5
-    hosts = materialize(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("s", "q", "n")]), "hosts")
-    hosts = shrink(hosts, F.lit(overall), "host_posterior").select("host", "host_posterior")
-    paths = materialize(keyed_join(paths, materialize(hosts, "host-posteriors"), ["host"], "path"), "path-priors")
-    return shrink(paths, F.col("host_posterior"), "path_posterior").select(
-        "host", "path", "host_posterior", "path_posterior"), overall
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(c)).alias(f"s_{c}") for c in MEASURES],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in MEASURES]), "paths")
+    sums = ["n", *[f"{x}_{c}" for x in "sq" for c in MEASURES]]
+    total = paths.agg(*[F.sum(c).alias(c) for c in sums]).first()
+    overall = {c: total[f"s_{c}"] / total["n"] if total["n"] else 0.5 for c in MEASURES}
+    hosts = materialize(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in sums]), "hosts")
+    for c in MEASURES:
+        hosts = shrink(hosts, c, F.lit(overall[c]), f"{c}_host")
+    hosts = materialize(hosts.drop(*sums), "host-posteriors")
+    paths = materialize(keyed_join(paths, hosts, ["host"], "path"), "path-priors")
+    for c in MEASURES:
+        paths = shrink(paths, c, F.col(f"{c}_host"), f"{c}_path")
+    return paths.drop(*sums), overall
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              host_col: str = "source", path_col: str = "lang", sample_rows: int = 8000,
              carry: bool = False) -> DataFrame:
-    """(id, evidence, host_posterior, path_posterior, p_quality, p_toxic, kept) of every row.
+    """(id, evidence, host_posterior, path_posterior, p_quality, p_toxic, toxic_evidence,
+    toxic_host_posterior, toxic_path_posterior, kept) of every row.
 
-    ``evidence`` is the document's own log odds of quality. With ``carry`` the whole row comes
+    ``evidence`` is the document's own log odds of quality, ``toxic_evidence`` of toxicity. With ``carry`` the whole row comes
     along as the struct ``doc``.
     """
     bounded_batches(docs.sparkSession)
@@ -206,10 +218,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
                        key(host_col).alias("host"), key(path_col).alias("path"), *doc)
     scored = materialize(score_documents(rows, models), "scored")
-    sites, overall = site_posteriors(scored.select("host", "path", sigmoid(F.col("z_quality")).alias("p")))
+    sites, overall = site_posteriors(scored.select("host", "path", *[sigmoid(F.col(f"z_{c}")).alias(c) for c in MEASURES]))
     joined = keyed_join(scored, materialize(sites, "sites"), ["host", "path"], "id")
-    p_quality = sigmoid(F.col("z_quality") + logit(F.col("path_posterior")) - logit(F.lit(overall)))
-    out = joined.select(F.col("id").alias(id_col), F.col("z_quality").alias("evidence"), "host_posterior",
-                        "path_posterior", p_quality.alias("p_quality"), sigmoid(F.col("z_toxic")).alias("p_toxic"),
-                        *[c for c in ("doc",) if carry])
+    moved = [sigmoid(F.col(f"z_{c}") + logit(F.col(f"{c}_path")) - logit(F.lit(overall[c]))).alias(f"p_{c}")
+             for c in MEASURES]
+    out = joined.select(
+        F.col("id").alias(id_col), F.col("z_quality").alias("evidence"),
+        F.col("quality_host").alias("host_posterior"), F.col("quality_path").alias("path_posterior"), *moved,
+        F.col("z_toxic").alias("toxic_evidence"), F.col("toxic_host").alias("toxic_host_posterior"),
+        F.col("toxic_path").alias("toxic_path_posterior"), *[c for c in ("doc",) if carry])
     return out.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5))

@@ -182,3 +182,32 @@ def views(turns, system=("system",), per_part=256):
 
 def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def shrunk(groups, prior):
+    """{key: posterior mean} from {key: values} and {key: prior mean}."""
+    n, g = sum(map(len, groups.values())), len(groups)
+    mean = {k: sum(v) / len(v) for k, v in groups.items()}
+    k_ = 1e6
+    if g > 1 and n > g:
+        within = sum(max(0.0, sum(x * x for x in v) - len(v) * mean[k] ** 2) for k, v in groups.items())
+        between = sum(len(v) * (mean[k] - prior[k]) ** 2 for k, v in groups.items())
+        p = sum(len(v) * prior[k] for k, v in groups.items()) / n
+        spread = (between - within / (n - g) * g) / n
+        if spread > 0:
+            k_ = min(1e6, max(1.0, p * (1 - p) / spread - 1))
+    return {k: (sum(v) + k_ * prior[k]) / (len(v) + k_) for k, v in groups.items()}
+
+
+def site_probabilities(rows):
+    """[(host posterior, path posterior, probability)] of rows (host, path, log odds)."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for host, path, z in rows:
+        hosts[host].append(sigmoid(z))
+        paths[host, path].append(sigmoid(z))
+    overall = sum(sigmoid(z) for *_, z in rows) / len(rows)
+    host_mean = shrunk(hosts, dict.fromkeys(hosts, overall))
+    path_mean = shrunk(paths, {k: host_mean[k[0]] for k in paths})
+    return [(host_mean[h], path_mean[h, p], sigmoid(z + logit(path_mean[h, p]) - logit(overall))) for h, p, z in rows]

@@ -10,6 +10,7 @@ from llm_paths import SF
 from pyspark.sql import functions as F
 
 from panelspark.llm import chat, decontam, linededup, lmscore, mixing, neardup, quality, rules, suffixdedup
+from panelspark.llm.common import WordHashes
 from panelspark.llm.queries import QUERIES
 
 
@@ -254,17 +255,51 @@ def test_classifier_on_awkward_rows(awkward, rows, none, spark):
     assert all(r.kept for r in quality.classify(awkward, labels.limit(0)).collect())
 
 
-def test_site_posteriors(spark):
-    """Host and path means against the same formulas by hand; small sites move to their prior."""
-    data = [("a", "x", 0.9)] * 50 + [("a", "y", 0.1)] + [("b", "x", 0.2)] * 40 + [("b", "z", 0.3)] * 2
-    found, overall = quality.site_posteriors(spark.createDataFrame(data, "host string, path string, p double"))
-    got = {(r.host, r.path): r for r in found.collect()}
-    assert overall == pytest.approx(sum(p for *_, p in data) / len(data))
-    a, b = got["a", "x"].host_posterior, got["b", "x"].host_posterior
-    assert overall < a < 0.9 and 0.2 < b < overall
-    lone = got["a", "y"]
-    assert 0.1 < lone.path_posterior < a  # one document moves its path only a little
-    assert abs(got["a", "x"].path_posterior - 0.9) < abs(a - 0.9)
+def assert_judged_like_plain_python(docs, labels):
+    """Posteriors, probabilities and verdicts of both measures from the documents' own log odds."""
+    found = quality.classify(docs, labels, carry=True).collect()
+    sites = [(r.doc.source, r.doc.lang) for r in found]
+    good = brute.site_probabilities([(*s, r.evidence) for s, r in zip(sites, found)])
+    toxic = brute.site_probabilities([(*s, r.toxic_evidence) for s, r in zip(sites, found)])
+    for r, g, t in zip(found, good, toxic):
+        assert (r.host_posterior, r.path_posterior, r.p_quality) == pytest.approx(g, abs=1e-9)
+        assert (r.toxic_host_posterior, r.toxic_path_posterior, r.p_toxic) == pytest.approx(t, abs=1e-9)
+        if min(abs(g[2] - 0.5), abs(t[2] - 0.5)) > 1e-9:
+            assert r.kept == (g[2] >= 0.5 and t[2] <= 0.5)
+    return found
+
+
+def test_classifier_equals_plain_posteriors(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    found = assert_judged_like_plain_python(docs, labels)
+    models = quality.fit(docs, labels)
+    for r in found:
+        f = quality.features((r.doc.text or "").encode(), WordHashes())
+        assert [w[f].sum() + w[-1] for w in models] == pytest.approx([r.evidence, r.toxic_evidence], abs=1e-9)
+
+
+def test_classifier_equals_plain_posteriors_on_awkward_rows(awkward, spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(1000, 1060)],
+                                   "doc_id long, quality int, toxic int")
+    assert_judged_like_plain_python(awkward, labels)
+
+
+def test_a_toxic_site_moves_weak_evidence(spark):
+    """Equal log odds are judged by the site's share of toxic documents; a lone document hardly moves."""
+    data = [("bad", "x", 0.9, 0.9)] * 60 + [("good", "x", 0.9, 0.05)] * 300 + [("lone", "x", 0.9, 0.9)]
+    found, overall = quality.site_posteriors(
+        spark.createDataFrame(data, "host string, path string, quality double, toxic double"))
+    got = {r.host: r for r in found.collect()}
+    assert got["bad"].toxic_path > 0.8 > 0.1 > got["good"].toxic_path
+    assert overall["toxic"] < got["lone"].toxic_path < got["bad"].toxic_path
+    assert all(r.quality_path == pytest.approx(0.9) for r in got.values())
+
+
+def test_sample_of_repeated_ids_is_the_same_on_every_run(spark):
+    docs = spark.createDataFrame([(i % 3, f"word{i} and word{i * 7}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    one, two = (quality.fit(docs.repartition(n, "text"), labels, sample_rows=20) for n in (3, 11))
+    assert all((a == b).all() for a, b in zip(one, two))
 
 
 # ---------------------------------------------------------------- quality rules
