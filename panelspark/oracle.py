@@ -708,6 +708,13 @@ ORACLE["scan_table"] = f"SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_tot
 ORACLE["scan_csv_header"] = "SELECT c_custkey, c_name, upper(lower(c_mktsegment)) AS partner_iso FROM customer"
 ORACLE["sink_csv_roundtrip"] = ORACLE["trade_decomposition"]
 ORACLE["sink_parquet_roundtrip"] = ORACLE["crime_panel_final"]
+ORACLE["sink_dta_roundtrip"] = ORACLE["crime_panel_final"]
+ORACLE["scan_dta"] = f"""
+SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nation, coalesce(c_mktsegment, '') AS c_mktsegment,
+       CASE WHEN why IS NULL THEN {R6.format(x='CAST(c_acctbal AS DOUBLE)')} END AS balance,
+       CASE WHEN why IS NOT NULL THEN why WHEN c_acctbal IS NULL THEN '.' END AS balance_missing
+FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN '.a' WHEN c_mktsegment = 'MACHINERY' THEN '.b' END AS why FROM customer)
+LEFT JOIN nation ON n_nationkey = c_nationkey"""
 NESTED = """
 daily AS (
   SELECT event_type AS freq, user_id AS ref_area, CAST(ts AS DATE) AS day,

@@ -29,6 +29,7 @@ from panelspark.plans.trade import trade_world
 from panelspark.session import materialize, shared_path
 from panelspark.sources.files import read_csv_header, write_csv, write_parquet, write_yearly
 from panelspark.sources.nested import nested_series_scan, unnest_obs
+from panelspark.sources.stata import read_dta, write_dta
 from panelspark.sources.tables import scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -865,6 +866,36 @@ def q_sink_parquet_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+@register("scan_dta")
+def q_scan_dta(spark, d):
+    """Stata files read with value labels and missing codes, one file by several tasks.
+
+    The nation is stored as a labelled number; a balance below zero is the missing code ``.a``, one
+    of exactly the segment MACHINERY ``.b``. A nation table beyond the bound on labels of the
+    format (65,536) would be an error.
+    """
+    nations = scan_table(spark, d, "nation", ["n_nationkey", "n_name"]).limit(65_537).collect()
+    if len(nations) > 65_536:
+        raise ValueError("more nations than the format has labels")
+    c = scan_table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    why = F.when(F.col("c_acctbal") < 0, ".a").when(F.col("c_mktsegment") == "MACHINERY", ".b")
+    c = c.select("c_custkey", F.col("c_nationkey").alias("nation"), "c_mktsegment", why.alias("why"),
+                 F.when(why.isNull(), F.col("c_acctbal").cast("double")).alias("balance"))
+    path = write_dta(c, shared_path(spark, "customers_dta"), missing_codes={"balance": "why"},
+                     labels={"nation": {r.n_nationkey: r.n_name for r in nations}})
+    found = read_dta(spark, path, value_labels=True, missing_codes=True, split_bytes=4 << 20)
+    return round_doubles(found.select(F.col("c_custkey").cast("long").alias("c_custkey"), "nation", "c_mktsegment",
+                                      "balance", "balance_missing"))
+
+
+@register("sink_dta_roundtrip")
+def q_sink_dta_roundtrip(spark, d):
+    """K2: the final panel written as Stata files and read back, column types restored."""
+    out = crime.growth_panel(_prepared(spark, d), CP)
+    back = read_dta(spark, write_dta(out, shared_path(spark, "crime_dta")))
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in out.schema])
+
+
 _NESTED: dict = {}
 
 
