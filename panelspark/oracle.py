@@ -715,6 +715,10 @@ SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nation, coal
        CASE WHEN why IS NOT NULL THEN why WHEN c_acctbal IS NULL THEN '.' END AS balance_missing
 FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN '.a' WHEN c_mktsegment = 'MACHINERY' THEN '.b' END AS why FROM customer)
 LEFT JOIN nation ON n_nationkey = c_nationkey"""
+ORACLE["stage_resume"] = """
+SELECT c_nationkey AS nation, year(o_orderdate) AS year, count(*) AS n,
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
 NESTED = """
 daily AS (
   SELECT event_type AS freq, user_id AS ref_area, CAST(ts AS DATE) AS day,

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from panelspark.session import materialize
+from panelspark.session import file_system, materialize
 
 # Fixed values of the file format: codes, widths and largest valid numbers of the types, the first
 # missing code of each (".", then ".a" to ".z" at equal steps), sizes of the header's fields.
@@ -56,15 +56,6 @@ SPARK_TYPES = {BYTE: T.ByteType(), INT: T.ShortType(), LONG: T.IntegerType(), FL
 # ---------------------------------------------------------------- files
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI and the path in it."""
-    if re.match(r"file:/", path):
-        path = re.sub(r"^file:/+", "/", path)
-    if re.match(r"[A-Za-z][A-Za-z0-9+.\-]+://", path):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def committed(fs: pafs.FileSystem, folder: str) -> list[str] | None:
     """Names in the folder's list of committed files, or None without one."""
     path = posixpath.join(folder, COMMITTED)
