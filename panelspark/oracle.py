@@ -706,6 +706,14 @@ ORACLE["ordered_levels"] = """SELECT doc_id, lang,
 
 ORACLE["scan_table"] = f"SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} FROM orders"
 ORACLE["scan_csv_header"] = "SELECT c_custkey, c_name, upper(lower(c_mktsegment)) AS partner_iso FROM customer"
+ORACLE["scan_csv_inferred"] = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day,
+       CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS DOUBLE)
+            ELSE round(CAST(o_totalprice AS DOUBLE), 2) END AS price,
+       CASE WHEN o_orderstatus = 'F' THEN o_totalprice > 100000 END AS large,
+       CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS o_orderstatus,
+       'day date, large boolean, o_orderkey bigint, o_orderstatus string, price double' AS types
+FROM orders WHERE o_orderstatus IS NOT NULL"""
 ORACLE["sink_csv_roundtrip"] = ORACLE["trade_decomposition"]
 ORACLE["sink_parquet_roundtrip"] = ORACLE["crime_panel_final"]
 ORACLE["sink_dta_roundtrip"] = ORACLE["crime_panel_final"]

@@ -28,6 +28,7 @@ from panelspark.plans.fixtures import TradeParams
 from panelspark.plans.trade import trade_world
 from panelspark.session import materialize, shared_path
 from panelspark.sources.files import read_csv_header, write_csv, write_parquet, write_yearly
+from panelspark.sources.inferred import read_csv_inferred
 from panelspark.sources.nested import nested_series_scan, unnest_obs
 from panelspark.sources.stata import read_dta, write_dta
 from panelspark.sources.tables import scan_table
@@ -849,6 +850,25 @@ def q_scan_csv_header(spark, d):
     return codes.withColumn("partner_iso", F.upper("partner_iso"))
 
 
+@register("scan_csv_inferred")
+def q_scan_csv_inferred(spark, d):
+    """CSV files whose columns differ, types inferred over all values of all files.
+
+    Finished orders hold whole prices and a flag, the others prices with cents and the status in
+    another order of columns.
+    """
+    o = scan_table(spark, d, "orders", ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])
+    day, folder = F.col("o_orderdate").cast("date").alias("day"), shared_path(spark, "orders_csv")
+    done = F.col("o_orderstatus") == "F"
+    write_csv(o.where(done).select("o_orderkey", day, F.floor("o_totalprice").alias("price"),
+                                   (F.col("o_totalprice") > 100000).alias("large")), f"{folder}/finished")
+    write_csv(o.where(~done).select("o_orderstatus", F.round(F.col("o_totalprice").cast("double"), 2).alias("price"),
+                                    "o_orderkey", day), f"{folder}/open")
+    found = read_csv_inferred(spark, folder)
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    return round_doubles(found).withColumn("types", F.lit(", ".join(f"{c} {kinds[c]}" for c in sorted(kinds))))
+
+
 DECOMP_SCHEMA = "year int, country string, " + ", ".join(f"{c} double" for c in DECOMP_COLS)
 
 
