@@ -723,6 +723,17 @@ SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nation, coal
        CASE WHEN why IS NOT NULL THEN why WHEN c_acctbal IS NULL THEN '.' END AS balance_missing
 FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN '.a' WHEN c_mktsegment = 'MACHINERY' THEN '.b' END AS why FROM customer)
 LEFT JOIN nation ON n_nationkey = c_nationkey"""
+LEVEL = """CASE {p} WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3
+  WHEN '2-HIGH' THEN 4 WHEN '1-URGENT' THEN 5 END"""
+ORACLE["factor_union"] = f"""
+WITH o AS (SELECT o_orderstatus = 'F' AS done, o_orderpriority AS p, {LEVEL.format(p='o_orderpriority')} AS l
+           FROM orders WHERE o_orderstatus IS NOT NULL),
+k AS (SELECT done, CASE WHEN done AND l <= 3 OR NOT done AND l >= 3 THEN p END AS priority,
+             CASE WHEN done AND l <= 3 OR NOT done AND l >= 3 THEN l END AS level FROM o)
+SELECT done, priority, level, count(*) AS n FROM k GROUP BY ALL"""
+ORACLE["factor_sort"] = f"""
+WITH o AS (SELECT o_custkey, {LEVEL.format(p='o_orderpriority')} AS l, o_orderpriority AS p FROM orders)
+SELECT o_custkey, max_by(p, l) AS priority, max(l) AS level, count(*) AS n FROM o GROUP BY o_custkey"""
 ORACLE["stage_resume"] = """
 SELECT c_nationkey AS nation, year(o_orderdate) AS year, count(*) AS n,
        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents

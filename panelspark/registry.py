@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import semantics as sem
 from panelspark.functions.semantics import id_scale, rdiv, rln, round_doubles, try_number
+from panelspark.operators import factors as fa
 from panelspark.operators import panel as pn
 from panelspark.operators import relational as rel
 from panelspark.operators import text as tx
@@ -939,6 +940,36 @@ def q_stage_resume(spark, d):
     return out
 
 
+LOW_FIRST = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+
+
+@register("factor_union")
+def q_factor_union(spark, d):
+    """Priorities of finished orders (three lower levels) and of the others (three upper ones) in
+    one factor, written and read back; a priority that is no level of its side is missing."""
+    o = scan_table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    done = F.col("o_orderstatus") == "F"
+    o = o.select("o_orderkey", done.alias("done"), F.col("o_orderpriority").alias("priority"))
+    both = fa.factor_union(fa.as_factor(o.where("done"), "priority", LOW_FIRST[:3]),
+                           fa.as_factor(o.where("not done"), "priority", LOW_FIRST[2:]))
+    back = materialize(both, "priorities")
+    counts = back.groupBy("done", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("level", fa.level_number(counts, "priority"))
+
+
+@register("factor_sort")
+def q_factor_sort(spark, d):
+    """Orders by customer and priority, in the order of the levels; ``latest`` is the highest level
+    each customer has used."""
+    o = scan_table(spark, d, "orders", ["o_custkey", "o_orderpriority"]).select(
+        "o_custkey", F.col("o_orderpriority").alias("priority"))
+    o = fa.as_factor(o, "priority", LOW_FIRST)
+    counts = o.groupBy("o_custkey", "priority").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.withColumn("level", fa.level_number(counts, "priority")).groupBy("o_custkey").agg(
+        F.max_by("priority", "level").alias("priority"), F.max("level").alias("level"), F.sum("n").alias("n"))
+    return fa.factor_sort(fa.with_levels(per, "priority", LOW_FIRST), "priority", "o_custkey")
+
+
 _NESTED: dict = {}
 
 
