@@ -275,6 +275,29 @@ SELECT author, count(*) AS nnz, CAST(sum(n) AS DOUBLE) AS row_sum,
        (SELECT count(DISTINCT word) FROM kcounts) AS n_terms
 FROM kcounts GROUP BY author"""
 
+ENTRIES = TEXT + """,
+dcounts AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM kept GROUP BY doc_id, word),
+di AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM (SELECT DISTINCT doc_id FROM dcounts)),
+ti AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_index FROM (SELECT DISTINCT word FROM dcounts)),
+entries AS (SELECT doc_id, doc_index, word, term_index, n FROM dcounts JOIN di USING (doc_id) JOIN ti USING (word))"""
+
+
+def _weight(name: str, i: int) -> str:
+    return f"('0x' || substr(md5(CAST({name} AS VARCHAR) || '#{i}'), 1, 4))::BIGINT::DOUBLE / 65536"
+
+
+ORACLE["dtm_blocks"] = f"""WITH {ENTRIES}
+SELECT doc_index // 64 AS row_block, term_index // 128 AS col_block, count(DISTINCT doc_index) AS n_rows, count(*) AS nnz,
+       CAST(sum(n) AS DOUBLE) AS total FROM entries GROUP BY 1, 2"""
+ORACLE["dtm_block_margins"] = f"""WITH {ENTRIES}
+SELECT 'document' AS axis, doc_index AS "index", CAST(sum(n) AS DOUBLE) AS total FROM entries GROUP BY doc_index
+UNION ALL SELECT 'term', term_index, CAST(sum(n) AS DOUBLE) FROM entries GROUP BY term_index"""
+ORACLE["dtm_block_product"] = f"""WITH {ENTRIES}
+SELECT doc_index, {r6(f"sum(n * ({_weight('word', 1)}))", 'y1')}, {r6(f"sum(n * ({_weight('word', 2)}))", 'y2')}
+FROM entries GROUP BY doc_index"""
+ORACLE["dtm_block_product_t"] = f"""WITH {ENTRIES}
+SELECT term_index, {r6(f"sum(n * ({_weight('doc_id', 1)}))", 'y1')} FROM entries GROUP BY term_index"""
+
 
 def topics_sql(steps: int, k: int = 4, alpha: float = 0.1, eta: float = 0.01) -> str:
     """CTEs of ``steps`` rounds of the topic fit; the last word weights are w{steps}."""

@@ -12,8 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.operators import text as tx
+from panelspark.operators.relational import sequence_number
 from panelspark.session import materialize
 from panelspark.sources.corpus import corpus_scan
 from panelspark.sources.stopwords import builtin_stopwords, custom_stopwords
@@ -58,3 +60,14 @@ def kept_tokens(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusPara
 
 def topic_counts(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
     return materialize(tx.word_counts(kept_tokens(spark, base_dir, p)), "topic_counts")
+
+
+def document_entries(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
+    """(doc_id, doc_index, word, term_index, n) of the kept tokens of every document, materialised once; indices
+    count from 0 in the order of ids and words."""
+    own = materialize(tx.word_counts(kept_tokens(spark, base_dir, p), by=("doc_id",)), "document_counts")
+    docs = sequence_number(own.select("doc_id").distinct(), [F.asc("doc_id")], "doc_index")
+    words = sequence_number(own.select("word").distinct(), [F.asc("word")], "term_index")
+    joined = own.join(docs, "doc_id").join(words, "word")
+    return materialize(joined.select("doc_id", (F.col("doc_index") - 1).alias("doc_index"), "word",
+                                     (F.col("term_index") - 1).alias("term_index"), "n"), "document_entries")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import semantics as sem
 from panelspark.functions.semantics import id_scale, rdiv, rln, round_doubles, try_number
+from panelspark.operators import blocks as bl
 from panelspark.operators import factors as fa
 from panelspark.operators import panel as pn
 from panelspark.operators import relational as rel
@@ -236,6 +237,52 @@ def q_dtm_stats(spark, d):
     return tp.dtm_stats(entries)
 
 
+BLOCKS = bl.BlockShape(64, 128)
+
+
+def _blocks(spark, d):
+    entries = cp.document_entries(spark, d, CORPUS)
+    return entries, materialize(bl.to_blocks(entries, BLOCKS), "dtm-blocks")
+
+
+@register("dtm_blocks")
+def q_dtm_blocks(spark, d):
+    """Blocks of the document-term matrix, with their rows, entries and sums."""
+    return bl.block_stats(_blocks(spark, d)[1])
+
+
+@register("dtm_block_margins")
+def q_dtm_block_margins(spark, d):
+    """Row and column sums of the blocks (axis, index, total)."""
+    blocks = _blocks(spark, d)[1]
+    rows = bl.row_sums(blocks, BLOCKS).select(F.lit("document").alias("axis"), F.col("doc_index").alias("index"), "total")
+    return rows.unionByName(bl.col_sums(blocks, BLOCKS).select(
+        F.lit("term").alias("axis"), F.col("term_index").alias("index"), "total"))
+
+
+def _hash_weights(name, k):
+    """``k`` weights of a name: 16 bits of the MD5 of "name#i" as a share of 65,536 (sums are exact)."""
+    part = lambda i: F.conv(F.substring(F.md5(F.concat(F.col(name).cast("string"), F.lit(f"#{i}"))), 1, 4), 16, 10)
+    return F.array(*[part(i).cast("double") / 65536 for i in range(1, k + 1)])
+
+
+@register("dtm_block_product")
+def q_dtm_block_product(spark, d):
+    """The matrix times two columns of term weights."""
+    entries, blocks = _blocks(spark, d)
+    w = entries.select("word", "term_index").distinct().select("term_index", _hash_weights("word", 2).alias("w"))
+    y = bl.multiply(blocks, w, 2, BLOCKS)
+    return y.select("doc_index", F.get("y", F.lit(0)).alias("y1"), F.get("y", F.lit(1)).alias("y2"))
+
+
+@register("dtm_block_product_t")
+def q_dtm_block_product_t(spark, d):
+    """The transposed matrix times a column of document weights."""
+    entries, blocks = _blocks(spark, d)
+    w = entries.select("doc_id", "doc_index").distinct().select("doc_index", _hash_weights("doc_id", 1).alias("w"))
+    return bl.multiply_transposed(blocks, w, 1, BLOCKS).select("term_index", F.get("y", F.lit(0)).alias("y1"))
+
+
 def _topics(spark, d):
     return tp.TopicFit(cp.topic_counts(spark, d, CORPUS), CORPUS.topics)
 
