@@ -241,6 +241,11 @@ ORACLE["tokenize_words"] = f"""WITH {TEXT},
 arr AS (SELECT doc_id, author, regexp_extract_all(lower(text), {TOK_SQL}, 0) AS t FROM docs)
 SELECT doc_id, author, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_types,
        CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS token_chars FROM arr"""
+ORACLE["tokenize_uax29"] = f"""WITH {TEXT},
+arr AS (SELECT doc_id, author, list_filter(regexp_extract_all(lower(text), {TOK_SQL}, 0),
+               lambda w: regexp_matches(w, '[^_]')) AS t FROM docs)
+SELECT doc_id, author, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_types,
+       md5(coalesce(array_to_string(t, chr(10)), '')) AS words_md5 FROM arr"""
 ORACLE["word_counts"] = f"WITH {TEXT} SELECT author, word, n, row_number() OVER (ORDER BY n DESC, author, word) AS position FROM counts"
 ORACLE["word_totals"] = f"WITH {TEXT} SELECT author, word, n, total FROM wt"
 ORACLE["zipf_rank"] = f"WITH {TEXT} SELECT author, word, n, total, rank, {r6('term_frequency')} FROM zipf"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import semantics as sem
 from panelspark.functions.semantics import id_scale, rdiv, rln, round_doubles, try_number
+from panelspark.functions.wordbreak import words_uax29
 from panelspark.operators import blocks as bl
 from panelspark.operators import factors as fa
 from panelspark.operators import panel as pn
@@ -140,6 +141,15 @@ def q_tokenize_words(spark, d):
     return tx.token_stats(_corpus(spark, d))
 
 
+@register("tokenize_uax29")
+def q_tokenize_uax29(spark, d):
+    """Words between Unicode word boundaries: their number, distinct words and a digest per document."""
+    words = cp.corpus(spark, d, CORPUS).select("doc_id", "author", words_uax29("text").alias("w"))
+    return words.select("doc_id", "author", F.size("w").cast("bigint").alias("n_tokens"),
+                        F.size(F.array_distinct("w")).cast("bigint").alias("n_types"),
+                        F.md5(F.array_join("w", "\n")).alias("words_md5"))
+
+
 @register("word_counts")
 def q_word_counts(spark, d):
     """count(author, word, sort=TRUE), with each row's position in the order."""
