@@ -32,7 +32,7 @@ from panelspark.plans.trade import trade_world
 from panelspark.session import materialize, shared_path
 from panelspark.sources.files import read_csv_header, write_csv, write_parquet, write_yearly
 from panelspark.sources.inferred import read_csv_inferred
-from panelspark.sources.nested import nested_series_scan, unnest_obs
+from panelspark.sources.nested import nested_series_scan, unnest_obs, write_series
 from panelspark.sources.stata import read_dta, write_dta
 from panelspark.sources.tables import scan_table
 from panelspark.stages import StageStore
@@ -1033,7 +1033,7 @@ _NESTED: dict = {}
 def _nested_path(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _NESTED:
-        _NESTED[key] = write_parquet(fx.nested_series_rows(spark, d), shared_path(spark, "series"))
+        _NESTED[key] = write_series(fx.nested_series_rows(spark, d), shared_path(spark, "series"))
     return _NESTED[key]
 
 
