@@ -1,20 +1,28 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks of ``BLOCK`` ids. Every block starts from the same empty model and has
-its own checksum, so a block can be read alone. For each id an order-1 and an order-2 table
-(indexed by hashes of the last one and two ids) name a candidate with a confidence. The chance
-that the candidate is right is mixed in the logistic domain from an order-0 estimate (the
-block's share of right candidates) and what the order-1 and order-2 confidences say, with
-weights learned as the block goes. The answer is coded with that chance; after a miss the id is
-coded by the block's order-0 frequencies of its upper bits (in slots, so that a reader finds them at once), and its
-lower eight bits follow.
-
-All arithmetic is on integers, so any machine reads what another has written. The blocks of a
-segment are coded side by side, one step of every block at a time, as numpy vectors; choices
-are masks, as they are far cheaper than picking elements.
-
-Segment: magic, ids, blocks, alphabet of upper bits (little-endian 32-bit words), then for every
-block its ids, 32-bit words and the CRC-32 of these words, then the words of all blocks.
+its own checksum, so a block can be read alone. A block is cut into lanes of about ``LANE`` ids, each
+with an interval of its own, that share the block's model: a step codes one id of every lane, and
+the model then learns from all of them.
+
+The model predicts whole ids by three orders:
+
+* order 0: adaptive frequencies of the ids seen in the block, worked out anew at the steps of
+  ``refresh_steps``, with a share kept for ids not seen before;
+* order 1 and order 2: tables indexed by hashes of the last one and two ids name a candidate
+  and a confidence; how often a candidate of each confidence was right in this block is counted.
+
+For each id the chance that the candidate (of order 2, else of order 1) is right is mixed in
+the logistic domain from all three: its order-0 frequency and the counted chances of both
+confidences, with weights learned as the lane goes. The answer is coded with that chance. After a
+miss the id is coded by its order-0 frequency among all ids but the candidate, or, if new to the
+block, by the kept share and then evenly over the vocabulary.
+
+All arithmetic is on integers, so any machine reads what another has written. The lanes of all
+blocks of a segment are coded side by side, as numpy vectors.
+
+Segment: magic, ids, blocks, vocabulary, lanes (little-endian 32-bit words), then for every block
+the CRC-32 of its words, for every lane its number of words, then the words of all lanes.
 """
 
 from __future__ import annotations
@@ -24,21 +32,20 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x31434D54
-BLOCK = 2048
-TABLE1, TABLE2 = 256, 256
+MAGIC = 0x32434D54
+#: Ids of a block and of a lane.
+BLOCK, LANE = 1 << 18, 512
+#: Entries of a block's order-1 and order-2 tables.
+TABLE1, TABLE2 = 1 << 15, 1 << 17
+#: Order-0 frequencies are whole parts of this; a block has at most half as many distinct ids.
+PARTS = 1 << 19
 TOP, MASK = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
-B8, B16, B24, B32 = (np.uint64(x) for x in (8, 16, 24, 32))
-#: Steps after which the order-0 frequencies are worked out anew, a longer time each.
-REFRESH = {24: 0, 96: 24, 320: 96, 1024: 320}
+B16, B32 = np.uint64(16), np.uint64(32)
 SPREAD = 2047
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-z / 256)))))
                    for z in range(-SPREAD, SPREAD + 1)], np.int32)
 STRETCH = np.array([max(-SPREAD, min(SPREAD, round(256 * math.log((p + 0.5) / (4095.5 - p)))))
                     for p in range(4096)], np.int32)
-#: What a confidence of 0 to 7 says, in the logistic domain, for order 1 and order 2.
-SAYS1 = STRETCH[[100, 500, 1000, 1500, 1900, 2300, 2700, 3000]]
-SAYS2 = STRETCH[[100, 1200, 2200, 2900, 3300, 3600, 3800, 3950]]
 
 
 def pick(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
@@ -46,58 +53,115 @@ def pick(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     return no ^ ((no ^ yes) & mask)
 
 
+def refresh_steps(length: int) -> set[int]:
+    """Steps before which order-0 frequencies are worked out anew: a third further on each time, 256 at most."""
+    out, t = set(), 1
+    while t < length:
+        out.add(t)
+        t += min(256, max(1, t // 3))
+    return out
+
+
+class Lanes:
+    """The lanes of a segment of ``total`` ids: longest first, so that those still going are the first ones."""
+
+    def __init__(self, total: int):
+        sizes = [BLOCK] * (total // BLOCK) + [total % BLOCK] * (total % BLOCK > 0)
+        self.sizes, self.block, self.length = sizes, [], []
+        for b, size in enumerate(sizes):
+            n = max(1, size // LANE)
+            step = -(-size // n)
+            own = [min(step, size - at) for at in range(0, size, step)]
+            self.length += own
+            self.block += [b] * len(own)
+        self.length, self.block = np.array(self.length, np.int64), np.array(self.block, np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        # a tail's lanes may be longer than those of whole blocks
+        self.order = np.argsort(-self.length, kind="stable")
+        self.steps = int(self.length.max(initial=0))
+        sorted_length = self.length[self.order]
+        self.live = np.searchsorted(-sorted_length, -np.arange(self.steps), side="left").tolist()
+
+    def table(self, ids: np.ndarray) -> np.ndarray:
+        """(step, lane) of a segment's ids; 0 where a lane has ended."""
+        out = np.zeros((self.steps, len(self.order)), np.int32)
+        for lane, o in enumerate(self.order):
+            out[:self.length[o], lane] = ids[self.first[o]:self.first[o] + self.length[o]]
+        return out
+
+    def ids(self, table: np.ndarray, total: int) -> np.ndarray:
+        out = np.zeros(total, np.int32)
+        for lane, o in enumerate(self.order):
+            out[self.first[o]:self.first[o] + self.length[o]] = table[:self.length[o], lane]
+        return out
+
+
 class Model:
-    """The models of ``n`` blocks side by side."""
-
-    def __init__(self, n: int, upper: int):
-        lane = np.arange(n)
-        self.upper = upper
-        # shares are whole slots: at least four slots for each upper bits
-        self.slots = 1 << max(10, (4 * upper - 1).bit_length())
-        self.unit = 65536 // self.slots
-        self.at1, self.at2, self.at_upper, self.at_slot = lane * TABLE1, lane * TABLE2, lane * (upper + 1), lane * self.slots
-        self.table1, self.table2 = np.zeros(n * TABLE1, np.int32), np.zeros(n * TABLE2, np.int32)
-        self.right = np.full(n, 1024, np.int32)
-        self.weights = [np.full(n, x, np.int32) for x in (8000, 24000, 36000)]
+    """The models of all blocks of a segment."""
+
+    def __init__(self, lanes: Lanes, vocabulary: int, reads: bool):
+        n, blocks = len(lanes.order), len(lanes.sizes)
+        self.block = lanes.block[lanes.order]
+        self.vocabulary, self.blocks, self.reads = vocabulary, blocks, reads
+        self.at1, self.at2, self.at0 = self.block * TABLE1, self.block * TABLE2, self.block * (vocabulary + 1)
+        self.table1, self.table2 = np.zeros(blocks * TABLE1, np.int32), np.zeros(blocks * TABLE2, np.int32)
+        self.right = [np.zeros(blocks * 16, np.int64) for _ in range(2)]
+        self.asked = [np.zeros(blocks * 16, np.int64) for _ in range(2)]
+        self.weights = [np.full(n, x, np.int32) for x in (3000, 22000, 44000)]
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.seen = np.zeros(n * upper, np.int32)
-        self.refresh(np.zeros((0, n), np.int32), n)
+        self.seen = np.zeros((blocks, vocabulary), np.int32)
+        self.start = np.zeros(blocks * (vocabulary + 1), np.int32)
+        self.share = np.zeros(blocks * (vocabulary + 1), np.int32)
+        self.share[vocabulary::vocabulary + 1] = PARTS   # all is new
+        self.symbol = np.full((blocks, PARTS) if reads else (0, 0), vocabulary, np.int32)
 
     def refresh(self, ids: np.ndarray, live: int) -> None:
-        """Order-0 frequencies (of 65,536) of the upper bits after further steps of ``ids``."""
-        n, upper = len(self.at1), self.upper
-        if len(ids):
-            at = (ids[:, :live] >> 8) + np.arange(live, dtype=np.int32) * np.int32(upper)
-            self.seen += (24 * np.bincount(at.reshape(-1), minlength=n * upper)).astype(np.int32)
-        seen = self.seen.reshape(n, upper) + 1
-        part = ((self.slots - upper) << 14) // seen.sum(axis=1, keepdims=True)
-        cum = np.zeros((n, upper + 1), np.int32)
-        np.cumsum((seen * part >> 14) + 1, axis=1, out=cum[:, 1:])
-        cum[:, -1] = self.slots
-        self.cum = (cum * self.unit).reshape(-1)
-        self.slot = np.repeat(np.tile(np.arange(upper, dtype=np.uint16), n), np.diff(cum, axis=1).reshape(-1))
+        """Order-0 frequencies after further steps of ``ids`` (those of lanes that have ended since count not)."""
+        v = self.vocabulary
+        at = ids[:, :live] + (self.block[:live] * v)
+        counts = np.bincount(at.reshape(-1), minlength=self.blocks * v).reshape(self.blocks, v)
+        for b in np.unique(self.block[:live]).tolist():
+            fresh = int(np.count_nonzero((counts[b] > 0) & (self.seen[b] == 0)))
+            self.seen[b] += counts[b].astype(np.int32)
+            known = np.flatnonzero(self.seen[b])
+            n = self.seen[b][known].astype(np.int64)
+            kept = min(PARTS * (fresh + 1) // (2 * (int(counts[b].sum()) + 2)), (PARTS - len(known)) // 2)
+            parts = 1 + n * (PARTS - len(known) - max(1, kept)) // int(n.sum())
+            share = np.zeros(v + 1, np.int32)
+            share[known] = parts
+            share[v] = PARTS - int(parts.sum())
+            own = slice(b * (v + 1), (b + 1) * (v + 1))
+            self.share[own] = share
+            self.start[own] = np.cumsum(share) - share
+            if self.reads:
+                self.symbol[b] = np.repeat(np.append(known, v).astype(np.int32), np.append(parts, share[v]))
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates of the first ``n`` blocks and their chances in 65,536ths."""
+        """Candidates of the first ``n`` lanes and their chances in 65,536ths."""
         last = self.last[:n]
-        self.i1 = self.at1[:n] + ((last * 40503 >> 4) & (TABLE1 - 1))
-        self.i2 = self.at2[:n] + ((last * 30011 + self.before[:n] * 12289 >> 3) & (TABLE2 - 1))
+        self.i1 = self.at1[:n] + ((last * 40503 >> 3) & (TABLE1 - 1))
+        self.i2 = self.at2[:n] + ((last * 30011 + self.before[:n] * 12289 >> 2) & (TABLE2 - 1))
         a, b = self.table1.take(self.i1), self.table2.take(self.i2)
         self.g1, self.g2, self.k1, self.k2 = a >> 3, b >> 3, a & 7, b & 7
         guess = pick(-(self.k2 > 0).astype(np.int32), self.g2, self.g1)
-        self.s = (STRETCH.take(self.right[:n]), SAYS1.take(self.k1 * (self.g1 == guess)),
-                  SAYS2.take(self.k2 * (self.g2 == guess)))
-        z = sum((w[:n] * s) >> 16 for w, s in zip(self.weights, self.s))
+        base = self.block[:n] << 4
+        self.c = (base + (self.k1 << 1) + (self.g1 == guess), base + (self.k2 << 1) + (self.g2 == guess))
+        self.own = (self.start.take(self.at0[:n] + guess).astype(np.uint64), self.share.take(self.at0[:n] + guess).astype(np.uint64))
+        counted = [((r * 4096 + 1024) // (m + 4)).clip(0, 4095) for r, m in zip(self.right, self.asked)]
+        self.s = (STRETCH.take((self.own[1] >> np.uint64(7)).astype(np.int64), mode="clip"),
+                  STRETCH.take(counted[0].take(self.c[0])), STRETCH.take(counted[1].take(self.c[1])))
+        z = sum((w[:n] * s.astype(np.int64)) >> 16 for w, s in zip(self.weights, self.s))
         self.p = SQUASH.take(np.minimum(np.maximum(z, -SPREAD), SPREAD) + SPREAD)
         return guess, (self.p << 4).astype(np.uint64)
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         n = len(ids)
-        bit = hit.astype(np.int32) * 4095
-        err = bit - self.p
+        err = hit.astype(np.int32) * 4095 - self.p
         for w, s in zip(self.weights, self.s):
             w[:n] += (s * err + 16384) >> 15
-        self.right[:n] += (bit - self.right[:n]) >> 5
+        for i, g in enumerate((self.g1, self.g2)):
+            self.asked[i] += np.bincount(self.c[i], minlength=len(self.asked[i]))
+            self.right[i] += np.bincount(self.c[i][hit], minlength=len(self.right[i]))
         for table, i, g, k in ((self.table1, self.i1, self.g1, self.k1), (self.table2, self.i2, self.g2, self.k2)):
             k = pick(-(g == ids).astype(np.int32), np.minimum(k + 1, 7), k >> 1)
             fresh = (k == 0).astype(np.int32)
@@ -105,18 +169,9 @@ class Model:
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
-    def interval(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and share of upper bits in the order-0 frequencies; ``at`` has the block's table in it."""
-        start = self.cum.take(at)
-        return start.astype(np.uint64), (self.cum.take(at + 1) - start).astype(np.uint64)
-
-    def upper_of(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The upper bits of blocks ``lanes`` whose interval holds ``value``."""
-        return self.slot.take(self.at_slot[lanes] + (value // np.uint64(self.unit)).astype(np.int64)).astype(np.int64)
-
 
 class Interval:
-    """The intervals of ``n`` blocks: 64-bit, a word leaves whenever one is narrower than a word."""
+    """The intervals of ``n`` lanes: 64-bit, a word leaves whenever one is narrower than a word."""
 
     def __init__(self, n: int):
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -127,14 +182,12 @@ class Interval:
         low += part & ~yes
         width[:] = pick(yes, part, width - part)
 
-    def literal(self, n: int, unit: np.ndarray, start: np.ndarray, share: np.ndarray, rest: np.ndarray,
-                miss: np.ndarray) -> None:
-        low, width = self.low[:n], self.width[:n]
-        low += (unit * ((start << B8) + rest * share)) & miss
-        width[:] = pick(miss, unit * share, width)
+    def take(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
+        self.low[lanes] += unit * start
+        self.width[lanes] = unit * share
 
     def settle(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the first ``n`` blocks give off a word, and the words."""
+        """Which of the first ``n`` lanes give off a word, and the words."""
         low, width = self.low[:n], self.width[:n]
         small = width < TOP
         across = small & ((low ^ (low + width)) >= TOP)
@@ -149,72 +202,85 @@ class Interval:
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A segment that holds ``ids`` (each below ``vocabulary``)."""
-    upper = (max(1, vocabulary) - 1 >> 8) + 1
-    n = -(-len(ids) // BLOCK)
-    head = np.array([MAGIC, len(ids), n, upper], "<u4").tobytes()
+    vocabulary = max(1, vocabulary)
+    lanes = Lanes(len(ids))
+    n = len(lanes.order)
+    head = np.array([MAGIC, len(ids), len(lanes.sizes), vocabulary, n], "<u4").tobytes()
     if not n:
         return head
-    length = min(len(ids), BLOCK)
-    tail = len(ids) - BLOCK * (n - 1)
-    padded = np.zeros(n * BLOCK, np.int32)
-    padded[:len(ids)] = ids
-    by_step = np.ascontiguousarray(padded.reshape(n, BLOCK).T)
-    words, sent = np.zeros((2 * length + 2, n), np.uint32), np.zeros((2 * length + 2, n), bool)
-    model, at = Model(n, upper), Interval(n)
-    for t in range(length):
-        live = n - (t >= tail)
-        if t in REFRESH:
-            model.refresh(by_step[REFRESH[t]:t], live)
-        x = by_step[t, :live]
+    table = lanes.table(ids)
+    # a step gives off at most three words a lane: after the answer, the order-0 part and a new id
+    words, sent = np.zeros((3 * lanes.steps + 2, n), np.uint32), np.zeros((3 * lanes.steps + 2, n), bool)
+    model, at, again, done = Model(lanes, vocabulary, False), Interval(n), refresh_steps(lanes.steps), 0
+    for t, live in enumerate(lanes.live):
+        if t in again:
+            model.refresh(table[done:t], live)
+            done = t
+        x = table[t, :live]
         guess, chance = model.predict(live)
         hit = guess == x
         at.answer(live, (at.width[:live] >> B16) * chance, hit)
-        sent[2 * t, :live], words[2 * t, :live] = at.settle(live)
-        start, share = model.interval(model.at_upper[:live] + (x >> 8))
-        miss = hit.astype(np.uint64) - np.uint64(1)
-        at.literal(live, at.width[:live] >> B24, start, share, (x & 255).astype(np.uint64), miss)
-        sent[2 * t + 1, :live], words[2 * t + 1, :live] = at.settle(live)
+        sent[3 * t, :live], words[3 * t, :live] = at.settle(live)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            own_start, own_share = model.own[0][miss], model.own[1][miss]
+            place = model.at0[miss]
+            share = model.share.take(place + x[miss])
+            new = share == 0
+            place += np.where(new, vocabulary, x[miss])
+            start, share = model.start.take(place).astype(np.uint64), model.share.take(place).astype(np.uint64)
+            start -= own_share * (start > own_start)
+            at.take(miss, at.width[miss] // (np.uint64(PARTS) - own_share), start, share)
+            sent[3 * t + 1, :live], words[3 * t + 1, :live] = at.settle(live)
+            miss = miss[new]
+            if len(miss):
+                at.take(miss, at.width[miss] // np.uint64(vocabulary), x[miss].astype(np.uint64), np.uint64(1))
+                sent[3 * t + 2, :live], words[3 * t + 2, :live] = at.settle(live)
         model.update(x, hit)
     sent[-2:] = True
     words[-2], words[-1] = (at.low >> B32).astype(np.uint32), (at.low & MASK).astype(np.uint32)
-    used = sent.sum(axis=0)
-    flat = np.ascontiguousarray(words.T)[np.ascontiguousarray(sent.T)].astype("<u4")
-    sizes = np.full(n, BLOCK)
-    sizes[-1] = tail
-    ends = np.cumsum(used)
-    sums = [zlib.crc32(flat[a:z]) for a, z in zip(ends - used, ends)]
-    return b"".join([head, np.stack([sizes, used, sums], axis=1).astype("<u4").tobytes(), flat.tobytes()])
+    back = np.argsort(lanes.order)
+    sent, words = np.ascontiguousarray(sent[:, back].T), np.ascontiguousarray(words[:, back].T)
+    used = sent.sum(axis=1)
+    flat = words[sent].astype("<u4")
+    ends = np.cumsum(np.bincount(lanes.block, used).astype(np.int64))
+    sums = [zlib.crc32(flat[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
+    return b"".join([head, np.array(sums, "<u4").tobytes(), used.astype("<u4").tobytes(), flat.tobytes()])
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; a damaged block raises an error that names it."""
-    magic, total, n, upper = np.frombuffer(data, "<u4", 4).tolist()
-    if magic != MAGIC:
+    if len(data) < 20 or np.frombuffer(data, "<u4", 1)[0] != MAGIC:
         raise ValueError("not a segment of token ids")
+    _, total, blocks, vocabulary, n = np.frombuffer(data, "<u4", 5).tolist()
     if not n:
         return np.zeros(0, np.int32)
-    sizes, used, sums = np.frombuffer(data, "<u4", 3 * n, 16).reshape(n, 3).astype(np.int64).T
-    words = np.frombuffer(data, "<u4", -1, 16 + 12 * n)
-    first = np.cumsum(used) - used
-    for i in range(n):
-        if zlib.crc32(words[first[i]:first[i] + used[i]]) != sums[i]:
-            raise ValueError(f"block {i} of {n} is damaged")
+    lanes = Lanes(total)
+    if (len(lanes.sizes), len(lanes.order)) != (blocks, n):
+        raise ValueError("not a segment of token ids")
+    sums = np.frombuffer(data, "<u4", blocks, 20)
+    used = np.frombuffer(data, "<u4", n, 20 + 4 * blocks).astype(np.int64)
+    words = np.frombuffer(data, "<u4", -1, 20 + 4 * (blocks + n))
+    ends = np.cumsum(np.bincount(lanes.block, used).astype(np.int64))
+    for i, (a, z) in enumerate(zip([0, *ends[:-1]], ends)):
+        if zlib.crc32(words[a:z]) != sums[i]:
+            raise ValueError(f"block {i} of {blocks} is damaged")
     words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(np.uint64)
+    first = (np.cumsum(used) - used)[lanes.order]
     code, place = (words[first] << B32) | words[first + 1], first + 2
-    model, at = Model(n, upper), Interval(n)
-    found = np.zeros((BLOCK, n), np.int32)
+    model, at, again, done = Model(lanes, vocabulary, True), Interval(n), refresh_steps(lanes.steps), 0
+    found = np.zeros((lanes.steps, n), np.int32)
 
     def settle(live: int) -> None:
         small, _ = at.settle(live)
-        lanes = np.flatnonzero(small)
-        code[lanes] = (code[lanes] << B32) | words.take(place[lanes])
-        place[lanes] += 1
-
-    length, tail = int(sizes[0]), int(sizes[-1])
-    for t in range(length):
-        live = n - (t >= tail)
-        if t in REFRESH:
-            model.refresh(found[REFRESH[t]:t], live)
+        own = np.flatnonzero(small)
+        code[own] = (code[own] << B32) | words.take(place[own])
+        place[own] += 1
+
+    for t, live in enumerate(lanes.live):
+        if t in again:
+            model.refresh(found[done:t], live)
+            done = t
         guess, chance = model.predict(live)
         part = (at.width[:live] >> B16) * chance
         hit = code[:live] - at.low[:live] < part
@@ -223,15 +289,25 @@ def decode(data: bytes) -> np.ndarray:
         miss = np.flatnonzero(~hit)
         x = guess
         if len(miss):
-            unit = at.width[miss] >> B24
-            value = (code[miss] - at.low[miss]) // unit
-            top = model.upper_of(miss, value >> B8)
-            start, share = model.interval(model.at_upper[miss] + top)
-            rest = np.minimum((value - (start << B8)) // share, np.uint64(255))
-            at.low[miss] += unit * ((start << B8) + rest * share)
-            at.width[miss] = unit * share
-            x[miss] = (top << 8) + rest.astype(np.int64)
+            own_start, own_share = model.own[0][miss], model.own[1][miss]
+            rest = np.uint64(PARTS) - own_share
+            unit = at.width[miss] // rest
+            value = np.minimum((code[miss] - at.low[miss]) // unit, rest - np.uint64(1))
+            value += own_share * (value >= own_start)
+            symbol = model.symbol[model.block[miss], value.astype(np.int64)]
+            start = model.start.take(model.at0[miss] + symbol).astype(np.uint64)
+            share = model.share.take(model.at0[miss] + symbol).astype(np.uint64)
+            start -= own_share * (start > own_start)
+            at.take(miss, unit, start, share)
             settle(live)
+            new = symbol == vocabulary
+            if new.any():
+                lane = miss[new]
+                unit = at.width[lane] // np.uint64(vocabulary)
+                symbol[new] = np.minimum((code[lane] - at.low[lane]) // unit, np.uint64(vocabulary - 1)).astype(np.int32)
+                at.take(lane, unit, symbol[new].astype(np.uint64), np.uint64(1))
+                settle(live)
+            x[miss] = symbol
         model.update(x, hit)
         found[t, :live] = x
-    return np.ascontiguousarray(found.T).reshape(-1)[:total]
+    return lanes.ids(found, total)

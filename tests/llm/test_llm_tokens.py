@@ -4,7 +4,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from llm_paths import SF_MID
 from tokenizers import Tokenizer
 
 from panelspark.llm import rangecoder, tokenbin
@@ -12,9 +14,11 @@ from panelspark.llm import rangecoder, tokenbin
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 100, 2047, 2048, 2049, 5000, 70_000])
+@pytest.mark.parametrize("block", [rangecoder.BLOCK, 4096])
+@pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 4097, 10_000])
 @pytest.mark.parametrize("kind", ["random", "skewed", "equal", "cycle", "large"])
-def test_coder_round_trip(n, kind):
+def test_coder_round_trip(n, kind, block, monkeypatch):
+    monkeypatch.setattr(rangecoder, "BLOCK", block)
     r = np.random.default_rng(n)
     ids = {"random": r.integers(0, 49408, n), "skewed": r.zipf(1.5, n) % 49408, "equal": np.full(n, 49407),
            "cycle": np.arange(n) % 7, "large": r.integers(0, 300_000, n)}[kind].astype(np.int32)
@@ -24,7 +28,30 @@ def test_coder_round_trip(n, kind):
         assert len(data) < 0.2 * 2 * n
 
 
-def test_coder_finds_damage():
+def test_blocks_are_read_alone(monkeypatch):
+    """A block's words do not depend on the blocks before it."""
+    monkeypatch.setattr(rangecoder, "BLOCK", 4096)
+    r = np.random.default_rng(1)
+    ids = (r.zipf(1.3, 3 * 4096) % 49408).astype(np.int32)
+    other = ids.copy()
+    other[:4096] = r.integers(0, 49408, 4096)
+    size = len(rangecoder.encode(ids[4096:], 49408)) - 20 - 4 * (2 + 2 * 8)   # words of the last two blocks
+    assert rangecoder.encode(ids, 49408)[-size:] == rangecoder.encode(other, 49408)[-size:]
+
+
+def test_size_of_a_corpus():
+    """Below a static order-0 code of all ids (8.36 bits an id), and well below deflate."""
+    table = pq.read_table(f"{SF_MID}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    words = tokenbin.Words(Tokenizer.from_file(FILE))
+    ids, _ = words.encode([(t or "").encode() for t in table.column("text").to_pylist()], 1)
+    data = rangecoder.encode(ids, 49408)
+    assert 8 * len(data) < 8.3 * len(ids)
+    assert len(data) < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    assert (rangecoder.decode(data) == ids).all()
+
+
+def test_coder_finds_damage(monkeypatch):
+    monkeypatch.setattr(rangecoder, "BLOCK", 2048)
     data = bytearray(rangecoder.encode(np.arange(5000, dtype=np.int32), 49408))
     data[-9] ^= 4
     with pytest.raises(ValueError, match="block 2 of 3"):
