@@ -77,13 +77,18 @@ s AS (
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(string_split(text, chr(10))) AS n_lines
+         len(string_split(text, chr(10))) AS n_lines, len(list_distinct(w)) AS n_kinds,
+         len(list_distinct(regexp_extract_all(text, '(?s).'))) AS n_letters,
+         len(list_filter(string_split(text, chr(10)),
+             lambda x: regexp_matches(x, '(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*\z'))) AS n_open_lines
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words
             OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-            OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 1)) AS kept
+            OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 1)
+            OR 10 * n_kinds < least(n_words, 1000) OR n_letters < 8
+            OR (10 * n_open_lines > 3 * n_lines AND n_open_lines > 1)) AS kept
 FROM s
 """
 

@@ -6,6 +6,12 @@ less that of an empty rule) and its selectivity (share of rows rejected); ``casc
 the rules in order of rejections per cost in one CASE, so that a row leaves at its first
 failed rule and the later, dearer statistics of that row are never computed.
 
+Statistics are of two kinds. Those of ``STATS`` are cheap or wanted for every row;
+``judged_stats`` makes them columns, and the sample is measured with them as columns too, so a rule
+on them costs a comparison. Those of ``DEAR`` (distinct words, distinct code points, lines left
+open) are computed by no one but the rules that name them, inside the cascade: a row that fails an
+earlier rule never pays for them.
+
 The order changes the time a cascade takes, never its verdict.
 
 Defined results: a missing text is treated as empty, which has no words and fails
@@ -27,6 +33,7 @@ from panelspark.llm.common import WORD, n_words
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+OPEN_LINE = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
 
 
 def let(value: Column, body) -> Column:
@@ -99,6 +106,25 @@ STATS = {
 }
 
 
+def n_kinds(text: Column) -> Column:
+    """Distinct words."""
+    return F.size(F.array_distinct(word_array(text))).cast("long")
+
+
+def n_letters(text: Column) -> Column:
+    """Distinct code points."""
+    return F.size(F.array_distinct(F.split(text, ""))).cast("long")
+
+
+def n_open_lines(text: Column) -> Column:
+    """Lines that end in an ellipsis."""
+    return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(OPEN_LINE))).cast("long")
+
+
+#: Statistics that only rules read, by name.
+DEAR = {"n_kinds": n_kinds, "n_letters": n_letters, "n_open_lines": n_open_lines}
+
+
 def base_rules(stat: Mapping[str, Column]) -> dict[str, Column]:
     """The two rules every text must pass."""
     return {
@@ -108,20 +134,29 @@ def base_rules(stat: Mapping[str, Column]) -> dict[str, Column]:
 
 
 def default_rules(stat: Mapping[str, Column]) -> dict[str, Column]:
-    """Base rules and limits on word length, symbols and repeated lines (true: rejected)."""
+    """Base rules and limits on word length, symbols, repeated lines, distinct words (one in ten of the
+    first 1,000 words, so long texts need 100), distinct code points and open lines (true: rejected)."""
     words = stat["n_words"]
     return base_rules(stat) | {
         "short_words": stat["word_chars"] < 2 * words,
         "long_words": stat["word_chars"] > 15 * words,
         "symbols": 10 * stat["n_symbols"] > words,
         "dup_lines": (10 * stat["n_dup_lines"] > 3 * stat["n_lines"]) & (stat["n_dup_lines"] > 1),
+        "few_kinds": 10 * stat["n_kinds"] < F.least(words, F.lit(1000)),
+        "few_letters": stat["n_letters"] < 8,
+        "open_lines": (10 * stat["n_open_lines"] > 3 * stat["n_lines"]) & (stat["n_open_lines"] > 1),
     }
 
 
 def lazy_stats(text: Column) -> dict[str, Column]:
     """Every statistic as an expression of the text: a rule computes only what it names."""
     text = F.coalesce(text, F.lit(""))
-    return {k: f(text) for k, f in STATS.items()}
+    return {k: f(text) for k, f in (STATS | DEAR).items()}
+
+
+def held_stats(text: Column) -> dict[str, Column]:
+    """The statistics where those of ``STATS`` are columns: the others are expressions of the text."""
+    return lazy_stats(text) | {k: F.col(k) for k in STATS}
 
 
 def measure_rules(docs: DataFrame, rules: Mapping[str, Column], sample_rows: int = 2000,
@@ -176,7 +211,10 @@ def failed_rule(docs: DataFrame, text_col: str = "text", rules=default_rules, sa
 
 def judged_stats(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_rows: int = 2000,
                  out: str = "failed_rule") -> DataFrame:
-    """As :func:`failed_rule`, with every statistic as a column; the cascade reads these columns."""
-    order = rule_order(docs, text_col, rules, sample_rows)
-    return docs.withColumns(lazy_stats(F.col(text_col))).withColumn(
-        out, cascade(rules({k: F.col(k) for k in STATS}), order))
+    """As :func:`failed_rule`, with every statistic of ``STATS`` as a column; the cascade reads these
+    columns and computes those of ``DEAR`` only for the rows that come to a rule on them. Columns of
+    these names are replaced."""
+    stats = {k: f(F.coalesce(F.col(text_col), F.lit(""))) for k, f in STATS.items()}
+    own = rules(held_stats(F.col(text_col)))
+    order = by_rejection_per_cost(measure_rules(docs.select(text_col).withColumns(stats), own, sample_rows))
+    return docs.withColumns(stats).withColumn(out, cascade(own, order))

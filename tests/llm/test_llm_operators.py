@@ -1,6 +1,7 @@
 """Every operator against its plain Python version, on awkward rows, on a small table and on none."""
 
 import random
+import re
 from collections import Counter
 
 import brute
@@ -324,6 +325,40 @@ def test_cascade_order_changes_no_verdict(awkward):
     assert rules.by_rejection_per_cost([("a", 2.0, 0.1), ("b", 0.1, 0.1), ("c", 0.1, 0.0)]) == ["b", "a", "c"]
 
 
+def test_verdicts_by_hand(spark, awkward, rows):
+    def passes(text):
+        text = text or ""
+        n, chars, symbols, dup, repeated = brute.text_stats(text)
+        kinds = len({w for w in re.split(r"[\x20\x09-\x0D]+", text) if w})
+        lines = text.split("\n")
+        left = sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*\Z", x)) for x in lines)
+        return not (n < 10 or 100 * repeated > 20 * n or chars < 2 * n or chars > 15 * n or 10 * symbols > n
+                    or 10 * dup > 3 * len(lines) and dup > 1 or 10 * kinds < min(n, 1000) or len(set(text)) < 8
+                    or 10 * left > 3 * len(lines) and left > 1)
+
+    some = spark.createDataFrame([
+        (1, "one two three four five six seven eight nine ten ..."), (2, "one two three four ...\nfive six seven \u2026 \nand eight nine ten"),
+        (3, " ".join(["ab ba", "aab bba aba"] * 1 + ["abb baa bab abab"] * 1 + ["a b"])), (4, " ".join(f"w{i}" for i in range(5000))),
+        (5, " ".join("abcdefgh"[i % 8] * (1 + i // 8 % 2) for i in range(40))), (6, None)], "doc_id long, text string")
+    for docs, given in ((awkward, {(r["doc_id"], r["text"]) for r in rows}), (some, {(r.doc_id, r.text) for r in some.collect()})):
+        found = {(r.doc_id, r.text): r.failed_rule is None for r in rules.judged_stats(docs).collect()}
+        assert found == {k: passes(k[1]) for k in given}
+
+
+def test_rejected_rows_skip_dear_rules(spark, monkeypatch):
+    """A statistic that may not be computed for a row that an earlier rule rejects."""
+    docs = spark.createDataFrame([(i, "too short" if i % 2 else " ".join(f"word{j}" for j in range(12))) for i in range(100)],
+                                 "doc_id long, text string")
+    monkeypatch.setitem(rules.DEAR, "guard", lambda text: F.when(
+        text == "too short", F.raise_error(F.lit("computed")).cast("long")).otherwise(F.length(text).cast("long")))
+    own = rules.base_rules(rules.held_stats(F.col("text"))) | {"guard": rules.held_stats(F.col("text"))["guard"] > 1000}
+    held = docs.withColumns({k: f(F.col("text")) for k, f in rules.STATS.items()})
+    found = held.withColumn("f", rules.cascade(own, ["few_words", "repeats", "guard"])).groupBy("f").count().collect()
+    assert {r.f: r["count"] for r in found} == {"few_words": 50, None: 50}
+    with pytest.raises(Exception, match="computed"):
+        held.withColumn("f", rules.cascade(own, ["guard", "few_words", "repeats"])).collect()
+
+
 # ---------------------------------------------------------------- chat
 
 
