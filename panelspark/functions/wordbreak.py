@@ -18,6 +18,10 @@ is linear in the text and never backs off. Words are the segments that hold a le
 kana, ideograph or, if asked for, a pictograph; an ideograph is a word of its own, as the default
 rules have no dictionary.
 
+The classes are costly to ask, so two common cases come first: a run of Latin letters, digits and
+underscores (``PLAIN``) that ASCII ends beyond doubt (``_ends_plain``) is a segment, and for words,
+ASCII blanks and marks to which nothing clings are passed over without being put out.
+
 Defined results: a missing text has missing segments, an empty one has none. Joined together,
 the segments are the text.
 """
@@ -61,9 +65,20 @@ PICTOGRAPH = (r"\u00A9\u00AE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u2
               r"\x{1F774}-\x{1F77F}\x{1F7D5}-\x{1F7FF}\x{1F80C}-\x{1F80F}\x{1F848}-\x{1F84F}\x{1F85A}-\x{1F85F}"
               r"\x{1F888}-\x{1F88F}\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}"
               r"\x{1FC00}-\x{1FFFD}")
+#: Latin letters, digits and the underscore: any two of them are bound.
+PLAIN = r"0-9A-Z_a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+#: ASCII that binds nothing, but for blanks and line breaks; marks that bind letters or digits.
+ALONE, MARK = r"\x00-\x09\x0E-\x1F!-&(-+\-/<-@\[-\^`{-\x7F", r"'.:,;"
 # ---- end of fixed values
 
 
+def _ends_plain() -> str:
+    """What ends a run of ``PLAIN`` for certain: ASCII that binds nothing, or a mark with ASCII after
+    it that is neither letter nor digit."""
+    free = f"[ \\n\\r\\x0B\\x0C{ALONE}]"
+    return f"(?={free}|[{MARK}](?:{free}|[_{MARK}]|\\z)|\\z)"
+
+
 def _pattern() -> str:
     """One segment."""
     cling = f"[{CLING}]*+"
@@ -85,11 +100,19 @@ def _pattern() -> str:
     word = f"(?:{links}++(?:{piece}{links}++)*+|(?:{piece}{links}++)++)(?:{run}*+{ends}|{piece})?+|{run}*+{ends}|{piece}"
     segment = (f"(?:{word}|[{BLANK}]++{cling}|[{REGION}]{cling}(?:[{REGION}]{cling})?+"
                f"|[^\\r\\n{NEWLINE}]{cling})(?:(?<=[{JOINER}])[{PICTOGRAPH}]{cling})*+")
-    return f"\\r\\n|[\\r\\n{NEWLINE}]|{segment}"
+    return f"[{PLAIN}]++{_ends_plain()}|\\r\\n|[\\r\\n{NEWLINE}]|{segment}"
+
+
+def _word_pattern() -> str:
+    """Blanks and marks that are passed over, then one segment or the end of the text (group 1)."""
+    clear = f"(?=[\\x00-\\x7F{PLAIN}]|\\z)"  # what clings to nothing
+    passed = f"(?:\\x20++{clear}|[\\n\\r\\x0B\\x0C]|[{ALONE}{MARK}]{clear})*+"
+    return f"{passed}({SEGMENT_PATTERN}|\\z)"
 
 
 SEGMENT_PATTERN = _pattern()
-WORD_LIKE = r"[\p{IsAlphabetic}\p{N}\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}]"
+WORD_PATTERN = _word_pattern()
+WORD_LIKE = r"[0-9A-Za-z\p{IsAlphabetic}\p{N}\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def segments(text: str | Column) -> Column:
@@ -100,4 +123,5 @@ def segments(text: str | Column) -> Column:
 def words_uax29(text: str | Column, pictographs: bool = False) -> Column:
     """The words of the lower-cased text in order; with ``pictographs``, emoji and flags too."""
     keep = WORD_LIKE if not pictographs else f"{WORD_LIKE}|[{PICTOGRAPH}{REGION}]"
-    return F.filter(segments(F.lower(col(text))), lambda w: w.rlike(keep))
+    found = F.regexp_extract_all(F.lower(col(text)), F.lit(WORD_PATTERN), F.lit(1))
+    return F.filter(found, lambda w: w.rlike(keep))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.functions.wordbreak import segments, words_uax29
+from panelspark.functions.wordbreak import WORD_LIKE, WORD_PATTERN, segments, words_uax29
 
 #: Text with "|" at its inner boundaries; rule by rule.
 CASES = [
@@ -121,6 +121,25 @@ def test_words(spark):
     assert both[-3:] == ["\U0001F1E9\U0001F1EA", "\U0001F476\U0001F3FF", "don't"]
 
 
+@pytest.mark.parametrize("kinds", [list(CLASSES), ["letter", "plain", "both", "mid_letter", "mid_digit", "digit", "blank", "extend"],
+                                   ["plain", "ascii", "single", "connector", "extend", "lf", "hebrew", "zwj", "pict"]])
+def test_words_are_the_word_like_segments(spark, kinds):
+    classes = CLASSES | {"plain": "azAZ09\u00e9\u00df\u0153", "ascii": "".join(map(chr, range(128)))}
+    r = random.Random(len(kinds))
+    texts = ["".join(r.choice(classes[r.choice(kinds)]) for _ in range(r.randrange(1, 25))) for _ in range(8000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", words_uax29("t").alias("w"), F.filter(segments(F.lower("t")), lambda x: x.rlike(WORD_LIKE)).alias("s"))
+    bad = [(r.t, r.w, r.s) for r in df.where("w <> s").collect()]
+    assert not bad, (len(bad), [tuple(map(ascii, x)) for x in bad[:6]])
+
+
+def test_only_words_are_put_out_of_plain_text(spark):
+    """Blanks and marks of plain text are passed over: one entry a word, and two for the end."""
+    text = "(l'un) \u00e9tait, 3.5 fois; \"vu\" - donc...\r\n" * 50
+    n = F.size(F.regexp_extract_all("t", F.lit(WORD_PATTERN), F.lit(1)))
+    assert spark.createDataFrame([(text,)], "t string").select(n).first()[0] == 6 * 50 + 2
+
+
 def test_a_long_text_is_whole(spark):
     text = ("word " * 200_000) + "a" * 1_000_000 + "'" * 1000
     got = spark.createDataFrame([(text,)], "t string").select(segments("t").alias("s")).select(
