@@ -7,23 +7,27 @@ values of all entries, row after row. Numbers in a block count from its corner.
 
 A block holds at most ``rows * cols`` entries, whatever a document or a term holds in all: a long
 document is cut over column blocks and a frequent term over row blocks, so no task gathers
-either whole. Entries are exchanged once, on (row_block, col_block); rows of a block and the block
-itself are aggregated on that partitioning.
-
-Products read a block's entries in place. A dense operand is one array for each block of the
-axis it runs along, dealt over ``SALTS`` copies, so blocks of one column block (the frequent
-terms) do not meet in one task; where these arrays are few the planner broadcasts them. Parts of
-results are added up per block before they are exchanged, as one row a block.
+either whole. Entries are exchanged once, on (row_block, col_block), and sorted by Spark; blocks are
+packed from the sorted stream as numpy vectors, with no more than one open block held.
+
+Products read a block's entries in place, as numpy vectors over a batch of blocks. A dense operand
+is one array for each block of the axis it runs along. Arrays that more than a ``HEAVY``-th of all
+blocks meet (the frequent terms) are fewer than ``HEAVY`` and are broadcast; the others are joined
+by shuffle, and none meets many blocks. Parts of results are added up per block before they are
+exchanged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+HEAVY = 1000
 
 
 @dataclass(frozen=True)
@@ -44,14 +48,59 @@ def to_blocks(entries: DataFrame, shape: BlockShape = BlockShape(), row: str = "
         F.floor(F.col(row) / shape.rows).alias("row_block"), F.floor(F.col(col) / shape.cols).alias("col_block"),
         F.pmod(F.col(row), F.lit(shape.rows)).cast("int").alias("r"),
         F.pmod(F.col(col), F.lit(shape.cols)).cast("int").alias("c"), F.col(value).cast("double").alias("v"))
-    e = e.repartition("row_block", "col_block").groupBy("row_block", "col_block", "r", "c").agg(F.sum("v").alias("v"))
-    lines = e.groupBy("row_block", "col_block", "r").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("line"))
-    blocks = lines.groupBy("row_block", "col_block").agg(F.sort_array(F.collect_list(F.struct("r", "line"))).alias("l"))
-    sizes = F.transform("l", lambda x: F.size(x["line"]))
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    flat = F.flatten(F.col("l.line"))
-    return blocks.select("row_block", "col_block", F.col("l.r").alias("rows"), ends.alias("starts"),
-                         F.transform(flat, lambda x: x["c"]).alias("cols"), F.transform(flat, lambda x: x["v"]).alias("vals"))
+    e = e.select("row_block", "col_block", (F.col("r").cast("long") * shape.cols + F.col("c")).alias("at"), "v")
+    e = e.repartition("row_block", "col_block").sortWithinPartitions("col_block", "row_block", "at")
+    cols = shape.cols
+
+    def pack(batches):
+        for row_block, col_block, at, v in _whole_groups(batches, 2, adds=True):
+            first = _changes(row_block, col_block)
+            lines = _changes(row_block, col_block, at // cols)
+            line_off = np.append(np.searchsorted(lines, first), len(lines))
+            off, n = np.append(first, len(at)), len(first)
+            own = np.repeat(np.arange(n), np.diff(line_off))
+            starts = np.zeros(len(lines) + n, np.int32)
+            starts[np.arange(len(lines)) + own] = lines - first[own]
+            starts[line_off[1:] + np.arange(n)] = np.diff(off)
+            lists = [(line_off, (at // cols)[lines].astype(np.int32)), (line_off + np.arange(n + 1), starts),
+                     (off, (at % cols).astype(np.int32)), (off, v)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row_block[first]), pa.array(col_block[first]),
+                 *[pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x)) for o, x in lists]],
+                ["row_block", "col_block", "rows", "starts", "cols", "vals"])
+
+    return e.mapInArrow(pack, "row_block long, col_block long, rows array<int>, starts array<int>, cols array<int>, vals array<double>")
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted column of keys changes, its beginning included."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: int, adds: bool = False) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted ``batches`` anew, in stretches that cut no group of the first ``keys`` columns.
+    If it ``adds``, last values of rows that agree in all other columns are added up at once, so what is
+    held of an open group is no more than its distinct rows."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if adds:
+            at = _changes(*cols[:-1])
+            cols = [c[at] for c in cols[:-1]] + [np.add.reduceat(cols[-1], at)]
+        last = _changes(*cols[:keys])[-1]
+        if last:
+            yield [c[:last] for c in cols]
+        held = [c[last:] for c in cols]
+    if held is not None:
+        yield held
 
 
 def from_blocks(blocks: DataFrame, shape: BlockShape = BlockShape(), row: str = "doc_index",
@@ -70,11 +119,6 @@ def _cut(name: str, i: Column) -> Column:
     return F.slice(name, start + 1, F.get("starts", i + 1) - start)
 
 
-def _entries(i: Column) -> Column:
-    """(c, v) of a block's ``i``-th non-empty row."""
-    return F.zip_with(_cut("cols", i), _cut("vals", i), lambda c, v: F.struct(c.alias("c"), v.alias("v")))
-
-
 def block_stats(blocks: DataFrame) -> DataFrame:
     """(row_block, col_block, n_rows, nnz, total) of every block."""
     return blocks.select("row_block", "col_block", F.size("rows").cast("bigint").alias("n_rows"),
@@ -97,26 +141,64 @@ def col_sums(blocks: DataFrame, shape: BlockShape = BlockShape(), out: str = "to
 
 
 def dense_blocks(vector: DataFrame, index: str, weights: str, width: int, k: int) -> DataFrame:
-    """(block, w): rows (index, weights array of ``k``) as one array of ``width`` weight arrays for each block
-    of the axis; an index that is not there has zeros. Each index occurs once."""
-    at = F.pmod(F.col(index), F.lit(width)).cast("int")
-    given = vector.groupBy(F.floor(F.col(index) / width).alias("block")).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.alias("i"), F.col(weights).alias("w")))).alias("m"))
-    none = F.array(*[F.lit(0.0)] * k)
-    whole = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), none))
-    return given.select("block", whole.alias("w"))
-
-
-def _salted(blocks: DataFrame, dense: DataFrame, axis: str, other: str) -> DataFrame:
-    copies = dense.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = blocks.withColumns({"block": F.col(axis), "salt": F.pmod(F.hash(other), F.lit(SALTS))})
-    return dealt.join(copies, ["block", "salt"])
+    """(block, w): rows (index, weights array of ``k``) as one array of ``width * k`` weights, index by index, for each
+    block of the axis; an index or weight that is not there is zero. Each index occurs once."""
+    part = [F.coalesce(F.get(weights, F.lit(q)).cast("double"), F.lit(0.0)).alias(f"w{q}") for q in range(k)]
+    v = vector.where(F.col(index).isNotNull()).select(
+        F.floor(F.col(index) / width).alias("block"), F.pmod(F.col(index), F.lit(width)).cast("int").alias("i"), *part)
+
+    def fill(batches):
+        for block, i, *w in _whole_groups(batches, 1):
+            if len(_changes(block, i)) < len(i):
+                raise ValueError("an index of a dense operand occurs twice")
+            first = _changes(block)
+            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(i)))) * width + i
+            out = np.zeros((len(first) * width, k))
+            out[place] = np.stack(w, axis=1)
+            off = np.arange(len(first) + 1, dtype=np.int32) * (width * k)
+            yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.ListArray.from_arrays(
+                pa.array(off), pa.array(out.reshape(-1)))], ["block", "w"])
+
+    return v.repartition("block").sortWithinPartitions("block", "i").mapInArrow(fill, "block long, w array<double>")
+
+
+def _with_dense(blocks: DataFrame, dense: DataFrame, axis: str) -> DataFrame:
+    """Blocks, each with the array of its block of the axis. Blocks are read three times, so they should be a
+    written table."""
+    count = blocks.groupBy(axis).agg(F.count(F.lit(1)).alias("_n"))
+    least = blocks.count() // HEAVY
+    heavy = count.where(F.col("_n") > least).select(F.col(axis).alias("block"))
+    dealt = blocks.withColumn("block", F.col(axis))
+    some = dense.join(F.broadcast(heavy), "block", "left_semi")
+    rest = dealt.join(F.broadcast(heavy), "block", "left_anti")
+    return dealt.join(F.broadcast(some), "block").unionByName(rest.join(dense, "block"))
+
+
+def _lists(batch: pa.RecordBatch, *names: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(offsets, values) of list columns."""
+    of = [batch.column(name) for name in names]
+    return [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in of]
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of all entries of a batch of blocks: block (its place in the batch), line, column, value; and of all lines:
+    block, row, first entry."""
+    (row_off, rows), (start_off, starts), (off, cols), (_, vals) = _lists(batch, "rows", "starts", "cols", "vals")
+    own = np.repeat(np.arange(batch.num_rows), np.diff(row_off))
+    first = starts[start_off[0] + np.arange(len(own)) + own] + off[own] - off[0]
+    rows, cols, vals = rows[row_off[0]:row_off[-1]], cols[off[0]:off[-1]], vals[off[0]:off[-1]]
+    line = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(vals))))
+    return own[line], line, cols, vals, own, rows, first
+
+
+def _added(parts: DataFrame, name: str, k: int, out: str) -> DataFrame:
+    """``k`` sums of the columns ``y`` of every index."""
+    sums = parts.groupBy(F.col("i").alias(name)).agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(k)])
+    return sums.select(name, F.array(*[f"y{j}" for j in range(k)]).alias(out))
 
 
-def _added(parts: DataFrame, index: Column, name: str, k: int, out: str) -> DataFrame:
-    """``k`` sums of the arrays ``y`` of every index."""
-    sums = parts.groupBy(index.alias(name)).agg(*[F.sum(F.get("y", F.lit(j))).alias(f"y{j}") for j in range(k)])
-    return sums.select(name, F.array(*[f"y{j}" for j in range(k)]).alias(out))
+def _parts(k: int) -> str:
+    return "i long, " + ", ".join(f"y{j} double" for j in range(k))
 
 
 def multiply(blocks: DataFrame, vectors: DataFrame, k: int, shape: BlockShape = BlockShape(), index: str = "term_index",
@@ -126,20 +208,38 @@ def multiply(blocks: DataFrame, vectors: DataFrame, k: int, shape: BlockShape =
     Rows whose terms have no weight at all, and empty rows, are not in the result where no block meets
     a weight; all others are, zeros included.
     """
-    j = _salted(blocks, dense_blocks(vectors, index, weights, shape.cols, k), "col_block", "row_block")
-    def times(i: Column, q: int) -> Column:
-        return F.aggregate(_entries(i), F.lit(0.0), lambda a, e: a + e["v"] * F.get(F.get("w", e["c"]), F.lit(q)))
+    j = _with_dense(blocks, dense_blocks(vectors, index, weights, shape.cols, k), "col_block")
+    height = shape.rows
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (w_off, w), = _lists(batch, "w")
+            block, _, cols, vals, own, rows, first = _entries(batch)
+            at = w_off[block] + cols * k
+            y = [np.add.reduceat(vals * w[at + q], first) for q in range(k)]
+            i = batch.column("row_block").to_numpy()[own] * height + rows
+            yield pa.RecordBatch.from_arrays([pa.array(i), *map(pa.array, y)], ["i", *[f"y{q}" for q in range(k)]])
 
-    lines = F.transform("rows", lambda r, i: F.struct(
-        r.alias("r"), F.array(*[times(i, q) for q in range(k)]).alias("y")))
-    return _added(j.select("row_block", F.inline(lines)), F.col("row_block") * shape.rows + F.col("r"), row, k, out)
+    return _added(j.select("row_block", "rows", "starts", "cols", "vals", "w").mapInArrow(run, _parts(k)), row, k, out)
 
 
 def multiply_transposed(blocks: DataFrame, vectors: DataFrame, k: int, shape: BlockShape = BlockShape(),
                         index: str = "doc_index", weights: str = "w", out: str = "y", col: str = "term_index") -> DataFrame:
     """(col, out array of ``k``): the transposed matrix times ``k`` dense columns over the documents."""
-    j = _salted(blocks, dense_blocks(vectors, index, weights, shape.rows, k), "row_block", "col_block")
-    cells = F.flatten(F.transform("rows", lambda r, i: F.transform(
-        _entries(i), lambda e: F.struct(
-            e["c"].alias("c"), F.transform(F.get("w", r), lambda x: x * e["v"]).alias("y")))))
-    return _added(j.select("col_block", F.inline(cells)), F.col("col_block") * shape.cols + F.col("c"), col, k, out)
+    j = _with_dense(blocks, dense_blocks(vectors, index, weights, shape.rows, k), "row_block")
+    width = shape.cols
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (w_off, w), = _lists(batch, "w")
+            block, line, cols, vals, _, rows, _ = _entries(batch)
+            at = w_off[block] + rows[line] * k
+            i = batch.column("col_block").to_numpy()[block] * width + cols
+            yield pa.RecordBatch.from_arrays([pa.array(i), *[pa.array(vals * w[at + q]) for q in range(k)]],
+                                             ["i", *[f"y{q}" for q in range(k)]])
+
+    return _added(j.select("col_block", "rows", "starts", "cols", "vals", "w").mapInArrow(run, _parts(k)), col, k, out)

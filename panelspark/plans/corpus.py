@@ -62,12 +62,21 @@ def topic_counts(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusPar
     return materialize(tx.word_counts(kept_tokens(spark, base_dir, p)), "topic_counts")
 
 
-def document_entries(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DataFrame:
-    """(doc_id, doc_index, word, term_index, n) of the kept tokens of every document, materialised once; indices
-    count from 0 in the order of ids and words."""
+@dataclass(frozen=True)
+class DocumentMatrix:
+    """Entries (doc_index, term_index, n) of a document-term matrix and the written tables of both axes."""
+    entries: DataFrame
+    docs: DataFrame     # (doc_id, doc_index)
+    words: DataFrame    # (word, term_index)
+
+
+def document_matrix(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DocumentMatrix:
+    """The kept tokens of every document, counted once and written; indices count from 0 in the order of ids and
+    words. The entries are not written: they are read once, by what cuts them into blocks."""
     own = materialize(tx.word_counts(kept_tokens(spark, base_dir, p), by=("doc_id",)), "document_counts")
-    docs = sequence_number(own.select("doc_id").distinct(), [F.asc("doc_id")], "doc_index")
-    words = sequence_number(own.select("word").distinct(), [F.asc("word")], "term_index")
-    joined = own.join(docs, "doc_id").join(words, "word")
-    return materialize(joined.select("doc_id", (F.col("doc_index") - 1).alias("doc_index"), "word",
-                                     (F.col("term_index") - 1).alias("term_index"), "n"), "document_entries")
+    docs = sequence_number(own.select("doc_id").distinct(), [F.asc("doc_id")], "doc_index").select(
+        "doc_id", (F.col("doc_index") - 1).alias("doc_index"))
+    words = sequence_number(own.select("word").distinct(), [F.asc("word")], "term_index").select(
+        "word", (F.col("term_index") - 1).alias("term_index"))
+    joined = own.join(docs, "doc_id").join(words.hint("shuffle_hash"), "word")
+    return DocumentMatrix(joined.select("doc_index", "term_index", "n"), docs, words)

@@ -251,8 +251,8 @@ BLOCKS = bl.BlockShape(64, 128)
 
 
 def _blocks(spark, d):
-    entries = cp.document_entries(spark, d, CORPUS)
-    return entries, materialize(bl.to_blocks(entries, BLOCKS), "dtm-blocks")
+    matrix = cp.document_matrix(spark, d, CORPUS)
+    return matrix, materialize(bl.to_blocks(matrix.entries, BLOCKS), "dtm-blocks")
 
 
 @register("dtm_blocks")
@@ -279,8 +279,8 @@ def _hash_weights(name, k):
 @register("dtm_block_product")
 def q_dtm_block_product(spark, d):
     """The matrix times two columns of term weights."""
-    entries, blocks = _blocks(spark, d)
-    w = entries.select("word", "term_index").distinct().select("term_index", _hash_weights("word", 2).alias("w"))
+    matrix, blocks = _blocks(spark, d)
+    w = matrix.words.select("term_index", _hash_weights("word", 2).alias("w"))
     y = bl.multiply(blocks, w, 2, BLOCKS)
     return y.select("doc_index", F.get("y", F.lit(0)).alias("y1"), F.get("y", F.lit(1)).alias("y2"))
 
@@ -288,8 +288,8 @@ def q_dtm_block_product(spark, d):
 @register("dtm_block_product_t")
 def q_dtm_block_product_t(spark, d):
     """The transposed matrix times a column of document weights."""
-    entries, blocks = _blocks(spark, d)
-    w = entries.select("doc_id", "doc_index").distinct().select("doc_index", _hash_weights("doc_id", 1).alias("w"))
+    matrix, blocks = _blocks(spark, d)
+    w = matrix.docs.where("doc_id IS NOT NULL").select("doc_index", _hash_weights("doc_id", 1).alias("w"))
     return bl.multiply_transposed(blocks, w, 1, BLOCKS).select("term_index", F.get("y", F.lit(0)).alias("y1"))
 
 
