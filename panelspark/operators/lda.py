@@ -4,11 +4,17 @@ The posterior of a document's topic weights is a Dirichlet distribution with par
 of a word's topic is proportional to beta_i(word) exp(E ln theta_i), E ln theta_i = psi(gamma_i) -
 psi(sum gamma). A step
 
-1. joins the counts (document, word, n) with the topics' word weights, written once for the step;
+1. joins the counts (document, word, n) with the topics' word weights;
 2. ``inner`` times splits every count over the topics and adds the parts up by document, which
    gives new gammas (the fixed point of a document, approached for all documents at once);
 3. adds the parts up by word, which gives the next word weights.
 
+Where there are at most ``FEW`` documents (books, languages, sources), counts and weights of a word are held
+in one row (:class:`HeldWords`): documents' weights come to the rows, so a step shuffles sums by document
+only. A word's weights follow from its counts and the documents' weights of earlier steps, so they are
+worked out on reading and written every ``KEPT_STEPS`` steps only. Where there are more documents, counts are
+joined with both tables in every step, and written once for the step.
+
 Each of the updates raises the evidence bound, so the bound never falls and its relative change
 ends the fit. Digamma and log gamma are SQL expressions (recurrence by ten, then the asymptotic
 series). Sums by document or word are combined map-side; a document's rows are
@@ -20,14 +26,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.text import join_totals
-from panelspark.operators.topics import start_weights
+from panelspark.operators.topics import start_columns, start_weights
 from panelspark.session import materialize
 
 SHIFT = 10
+#: Documents up to which words are held with their counts, and steps between two writes of their weights.
+FEW, KEPT_STEPS = 1000, 4
 
 
 def digamma(x: str) -> str:
@@ -47,6 +57,14 @@ def ln_gamma(x: str) -> str:
     return f"(({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {tail} - ln({product}))"
 
 
+def psi(x: np.ndarray) -> np.ndarray:
+    """As :func:`digamma`, of numbers."""
+    y = x + SHIFT
+    r = 1 / (y * y)
+    tail = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return np.log(y) - 0.5 / y - tail - sum(1 / (x + i) for i in range(SHIFT))
+
+
 def better_alpha(alpha: float, docs: int, k: int, log_weights: float) -> float:
     """The alpha that maximises docs (lnGamma(k a) - k lnGamma(a)) + a * log_weights, by bisection of
     the derivative, which falls in a; the old one where the search cannot improve on it."""
@@ -64,6 +82,96 @@ def better_alpha(alpha: float, docs: int, k: int, log_weights: float) -> float:
     return found if value(found) > value(alpha) else alpha
 
 
+def split_counts(w: np.ndarray, own: np.ndarray, doc: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of every count by topic, sum of their weights): counts ``n`` of words ``own`` in documents ``doc``."""
+    p = w[own] * t[doc]
+    s = p.sum(axis=1)
+    with np.errstate(divide="raise", invalid="raise"):
+        return p * (n / s)[:, None], s
+
+
+def carried(batch: pa.RecordBatch, k: int, later: list) -> tuple[np.ndarray, ...]:
+    """(weights, word, document, n) of a batch of held words, the weights carried over the later steps."""
+    docs, ns = batch.column("docs"), batch.column("ns")
+    off = docs.offsets.to_numpy()
+    own = np.repeat(np.arange(batch.num_rows), np.diff(off))
+    doc, n = docs.flatten().to_numpy(), ns.flatten().to_numpy(zero_copy_only=False)
+    own, doc, n = own[doc >= 0], doc[doc >= 0], n[doc >= 0]
+    uncounted = np.bincount(own, minlength=batch.num_rows) == 0
+    w = np.stack([batch.column(f"w{i + 1}").to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
+    for t, total in later:
+        if t is not None:
+            shares, _ = split_counts(w, own, doc, n, t)
+            w = np.stack([np.bincount(own, x, batch.num_rows) for x in shares.T], axis=1)
+            w[uncounted] = np.nan
+        w = w / total
+    return w, own, doc, n
+
+
+class HeldWords:
+    """Written rows (term, w1..wk, docs, ns): a word's weights at the last write and its counts by place of the
+    document in ``docs`` (-1, and not counted, where it is missing). ``later`` has the documents' weights and topic totals of the steps since."""
+
+    def __init__(self, counts: DataFrame, docs: list, k: int, doc: str, term: str, n: str):
+        self.docs, self.k, self.term, self.later = docs, k, term, []
+        topics = range(1, k + 1)
+        kind = counts.select(F.col(doc).alias("_doc")).schema
+        places = counts.sparkSession.createDataFrame([(d, i) for i, d in enumerate(docs)], kind.add("_at", "integer"))
+        own = counts.where(F.col(term).isNotNull()).join(F.broadcast(places), F.col(doc) == F.col("_doc"), "left")
+        own = own.withColumn("_at", F.when(F.col(n).isNull() | F.col("_at").isNull(), F.lit(-1)).otherwise(F.col("_at")))
+        rows = own.groupBy(term).agg(F.collect_list(F.struct("_at", F.col(n).cast("double").alias("n"))).alias("c"))
+        self.rows = materialize(rows.select(term, *start_columns(term, topics), F.col("c._at").alias("docs"), F.col("c.n").alias("ns"))
+                                .withColumnsRenamed({f"a{i}": f"w{i}" for i in topics}), "lda-held")
+
+    def sums(self, t: np.ndarray) -> tuple[np.ndarray, float]:
+        """(sums by document and topic, log-likelihood) of the counts split by the documents' weights ``t``."""
+        k, later, size = self.k, list(self.later), len(self.docs)
+
+        def run(batches):
+            out, ll = np.zeros((size, k)), np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    w, own, doc, n = carried(batch, k, later)
+                    shares, s = split_counts(w, own, doc, n, t)
+                    for i in range(k):
+                        out[:, i] += np.bincount(doc, shares[:, i], size)
+                    ll += np.bincount(doc, n * np.log(s), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *map(pa.array, out.T), pa.array(ll)],
+                                             ["at", *[f"a{i + 1}" for i in range(k)], "ll"])
+
+        cols = [f"a{i + 1}" for i in range(k)] + ["ll"]
+        parts = self.rows.drop(self.term).mapInArrow(run, "at int, " + ", ".join(f"{c} double" for c in cols))
+        found = np.zeros((size, k + 1))
+        for r in parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).collect():
+            found[r["at"]] = [r[c] for c in cols]
+        return found[:, :k], float(found[:, k].sum())
+
+    def step(self, t: np.ndarray | None, total: np.ndarray) -> None:
+        """The next weights: the words' shares by ``t`` (or the weights as they are) over the topics' totals."""
+        self.later.append((t, total))
+        if len(self.later) > KEPT_STEPS:
+            self.rows, self.later = materialize(self._now(True), "lda-held"), []
+
+    def _now(self, counts: bool) -> DataFrame:
+        k, later, term = self.k, list(self.later), self.term
+        names = [f"w{i + 1}" for i in range(k)]
+        kept = ["docs", "ns"] if counts else []
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    w = carried(batch, k, later)[0]
+                    yield pa.RecordBatch.from_arrays([batch.column(term), *[pa.array(np.ascontiguousarray(x), from_pandas=True) for x in w.T],
+                                                      *[batch.column(c) for c in kept]], [term, *names, *kept])
+
+        schema = self.rows.select(term, *names, *kept).schema
+        return self.rows.mapInArrow(run, schema)
+
+    def words(self) -> DataFrame:
+        """(term, w1..wk) after the steps so far."""
+        return self._now(False)
+
+
 class VariationalFit:
     """A topic model in the course of its fit; ``bounds`` has the evidence bound of every step."""
 
@@ -75,9 +183,20 @@ class VariationalFit:
         self.alpha = 50.0 / k if alpha is None else float(alpha)
         self.inner, self.estimate_alpha = inner, estimate_alpha
         self.bounds: list[float] = []
-        start = start_weights(counts, term, self.topics)
-        self._set_words(start, start.agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in self.topics]).first())
-        self._set_docs(counts.groupBy(doc).agg(*[(F.sum(n) / k).alias(f"a{i}") for i in self.topics]))
+        docs = [r[0] for r in counts.where(F.col(term).isNotNull()).select(doc).distinct().limit(FEW + 1).collect()]
+        self.missing = [None] if None in docs else []   # a missing document has no weights, as in a join
+        docs = [x for x in docs if x is not None]
+        self.held = HeldWords(counts, docs, k, doc, term, n) if 0 < len(docs) <= FEW else None
+        if self.held:
+            first = self.held.rows.agg(*[F.sum(f"w{i}") for i in self.topics]).first()
+            self.held.step(None, np.array(first, float))
+            self.words = self.held.words()
+            size = dict(counts.groupBy(doc).agg(F.sum(n)).collect())
+            self._set_gammas(self.alpha + np.array([[float(size[d]) / k] * k for d in docs]))
+        else:
+            start = start_weights(counts, term, self.topics)
+            self._set_words(start, start.agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in self.topics]).first())
+            self._set_docs(counts.groupBy(doc).agg(*[(F.sum(n) / k).alias(f"a{i}") for i in self.topics]))
 
     @property
     def topics(self) -> range:
@@ -110,7 +229,31 @@ class VariationalFit:
     def _sums(self) -> list[Column]:
         return [F.expr(f"sum(_n * p{i} / s) AS a{i}") for i in self.topics]
 
-    def step(self) -> "VariationalFit":
+    def _set_gammas(self, g: np.ndarray) -> None:
+        """As :meth:`_set_docs`, of few documents."""
+        logs = psi(g) - psi(g.sum(axis=1))[:, None]
+        norm = [sum(map(math.lgamma, x)) - math.lgamma(sum(x)) for x in g.tolist()]
+        self.gammas, self.logs, self.weights = g, logs, np.exp(logs)
+        kind = self.counts.select(self.doc).schema
+        for c in ["norm", *[f"g{i}" for i in self.topics], *[f"l{i}" for i in self.topics]]:
+            kind = kind.add(c, "double")
+        rows = [(d, x, *a, *b) for d, x, a, b in zip(self.held.docs, norm, g.tolist(), logs.tolist())]
+        rows += [(d, *[None] * (2 * self.k + 1)) for d in self.missing]
+        self.of = {"norm": sum(norm), "prior": float(((self.alpha - g) * logs).sum()), "logs": float(logs.sum()), "docs": len(rows)}
+        self.docs = self.counts.sparkSession.createDataFrame(rows, kind)
+
+    def _held_step(self) -> tuple[dict, dict]:
+        """The words' next weights by the rows that hold them; the log-likelihood and the documents' sums."""
+        for _ in range(self.inner):
+            self._set_gammas(self.alpha + self.held.sums(self.weights)[0])
+        sums, ll = self.held.sums(self.weights)
+        self.held.step(self.weights, sums.sum(axis=0))
+        self.words = self.held.words()
+        return {"ll": ll}, self.of
+
+    def _joined_step(self) -> tuple:
+        """The words' next weights by joins of the counts with both tables; totals, the log-likelihood and the
+        documents' sums."""
         wide = materialize(self.counts.join(self.words, self.term), "lda-counts")
         for _ in range(self.inner):
             self._set_docs(self._parts(wide).groupBy(self.doc).agg(*self._sums()))
@@ -121,9 +264,13 @@ class VariationalFit:
                                   f"{self._each('l{i}')} AS logs").agg(
             F.sum("norm").alias("norm"), F.sum("prior").alias("prior"), F.sum("logs").alias("logs"),
             F.count(F.lit(1)).alias("docs")).first()
+        self._set_words(words, total)
+        return total, of
+
+    def step(self) -> "VariationalFit":
+        total, of = self._held_step() if self.held else self._joined_step()
         constant = of["docs"] * (math.lgamma(self.k * self.alpha) - self.k * math.lgamma(self.alpha))
         self.bounds.append(constant + of["norm"] + of["prior"] + total["ll"])
-        self._set_words(words, total)
         if self.estimate_alpha:
             self.alpha = better_alpha(self.alpha, of["docs"], self.k, of["logs"])
         return self

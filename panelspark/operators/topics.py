@@ -13,7 +13,7 @@ This is the EM fit of topic mixtures with a pseudo-count for every word (``eta``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.relational import sequence_number, top_k_ties
@@ -45,14 +45,19 @@ def dtm_stats(entries: DataFrame, doc: str = "author") -> DataFrame:
     ).withColumn("n_terms", n_terms)
 
 
-def start_weights(counts: DataFrame, term: str, topics: range) -> DataFrame:
-    """(term, a1..ak), written: a word's start weight in a topic is the hash (first eight hex digits
-    of the MD5) of "word#topic", as a share of 2^32."""
+def start_columns(term: str, topics: range) -> list[Column]:
+    """a1..ak: a word's start weight in a topic is the hash (first eight hex digits of the MD5) of
+    "word#topic", as a share of 2^32."""
     def weight(i: int):
         text = F.concat(F.col(term), F.lit(f"#{i}"))
         return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))).alias(f"a{i}")
 
-    return materialize(counts.select(term).distinct().select(term, *[weight(i) for i in topics]), "topic-start")
+    return [weight(i) for i in topics]
+
+
+def start_weights(counts: DataFrame, term: str, topics: range) -> DataFrame:
+    """(term, a1..ak), written: the start weights of all words."""
+    return materialize(counts.select(term).distinct().select(term, *start_columns(term, topics)), "topic-start")
 
 
 class TopicFit:

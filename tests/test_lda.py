@@ -1,12 +1,15 @@
 """The variational topic fit against a plain version, and its bound."""
 
 import math
+import os
 
 import pytest
 
+from panelspark.operators import lda
 from panelspark.operators import topics as tp
 from panelspark.operators.lda import VariationalFit, digamma, ln_gamma
 from panelspark.registry import QUERIES
+from panelspark.session import checkpoint_root
 from paths import SF_SMALL
 
 COUNTS = [("A", f"w{i}", 1 + i % 3) for i in range(30)] + [("B", f"v{i}", 2) for i in range(20)] + [("B", "w1", 4)]
@@ -67,6 +70,27 @@ def test_the_bound_never_falls(spark, estimate):
     assert len(per_doc) == 2 and all(abs(r[1] - 1) < 1e-9 for r in per_doc)
 
 
+def test_held_words_are_the_joined_ones(spark, monkeypatch):
+    """Few documents: as with joins, with a missing document (and a word of it alone) and a word twice. No step writes
+    a row a word, but for a write of the weights every few steps."""
+    monkeypatch.setattr(lda, "KEPT_STEPS", 2)
+    more = [(None, "w1", 3), (None, "lost", 1), ("A", "w2", 5), ("B", None, 2)]
+    counts = spark.createDataFrame([*COUNTS, *more], "author string, word string, n int")
+    folder = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    held = VariationalFit(counts, 2).run(3)
+    new = [f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before]
+    assert new == ["lda-held"] * 2
+    monkeypatch.setattr(lda, "FEW", 0)
+    joined = VariationalFit(counts, 2).run(3)
+    assert held.held and not joined.held
+    assert held.bounds == pytest.approx(joined.bounds, rel=1e-12)
+    for name, key in (("beta", ("topic", "term")), ("gamma", ("author", "topic"))):
+        a, b = ({tuple(r[c] for c in key): r[name] for r in getattr(f, name)().collect()} for f in (held, joined))
+        assert a.keys() == b.keys() and sum(v is None for v in a.values()) == 2
+        assert all(a[x] == (b[x] if b[x] is None else pytest.approx(b[x], rel=1e-9)) for x in a)
+
+
 def test_the_fit_settles_or_fails(spark):
     counts = spark.createDataFrame(COUNTS, "author string, word string, n int")
     fit = VariationalFit(counts, 2).until(1e-3, 100)
