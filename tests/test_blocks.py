@@ -76,3 +76,14 @@ def test_empty_missing_and_repeated(spark):
     assert [tuple(r) for r in bl.from_blocks(bl.to_blocks(df, SHAPE), SHAPE).collect()] == [(0, 0, 3.0)]
     with pytest.raises(ValueError):
         bl.BlockShape(0, 5)
+
+
+def test_blocks_are_packed_from_a_sorted_stream(spark, entries):
+    """No list is collected a line or a block, and dense arrays are not copied for every block that meets them."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    blocks = bl.to_blocks(entries[1], SHAPE)
+    assert "collect_list" not in plan(blocks)
+    got = bl.multiply(blocks, spark.createDataFrame([(1, [1.0])], "term_index long, w array<double>"), 1, SHAPE)
+    assert "explode" not in plan(got) and "collect_list" not in plan(got)
+    with pytest.raises(Exception, match="occurs twice"):
+        bl.multiply(blocks, spark.createDataFrame([(1, [1.0]), (1, [2.0])], "term_index long, w array<double>"), 1, SHAPE).collect()
