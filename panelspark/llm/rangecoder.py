@@ -32,7 +32,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x32434D54
+MAGIC = 0x33434D54
 #: Ids of a block and of a lane.
 BLOCK, LANE = 1 << 18, 512
 #: Entries of a block's order-1 and order-2 tables.
@@ -40,7 +40,8 @@ TABLE1, TABLE2 = 1 << 15, 1 << 17
 #: Order-0 frequencies are whole parts of this; a block has at most half as many distinct ids.
 PARTS = 1 << 19
 TOP, MASK = np.uint64(1 << 32), np.uint64(0xFFFFFFFF)
-B16, B32 = np.uint64(16), np.uint64(32)
+B4, B5, B16, B20, B32 = (np.uint64(x) for x in (4, 5, 16, 20, 32))
+LOW20, ZERO, ALL = np.uint64((1 << 20) - 1), np.uint64(0), np.uint64(PARTS)
 SPREAD = 2047
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-z / 256)))))
                    for z in range(-SPREAD, SPREAD + 1)], np.int32)
@@ -48,11 +49,6 @@ STRETCH = np.array([max(-SPREAD, min(SPREAD, round(256 * math.log((p + 0.5) / (4
                     for p in range(4096)], np.int32)
 
 
-def pick(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
-    """``yes`` where the integer mask is -1, ``no`` where it is 0."""
-    return no ^ ((no ^ yes) & mask)
-
-
 def refresh_steps(length: int) -> set[int]:
     """Steps before which order-0 frequencies are worked out anew: a third further on each time, 256 at most."""
     out, t = set(), 1
@@ -85,19 +81,30 @@ class Lanes:
     def table(self, ids: np.ndarray) -> np.ndarray:
         """(step, lane) of a segment's ids; 0 where a lane has ended."""
         out = np.zeros((self.steps, len(self.order)), np.int32)
-        for lane, o in enumerate(self.order):
-            out[:self.length[o], lane] = ids[self.first[o]:self.first[o] + self.length[o]]
+        for lane, n, at, length in self.stretches():
+            out[:length, lane:lane + n] = ids[at:at + n * length].reshape(n, length).T
         return out
 
     def ids(self, table: np.ndarray, total: int) -> np.ndarray:
         out = np.zeros(total, np.int32)
-        for lane, o in enumerate(self.order):
-            out[self.first[o]:self.first[o] + self.length[o]] = table[:self.length[o], lane]
+        for lane, n, at, length in self.stretches():
+            out[at:at + n * length].reshape(n, length)[:] = table[:length, lane:lane + n].T
         return out
 
+    def stretches(self) -> list[tuple[int, int, int, int]]:
+        """(first column, lanes, first id, length) of lanes of one length that follow each other in both orders."""
+        order, length = self.order, self.length[self.order]
+        cut = np.flatnonzero(np.append(True, (np.diff(order) != 1) | (np.diff(length) != 0)))
+        return [(a, z - a, int(self.first[order[a]]), int(length[a]))
+                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)])]
+
 
 class Model:
-    """The models of all blocks of a segment."""
+    """The models of all blocks of a segment.
+
+    ``zero`` holds an id's order-0 logit (raised by 2,048, from bit 40), the place where its part of the
+    frequencies starts (from bit 20) and the size of this part in one word.
+    """
 
     def __init__(self, lanes: Lanes, vocabulary: int, reads: bool):
         n, blocks = len(lanes.order), len(lanes.sizes)
@@ -105,15 +112,16 @@ class Model:
         self.vocabulary, self.blocks, self.reads = vocabulary, blocks, reads
         self.at1, self.at2, self.at0 = self.block * TABLE1, self.block * TABLE2, self.block * (vocabulary + 1)
         self.table1, self.table2 = np.zeros(blocks * TABLE1, np.int32), np.zeros(blocks * TABLE2, np.int32)
-        self.right = [np.zeros(blocks * 16, np.int64) for _ in range(2)]
-        self.asked = [np.zeros(blocks * 16, np.int64) for _ in range(2)]
+        self.right, self.asked = np.zeros((2, blocks, 16), np.int64), np.zeros((2, blocks, 16), np.int64)
+        self.context = self.block * 16
         self.weights = [np.full(n, x, np.int32) for x in (3000, 22000, 44000)]
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.seen = np.zeros((blocks, vocabulary), np.int32)
-        self.start = np.zeros(blocks * (vocabulary + 1), np.int32)
-        self.share = np.zeros(blocks * (vocabulary + 1), np.int32)
-        self.share[vocabulary::vocabulary + 1] = PARTS   # all is new
-        self.symbol = np.full((blocks, PARTS) if reads else (0, 0), vocabulary, np.int32)
+        self.seen = np.zeros((blocks, vocabulary), np.int64)
+        self.known, self.total = [0] * blocks, [0] * blocks
+        self.zero = np.full(blocks * (vocabulary + 1), int(STRETCH[0]) + 2048 << 40, np.uint64)
+        self.zero[vocabulary::vocabulary + 1] += np.uint64(PARTS)   # all is new
+        kind = np.uint16 if vocabulary < 1 << 16 else np.int32
+        self.symbol = np.full(blocks * PARTS if reads else 0, vocabulary, kind)
 
     def refresh(self, ids: np.ndarray, live: int) -> None:
         """Order-0 frequencies after further steps of ``ids`` (those of lanes that have ended since count not)."""
@@ -121,83 +129,94 @@ class Model:
         at = ids[:, :live] + (self.block[:live] * v)
         counts = np.bincount(at.reshape(-1), minlength=self.blocks * v).reshape(self.blocks, v)
         for b in np.unique(self.block[:live]).tolist():
-            fresh = int(np.count_nonzero((counts[b] > 0) & (self.seen[b] == 0)))
-            self.seen[b] += counts[b].astype(np.int32)
-            known = np.flatnonzero(self.seen[b])
-            n = self.seen[b][known].astype(np.int64)
-            kept = min(PARTS * (fresh + 1) // (2 * (int(counts[b].sum()) + 2)), (PARTS - len(known)) // 2)
-            parts = 1 + n * (PARTS - len(known) - max(1, kept)) // int(n.sum())
-            share = np.zeros(v + 1, np.int32)
-            share[known] = parts
-            share[v] = PARTS - int(parts.sum())
-            own = slice(b * (v + 1), (b + 1) * (v + 1))
-            self.share[own] = share
-            self.start[own] = np.cumsum(share) - share
+            seen = self.seen[b]
+            seen += counts[b]
+            known = np.flatnonzero(seen > 0)
+            parts = seen.take(known)
+            total = int(parts.sum())
+            fresh, more = len(known) - self.known[b], total - self.total[b]
+            self.known[b], self.total[b] = len(known), total
+            kept = min(PARTS * (fresh + 1) // (2 * (more + 2)), (PARTS - len(known)) // 2)
+            parts *= PARTS - len(known) - max(1, kept)
+            parts //= total
+            parts += 1
+            stop = np.cumsum(parts)
+            own = self.zero[b * (v + 1):(b + 1) * (v + 1)]
+            own[known] = (STRETCH.take(parts >> 7, mode="clip") + 2048 << 40) + (stop - parts << 20) + parts
+            used = int(stop[-1]) if len(stop) else 0
+            own[v] = (used << 20) + PARTS - used
             if self.reads:
-                self.symbol[b] = np.repeat(np.append(known, v).astype(np.int32), np.append(parts, share[v]))
+                symbol = self.symbol[b * PARTS:(b + 1) * PARTS]
+                symbol[:used] = np.repeat(known.astype(symbol.dtype), parts)
+                symbol[used:] = v
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates of the first ``n`` lanes and their chances in 65,536ths."""
+    def predict(self, n: int) -> tuple[np.ndarray, ...]:
+        """Candidates of the first ``n`` lanes, their chances in 65,536ths, their places and parts of order 0."""
         last = self.last[:n]
-        self.i1 = self.at1[:n] + ((last * 40503 >> 3) & (TABLE1 - 1))
-        self.i2 = self.at2[:n] + ((last * 30011 + self.before[:n] * 12289 >> 2) & (TABLE2 - 1))
-        a, b = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.g1, self.g2, self.k1, self.k2 = a >> 3, b >> 3, a & 7, b & 7
-        guess = pick(-(self.k2 > 0).astype(np.int32), self.g2, self.g1)
-        base = self.block[:n] << 4
-        self.c = (base + (self.k1 << 1) + (self.g1 == guess), base + (self.k2 << 1) + (self.g2 == guess))
-        self.own = (self.start.take(self.at0[:n] + guess).astype(np.uint64), self.share.take(self.at0[:n] + guess).astype(np.uint64))
-        counted = [((r * 4096 + 1024) // (m + 4)).clip(0, 4095) for r, m in zip(self.right, self.asked)]
-        self.s = (STRETCH.take((self.own[1] >> np.uint64(7)).astype(np.int64), mode="clip"),
-                  STRETCH.take(counted[0].take(self.c[0])), STRETCH.take(counted[1].take(self.c[1])))
-        z = sum((w[:n] * s.astype(np.int64)) >> 16 for w, s in zip(self.weights, self.s))
-        self.p = SQUASH.take(np.minimum(np.maximum(z, -SPREAD), SPREAD) + SPREAD)
-        return guess, (self.p << 4).astype(np.uint64)
+        self.i1 = (last * 40503 >> 3 & TABLE1 - 1) + self.at1[:n]
+        self.i2 = (last * 30011 + self.before[:n] * 12289 >> 2 & TABLE2 - 1) + self.at2[:n]
+        self.a, self.b = a, b = self.table1.take(self.i1, mode="clip"), self.table2.take(self.i2, mode="clip")
+        self.k1, self.k2, self.g1, self.g2 = k1, k2, g1, g2 = a & 7, b & 7, a >> 3, b >> 3
+        two, same = k2 > 0, g1 == g2
+        guess = np.where(two, g2, g1)
+        self.c = (k1 << 1 | (same | ~two)) + self.context[:n], (k2 << 1 | (same | two)) + self.context[:n]
+        counted = STRETCH.take((self.right * 4096 + 1024) // (self.asked + 4), mode="clip").reshape(2, -1)
+        own = self.zero.take(self.at0[:n] + guess, mode="clip")
+        self.s = ((own >> np.uint64(40)).astype(np.int32) - 2048,
+                  *[x.take(c, mode="clip") for x, c in zip(counted, self.c)])
+        z = sum(w[:n] * s >> 16 for w, s in zip(self.weights, self.s))
+        self.p = SQUASH.take(z + SPREAD, mode="clip")
+        return guess, self.p.astype(np.uint64) << B4, own >> B20 & LOW20, own & LOW20
+
+    def places(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and parts of order 0 of ``ids`` of the first ``n`` lanes."""
+        found = self.zero.take(self.at0[:n] + ids, mode="clip")
+        return found >> B20 & LOW20, found & LOW20
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         n = len(ids)
-        err = hit.astype(np.int32) * 4095 - self.p
+        err = hit * np.int32(4095) - self.p
         for w, s in zip(self.weights, self.s):
-            w[:n] += (s * err + 16384) >> 15
-        for i, g in enumerate((self.g1, self.g2)):
-            self.asked[i] += np.bincount(self.c[i], minlength=len(self.asked[i]))
-            self.right[i] += np.bincount(self.c[i][hit], minlength=len(self.right[i]))
-        for table, i, g, k in ((self.table1, self.i1, self.g1, self.k1), (self.table2, self.i2, self.g2, self.k2)):
-            k = pick(-(g == ids).astype(np.int32), np.minimum(k + 1, 7), k >> 1)
-            fresh = (k == 0).astype(np.int32)
-            table[i] = (pick(-fresh, ids, g) << 3) | k | fresh
+            w[:n] += s * err + 16384 >> 15
+        for i, c in enumerate(self.c):  # how often each context was asked and right
+            told = np.bincount((c << 1) + hit, minlength=self.blocks * 32).reshape(-1, 16, 2)
+            self.right[i] += told[..., 1]
+            self.asked[i] += told[..., 0] + told[..., 1]
+        fresh = ids << 3 | 1
+        for table, i, entry, g, k in ((self.table1, self.i1, self.a, self.g1, self.k1),
+                                      (self.table2, self.i2, self.b, self.g2, self.k2)):
+            up = k + 1
+            table[i] = np.where(g == ids, entry + (1 - (up >> 3)), np.where(k > 1, entry - (up >> 1), fresh))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-class Interval:
-    """The intervals of ``n`` lanes: 64-bit, a word leaves whenever one is narrower than a word."""
+def narrow(low: np.ndarray, width: np.ndarray, hit: np.ndarray, part: np.ndarray, unit: np.ndarray,
+           start: np.ndarray, share: np.ndarray) -> None:
+    """Intervals of a step: ``part`` after a hit, else those of the id behind it."""
+    low += np.where(hit, ZERO, part + unit * start)
+    width[:] = np.where(hit, part, unit * share)
 
-    def __init__(self, n: int):
-        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def answer(self, n: int, part: np.ndarray, hit: np.ndarray) -> None:
-        low, width = self.low[:n], self.width[:n]
-        yes = np.uint64(0) - hit.astype(np.uint64)
-        low += part & ~yes
-        width[:] = pick(yes, part, width - part)
+def settle(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which intervals are narrower than a word and give off one, and the words. An interval is as
+    wide as a word again after that, as a step leaves some width to every outcome."""
+    small = width < TOP
+    across = (low ^ (low + width)) >= TOP
+    across &= small
+    some = np.flatnonzero(across)
+    if len(some):  # the word is not settled yet: narrow the interval until it is
+        width[some] = (ZERO - low[some]) & MASK
+    word = low >> B32
+    shift = small.astype(np.uint64) << B5
+    low <<= shift
+    width <<= shift
+    return small, word
 
-    def take(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        self.low[lanes] += unit * start
-        self.width[lanes] = unit * share
 
-    def settle(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the first ``n`` lanes give off a word, and the words."""
-        low, width = self.low[:n], self.width[:n]
-        small = width < TOP
-        across = small & ((low ^ (low + width)) >= TOP)
-        if across.any():  # the word is not settled yet: narrow the interval until it is
-            width[across] = (np.uint64(0) - low[across]) & MASK
-        word = (low >> B32).astype(np.uint32)
-        shift = small.astype(np.uint64) << np.uint64(5)
-        low <<= shift
-        width <<= shift
-        return small, word
+def intervals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower ends and widths of the intervals of ``n`` lanes."""
+    return np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -209,40 +228,44 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return head
     table = lanes.table(ids)
-    # a step gives off at most three words a lane: after the answer, the order-0 part and a new id
-    words, sent = np.zeros((3 * lanes.steps + 2, n), np.uint32), np.zeros((3 * lanes.steps + 2, n), bool)
-    model, at, again, done = Model(lanes, vocabulary, False), Interval(n), refresh_steps(lanes.steps), 0
+    words, owners = [], []
+
+    def sent(small: np.ndarray, word: np.ndarray, lane: np.ndarray | None = None) -> None:
+        some = np.flatnonzero(small)
+        words.append(word.take(some).astype(np.uint32))
+        owners.append(some if lane is None else lane.take(some))
+
+    model, (lows, widths), again, done = Model(lanes, vocabulary, False), intervals(n), refresh_steps(lanes.steps), 0
     for t, live in enumerate(lanes.live):
         if t in again:
             model.refresh(table[done:t], live)
             done = t
-        x = table[t, :live]
-        guess, chance = model.predict(live)
+        x, low, width = table[t, :live], lows[:live], widths[:live]
+        guess, chance, own_start, own_share = model.predict(live)
         hit = guess == x
-        at.answer(live, (at.width[:live] >> B16) * chance, hit)
-        sent[3 * t, :live], words[3 * t, :live] = at.settle(live)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            own_start, own_share = model.own[0][miss], model.own[1][miss]
-            place = model.at0[miss]
-            share = model.share.take(place + x[miss])
-            new = share == 0
-            place += np.where(new, vocabulary, x[miss])
-            start, share = model.start.take(place).astype(np.uint64), model.share.take(place).astype(np.uint64)
-            start -= own_share * (start > own_start)
-            at.take(miss, at.width[miss] // (np.uint64(PARTS) - own_share), start, share)
-            sent[3 * t + 1, :live], words[3 * t + 1, :live] = at.settle(live)
-            miss = miss[new]
-            if len(miss):
-                at.take(miss, at.width[miss] // np.uint64(vocabulary), x[miss].astype(np.uint64), np.uint64(1))
-                sent[3 * t + 2, :live], words[3 * t + 2, :live] = at.settle(live)
+        start, share = model.places(x, live)
+        new = np.flatnonzero((share == 0) & ~hit)
+        if len(new):
+            seen = model.zero.take(model.at0[new] + vocabulary)
+            start[new], share[new] = seen >> B20 & LOW20, seen & LOW20
+        part = (width >> B16) * chance
+        unit = (width - part) // (ALL - own_share)
+        start -= own_share * (start > own_start)
+        narrow(low, width, hit, part, unit, start, share)
+        sent(*settle(low, width))
+        if len(new):
+            unit = width[new] // np.uint64(vocabulary)
+            own = low[new] + unit * x[new].astype(np.uint64)
+            sent(*settle(own, unit), new)
+            low[new], width[new] = own, unit
         model.update(x, hit)
-    sent[-2:] = True
-    words[-2], words[-1] = (at.low >> B32).astype(np.uint32), (at.low & MASK).astype(np.uint32)
-    back = np.argsort(lanes.order)
-    sent, words = np.ascontiguousarray(sent[:, back].T), np.ascontiguousarray(words[:, back].T)
-    used = sent.sum(axis=1)
-    flat = words[sent].astype("<u4")
+    for word in (lows >> B32, lows & MASK):
+        sent(np.ones(n, bool), word)
+    # the words of every lane, in the order in which they were sent
+    owner = lanes.order[np.concatenate(owners)]
+    owner = owner.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    flat = np.concatenate(words)[np.argsort(owner, kind="stable")].astype("<u4")
+    used = np.bincount(owner, minlength=n)
     ends = np.cumsum(np.bincount(lanes.block, used).astype(np.int64))
     sums = [zlib.crc32(flat[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
     return b"".join([head, np.array(sums, "<u4").tobytes(), used.astype("<u4").tobytes(), flat.tobytes()])
@@ -268,46 +291,43 @@ def decode(data: bytes) -> np.ndarray:
     words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(np.uint64)
     first = (np.cumsum(used) - used)[lanes.order]
     code, place = (words[first] << B32) | words[first + 1], first + 2
-    model, at, again, done = Model(lanes, vocabulary, True), Interval(n), refresh_steps(lanes.steps), 0
+    model, (lows, widths), again, done = Model(lanes, vocabulary, True), intervals(n), refresh_steps(lanes.steps), 0
     found = np.zeros((lanes.steps, n), np.int32)
+    symbols = model.block * PARTS
 
-    def settle(live: int) -> None:
-        small, _ = at.settle(live)
-        own = np.flatnonzero(small)
-        code[own] = (code[own] << B32) | words.take(place[own])
-        place[own] += 1
+    def read(some: np.ndarray) -> None:
+        at = place.take(some)
+        code[some] = code.take(some) << B32 | words.take(at)
+        place[some] = at + 1
 
     for t, live in enumerate(lanes.live):
         if t in again:
             model.refresh(found[done:t], live)
             done = t
-        guess, chance = model.predict(live)
-        part = (at.width[:live] >> B16) * chance
-        hit = code[:live] - at.low[:live] < part
-        at.answer(live, part, hit)
-        settle(live)
-        miss = np.flatnonzero(~hit)
-        x = guess
-        if len(miss):
-            own_start, own_share = model.own[0][miss], model.own[1][miss]
-            rest = np.uint64(PARTS) - own_share
-            unit = at.width[miss] // rest
-            value = np.minimum((code[miss] - at.low[miss]) // unit, rest - np.uint64(1))
-            value += own_share * (value >= own_start)
-            symbol = model.symbol[model.block[miss], value.astype(np.int64)]
-            start = model.start.take(model.at0[miss] + symbol).astype(np.uint64)
-            share = model.share.take(model.at0[miss] + symbol).astype(np.uint64)
-            start -= own_share * (start > own_start)
-            at.take(miss, unit, start, share)
-            settle(live)
-            new = symbol == vocabulary
-            if new.any():
-                lane = miss[new]
-                unit = at.width[lane] // np.uint64(vocabulary)
-                symbol[new] = np.minimum((code[lane] - at.low[lane]) // unit, np.uint64(vocabulary - 1)).astype(np.int32)
-                at.take(lane, unit, symbol[new].astype(np.uint64), np.uint64(1))
-                settle(live)
-            x[miss] = symbol
+        low, width = lows[:live], widths[:live]
+        guess, chance, own_start, own_share = model.predict(live)
+        part = (width >> B16) * chance
+        inside = code[:live] - low
+        hit = inside < part
+        rest = ALL - own_share
+        unit = (width - part) // rest
+        value = np.minimum((inside - part) // unit, rest - np.uint64(1))  # without meaning after a hit
+        value += own_share * (value >= own_start)
+        x = model.symbol.take(symbols[:live] + value.view(np.int64), mode="clip").astype(np.int32)
+        start, share = model.places(x, live)
+        start -= own_share * (start > own_start)
+        narrow(low, width, hit, part, unit, start, share)
+        small, _ = settle(low, width)
+        read(np.flatnonzero(small))
+        x = np.where(hit, guess, x)
+        new = np.flatnonzero(x == vocabulary)
+        if len(new):
+            unit = width[new] // np.uint64(vocabulary)
+            x[new] = np.minimum((code[new] - low[new]) // unit, np.uint64(vocabulary - 1))
+            own = low[new] + unit * x[new].astype(np.uint64)
+            small, _ = settle(own, unit)
+            low[new], width[new] = own, unit
+            read(new[small])
         model.update(x, hit)
         found[t, :live] = x
     return lanes.ids(found, total)

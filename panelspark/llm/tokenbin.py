@@ -7,9 +7,10 @@ dataset (part, segment, n_ids, doc_ids, sizes, data), so Spark's writer commits
 executor's task runs again and leaves no half-written file. A document's place is the number of
 ids in all earlier segments, a prefix sum over parts and over the segments of a part.
 
-The tokenizer is read on the driver and sent to the tasks. Its words are remembered: texts are
-cut at ASCII white space, which no token of this kind crosses, and words of letters at a closing
-punctuation mark, so each distinct word is encoded once a task.
+The tokenizer is read on the driver and sent to the tasks. Its words are remembered by a Python
+worker from task to task, within a bound: texts are cut at ASCII white space, which no token of
+this kind crosses, and words of letters at their closing marks, so that a distinct word is
+encoded once while it is remembered.
 
 Defined results: a missing or empty text is the end id alone; documents without an id come
 first; documents that share an id follow each other in the order of their texts' hashes; rows
@@ -21,40 +22,49 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import rangecoder
-from panelspark.llm.common import CACHE_WORDS, bounded_batches, texts_of
+from panelspark.llm.common import CACHE_WORDS, bounded_batches, pieces
 
+#: Ids of a segment; the last one of a task has up to twice as many, so that none but that of a small task is short.
 SEGMENT_IDS = 1 << 22
-#: A word of letters and the marks that close it.
-CLOSED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,;:!?]+)\Z")
+#: Bytes of text that are split into words at once.
+STRETCH_BYTES = 24 << 20
+#: Marks that close a word. No token of letters holds one, and none of them begins a clitic or a special token.
+MARKS = ".,;:!?#$%&*+-/=@\\^_`~()[]{}\""
+#: A letter that normalisation leaves alone, and the marks that close its word.
+CLOSED = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}][" + re.escape(MARKS) + "]+$"
 JOINED = 20_000
-BREAK = b"\n"  # no word holds white space
 
 
-class Numbers(dict):
-    """Numbers of words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def copied(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``source`` one after the other."""
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, len(source)) < 1 << 31 else np.int64
+    place = np.repeat((start - (stop - size)).astype(kind), size)
+    place += np.arange(total, dtype=kind)
+    return source.take(place)
 
 
 class Words:
-    """Token ids of whole texts, each distinct word encoded once.
+    """Token ids of whole texts, each distinct word encoded once while it is remembered.
 
-    Words of letters only are encoded together, joined by blanks, and told apart by the tokens
-    that end a word; should their number differ from that of the words, and for words of any
-    other kind, every word is encoded on its own.
+    A word of letters is encoded apart from the marks that close it. Words of letters only are
+    encoded together, joined by blanks, and told apart by the tokens that end a word; should their
+    number differ from that of the words, and for words of any other kind, every word is encoded
+    on its own. At most ``CACHE_WORDS`` words and those of one stretch are remembered; then those
+    that no later stretch asked for are forgotten.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -65,67 +75,113 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number = Numbers()
-        self.ids, self.stops = array("i"), array("q", [0])
-
-    def codes(self, words: list[bytes]) -> list[array]:
-        """Ids of every word."""
-        found: dict[bytes, array] = {}
-        text = {w: w.decode() for w in words}
-        plain = [w for w in words if text[w].isalpha()]
-        for at in range(0, len(plain), JOINED):
-            some = plain[at:at + JOINED]
-            ids = array("i", self.tokenizer.encode(" ".join(map(text.__getitem__, some)), add_special_tokens=False).ids)
-            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.int32)]) + 1).tolist()
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                found.update((w, ids[a:z]) for w, a, z in zip(some, [0, *stops], stops))
-        other = [w for w in words if w not in found]
-        for w, code in zip(other, self.tokenizer.encode_batch([text[w] for w in other], add_special_tokens=False)):
-            found[w] = array("i", code.ids)
-        return [found[w] for w in words]
-
-    def learn(self, end: int) -> None:
-        """Ids of the words that have a number but no ids yet."""
-        done = len(self.stops) - 1
-        new = list(islice(self.number, done, None))
-        closed = [CLOSED.match(w) for w in new]
-        parts = {x for m in closed if m for x in m.groups()}
-        parts.update(w for w, m in zip(new, closed) if not m)
-        parts.discard(BREAK)
-        held = {BREAK: array("i", [end])}
-        unknown = []
-        for x in parts:
-            n = self.number.get(x, done)
-            if n < done:
-                held[x] = self.ids[self.stops[n]:self.stops[n + 1]]
-            else:
-                unknown.append(x)
-        held.update(zip(unknown, self.codes(unknown)))
-        for w, m in zip(new, closed):
-            self.ids.extend(held[m[1]] + held[m[2]] if m else held[w])
-            self.stops.append(len(self.ids))
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.known = pa.array([], pa.string())
+        self.again = np.zeros(0, bool)
+        self.ids, self.stops = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def trim(self) -> None:
+        """Forget the words that were asked for by one stretch only, or all if these are few."""
+        keep = self.again
+        if 2 * np.count_nonzero(keep) > CACHE_WORDS:
+            return self.clear()
+        start, size = self.stops[:-1][keep], np.diff(self.stops)[keep]
+        self.known, self.again = self.known.filter(pa.array(keep)), np.zeros(len(size), bool)
+        self.ids, self.stops = copied(self.ids, start, size), np.append(0, np.cumsum(size))
+
+    def joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of every word) of stretches of words of letters."""
+        text = [" ".join(words)] if len(words) > 1 else words
+        ids = np.array(self.tokenizer.encode_batch_fast(text, add_special_tokens=False)[0].ids, np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(words) == 1:
+            return [(ids, np.array([len(ids)]))]
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            return [(ids, np.diff(stops, prepend=0))]
+        half = len(words) // 2
+        return self.joined(words[:half]) + self.joined(words[half:])
+
+    def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of every word)."""
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        found = []
+        some = words.filter(pa.array(plain)).to_pylist()
+        for at in range(0, len(some), JOINED):
+            found += self.joined(some[at:at + JOINED])
+        for code in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False):
+            found.append((np.array(code.ids, np.int32), np.array([len(code.ids)])))
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids, size = map(np.concatenate, zip(*found))
+        # back into the order of the words
+        place = np.argsort(np.append(np.flatnonzero(plain), np.flatnonzero(~plain)))
+        return copied(ids, (np.cumsum(size) - size)[place], size[place]), size[place]
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The places of ``words`` among those remembered; new ones are encoded."""
+        coded = words.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
+        new = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+        place = np.where(new, 0, place).astype(np.int64)
+        self.again[place[~new]] = True
+        place[new] = len(self.known) + np.arange(np.count_nonzero(new))
+        fresh = coded.dictionary.filter(pa.array(new))
+        ids, size = self.codes(fresh)
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.again = np.append(self.again, np.zeros(len(fresh), bool))
+        self.stops = np.append(self.stops, len(self.ids) + np.cumsum(size))
+        self.ids = np.append(self.ids, ids)
+        return place[coded.indices.to_numpy()]
+
+    def encode(self, texts: list[bytes] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, ids of every text)."""
-        if len(self.number) > CACHE_WORDS:
-            self.clear()
-        flat: list[bytes] = []
-        counts = []
-        for text in texts:
-            words = text.split() if b"<|" in text else text.lower().split()
-            flat += words
-            flat.append(BREAK)
-            counts.append(len(words) + 1)
-        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        self.learn(end)
-        known, stops = np.array(self.ids, np.int32), np.array(self.stops, np.int64)
-        start = stops[number]
-        sizes = stops[number + 1] - start
-        after = np.cumsum(sizes)
-        # every word's ids are copied from where they are remembered
-        out = known.take(np.repeat(start - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0))
-        text_end = after[np.cumsum(counts) - 1] if counts else after
-        return out, np.diff(np.concatenate([[0], text_end]))
+        if len(self.known) > CACHE_WORDS:
+            self.trim()
+        text = pc.fill_null(pa.array(texts, pa.binary()) if isinstance(texts, list) else texts, b"").cast(pa.string())
+        # special tokens are told from others by their case
+        text = pc.if_else(pc.match_substring(text, "<|"), text, pc.ascii_lower(text))
+        lists = pc.ascii_split_whitespace(text)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        stem = pc.utf8_rtrim(distinct, MARKS)
+        closed = pc.and_(pc.match_substring_regex(distinct, CLOSED), pc.utf8_is_alpha(stem))
+        stem, cut = pc.if_else(closed, stem, distinct), np.flatnonzero(closed.to_numpy(zero_copy_only=False))
+        size = pc.utf8_length(stem).to_numpy()[cut].tolist()
+        marks = [w[n:] for w, n in zip(distinct.take(pa.array(cut)).to_pylist(), size)]
+        place = self.numbers(pa.concat_arrays([stem, pa.array(marks, pa.string())]))
+        # the ids of every distinct word: those of its letters, then those of its marks; at last the end id
+        n = len(distinct)
+        start, size = np.zeros((n + 1, 2), np.int64), np.zeros((n + 1, 2), np.int64)
+        sizes = np.diff(self.stops)
+        start[:n, 0], size[:n, 0] = self.stops[place[:n]], sizes[place[:n]]
+        start[cut, 1], size[cut, 1] = self.stops[place[n:]], sizes[place[n:]]
+        start[n, 0], size[n, 0] = len(self.ids), 1
+        table = copied(np.append(self.ids, np.int32(end)), start.reshape(-1), size.reshape(-1))
+        size = size.sum(axis=1)
+        # every word's ids are copied from where they are, and the end id after the last word of a text
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), last, n)
+        out = copied(table, (np.cumsum(size) - size)[word], size[word])
+        return out, np.diff(np.cumsum(size[word])[last + np.arange(len(last))], prepend=0)
+
+
+@lru_cache(maxsize=1)
+def words_of(tokenizer: str) -> Words:
+    """The words of a tokenizer, remembered by a Python worker for all tasks that it runs."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Words(Tokenizer.from_str(tokenizer))
+
+
+def stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in stretches of about ``STRETCH_BYTES`` of text."""
+    held, size = [], 0
+    for piece in pieces(batches):
+        held.append(piece)
+        size += (pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0) + 16 * piece.num_rows
+        if size >= STRETCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -140,40 +196,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(Tokenizer.from_str(shared.value))
+        words = words_of(shared.value)
         vocabulary = max(len(words.ends), end_id + 1)
         part, segment = TaskContext.get().partitionId(), 0
-        ids, sizes, names, waiting = [], [], [], 0
+        ids, sizes, names = np.zeros(0, np.int32), np.zeros(0, np.int64), pa.nulls(0)
 
-        def pack():
-            all_ids = np.concatenate(ids)
+        def pack(docs: int, total: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(all_ids)], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, sum(map(len, names))], pa.int32()), pa.concat_arrays(names)),
-                 pa.array([np.concatenate(sizes)], pa.list_(pa.int64())),
-                 pa.array([rangecoder.encode(all_ids, vocabulary)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([total], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), names.slice(0, docs)),
+                 pa.array([sizes[:docs]], pa.list_(pa.int64())),
+                 pa.array([rangecoder.encode(ids[:total], vocabulary)], pa.binary())],
                 ["part", "segment", "n_ids", "doc_ids", "sizes", "data"])
 
-        for batch in batches:
-            texts, own = texts_of(batch), batch.column("id")
-            at = 0
-            while at < len(texts):  # a batch is taken in stretches, so that a segment stays near its size
-                stop, length = at, 0
-                while stop < len(texts) and length < SEGMENT_IDS:
-                    length += len(texts[stop])
-                    stop += 1
-                found, n = words.encode(texts[at:stop], end_id)
-                ids.append(found)
-                sizes.append(n)
-                names.append(own.slice(at, stop - at))
-                waiting += len(found)
-                at = stop
-                if waiting >= SEGMENT_IDS:
-                    yield pack()
-                    ids, sizes, names, waiting, segment = [], [], [], 0, segment + 1
-        if waiting:
-            yield pack()
+        for batch in stretches(batches):
+            found, n = words.encode(batch.column("text"), end_id)
+            ids, sizes = np.append(ids, found), np.append(sizes, n)
+            names = pa.concat_arrays([names, batch.column("id")]) if len(names) else batch.column("id")
+            while len(ids) >= 2 * SEGMENT_IDS:  # a segment ends with the document that fills it
+                after = np.cumsum(sizes)
+                docs = int(np.searchsorted(after, SEGMENT_IDS)) + 1
+                yield pack(docs, int(after[docs - 1]))
+                ids, sizes, names, segment = ids[after[docs - 1]:], sizes[docs:], names.slice(docs), segment + 1
+        if len(sizes):
+            yield pack(len(sizes), len(ids))
 
     rows.mapInArrow(run, f"part int, segment int, n_ids long, doc_ids array<{kind}>, sizes array<long>, data binary"
                     ).write.mode("overwrite").parquet(path)

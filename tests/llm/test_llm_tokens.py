@@ -1,5 +1,6 @@
 """Token-ID output: exact round trips of the coder, the words and whole datasets."""
 
+import random
 import zlib
 
 import numpy as np
@@ -71,6 +72,64 @@ def test_words_are_the_tokenizers(rows):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+class Counted:
+    """A tokenizer that counts the words it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def get_vocab(self, **options):
+        return self.tokenizer.get_vocab(**options)
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.asked += [w for t in ([texts] if isinstance(texts, str) else texts) for w in t.split()]
+            return getattr(self.tokenizer, name)(texts, **options)
+        return call
+
+
+def test_words_are_encoded_once():
+    """A word is encoded once whatever marks close it, and for all tasks of a worker."""
+    counted = Counted(Tokenizer.from_file(FILE))
+    words = tokenbin.Words(counted)
+    words.encode([b"The caf\xc3\xa9, the caf\xc3\xa9###", b"(the) caf\xc3\xa9. the"], 1)
+    words.encode([b"the. caf\xc3\xa9!"], 1)
+    assert sorted(counted.asked) == sorted(["the", "café", ",", "###", "(the)", ".", "!"])
+    json = Tokenizer.from_file(FILE).to_str()
+    assert tokenbin.words_of(json) is tokenbin.words_of(json)
+
+
+def test_words_of_any_kind_and_a_bound(monkeypatch):
+    monkeypatch.setattr(tokenbin, "CACHE_WORDS", 2000)
+    r = random.Random(3)
+    bits = ["the", "É", "é", "İ", "ñó", "ß", "क़", "़", "'s", "'", "<|endoftext|>", "<|EndOfText|>", "<|", ".",
+            ",", "###", "=", "\u0338", "\u0307", "\x1c", "\x85", " ", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "1",
+            "Ω", "日本", "🙂", "Σ", "ΟΔΟΣ", "ﬁ", "가", "ᄀ", "ᅡ", "\x00", "_", "…", "ǅ", "ÿ", "÷", "×"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(4000)]
+    tokenizer = Tokenizer.from_file(FILE)
+    words = tokenbin.Words(tokenizer)
+    for at in range(0, len(texts), 500):
+        some = texts[at:at + 500]
+        ids, sizes = words.encode([t.encode() for t in some], 1)
+        want = [e.ids + [1] for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert len(words.known) < 2000 + 5 * 500 * 7
+    assert words.known.unique() == words.known
+
+
+def test_no_short_segment_at_the_end(spark, sf_rows, tmp_dir, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SEGMENT_IDS", 20_000)
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in sf_rows], "doc_id long, text string")
+    tokenbin.write_tokens(docs, f"{tmp_dir}/s", FILE)
+    parts = {}
+    for r in spark.read.parquet(f"{tmp_dir}/s").select("part", "n_ids").collect():
+        parts.setdefault(r.part, []).append(r.n_ids)
+    assert any(len(n) > 1 for n in parts.values())
+    assert all(min(n) >= 20_000 for n in parts.values() if len(n) > 1)
+    found = tokenbin.read_checksums(spark, f"{tmp_dir}/s").collect()
+    assert {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in found} == expected(sf_rows)
+
+
 def expected(rows):
     tokenizer = Tokenizer.from_file(FILE)
     out, at = {}, 0
