@@ -33,7 +33,7 @@ def induce(text: np.ndarray, smaller: np.ndarray, first: np.ndarray, size: int)
     before = np.empty(n, np.int64)
     before[0] = -1
     before[1:] = np.where(smaller[:-1], -1, text[:-1])
-    seeds = first[np.argsort(text[first], kind="stable")]
+    seeds = first[np.argsort(text[first].astype(np.uint16), kind="stable")]  # by radix, as names are few
     seed_stops = np.cumsum(np.bincount(text[first], minlength=size))
     seed_starts = np.concatenate([[0], seed_stops[:-1]])
     head = starts.copy()
@@ -76,7 +76,7 @@ def put(out: np.ndarray, entry: np.ndarray, bucket: np.ndarray, least: int, ends
     if not keep.any():
         return
     bucket, place = bucket[keep], entry[keep] - 1
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
     bucket, place = bucket[order], place[order]
     n = np.bincount(bucket, minlength=len(ends))
     rank = np.arange(len(bucket)) - (np.cumsum(n) - n)[bucket]
@@ -113,7 +113,7 @@ def by_doubling(text: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[:n - k] += rank[k:] + 1 if k < n else 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, in whatever order they are
         new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = new

@@ -30,6 +30,18 @@ def test_recursion_on_repeats():
     assert suffix_array(text).tolist() == sorted_suffixes(text)
 
 
+def test_stable_sorts_are_by_radix(monkeypatch):
+    """numpy sorts 16-bit keys by radix; wider ones only where their order among equals is free."""
+    kinds, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **options: (kinds.append((x.dtype.itemsize, options.get("kind"))),
+                                                             sort(x, **options))[1])
+    r = np.random.default_rng(4)
+    text = np.append(r.integers(1, 250, 6000), 0)
+    order = suffix_array(text)
+    assert order.tolist() == sorted_suffixes(text) == by_doubling(text).tolist()
+    assert (8, None) in kinds and all(size == 2 for size, kind in kinds if kind == "stable")
+
+
 @pytest.mark.parametrize("letters", [1, 2, 3, 26])
 def test_reaches_against_prefixes(letters):
     r = np.random.default_rng(letters)
