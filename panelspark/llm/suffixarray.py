@@ -30,10 +30,11 @@ def induce(text: np.ndarray, smaller: np.ndarray, first: np.ndarray, size: int)
     stops = np.cumsum(counts)
     starts = stops - counts
     out = np.zeros(n, np.int64)
-    before = np.empty(n, np.int64)
+    short = text.astype(np.int16)  # names are few: small keys are read and sorted faster
+    before = np.empty(n, np.int16)
     before[0] = -1
-    before[1:] = np.where(smaller[:-1], -1, text[:-1])
-    seeds = first[np.argsort(text[first].astype(np.uint16), kind="stable")]  # by radix, as names are few
+    before[1:] = np.where(smaller[:-1], np.int16(-1), short[:-1])
+    seeds = first[np.argsort(short[first], kind="stable")]
     seed_stops = np.cumsum(np.bincount(text[first], minlength=size))
     seed_starts = np.concatenate([[0], seed_stops[:-1]])
     head = starts.copy()
@@ -50,7 +51,7 @@ def induce(text: np.ndarray, smaller: np.ndarray, first: np.ndarray, size: int)
         entry = np.concatenate([out[starts[c]:head[c]], seeds[seed_starts[c]:seed_stops[c]]])
         put(out, entry, before[entry], c + 1, head, 1)
 
-    before[1:] = np.where(smaller[:-1], text[:-1], size)
+    before[1:] = np.where(smaller[:-1], short[:-1], np.int16(size))
     before[0] = size
     tail = stops.copy()
     out[0] = n - 1
@@ -66,7 +67,8 @@ def induce(text: np.ndarray, smaller: np.ndarray, first: np.ndarray, size: int)
             out[at - len(own):at] = own[::-1]
             stop, tail[c] = at, at - len(own)
         entry = np.concatenate([out[tail[c]:stops[c]][::-1], out[starts[c]:head[c]][::-1]])
-        put(out, entry, np.where(before[entry] < c, before[entry], -1), 0, tail, -1)
+        bucket = before[entry]
+        put(out, entry, np.where(bucket < c, bucket, np.int16(-1)), 0, tail, -1)
     return out
 
 
@@ -76,7 +78,7 @@ def put(out: np.ndarray, entry: np.ndarray, bucket: np.ndarray, least: int, ends
     if not keep.any():
         return
     bucket, place = bucket[keep], entry[keep] - 1
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket, kind="stable")
     bucket, place = bucket[order], place[order]
     n = np.bincount(bucket, minlength=len(ends))
     rank = np.arange(len(bucket)) - (np.cumsum(n) - n)[bucket]
@@ -179,11 +181,12 @@ def reaches(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     previous = previous_suffixes(order)
     padded, words = by_fours(text, length)
     left = np.flatnonzero(np.arange(len(text)) != order[0])
-    whole = length // 4 * 4
-    for k in range(0, whole, 4):
-        left = left[words[left + k] == words[previous[left] + k]]
-    for k in range(whole, length):
-        left = left[padded[left + k] == padded[previous[left] + k]]
+    if length < 4:
+        for k in range(length):
+            left = left[padded[left + k] == padded[previous[left] + k]]
+    else:  # the last four symbols first, as neighbours that fall short mostly differ there
+        for k in (length - 4, *range(0, length - 4, 4)):
+            left = left[words[left + k] == words[previous[left] + k]]
     out = np.zeros(len(text), bool)
     out[left] = True
     return out
