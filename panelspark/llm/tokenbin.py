@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import rangecoder
-from panelspark.llm.common import CACHE_WORDS, bounded_batches, pieces
+from panelspark.llm.common import bounded_batches, pieces
 
 #: Ids of a segment; the last one of a task has up to twice as many, so that none but that of a small task is short.
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 21
 #: Bytes of text that are split into words at once.
-STRETCH_BYTES = 24 << 20
+STRETCH_BYTES = 6 << 20
 #: Marks that close a word. No token of letters holds one, and none of them begins a clitic or a special token.
 MARKS = ".,;:!?#$%&*+-/=@\\^_`~()[]{}\""
 #: A letter that normalisation leaves alone, and the marks that close its word.
 CLOSED = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}][" + re.escape(MARKS) + "]+$"
-JOINED = 20_000
+#: Words that are remembered.
+CACHE_WORDS = 300_000
+#: Words that are encoded together, and words that the tokenizer holds results of at once.
+JOINED, APART = 20_000, 2000
 
 
 def copied(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -107,8 +111,10 @@ class Words:
         some = words.filter(pa.array(plain)).to_pylist()
         for at in range(0, len(some), JOINED):
             found += self.joined(some[at:at + JOINED])
-        for code in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False):
-            found.append((np.array(code.ids, np.int32), np.array([len(code.ids)])))
+        some = words.filter(pa.array(~plain)).to_pylist()
+        for at in range(0, len(some), APART):  # a result takes a kilobyte or more
+            codes = [x.ids for x in self.tokenizer.encode_batch_fast(some[at:at + APART], add_special_tokens=False)]
+            found.append((np.fromiter(chain.from_iterable(codes), np.int32), np.array([len(x) for x in codes])))
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         ids, size = map(np.concatenate, zip(*found))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from llm_paths import SF_MID
@@ -99,6 +100,27 @@ def test_words_are_encoded_once():
     assert tokenbin.words_of(json) is tokenbin.words_of(json)
 
 
+def test_few_results_are_held_at_once():
+    """What a task holds of the tokenizer's results, and of its texts, is bounded whatever its words are."""
+    tokenizer, calls = Tokenizer.from_file(FILE), []
+
+    class Counted:
+        get_vocab = tokenizer.get_vocab
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    texts = [" ".join(f"w{i}x" for i in range(at, at + 1000)).encode() for at in range(0, 9000, 1000)]
+    ids, sizes = tokenbin.Words(Counted()).encode(texts, 1)
+    assert sum(calls) >= 9000 and max(calls) <= 2000
+    want = [[*tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    batch = pa.RecordBatch.from_pydict({"text": [b"x" * 4000] * 5000})
+    found = [b.num_rows for b in tokenbin.stretches([batch])]
+    assert sum(found) == 5000 and max(found) * 4000 <= 8 << 20
+
+
 def test_words_of_any_kind_and_a_bound(monkeypatch):
     monkeypatch.setattr(tokenbin, "CACHE_WORDS", 2000)
     r = random.Random(3)
