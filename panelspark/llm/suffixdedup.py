@@ -29,8 +29,11 @@ texts that hold an anchor by 64-bit ones; strings are compared byte by byte.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ TEXT_BYTES_PER_BUCKET = 8 << 20
 FLUSH_RUNS = 350_000
 FLUSH_TEXTS = 1 << 16
 FLUSH_BYTES = 16 << 20
+#: Bytes of texts that are hashed side by side (a longer text alone); their vectors stay in a core's cache.
+HASHED_BYTES = 64 << 10
 SORTED_BYTES = 150_000
 SALTS = 32
 #: An anchor that more than a ``WIDE_PART``-th of a stretch's texts hold (and ``WIDE_TEXTS`` at least)
@@ -62,7 +67,9 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = max(0, len(data) - gram + 1)
     out = np.zeros(n, np.uint64)
     for at in [*range(0, gram - 7, 8), gram - 8] if gram % 8 else range(0, gram, 8):
-        out = mix64(out * ROLL + np.ndarray((n,), "<u8", data, at, (1,)))
+        out += np.ndarray((n,), "<u8", data, at, (1,))
+        out *= ROLL
+        out ^= out >> np.uint64(32)
     return out
 
 
@@ -73,21 +80,50 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - k)], x[width - k:]) if k < width else x
 
 
-def runs_of(text: bytes, length: int, gram: int, hashes: np.ndarray | None = None):
-    """(anchor, first start, starts) of every run of a text of at least ``length`` bytes."""
-    hashes = gram_hashes(np.frombuffer(text, np.uint8), gram) if hashes is None else hashes
-    least = sliding_min(hashes, length - gram + 1)
-    cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[cut] >> np.uint64(64 - ANCHOR_BITS), cut, np.diff(np.append(cut, len(least)))
+def side_by_side(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, stop, bytes, where each text starts in them and the last one ends) of stretches
+    of about ``HASHED_BYTES`` of binary values without nulls."""
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else []
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(at, at[first] + HASHED_BYTES, side="right")) - 1)
+        yield first, stop, np.frombuffer(texts.buffers()[2], np.uint8)[at[first]:at[stop]], at[first:stop + 1] - at[first]
+        first = stop
 
 
-def marked_anchors(text: bytes, length: int, gram: int) -> np.ndarray:
-    """Distinct anchors of a text, each with 16 bits that tell its different runs apart."""
-    hashes = gram_hashes(np.frombuffer(text, np.uint8), gram)
-    anchor, start, n = runs_of(text, length, gram, hashes)
+def runs_of(data: np.ndarray, edges: np.ndarray, length: int, gram: int):
+    """(hashes, anchor, first start, starts, text) of the runs of texts that lie one after the other in
+    ``data``, text i from edges[i] to edges[i + 1]; each has at least ``length`` bytes.
+
+    Anchors are mixed once more, as the smallest hashes crowd the lowest buckets.
+    """
+    hashes = gram_hashes(data, gram)
+    least = sliding_min(hashes, length - gram + 1)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[edges[:-1]] = True
+    new[edges[1:-1] - length + 1] = True  # strings from here on reach into the next text
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(least)))
+    text = np.searchsorted(edges, start, side="right") - 1
+    inside = start + length <= edges[text + 1]
+    start, n, text = start[inside], n[inside], text[inside]
+    return hashes, mix64(least[start]) >> np.uint64(64 - ANCHOR_BITS), start, n, text
+
+
+def marked_anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of texts, each with 16 bits that tell its different runs apart, and whose they are."""
+    hashes, anchor, start, n, text = runs_of(data, edges, length, gram)
     sums = np.append(np.uint64(0), np.cumsum(hashes, dtype=np.uint64))
     mark = mix64(sums[start + n + length - gram] - sums[start]) >> np.uint64(ANCHOR_BITS)
-    return np.unique(anchor << np.uint64(64 - ANCHOR_BITS) | mark)
+    return anchor << np.uint64(64 - ANCHOR_BITS) | mark, text
+
+
+def different(x: np.ndarray) -> np.ndarray:
+    """The different values in ascending order."""
+    x = np.sort(x)
+    return x[group_starts(x)[0]]
 
 
 def bucket_edges(anchors: np.ndarray, buckets: int) -> np.ndarray:
@@ -124,18 +160,18 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
     """
 
     def run(batches):
-        found, tokens, held = [], [], 0
+        found, owners, tokens, held, n_texts = [], [], [], 0, 0
 
         def flush():
             marked = np.concatenate(found)
-            names, which = np.unique(np.array(tokens, np.int64), return_inverse=True)
+            names, which = np.unique(np.concatenate(tokens), return_inverse=True)
             shift = np.uint64(64 - ANCHOR_BITS)
             low = np.uint64((1 << (64 - ANCHOR_BITS)) - 1)
             # anchor and text in one integer: a stretch has at most 2^16 texts
-            pairs = np.unique(marked & ~low | np.repeat(which.astype(np.uint64), [len(x) for x in found]))
+            pairs = different(marked & ~low | which.astype(np.uint64)[np.concatenate(owners)])
             a, t = pairs >> shift, (pairs & low).astype(np.uint16)
             first, size = group_starts(a)
-            wide = np.repeat(size > max(WIDE_TEXTS, len(tokens) // WIDE_PART), size)
+            wide = np.repeat(size > max(WIDE_TEXTS, n_texts // WIDE_PART), size)
             end = np.zeros(len(a), bool)
             end[first] = end[first + size - 1] = True
             rows = []
@@ -147,7 +183,7 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
             if wide.any():
                 put(buckets + int(mix64(names[:1].view(np.uint64))[0] % np.uint64(buckets)), a[wide], t[wide], b"")
             a, t = a[~wide | end], t[~wide | end]
-            varied = np.unique(marked)
+            varied = different(marked)
             runs = group_starts(varied >> shift)[1]
             varied = varied[np.repeat(runs > FEW_RUNS, runs)]
             edges, bounds = bucket_edges(a, buckets), bucket_edges(varied >> shift, buckets)
@@ -158,13 +194,17 @@ def anchor_rows(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names_)
 
         for batch in pieces(batches):
-            for text, token in zip(batch.column("text").to_pylist(), batch.column("token").to_pylist()):
-                found.append(marked_anchors(text, length, gram))
-                tokens.append(token)
-                held += len(found[-1])
-                if held >= FLUSH_RUNS or len(tokens) == FLUSH_TEXTS:
+            token = batch.column("token").to_numpy()
+            for first, stop, data, edges in side_by_side(batch.column("text")):
+                if held >= FLUSH_RUNS or n_texts + stop - first > FLUSH_TEXTS:
                     yield flush()
-                    found, tokens, held = [], [], 0
+                    found, owners, tokens, held, n_texts = [], [], [], 0, 0
+                marked, text = marked_anchors(data, edges, length, gram)
+                found.append(marked)
+                owners.append(text + n_texts)
+                tokens.append(token[first:stop])
+                held += len(marked)
+                n_texts += stop - first
         if held:
             yield flush()
 
@@ -200,22 +240,30 @@ def shared_anchors(packed: DataFrame, buckets: int, hot_texts: int, split_runs:
 
 
 def shared_runs(text: bytes, anchors, split: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, hot, start, stop) of the runs whose anchor is listed; stop is the end of their bytes.
+    """(anchor, hot, start, stop) of the runs of one text, as :func:`listed_runs`."""
+    listed = np.array(anchors, np.int64)
+    return listed_runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), listed, np.zeros(len(listed), np.int64),
+                       split, length, gram)[:4]
+
+
+def listed_runs(data: np.ndarray, edges: np.ndarray, listed: np.ndarray, holder: np.ndarray, split: np.ndarray,
+                length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor, hot, start, stop, text) of the runs whose anchor is listed for their text (``holder``);
+    stop is the end of their bytes.
 
     Runs of the anchors in ``split`` (ascending) become one run for each of their strings, with a
     hash of the string as its anchor: equal strings still meet, and only they do.
     """
-    listed = np.array(anchors, np.int64)
-    hot = listed < 0
-    known = np.where(hot, -1 - listed, listed)
-    order = np.lexsort((~hot, known))
-    known, hot = known[order], hot[order]
-    data = gram_hashes(np.frombuffer(text, np.uint8), gram)
-    anchor, start, n = runs_of(text, length, gram, data)
+    cold = listed >= 0
+    # text, anchor and whether it is not hot in one integer: texts side by side are fewer than 2^14
+    known = np.sort((holder << ANCHOR_BITS | np.where(cold, listed, -1 - listed)) << 1 | cold)
+    known, hot = known >> 1, known & 1 == 0
+    hashes, anchor, start, n, text = runs_of(data, edges, length, gram)
     anchor = anchor.astype(np.int64)
-    place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-    keep = np.flatnonzero(known[place] == anchor)
-    anchor, hot, start, n = anchor[keep], hot[place[keep]], start[keep], n[keep]
+    own = text << ANCHOR_BITS | anchor
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    keep = np.flatnonzero(known[place] == own)
+    anchor, hot, start, n, text = anchor[keep], hot[place[keep]], start[keep], n[keep], text[keep]
     if len(split):
         cut = split[np.minimum(np.searchsorted(split, anchor), len(split) - 1)] == anchor
         if cut.any():
@@ -223,11 +271,21 @@ def shared_runs(text: bytes, anchors, split: np.ndarray, length: int, gram: int)
             at = np.arange(size.sum()) + np.repeat(start[cut] - (np.cumsum(size) - size), size)
             own = np.zeros(len(at), np.uint64)
             for k in [*range(0, length - gram, gram), length - gram]:
-                own = mix64(own * ROLL + data[at + k])
+                own = mix64(own * ROLL + hashes[at + k])
             anchor = np.append(anchor[~cut], (own >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64))
-            hot = np.append(hot[~cut], np.repeat(hot[cut], size))
+            hot, text = (np.append(x[~cut], np.repeat(x[cut], size)) for x in (hot, text))
             start, n = np.append(start[~cut], at), np.append(n[~cut], np.ones(len(at), np.int64))
-    return anchor, hot, start, start + n + length - 1
+    return anchor, hot, start, start + n + length - 1, text
+
+
+def held_runs(batch: pa.RecordBatch, split: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
+    """(rows, bytes, edges, runs) of stretches of the texts of ``batch`` that have listed anchors."""
+    batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column("anchors")), 0), 0))
+    for first, stop, data, edges in side_by_side(batch.column("text")):
+        rows = batch.slice(first, stop - first)
+        anchors = rows.column("anchors")
+        holder = np.repeat(np.arange(len(anchors)), pc.list_value_length(anchors).to_numpy())
+        yield rows, data, edges, listed_runs(data, edges, anchors.flatten().to_numpy(), holder, split, length, gram)
 
 
 #: Two odd bases of polynomial hashes modulo 2^64, and their inverses.
@@ -249,7 +307,7 @@ class Powers:
         return self.held
 
 
-def run_keys(data: bytes, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, powers: Powers):
+def run_keys(data: bytes | np.ndarray, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, powers: Powers):
     """95 bits (a 64-bit and a 31-bit integer) that depend on the bytes of a run and its anchor alone."""
     x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     table = powers.up_to(len(x) + 1)
@@ -300,15 +358,11 @@ def run_bytes(held: DataFrame, split: np.ndarray, buckets: int, length: int, gra
                 ["bucket", "anchors", "ids", "flags", "stops", "size", "data"])
 
         for batch in pieces(batches):
-            for doc, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "anchors")]):
-                if not anchors:
-                    continue
-                anchor, hot, start, stop = shared_runs(text, anchors, split, length, gram)
-                n = len(anchor)
-                found.append((anchor, hot, start, stop, *run_keys(text, start, stop, anchor, powers),
-                              np.full(n, doc, np.int64), np.full(n, len(texts), np.int64)))
-                texts.append(text)
-                size += len(text)
+            for rows, data, _, (anchor, hot, start, stop, text) in held_runs(batch, split, length, gram):
+                found.append((anchor, hot, start, stop, *run_keys(data, start, stop, anchor, powers),
+                              rows.column("id").to_numpy()[text], np.full(len(text), len(texts), np.int64)))
+                texts.append(data.tobytes())
+                size += len(data)
                 if size >= FLUSH_BYTES:
                     yield flush()
                     found, texts, size = [], [], 0
@@ -422,12 +476,9 @@ def run_places(held: DataFrame, split: np.ndarray, length: int, gram: int) -> Da
         powers = Powers()
         for batch in pieces(batches):
             found = [tuple(np.zeros(0, k) for k in kinds)]
-            for doc, row, text, anchors in zip(*[batch.column(c).to_pylist() for c in ("id", "row", "text", "anchors")]):
-                if not anchors:
-                    continue
-                anchor, hot, start, stop = shared_runs(text, anchors, split, length, gram)
-                n = len(anchor)
-                found.append((np.full(n, doc), np.full(n, row), start, *run_keys(text, start, stop, anchor, powers),
+            for rows, data, edges, (anchor, hot, start, stop, text) in held_runs(batch, split, length, gram):
+                doc, row = (rows.column(c).to_numpy()[text] for c in ("id", "row"))
+                found.append((doc, row, start - edges[text], *run_keys(data, start, stop, anchor, powers),
                               np.where(hot, doc % SALTS, 0)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*found), kinds)], names)
@@ -499,7 +550,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the texts are shuffled once; the same exchange serves all three uses below
     texts = rows.repartition("id", "row")
     held = texts.join(listed, ["id", "row"], "left").select("id", "row", "text", "anchors")
-    told = answers(run_bytes(held, split, 4 * buckets, length, gram), length)
+    told = answers(run_bytes(held, split, buckets, length, gram), length)
     places = run_places(held, split, length, gram).join(told, ["key", "small", "salt"])
     spans = places.select("id", "row", "start", F.inline(F.arrays_zip("firsts", "lasts", "ids"))).where("ids < id")
     spans = spans.groupBy("id", "row").agg(F.collect_list(F.col("start") + F.col("firsts")).alias("firsts"),
