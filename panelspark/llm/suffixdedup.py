@@ -43,9 +43,10 @@ from panelspark.session import materialize
 
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 ANCHOR_BITS = 48
-#: Bounds of what a task holds: text behind a bucket of anchors, anchors and bytes of runs before
-#: they are packed, bytes that are sorted at once.
-TEXT_BYTES_PER_BUCKET = 8 << 20
+#: Bounds of what a task holds: text behind a bucket of anchors (a text's token is sent to each of its
+#: buckets, so they are few; those of runs hold a quarter), anchors and bytes of runs before they are
+#: packed, bytes that are sorted at once.
+TEXT_BYTES_PER_BUCKET = 32 << 20
 FLUSH_RUNS = 350_000
 FLUSH_TEXTS = 1 << 16
 FLUSH_BYTES = 16 << 20
@@ -550,7 +551,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the texts are shuffled once; the same exchange serves all three uses below
     texts = rows.repartition("id", "row")
     held = texts.join(listed, ["id", "row"], "left").select("id", "row", "text", "anchors")
-    told = answers(run_bytes(held, split, buckets, length, gram), length)
+    told = answers(run_bytes(held, split, 4 * buckets, length, gram), length)
     places = run_places(held, split, length, gram).join(told, ["key", "small", "salt"])
     spans = places.select("id", "row", "start", F.inline(F.arrays_zip("firsts", "lasts", "ids"))).where("ids < id")
     spans = spans.groupBy("id", "row").agg(F.collect_list(F.col("start") + F.col("firsts")).alias("firsts"),
