@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_paths import SF
 from pyspark.sql import functions as F
@@ -229,6 +230,46 @@ def test_no_anchor_gathers_the_runs_of_all_texts(spark):
     assert max(map(len, groups.values())) <= 100
 
 
+def test_substrings_in_few_and_many_groups(awkward, rows, monkeypatch):
+    """Texts of one group and of as many as there are texts, anchors and runs in one bucket and in many."""
+    key = lambda r: tuple(r[:4]) + (bytes(r[4]),)
+    for groups, size in ((1, 1 << 30), (300, 300)):
+        monkeypatch.setattr(suffixdedup, "LEAST_GROUPS", groups)
+        monkeypatch.setattr(suffixdedup, "GROUP_BYTES", 1 << 30)
+        monkeypatch.setattr(suffixdedup, "TEXT_BYTES_PER_BUCKET", size * 20)
+        assert multiset(map(key, suffixdedup.dedup_substrings(awkward).collect())) == multiset(brute.substrings(rows))
+
+
+def test_no_row_is_sent_for_a_run_or_a_token(awkward):
+    """Texts are exchanged once, by their group; what goes between groups and buckets is packed."""
+    plan = suffixdedup.dedup_substrings(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((\w+)#", plan)) == {"group", "bucket"}
+    assert "SortMergeJoin" not in plan and "Generate" not in plan
+
+
+def test_what_a_group_tells_does_not_grow_with_buckets_or_copies():
+    texts = [t.encode() for t in in_contexts(400)]
+    table = pa.table({"group": pa.array([3] * 500, pa.int32()), "id": pa.array(range(500)),
+                      "row": pa.array([i % 400 for i in range(500)]),
+                      "text": pa.array([texts[i % 400] for i in range(500)], pa.binary())})
+    copies = table.slice(400).select(["id", "row"])
+    texts = [np.frombuffer(t, np.uint8) for t in texts]
+    held = Counter(a for t in texts for a in set(suffixdedup.runs_of(t, np.array([0, len(t)]), 50, 16)[1].tolist()))
+    own, of = suffixdedup.own_texts(table, copies)
+    assert own.tolist() == list(range(400)) and of.tolist() == [*range(400), *[-1] * 100]
+    told = {}
+    for buckets in (1, 64):
+        found = suffixdedup.group_anchors(table, copies, buckets, 50, 16)
+        told[buckets] = sum(len(x) for c in ("anchors", "tokens", "holders", "several") for x in found.column(c).to_pylist())
+        anchors = np.concatenate([suffixdedup.from_planes(x, 6) for x in found.column("anchors").to_pylist()])
+        assert len(anchors) == len(set(anchors.tolist())) > 400
+        # several texts hold these, and only this group does
+        a, t, n, _ = map(np.concatenate, zip(*[suffixdedup.held_by_several(found.slice(i, 1), buckets, 4000)
+                                               for i in range(len(found))]))
+        assert set(t.tolist()) == {3} and set(n.tolist()) == {1} and set(a.tolist()) == {x for x, k in held.items() if k > 1}
+    assert told[64] < told[1] + 64 * 10 and told[1] < 9 * len(anchors)
+
+
 # ---------------------------------------------------------------- quality classifier
 
 
