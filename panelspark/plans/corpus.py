@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.operators import blocks as bl
 from panelspark.operators import text as tx
 from panelspark.operators.relational import sequence_number
 from panelspark.session import materialize
@@ -71,12 +72,11 @@ class DocumentMatrix:
 
 
 def document_matrix(spark: SparkSession, base_dir: str, p: CorpusParams = CorpusParams()) -> DocumentMatrix:
-    """The kept tokens of every document, counted once and written; indices count from 0 in the order of ids and
-    words. The entries are not written: they are read once, by what cuts them into blocks."""
-    own = materialize(tx.word_counts(kept_tokens(spark, base_dir, p), by=("doc_id",)), "document_counts")
-    docs = sequence_number(own.select("doc_id").distinct(), [F.asc("doc_id")], "doc_index").select(
+    """The kept tokens of every document, counted once in stretches and written; indices count from 0 in the order of
+    ids and words. The entries are not written: they are read once, by what cuts them into blocks."""
+    own = materialize(bl.packed_counts(kept_tokens(spark, base_dir, p)), "document_counts")
+    docs = sequence_number(own.select(F.explode("docs").alias("doc_id")).distinct(), [F.asc("doc_id")], "doc_index").select(
         "doc_id", (F.col("doc_index") - 1).alias("doc_index"))
-    words = sequence_number(own.select("word").distinct(), [F.asc("word")], "term_index").select(
+    words = sequence_number(own.select(F.explode("terms").alias("word")).distinct(), [F.asc("word")], "term_index").select(
         "word", (F.col("term_index") - 1).alias("term_index"))
-    joined = own.join(docs, "doc_id").join(words.hint("shuffle_hash"), "word")
-    return DocumentMatrix(joined.select("doc_index", "term_index", "n"), docs, words)
+    return DocumentMatrix(bl.counted_entries(own, docs, words), docs, words)

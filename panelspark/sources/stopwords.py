@@ -8,6 +8,7 @@ the planner broadcasts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The analysis' custom stopword list, as written (lower-cased on load).
 CUSTOM_STOPWORDS = [
@@ -38,8 +39,9 @@ when's where's who's why's would
 
 
 def word_table(spark: SparkSession, words) -> DataFrame:
+    """The words as a table that joins broadcast: the planner does not know its size and would shuffle all tokens first."""
     rows = sorted({w.lower() for w in words})
-    return spark.createDataFrame([(w,) for w in rows], "word string")
+    return F.broadcast(spark.createDataFrame([(w,) for w in rows], "word string"))
 
 
 def custom_stopwords(spark: SparkSession, more: tuple = ()) -> DataFrame:

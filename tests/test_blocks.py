@@ -1,10 +1,14 @@
 """Blocks of a document-term matrix against plain sums over the entries."""
 
 import random
+import re
 
+import numpy as np
 import pytest
+from paths import SF_SMALL as SF
 
 from panelspark.operators import blocks as bl
+from panelspark.plans import corpus
 
 SHAPE = bl.BlockShape(4, 8)
 
@@ -87,3 +91,50 @@ def test_blocks_are_packed_from_a_sorted_stream(spark, entries):
     assert "explode" not in plan(got) and "collect_list" not in plan(got)
     with pytest.raises(Exception, match="occurs twice"):
         bl.multiply(blocks, spark.createDataFrame([(1, [1.0]), (1, [2.0])], "term_index long, w array<double>"), 1, SHAPE).collect()
+
+
+def test_counts_in_stretches_are_those_of_the_tokens(spark):
+    """Words counted in stretches and numbered once a stretch, a document in many of them, a missing one and words of it alone."""
+    r = random.Random(3)
+    rows = [(r.choice([None, -4, 2, 3, 10**12]), r.choice(["a", "é", "z", "日本", "𝔸", "b's", "￿"])) for _ in range(300)]
+    rows += [(None, "alone"), (5, "of five")]
+    tokens = spark.createDataFrame(rows, "doc_id long, word string").repartition(7)
+    counts = bl.packed_counts(tokens).cache()
+    docs = sorted({d for d, _ in rows}, key=lambda d: (d is not None, d))
+    words = sorted({w for _, w in rows}, key=str.encode)
+    number = lambda x, name, kind: spark.createDataFrame([(v, i) for i, v in enumerate(x)], f"{name} {kind}, {number_of[name]} long")
+    number_of = {"doc_id": "doc_index", "word": "term_index"}
+    found = bl.counted_entries(counts, number(docs, "doc_id", "long"), number(words, "word", "string"))
+    want = {}
+    for d, w in rows:
+        if d is not None:
+            key = docs.index(d), words.index(w)
+            want[key] = want.get(key, 0) + 1
+    assert len(counts.collect()) > 1
+    blocks = bl.to_blocks(found, bl.BlockShape(2, 3))
+    got = bl.from_blocks(blocks, bl.BlockShape(2, 3)).collect()
+    assert {(x.doc_index, x.term_index): x.n for x in got} == want and len(got) == len(want)
+    only = bl.packed_counts(spark.createDataFrame([(None, "x"), (None, "y")], "doc_id long, word string"))
+    assert bl.counted_entries(only, number([None], "doc_id", "long"), number(["x", "y"], "word", "string")).collect() == []
+    assert {t for x in only.collect() for t in x.terms} == {"x", "y"}
+
+
+def test_squeezed_numbers_come_back():
+    columns = [np.array([5, 0, -3, 1 << 62]), np.array([0.5, -0.0, float("inf"), 1e-300]), np.zeros(4, np.int64)]
+    kinds = (np.int64, np.float64, np.int64)
+    for n in (4, 1, 0):
+        data = bl.squeezed(*[c[:n] for c in columns])
+        assert [x.tobytes() for x in bl.loosened(data, *kinds)] == [c[:n].tobytes() for c in columns]
+
+
+def test_tokens_and_entries_are_not_exchanged_as_rows(spark):
+    """Stopwords are broadcast, words counted where they are read, and entries and blocks sent as compressed values."""
+    exchanged = lambda df: set(re.findall(r"hashpartitioning\(([^)]*?), \d+\)", df._jdf.queryExecution().executedPlan().toString()))
+    docs = corpus.CorpusParams()
+    assert exchanged(corpus.kept_tokens(spark, SF, docs)) == set()
+    matrix = corpus.document_matrix(spark, SF, docs)
+    blocks = bl.to_blocks(matrix.entries, SHAPE)
+    by = {re.sub(r"#\w+", "", x) for x in exchanged(blocks)}
+    assert by <= {"bucket", "stretch", "word", "doc_id"}
+    asked = sum(len(r.terms) for r in bl.packed_counts(corpus.kept_tokens(spark, SF, docs)).select("terms").collect())
+    assert asked < matrix.entries.count() / 2
