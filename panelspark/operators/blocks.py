@@ -38,8 +38,8 @@ HEAVY = 1000
 #: blocks are made and when they are multiplied, tokens of a stretch and bytes of its words.
 PART_CELLS = 1 << 22
 BUCKETS = 1 << 13
-ENTRIES = 500_000
-FACTORS = 1_000_000
+ENTRIES = 300_000
+FACTORS = 700_000
 TOKENS = 1_500_000
 TOKEN_BYTES = 48 << 20
 
@@ -328,14 +328,13 @@ def _product(blocks: DataFrame, dense: DataFrame, axis: str, k: int, shape: Bloc
     least = blocks.count() // HEAVY
     heavy = count.where(F.col("_n") > least).select(F.col(axis).alias("block"))
     by_col = axis == "col_block"
+    width = shape.cols if by_col else shape.rows
 
     def send(batches):
-        for block, other, place, v in _stretches((_coordinates(b, shape, by_col) for b in batches), FACTORS):
-            order = np.lexsort((place, other, block))
-            block, other, place, v = block[order], other[order], place[order], v[order]
+        for block, cell, v in _stretches((_coordinates(b, shape, by_col) for b in batches), FACTORS):
+            block, cell, v = _ordered(block, cell, v)
             first = _changes(block)
-            packed = [squeezed(np.diff(other[x:z], prepend=0), place[x:z], v[x:z])
-                      for x, z in zip(first, [*first[1:], len(block)])]
+            packed = [squeezed(np.diff(cell[x:z], prepend=0), v[x:z]) for x, z in zip(first, [*first[1:], len(block)])]
             yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(packed, pa.binary())], ["block", "packed"])
 
     def run(batches):
@@ -343,10 +342,11 @@ def _product(blocks: DataFrame, dense: DataFrame, axis: str, k: int, shape: Bloc
             if not batch.num_rows:
                 continue
             (w_off, w), = _lists(batch, "w")
-            parts = [loosened(x, np.int64, np.int64, np.float64) for x in batch.column("packed").to_pylist()]
-            i = np.concatenate([np.cumsum(x) for x, _, _ in parts])
-            at = np.concatenate([place * k + off for (_, place, _), off in zip(parts, w_off)])
-            v = np.concatenate([v for _, _, v in parts])
+            parts = [loosened(x, np.int64, np.float64) for x in batch.column("packed").to_pylist()]
+            size = [len(v) for _, v in parts]
+            i, place = np.divmod(np.concatenate([np.cumsum(cell) for cell, _ in parts]), width)
+            at = place * k + np.repeat(w_off[:-1], size)
+            v = np.concatenate([v for _, v in parts])
             order = np.argsort(i, kind="stable")
             i, at, v = i[order], at[order], v[order]
             first = _changes(i)
@@ -368,8 +368,8 @@ def _lists(batch: pa.RecordBatch, *names: str) -> list[tuple[np.ndarray, np.ndar
 
 
 def _coordinates(batch: pa.RecordBatch, shape: BlockShape, by_col: bool) -> pa.RecordBatch:
-    """Of all entries of a batch of blocks: the block of one axis and the place in it, the index on the other one and the
-    value, as (block, other, place, v)."""
+    """Of all entries of a batch of blocks: the block of one axis, the index on the other one and the place in the block as
+    one number, and the value, as (block, cell, v)."""
     (row_off, rows), (start_off, starts), (off, cols), (_, vals) = _lists(batch, "rows", "starts", "cols", "vals")
     own = np.repeat(np.arange(batch.num_rows), np.diff(row_off))
     first = starts[start_off[0] + np.arange(len(own)) + own] + off[own] - off[0]
@@ -377,10 +377,10 @@ def _coordinates(batch: pa.RecordBatch, shape: BlockShape, by_col: bool) -> pa.R
     line = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(vals))))
     row_block, col_block = (batch.column(c).to_numpy()[own] for c in ("row_block", "col_block"))
     if by_col:
-        columns = col_block[line], (row_block * shape.rows + rows)[line], cols.astype(np.int64)
+        block, cell = col_block[line], ((row_block * shape.rows + rows) * shape.cols)[line] + cols
     else:
-        columns = row_block[line], col_block[line] * shape.cols + cols, rows[line].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, vals)], ["block", "other", "place", "v"])
+        block, cell = row_block[line], (col_block[line] * shape.cols + cols) * shape.rows + rows[line]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (block, cell, vals)], ["block", "cell", "v"])
 
 
 def _added(parts: DataFrame, name: str, k: int, out: str) -> DataFrame:
