@@ -23,7 +23,8 @@ number, not once a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ HEAVY = 1000
 PART_CELLS = 1 << 22
 BUCKETS = 1 << 13
 ENTRIES = 300_000
-FACTORS = 700_000
+FACTORS = 500_000
 TOKENS = 1_500_000
 TOKEN_BYTES = 48 << 20
 
@@ -54,6 +55,20 @@ class BlockShape:
             raise ValueError("a block has at least one row and one column")
 
 
+def _tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which freed memory goes back to the system: Python workers stay for later stages, as
+    many as a task has steps in Python, and would hold what their largest stretch took."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def squeezed(*columns: np.ndarray) -> bytes:
     """Vectors of as many 64-bit numbers as one compressed value: bytes of the same weight lie together."""
     columns = [np.ascontiguousarray(x).view("<u8") for x in columns]
@@ -148,9 +163,9 @@ def to_blocks(entries: DataFrame, shape: BlockShape = BlockShape(), row: str = "
                  *[pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x)) for o, x in lists]],
                 ["row_block", "col_block", "rows", "starts", "cols", "vals"])
 
-    sent = e.mapInArrow(send, "bucket long, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    sent = e.mapInArrow(_tidy(send), "bucket long, packed binary").repartition("bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(
-        pack, "row_block long, col_block long, rows array<int>, starts array<int>, cols array<int>, vals array<double>")
+        _tidy(pack), "row_block long, col_block long, rows array<int>, starts array<int>, cols array<int>, vals array<double>")
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
@@ -209,7 +224,7 @@ def packed_counts(tokens: DataFrame, doc: str = "doc_id", term: str = "word") ->
         if held:
             yield flush()
 
-    return tokens.select(doc, term).mapInArrow(run, f"stretch long, docs array<{kind}>, terms array<string>, cells binary")
+    return tokens.select(doc, term).mapInArrow(_tidy(run), f"stretch long, docs array<{kind}>, terms array<string>, cells binary")
 
 
 def counted_entries(counts: DataFrame, docs: DataFrame, terms: DataFrame, doc: str = "doc_id", term: str = "word",
@@ -233,7 +248,7 @@ def counted_entries(counts: DataFrame, docs: DataFrame, terms: DataFrame, doc: s
                         [pa.array(d[d_of[x:x + 100_000]]), pa.array(t[t_of[x:x + 100_000]]), pa.array(n[x:x + 100_000])], [row, col, value])
 
     j = counts.select("stretch", "cells").join(told("docs", doc, docs, row), "stretch").join(told("terms", term, terms, col), "stretch")
-    return j.select("cells", "docs", "terms").mapInArrow(run, f"{row} long, {col} long, {value} long")
+    return j.select("cells", "docs", "terms").mapInArrow(_tidy(run), f"{row} long, {col} long, {value} long")
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -318,7 +333,7 @@ def dense_blocks(vector: DataFrame, index: str, weights: str, width: int, k: int
             yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.ListArray.from_arrays(
                 pa.array(off), pa.array(out.reshape(-1)))], ["block", "w"])
 
-    return v.repartition("block").sortWithinPartitions("block", "i").mapInArrow(fill, "block long, w array<double>")
+    return v.repartition("block").sortWithinPartitions("block", "i").mapInArrow(_tidy(fill), "block long, w array<double>")
 
 
 def _product(blocks: DataFrame, dense: DataFrame, axis: str, k: int, shape: BlockShape, name: str, out: str) -> DataFrame:
@@ -355,10 +370,10 @@ def _product(blocks: DataFrame, dense: DataFrame, axis: str, k: int, shape: Bloc
 
     dealt = blocks.withColumn("block", F.col(axis))
     sent = lambda how: dealt.join(F.broadcast(heavy), "block", how).select(
-        "row_block", "col_block", "rows", "starts", "cols", "vals").mapInArrow(send, "block long, packed binary")
+        "row_block", "col_block", "rows", "starts", "cols", "vals").mapInArrow(_tidy(send), "block long, packed binary")
     some = dense.join(F.broadcast(heavy), "block", "left_semi")
     j = sent("left_semi").join(F.broadcast(some), "block").unionByName(sent("left_anti").join(dense, "block"))
-    return _added(j.select("packed", "w").mapInArrow(run, _parts(k)), name, k, out)
+    return _added(j.select("packed", "w").mapInArrow(_tidy(run), _parts(k)), name, k, out)
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> list[tuple[np.ndarray, np.ndarray]]:
